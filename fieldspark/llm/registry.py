@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, langid, licenses, media, mixing, quality
+from fieldspark.llm import bpe, langid, licenses, media, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(_read(spark, sf_dir, "documents"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op6_mixing, op8_quality, op9_media)}
+    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op6_mixing, op8_quality, op9_media, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
