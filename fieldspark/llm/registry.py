@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, langid, licenses, media, mixing, neardup, quality
+from fieldspark.llm import bpe, langid, licenses, lmscore, media, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -44,7 +48,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op6_mixing, op8_quality, op9_media, op10_neardup)}
+    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op5_lm_score, op6_mixing, op8_quality, op9_media, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
