@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, langid, licenses, lmscore, media, mixing, neardup, quality
+from fieldspark.llm import ann, bpe, langid, licenses, lmscore, media, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op5_lm_score, op6_mixing, op8_quality, op9_media, op10_neardup)}
+    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
