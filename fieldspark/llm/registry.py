@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import ann, bpe, langid, licenses, lmscore, media, mixing, neardup, quality
+from fieldspark.llm import ann, bpe, langid, licenses, lmscore, media, mixing, neardup, pii, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -52,7 +57,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup)}
+    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
