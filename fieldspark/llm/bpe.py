@@ -18,6 +18,7 @@ import json
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -215,8 +216,8 @@ class Encoder:
         counts, ids, texts = zip(*found)
         return sum(counts), " ".join(ids), " ".join(texts)
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in self.parts(text)[1].split()]
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.array(self.parts(text)[1].split(), np.int32)
 
     def decode(self, ids) -> str:
         return " ".join([self.text[i] for i in ids if i in self.text])
