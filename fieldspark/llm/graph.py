@@ -28,4 +28,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         now = store.table(small.filter("u <> v").distinct(), "edges")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
