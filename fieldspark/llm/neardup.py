@@ -10,9 +10,13 @@
    on the full sets are joined to components. In large groups of near copies this takes one
    comparison a node and band.
 4. Only bands whose nodes lie in different components then remain. All pairs across
-   components are compared there by sketch, in blocks of bounded size, and those that pass
-   are confirmed on full sets. So no link is lost to a representative, and a pair inside a
-   component, which cannot change the result, is never built.
+   components are compared there, in blocks of bounded size, by a finer odd sketch: of the
+   whole set, or of its hashes below a power of two that leaves about a thousand. Its XOR
+   count never exceeds the symmetric difference, so for whole sets no link fails it; for
+   sampled ones six deviations are allowed. Pairs that pass are confirmed on full sets: first
+   the likeliest few of each two components, then, in what is still apart, all the others.
+   So no link is lost to a representative, and a pair inside a component, which cannot
+   change the result, is never built.
 
 A pair at the threshold shares no band with a probability of (1 - 0.85**5)**24, under 1e-6.
 
@@ -35,6 +39,8 @@ from fieldspark.llm import graph, shingles, store
 BANDS, ROWS, BITS = 24, 5, 512
 THRESHOLD = 85
 BLOCK = 1024
+FINE_BITS, FINE_SIZE = 2048, 1024
+LIKELIEST = 2
 _seed = np.random.default_rng(20250202)
 SAMPLES = BANDS * ROWS
 MULTIPLY = _seed.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -67,6 +73,25 @@ def odd_sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
+def level_of(n):
+    """How often a set of n hashes is halved until at most FINE_SIZE of them can be expected."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(1, n) / FINE_SIZE))).astype(np.int64)
+
+
+def fine_sketch(h: np.ndarray, level: int) -> bytes:
+    """Parity bitmap of the hashes below 2 ** (64 - level)."""
+    h = h[h < np.uint64(1 << (64 - level))] if level else h
+    at = (shingles.scramble(h ^ np.uint64(0x5DEECE66D)) >> np.uint64(40)).astype(np.int64) % FINE_BITS
+    return np.packbits((np.bincount(at, minlength=FINE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def most_apart(sizes: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The greatest XOR count of fine sketches of two sets, by the sum of their sizes, at which they may be linked."""
+    apart = np.floor(sizes * (100 - percent) / (100 + percent))
+    share = 0.5**level
+    return np.where(level == 0, apart, apart * share + 6 * np.sqrt(apart * share) + 6)
+
+
 def similarity(flipped) -> float:
     """The similarity that an XOR population count stands for."""
     left = 1 - 2 * flipped / BITS
@@ -115,17 +140,22 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and set (sorted hashes as bytes) for ``wanted`` (doc_id, node), from the documents' texts."""
+    """node, set (sorted hashes as bytes), its level, and its fine sketches at that level and the next,
+    for ``wanted`` (doc_id, node), from the documents' texts."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_pylist()
-            got = [h.tobytes() if _node(h) == i else None for i, h in zip(ids, shingles.sets(b.column(1).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "set"])
+            got, levels, fine = [], [], []
+            for i, h in zip(ids, shingles.sets(b.column(1).to_pylist())):
+                levels.append(int(level_of(len(h))))
+                got.append(h.tobytes() if _node(h) == i else None)
+                fine.append(fine_sketch(h, levels[-1]) + fine_sketch(h, levels[-1] + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), pa.array(levels, pa.int32()), pa.array(fine, pa.binary())], names=["node", "set", "level", "fine"])
 
     # The texts have to meet the wanted ids: compact rows first, the hash of a null id being no match.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("node", "text")
-    return found.mapInArrow(run, "node long, set binary").filter("set is not null").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, set binary, level int, fine binary").filter("set is not null").dropDuplicates(["node"])
 
 
 def _linked(batches, percent: int):
@@ -151,26 +181,39 @@ def _flips(x: str, y: str) -> str:
     return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64))
 
 
-def _across(batches, most: int):
-    """Pairs of different components within each (key, cell) of sorted rows, by sketch."""
-    import pyarrow.compute as pc
-
+def _across(batches, percent: int, limit: int | None):
+    """Pairs of different components within each (key, cell) of sorted rows, by fine sketch: the ``limit``
+    likeliest of each two components, or all."""
     held = None
 
     def pairs(t: pa.Table):
-        node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
-        side = t["side"].to_numpy()
-        sk = pc.list_flatten(t["sketch"]).to_numpy().reshape(len(node), -1).view(np.uint64)
+        node, comp, side, level, size = (t[c].to_numpy() for c in ("node", "comp", "side", "level", "n"))
+        fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(len(node), 2, -1)
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block against itself
-        found = []
-        for i in range(0, len(one), 128):
-            r = one[i : i + 128]
-            flips = np.bitwise_count(sk[r][:, None] ^ sk[two][None]).sum(axis=2)
-            p, q = np.nonzero((flips <= most) & (comp[r][:, None] != comp[two][None]) & (node[r][:, None] != node[two][None]))
-            found.append((np.minimum(node[r][p], node[two][q]), np.maximum(node[r][p], node[two][q])))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        found = [np.zeros((5, 0), np.int64)]
+        for i in range(0, len(one), 64):
+            r = one[i : i + 64]
+            la, lb = level[r][:, None], level[two][None]
+            near = (comp[r][:, None] != comp[two][None]) & (np.abs(la - lb) <= 1)
+            near &= 100 * np.minimum(size[r][:, None], size[two][None]) >= percent * np.maximum(size[r][:, None], size[two][None])
+            p, q = np.nonzero(near)
+            for j in range(0, len(p), 1 << 14):
+                x, y = r[p[j : j + (1 << 14)]], two[q[j : j + (1 << 14)]]
+                top = np.maximum(level[x], level[y])
+                flips = np.bitwise_count(fine[x, top - level[x]] ^ fine[y, top - level[y]]).sum(axis=1)
+                most = most_apart((size[x] + size[y]).astype(float), top, percent)
+                keep = flips <= most
+                x, y, spare = x[keep], y[keep], (flips - most)[keep]
+                found.append(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y]), np.rint(spare).astype(np.int64))))
+        a, b, ca, cb, spare = np.concatenate(found, axis=1)
+        if limit is not None:
+            order = np.lexsort((b, a, spare, cb, ca))
+            a, b, ca, cb = a[order], b[order], ca[order], cb[order]
+            first = np.flatnonzero(np.concatenate(([True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])))) if len(a) else np.zeros(0, np.int64)
+            rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            a, b = a[rank < 2 * limit], b[rank < 2 * limit]  # in a block against itself each pair comes twice
         both = np.unique(np.stack((a, b)), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
     def groups(t: pa.Table, last: bool):
         key, cell = t["key"].to_numpy(), t["cell"].to_numpy()
@@ -189,6 +232,29 @@ def _across(batches, most: int):
         yield from groups(held, True)[0]
 
 
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, limit: int | None) -> DataFrame:
+    """Candidate pairs across components in the bands that hold more than one."""
+    placed = members.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Each row goes to the cell of its block with every other block of its key; nearly all keys have one block.
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "comp")
+    fine = sets.select("node", "level", "fine", F.expr("length(set) div 8").alias("n"))
+    rest = rest.join(fine, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return rest.mapInArrow(lambda it: _across(it, percent, limit), "a long, b long").distinct()
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links (a, b) between nodes."""
+    for c in "ab":
+        more = more.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}")), c, "left")
+    top = store.table(graph.components(store.table(more.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")), "links")), "merged")
+    everyone = labels.unionByName(top.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    out = everyone.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return store.table(out.select("node", F.coalesce("top", "component").alias("component")), "labels")
+
+
 def links(docs: DataFrame, percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The signed documents, and node -> component for the nodes that link with another."""
     signed = store.table(sign(docs), "signed")
@@ -207,23 +273,12 @@ def links(docs: DataFrame, percent: int = THRESHOLD) -> tuple[DataFrame, DataFra
     first = store.table(first.filter(f"{_flips('sketch_a', 'sketch_b')} <= {most}").select("a", "b"), "pairs")
     labels = store.table(graph.components(store.table(confirm(first, sets, percent), "links")), "labels")
 
-    placed = members.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Each row goes to the cell of its block with every other block of its key; nearly all keys have one block.
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "comp")
-    rest = rest.join(sketches, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    second = rest.mapInArrow(lambda it: _across(it, most), "a long, b long").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = store.table(second.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = confirm(second, sets, percent)
-    for c in "ab":
-        more = more.join(labels.withColumnRenamed("node", c).withColumnRenamed("component", f"comp_{c}"), c, "left")
-    merged = graph.components(store.table(more.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")), "links"))
-    everyone = labels.unionByName(merged.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-    final = everyone.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    return signed, store.table(final.select("node", F.coalesce("top", "component").alias("component")), "components")
+    for limit in (LIKELIEST, None):
+        pairs = store.table(_rest(members, labels, sets, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels = _merged(labels, store.table(confirm(pairs, sets, percent), "links"))
+        tried = tried.unionByName(pairs)
+    return signed, labels
 
 
 def deduplicate(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
