@@ -190,14 +190,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, unchanged."""
     names = docs.columns
-    columns = [*[F.col(c) for c in names], F.col("text").cast("string").alias("_text")]
+    at = names.index("text")
     shared = model.key, docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
         s = _scorer(shared)
         for b in batches:
-            got = [s.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [s.predict(t) for t in b.column(at).to_pylist()]
             keep = pa.array([x != UNKNOWN and p >= least for x, p in got], pa.bool_())
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(keep)
+            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(keep)
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

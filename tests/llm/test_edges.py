@@ -54,7 +54,7 @@ def test_licenses(docs, none):
 
 
 def test_license_matches(spark):
-    d = spark.createDataFrame([(1, "x\nReleased under the MIT license\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under the moon"), (4, "released under the mit  LICENSE!")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "some other line\nReleased under the MIT license\nand one more line"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under the moon"), (4, "released under the mit  LICENSE!")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_hits"], r["license"]) for r in licenses.scan(d).collect()}
     assert got == {1: (1, "MIT"), 2: (1, "Apache-2.0"), 3: (0, None), 4: (1, "MIT")}
     assert licenses.bounds(10, 0.8) == (7, 15)
@@ -130,9 +130,9 @@ def test_media(docs, none):
 
 def test_neardup(docs, none):
     out = neardup.deduplicate(docs)
-    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in out.collect()}
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in out.collect()}
     assert out.count() == docs.count() and neardup.deduplicate(none).count() == 0
-    assert got[46, 8] == (3, False) and got[40, 0] == (40, True) and got[42, 0] == (42, True) and got[45, 1] == (45, True)
+    assert got[46] == (3, False) and got[40] == (40, True) and got[42] == (42, True) and got[45] == (45, True)
 
 
 def test_neighbours(spark):
