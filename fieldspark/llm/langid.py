@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.llm import store
 from fieldspark.llm.store import remainder
 
 UNKNOWN = "und"
 LONGEST = 5
 PER_LANGUAGE, SALTS = 1536, 64
+#: A sample of so many rows or fewer is broadcast to pick its texts, so the texts aren't dealt out.
+BROADCAST_ROWS = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -112,7 +115,9 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     ids = ids.select("doc_id", "lang", "text", F.pmod(h, F.lit(SALTS)).alias("salt"), h.alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
     few = ids.select("doc_id", "lang", "salt", "h").withColumn("r", rank).filter(F.col("r") <= -(-per_language // SALTS))
-    few = few.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    few = store.table(few.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "sample")
+    if few.count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
     return ids.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
 
 
