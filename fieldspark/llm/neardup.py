@@ -249,7 +249,7 @@ def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels after further links (a, b) between nodes."""
     for c in "ab":
         more = more.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}")), c, "left")
-    top = store.table(graph.components(store.table(more.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")), "links")), "merged")
+    top = store.table(graph.components(more.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))), "merged")
     everyone = labels.unionByName(top.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
     out = everyone.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     return store.table(out.select("node", F.coalesce("top", "component").alias("component")), "labels")
@@ -271,12 +271,14 @@ def links(docs: DataFrame, percent: int = THRESHOLD) -> tuple[DataFrame, DataFra
     for c in "ab":
         first = first.join(sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
     first = store.table(first.filter(f"{_flips('sketch_a', 'sketch_b')} <= {most}").select("a", "b"), "pairs")
-    labels = store.table(graph.components(store.table(confirm(first, sets, percent), "links")), "labels")
+    labels = store.table(graph.components(confirm(first, sets, percent)), "labels")
 
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for limit in (LIKELIEST, None):
         pairs = store.table(_rest(members, labels, sets, percent, limit).join(tried, ["a", "b"], "left_anti"), "pairs")
-        labels = _merged(labels, store.table(confirm(pairs, sets, percent), "links"))
+        found = store.table(confirm(pairs, sets, percent), "links")
+        if found.limit(1).count():
+            labels = _merged(labels, found)
         tried = tried.unionByName(pairs)
     return signed, labels
 

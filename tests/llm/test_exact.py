@@ -126,7 +126,9 @@ def test_odd_sketch_estimates():
     assert neardup.most_flipped() < 256
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     g = random.Random(2)
     edges = [(g.randrange(200), g.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
