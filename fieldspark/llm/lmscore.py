@@ -15,8 +15,7 @@ table of whole words, so that its load is bounded. They come as a table of disti
 which grows with the input; each task adds its words to tables of a fixed number of slots,
 and the tables are summed in blocks. Mixing weights are then learned online, each word being
 predicted from counts without one occurrence of itself, its loss weighted by its
-occurrences; tasks learn from equal weights and their results are averaged. Weights and map
-are fitted on a bounded sample of LEARNED distinct words at most, the first by a hash.
+occurrences; tasks learn from equal weights, each from all of its words, and their results are averaged.
 
 Frequent words (``FREQUENT`` at most) are broadcast with their scores, so no word is a hot
 join key. Null texts count as empty: they hold the end alone. With no training texts counts
@@ -44,7 +43,6 @@ BLOCK_BITS = 16
 OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS]))).astype(np.int64)
 SLOTS = int(OFFSETS[-1])
 FREQUENT = 1 << 16
-LEARNED = 400_000
 PRIOR, RATE = 0.05, 0.02
 BUCKETS = 33
 _U = np.uint64
@@ -322,10 +320,8 @@ def fit(vocabulary: DataFrame, spark):
         seen = 0.0
         for b in batches:
             words, c = _columns(b)
-            n = int(min(len(words), max(0, LEARNED // parts - seen)))
-            if n:
-                m.learn(words[:n], c[:n])
-            seen += n
+            m.learn(words, c)
+            seen += len(words)
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.map.tobytes()], pa.binary())], names=["n", "weights", "map"])
 
     start = Mixer(np.zeros((2, 1), np.float32))

@@ -176,6 +176,15 @@ def test_lm_is_a_distribution():
     assert (10 ** m.score(every, np.array([own.get(w, 0.0) for w in every]))).sum() < 1 + 1e-6
 
 
+def test_lm_learns_from_every_word(spark, monkeypatch):
+    """Weights and map have seen each bit of each training word, whatever bound there was."""
+    monkeypatch.setattr(lmscore, "LEARNED", 24, raising=False)
+    words = [b"w%d" % k for k in range(3000)]
+    v = spark.createDataFrame([(w, 1, 0) for w in words], "word binary, c long, rest long")
+    table = lmscore._mixer(lmscore.fit(v, spark)).map
+    assert table.sum() == sum(8 * (len(w) + 1) for w in words)
+
+
 def test_language_held_out(spark):
     out = run(spark, "op3_language").merge(DOCS, on="doc_id")
     h = out[out["held_out"] & out["lang"].notna()]
