@@ -6,7 +6,8 @@ beside the sizes a byte, becomes a probability by logistic calibration on labell
 that neither dictionary has seen.
 
 Dictionaries and calibration are fitted on a bounded sample of labelled rows: at most
-``per_class`` of each label, first in the order of a hash. Scoring reads every whole text.
+``2 * per_class`` of each label, first in the order of a hash, half of them for either. Fitting
+and scoring read whole texts.
 Null and empty texts have sizes of 0 and get the calibration's value there. Where a label is
 missing altogether, the score is the share of good labels, or 0.5 without any.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from fieldspark.llm.langid import held_out
 
 CHUNK, LEVEL, DICTIONARY = 4096, 1, 64 << 10
-PER_CLASS, EXCERPT = 2000, 4096
+PER_CLASS = 2000
 PREDICTED = 0.7
 
 
@@ -96,12 +97,19 @@ def measure(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    def loss(w):
+        z = np.clip(x @ w, -30, 30)
+        return weight @ (np.logaddexp(0, z) - y * z) + ridge * w @ w / 2
+
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - y)) + ridge * w
         hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
+        now = loss(w)
+        while loss(w - step) > now and np.abs(step).max() >= 1e-8:  # full steps may diverge
+            step /= 2
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -116,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     few = marks.filter("quality = 0").orderBy(order, "doc_id").limit(2 * per_class).unionByName(marks.filter("quality = 1").orderBy(order, "doc_id").limit(2 * per_class))
     few = few.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")  # 4 * per_class ids at most
-    excerpts = rows.filter("half = 0").select("quality", F.substring("text", 1, EXCERPT).alias("text")).limit(4 * per_class).toPandas()
-    kinds = {q: sorted(excerpts.loc[excerpts["quality"] == q, "text"]) for q in (0, 1)}
+    texts = rows.filter("half = 0").select("quality", "text").limit(4 * per_class).toPandas()
+    kinds = {q: sorted(texts.loc[texts["quality"] == q, "text"]) for q in (0, 1)}
     counts = {q: len(kinds[q]) for q in (0, 1)}
     total = sum(counts.values())
     if min(counts.values()) < 8:
@@ -135,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 
 def _train(samples: list[bytes]) -> bytes:
-    parts = [s[i : i + 1024] for s in samples for i in range(0, len(s), 1024)]
+    parts = [s[i : i + CHUNK] for s in samples for i in range(0, len(s), CHUNK)]  # as they are scored
     try:
         return zstd.train_dictionary(DICTIONARY, parts, k=512, d=8, level=LEVEL).as_bytes()
     except zstd.ZstdError:  # too little text to train on: the text itself

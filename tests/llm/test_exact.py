@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from fieldspark.llm import ann, bpe, graph, jpeg, langid, lmscore, media, neardup, pii, shingles
+from fieldspark.llm import ann, bpe, graph, jpeg, langid, lmscore, media, neardup, pii, quality, shingles
 
 SF = "/root/testdata/sf0.001"
 DOCS = pd.read_parquet(f"{SF}/documents.parquet")
@@ -208,6 +208,16 @@ def test_quality_held_out(spark):
     assert auc > 0.9 and h["predicted"][good].mean() > 0.97
 
 
+def test_quality_learns_late_text(spark):
+    """What only the end of long documents has is in the dictionary of their label."""
+    g = random.Random(7)
+    late = "".join(g.choice("klmnopqrstuvwxyz ") for _ in range(1500))
+    texts = ["".join(g.choice("abcdefghij ") for _ in range(5000)) + (late if k % 2 == 0 else "") for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int"))
+    assert late[700:800].encode() in m.bad and late[700:800].encode() not in m.good
+
+
 def test_neighbours_recall(spark):
     e = pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet")
     out = entry.queries()["op7_neighbours"](spark, "/root/testdata/sf0.01").toPandas()
