@@ -535,7 +535,7 @@ def cs_gram(spark, d):
 def _sensing(spark, d, cfg=K.Sensing(), matrix=None):
     basis = _basis(spark, d).cache()
     sensors = spark.createDataFrame([(c,) for c in placement.place(basis, 10).cells], "cell long")
-    truth = tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5}).filter("t < 24")
+    truth = tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5})
     return basis, truth, sensing.sense(basis, sensors, truth, ["t"], 10, cfg, matrix)
 
 
@@ -567,7 +567,7 @@ def cs_field(spark, d):
 
 @query()
 def experiment_sweep(spark, d):
-    truth = tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5}).filter("t < 12")
+    truth = tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5})
     return experiments.analytics(experiments.sweep(_basis(spark, d), truth, ["t"], 10, [4, 8], shape=(25, 5)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import kernels as K
 from fieldspark.functions import scalars as S
 from fieldspark.operators import analysis, decomposition, experiments, graph, placement, sensing, stats, tensor
+from fieldspark.plans import queries
 from fieldspark.sources import generators, readers, sinks
 from fieldspark.streaming import online
 
@@ -186,6 +187,16 @@ def test_sensing_recovers(spark):
     assert best.count() == 4
 
 
+def test_sensing_queries_take_all_months(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.001", []
+    months = {r["t"] for r in queries._full(spark, sf).select("t").distinct().collect()}
+    assert len(months) == 84 and {r["t"] for r in queries.cs_solve(spark, sf).select("t").collect()} == months
+    monkeypatch.setattr(experiments, "sweep", lambda basis, truth, *_, **__: seen.append(truth) or truth)
+    monkeypatch.setattr(experiments, "analytics", lambda x: x)
+    queries.experiment_sweep(spark, sf)
+    assert {r["t"] for r in seen[0].select("t").distinct().collect()} == months
+
+
 def test_sweep(spark):
     a = np.random.default_rng(7).standard_normal((25, 4))
     t = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(a)], "cell long, tube array<double>")
