@@ -329,7 +329,7 @@ def _field(shared) -> Field:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> Field:
-    """Learn the field on a bounded sample of documents."""
+    """Learn the field on a bounded sample of documents, each read to its end."""
     spark = docs.sparkSession
     h = F.xxhash64(F.lit("pii"), F.col("doc_id"))
     few = docs.filter("text is not null and doc_id is not null").select("doc_id").orderBy(h, "doc_id").limit(rows)
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Field:
             out = []
             for t in b.column(0).to_pylist():
                 pieces, done = [], 0
-                for s, e in chunks(t or "")[:200]:
+                for s, e in chunks(t or ""):
                     lo, hi = max(done, s - 60), min(len(t), e + 20)
                     if hi > lo:
                         pieces.append(t[lo:hi])

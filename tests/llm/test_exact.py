@@ -79,6 +79,13 @@ def test_pii_repeats_follow():
     assert ("phone", "15550177993") in {(pii.KINDS[k], t[s:e]) for s, k, e in got[0][1]} and not got[1][1]
 
 
+def test_pii_fit_reads_whole_texts(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(pii, "learn", read.extend)
+    pii.fit(spark.createDataFrame([(1, " ".join(f"item {k}" for k in range(1000, 1600)) + " call +15550177993")], "doc_id long, text string"))
+    assert "1599 call +15550177993" in read[0]
+
+
 def test_neardup_brute_force(spark):
     out = run(spark, "op10_neardup").set_index("doc_id")
     sets = {}
