@@ -1,21 +1,22 @@
 """Language-model scores by online logistic context mixing.
 
-A token is a word, or the end of a text. Its class comes first: whether it is one of the
-frequent ones (FREQUENT at most), and how frequent; then it follows as bytes, the word and a line feed, the
-end being the line feed alone. Each bit of it is predicted by several tables of bit counts, one
-for each hashed context: the last 0, 1, 2, 3 and 4 bytes of the word and the whole word so
-far. The predictions' logits are mixed with weights from a set chosen (gated) by the longest
+A token is a word, or the end of a text. Its class comes first: whether it is new or how
+frequent in training. Then its probability in the class is a mixture of two: the share of its
+count among the words of the class, and its spelling, the word's bytes and a line feed, the
+end being the line feed alone. Each bit of a spelling is predicted by several tables of bit
+counts, one for each hashed context: the last 0, 1, 2, 3 and 4 bytes of the word. The
+predictions' logits are mixed with weights from a set chosen (gated) by the longest
 context that has been seen, and the mixed logit is refined by an adaptive map from logits
 and gate to observed frequencies. A text's score is the sum over its tokens, so a
 word is scored once however often it occurs.
 
-All training words enter the counts: each once in the tables of short contexts, which
-predicts unseen words better, and the FREQUENT commonest with all their occurrences in the
-table of whole words, so that its load is bounded. They come as a table of distinct words with counts,
-which grows with the input; each task adds its words to tables of a fixed number of slots,
+All training words keep their counts, which are looked up in the table of distinct words;
+the tables of contexts hold each word once, which predicts unseen words better. The words' table
+grows with the input; each task adds its words to context tables of a fixed number of slots,
 and the tables are summed in blocks. Mixing weights are then learned online, each word being
-predicted from counts without one occurrence of itself, its loss weighted by its
-occurrences; tasks learn from equal weights, each from all of its words, and their results are averaged.
+spelled from counts without itself; a class's share of spellings and its own probability come
+from words without one of their occurrences. Tasks learn from equal weights, each from all of its
+words, and their results are averaged.
 
 Frequent words (``FREQUENT`` at most) are broadcast with their scores, so no word is a hot
 join key. Null texts count as empty: they hold the end alone. With no training texts counts
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from fieldspark.llm import store
 
 END = b"\n"
-ORDERS = (0, 1, 2, 3, 4, None)  # None: the whole word so far
-SLOT_BITS = (16, 18, 19, 20, 20, 21)
+ORDERS = (0, 1, 2, 3, 4)
+SLOT_BITS = (16, 18, 19, 20, 20)
 BLOCK_BITS = 16
 OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS]))).astype(np.int64)
 SLOTS = int(OFFSETS[-1])
@@ -60,9 +61,8 @@ def tokens(text: bytes | None) -> list[bytes]:
 class Words:
     """Distinct words laid out by byte position: position k holds the words longer than k bytes."""
 
-    def __init__(self, words: list[bytes], kinds: np.ndarray):
-        order = np.argsort([-len(w) for w in words], kind="stable")
-        self.order, self.kinds = order, kinds[order]
+    def __init__(self, words: list[bytes]):
+        order = self.order = np.argsort([-len(w) for w in words], kind="stable")
         data = np.frombuffer(b"".join([words[i] + END for i in order]), np.uint8)
         sizes = np.array([len(words[i]) + 1 for i in order], np.int64)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
@@ -73,23 +73,17 @@ class Words:
 
     def bits(self):
         """For each bit: how many words have it, its value, its place, and its slot in every table."""
-        n = len(self.columns[0]) if self.columns else 0
-        whole = self.kinds[:n].astype(np.uint64) * _U(0xA0761D6478BD642F)
         recent: list[np.ndarray] = []
         for k, column in enumerate(self.columns):
             m = len(column)
-            whole = whole[:m]
             recent = [r[:m] for r in recent]
             contexts = []
             for order in ORDERS:
-                if order is None:
-                    h = whole
-                else:
-                    h = np.full(m, order, np.uint64)
-                    for r in recent[max(0, len(recent) - order) :]:
-                        h = (h + r.astype(np.uint64) + _U(1)) * _M
-                        h ^= h >> _U(29)
-                contexts.append((h + _U(k if order is None else 0)) * _M)
+                h = np.full(m, order, np.uint64)
+                for r in recent[max(0, len(recent) - order) :]:
+                    h = (h + r.astype(np.uint64) + _U(1)) * _M
+                    h ^= h >> _U(29)
+                contexts.append(h * _M)
             node = np.ones(m, np.uint64)
             for place in range(8):
                 bit = (column >> (7 - place)) & 1
@@ -101,57 +95,56 @@ class Words:
                     slots.append((x >> _U(64 - SLOT_BITS[i])).astype(np.int64) + OFFSETS[i])
                 yield m, bit, min(k, 3) * 8 + place, slots
                 node = (node << _U(1)) | bit.astype(np.uint64)
-            whole = (whole + column.astype(np.uint64) + _U(1)) * _M
-            whole ^= whole >> _U(31)
             recent.append(column)
             if len(recent) > 5:
                 recent.pop(0)
 
 
 PLACES = 32
-#: A word's class: 0 if it isn't frequent, then by its count. Gates: for class 0 by what has been seen (nothing, a short context, four bytes), then one for each class.
+#: A word's class: 0 if it is new, then by its count. Gates: by what has been seen (nothing, a short context, four bytes).
 LEVELS = (4, 16, 128, 1024)
 CLASSES = 2 + len(LEVELS)
-GATES = 2 + CLASSES
+GATES = 3
+#: Before learning, this share of a class's probability goes by counts, with the weight of so many occurrences.
+COUNTED, WEIGHT = 0.9, 20
 
 
-#: Longer words are scored as the product of pieces of so many bytes, which belong to class 0.
+#: Longer words are spelled in pieces of so many bytes.
 LONGEST = 40
 
 
-def pieces(words: list[bytes], counts: np.ndarray, floor: float) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words cut into pieces, a count for each, and the number of the word each belongs to."""
+def pieces(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words cut into pieces, and the number of the word each belongs to."""
     if all(len(w) <= LONGEST for w in words):
-        return words, counts, np.arange(len(words))
+        return words, np.arange(len(words))
     parts, owner = [], []
     for i, w in enumerate(words):
         for at in range(0, max(1, len(w)), LONGEST):
             parts.append(w[at : at + LONGEST])
             owner.append(i)
-    owner = np.array(owner)
-    cut = np.array([len(w) > LONGEST for w in words])[owner]
-    return parts, np.where(cut, np.minimum(counts[owner], floor), counts[owner]), owner
+    return parts, np.array(owner)
 
 
 def classes(counts: np.ndarray, floor: float) -> np.ndarray:
     return np.where(counts > floor, 1 + np.digitize(counts, LEVELS), 0)
 
 
-def gate(seen: list[np.ndarray], kinds: np.ndarray) -> np.ndarray:
-    return np.where(kinds > 0, 2 + kinds, np.where(seen[4], 2, np.where(seen[1], 1, 0)))
+def gate(seen: list[np.ndarray]) -> np.ndarray:
+    return np.where(seen[4], 2, np.where(seen[1], 1, 0))
 
 
 class Mixer:
-    """Counts of all slots, gated weights and the refining map."""
+    """Counts of all slots, gated weights and the refining map; the classes' probabilities
+    (``flags``), occurrences (``masses``) and shares by counts (``told``: of what)."""
 
-    def __init__(self, counts: np.ndarray, floor: float = 1.0, flags=(1 / CLASSES,) * CLASSES):
+    def __init__(self, counts: np.ndarray, floor: float = 0.0, flags=(1 / CLASSES,) * CLASSES, masses=None):
         self.counts = counts  # (2, SLOTS): zeros and ones
-        self.floor, self.flags = floor, np.asarray(flags)
+        self.floor, self.flags, self.masses = floor, np.asarray(flags), masses
         k = len(ORDERS)
         self.weights = np.zeros((GATES, PLACES, k), np.float32)
         self.weights[0, :, 0] = self.weights[1, :, 2] = self.weights[2, :, 4] = 0.7
-        self.weights[3:, :, 5] = 1.0
         self.map = np.zeros((2, GATES, BUCKETS))
+        self.told = np.zeros((2, CLASSES))
         self.logits = (np.log(counts[1] + np.float32(PRIOR)) - np.log(counts[0] + np.float32(PRIOR))).astype(np.float32)
 
     def mixed(self, x: np.ndarray, g: np.ndarray, place: int) -> np.ndarray:
@@ -160,46 +153,50 @@ class Mixer:
     def learn(self, words: list[bytes], counts: np.ndarray, rate: float = RATE, portion: int = 4096) -> None:
         """One online pass: a portion's words are predicted, then change the weights they used."""
         k = len(ORDERS)
-        words, counts, _ = pieces(words, counts, self.floor)
-        for n in range(0, len(words), portion):
-            w = Words(words[n : n + portion], classes(counts[n : n + portion], self.floor))
-            c = counts[n : n + portion][w.order].astype(np.float32)
-            once, inside = (c == 1).astype(np.float32), (w.kinds > 0).astype(np.float32)
+        if self.masses is None:
+            self.masses = np.bincount(classes(counts, self.floor), weights=counts, minlength=CLASSES)
+        spelled, (parts, owner) = np.zeros(len(words)), pieces(words)
+        for n in range(0, len(parts), portion):
+            w = Words(parts[n : n + portion])
+            total = np.zeros(len(w.order))
             for m, bit, place, slots in w.bits():
                 one, x, seen = bit.astype(np.float32), np.empty((m, k), np.float32), []
-                for i, s in enumerate(slots):
-                    own = inside[:m] if ORDERS[i] is None else once[:m]  # without this occurrence
-                    a, b = np.maximum(self.counts[0][s] - own * (1 - one), 0), np.maximum(self.counts[1][s] - own * one, 0)
+                for i, s in enumerate(slots):  # without the word itself
+                    a, b = np.maximum(self.counts[0][s] - (1 - one), 0), np.maximum(self.counts[1][s] - one, 0)
                     x[:, i] = np.log((b + PRIOR) / (a + PRIOR))
                     seen.append(a + b > 0.5)
-                x[:, -1] *= inside[:m]
-                g = gate(seen, w.kinds[:m])
+                g = gate(seen)
                 y = self.mixed(x, g, place)
-                step = (c[:m] * (one - 1 / (1 + np.exp(-y))))[:, None] * x
-                mass = np.bincount(g, weights=c[:m], minlength=GATES)
+                total[:m] -= np.logaddexp(0, np.where(bit == 1, -y, y))
+                step = (one - 1 / (1 + np.exp(-y)))[:, None] * x
+                mass = np.bincount(g, minlength=GATES)
                 change = np.stack([np.bincount(g, weights=step[:, i], minlength=GATES) for i in range(k)], axis=1)
                 self.weights[:, place] += np.clip(rate * change / (1 + mass)[:, None], -0.05, 0.05)
                 at = np.round(y + BUCKETS // 2).clip(0, BUCKETS - 1).astype(np.int64)
                 at += BUCKETS * g
                 for v in (0, 1):
-                    self.map[v] += np.bincount(at[bit == v], weights=c[:m][bit == v], minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
-
-    def score(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: of its class, then of its bits."""
-        number, (words, counts, owner) = len(words), pieces(words, counts, self.floor)
-        out = np.zeros(len(words))
+                    self.map[v] += np.bincount(at[bit == v], minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
+            spelled += np.bincount(owner[n + w.order], weights=total, minlength=len(words))
+        kinds = classes(counts - 1, self.floor)
+        mine = COUNTED * np.maximum(counts - 1, 0) / np.maximum(self.masses[kinds], 1)
+        part = np.where(kinds > 0, mine / (mine + (1 - COUNTED) * np.exp(spelled) + 1e-300), 0)
+        self.told[0] += np.bincount(kinds, weights=counts * part, minlength=CLASSES)
+        self.told[1] += np.bincount(kinds, weights=counts, minlength=CLASSES)
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """Log probability of each spelling; each further piece of a word costs the class of a new one."""
+        parts, owner = pieces(words)
+        out = np.zeros(len(parts))
         # The map starts as the logistic curve and follows the frequencies seen, but stays inside (0, 1).
         centre = np.arange(BUCKETS) - BUCKETS // 2
         prior = 1 / (1 + np.exp(-centre.astype(float)))
         refined = np.log((self.map[1] + 20 * prior) / (self.map[0] + 20 * (1 - prior))).ravel()
-        for at in range(0, len(words), 1 << 16):
-            w = Words(words[at : at + (1 << 16)], classes(counts[at : at + (1 << 16)], self.floor))
-            inside = w.kinds > 0
-            total = np.log(self.flags)[w.kinds]
+        for at in range(0, len(parts), 1 << 16):
+            w = Words(parts[at : at + (1 << 16)])
+            total = np.zeros(len(w.order))
             for m, bit, place, slots in w.bits():
                 x = np.stack([self.logits[s] for s in slots], axis=1)
-                x[:, -1] *= inside[:m]
-                g = gate([x[:, i] != 0 for i in range(len(slots))], w.kinds[:m])
+                g = gate([x[:, i] != 0 for i in range(len(slots))])
                 y = self.mixed(x, g, place)
                 low = np.floor(y).clip(-16, 15).astype(np.int64)
                 part = y - low
@@ -207,7 +204,20 @@ class Mixer:
                 z = 0.5 * y + 0.5 * ((1 - part) * refined[at_low] + part * refined[at_low + 1])
                 total[:m] -= np.logaddexp(0, np.where(bit == 1, -z, z))
             out[at + w.order] = total
-        return np.bincount(owner, weights=out, minlength=number) / math.log(10)
+        more = np.bincount(owner, minlength=len(words)) - 1
+        return np.bincount(owner, weights=out, minlength=len(words)) + more * np.log(self.flags[0])
+
+    def score(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token: of its class, then by its count and its spelling."""
+        kinds, out = classes(counts, self.floor), self.spelled(words)
+        share = (self.told[0] + COUNTED * WEIGHT) / (self.told[1] + WEIGHT)
+        share[0] = 0  # new words have no counts
+        if self.masses is not None:
+            share[self.masses == 0] = 0
+            mine = share[kinds] * counts / np.maximum(self.masses[kinds], 1)
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(np.log(mine), np.log1p(-share[kinds]) + out)
+        return (np.log(self.flags)[kinds] + out) / math.log(10)
 
 
 def _words(docs: DataFrame, hold: int = 400_000) -> DataFrame:
@@ -241,24 +251,21 @@ def _columns(b) -> tuple[list[bytes], np.ndarray]:
 
 
 def add_words(counts: np.ndarray, words: list[bytes], c: np.ndarray, floor: float) -> None:
-    """Enter words in the slots; those of more than ``floor`` occurrences also as whole words."""
-    words, c, _ = pieces(words, c, floor)
+    """Enter each word once in the slots; its count ``c`` stays in the table of words."""
+    words, _ = pieces(words)
     for at in range(0, len(words), 1 << 15):
-        w = Words(words[at : at + (1 << 15)], classes(c[at : at + (1 << 15)], floor))
-        n = c[at : at + (1 << 15)][w.order].astype(np.float32)
+        w = Words(words[at : at + (1 << 15)])
         for m, bit, _, slots in w.bits():
             for v in (0, 1):
                 pick = np.flatnonzero(bit == v)
-                for s in slots[:-1]:
+                for s in slots:
                     np.add.at(counts[v], s[pick], np.float32(1))
-                pick = pick[n[pick] > floor]
-                np.add.at(counts[v], slots[-1][pick], n[pick])
 
 
-def _count_slots(batches, floor: float):
+def _count_slots(batches):
     counts = np.zeros((2, SLOTS), np.float32)
     for b in batches:
-        add_words(counts, *_columns(b), floor)
+        add_words(counts, *_columns(b), 0.0)
     for v in (0, 1):
         for at in range(0, SLOTS, 1 << BLOCK_BITS):
             part = counts[v, at : at + (1 << BLOCK_BITS)]
@@ -276,8 +283,8 @@ def _sum_block(key, rows):
 def _sum_learned(rows):
     n = rows.column("n").to_numpy()
     weights = sum(k * np.frombuffer(w, np.float32).astype(np.float64) for k, w in zip(n, rows.column("weights").to_pylist()))
-    table = sum(np.frombuffer(m, np.float64) for m in rows.column("map").to_pylist())
-    return pa.table({"n": pa.array([float(n.sum())]), "weights": pa.array([weights.tobytes()], pa.binary()), "map": pa.array([table.tobytes()], pa.binary())})
+    table, told = (sum(np.frombuffer(m, np.float64) for m in rows.column(c).to_pylist()) for c in ("map", "told"))
+    return pa.table({"n": pa.array([float(n.sum())]), "weights": pa.array([weights.tobytes()], pa.binary()), "map": pa.array([table.tobytes()], pa.binary()), "told": pa.array([told.tobytes()], pa.binary())})
 
 
 _ready: dict[str, Mixer] = {}
@@ -287,10 +294,10 @@ def _mixer(shared) -> Mixer:
     key, data = shared
     if key not in _ready:
         _ready.clear()
-        counts, floor, flags, learned = pickle.loads(data.value)
-        m = _ready[key] = Mixer(counts, floor, flags)
+        counts, flags, masses, learned = pickle.loads(data.value)
+        m = _ready[key] = Mixer(counts, 0.0, flags, masses)
         if learned is not None:
-            m.weights, m.map = learned
+            m.weights, m.map, m.told = learned
     return _ready[key]
 
 
@@ -302,36 +309,36 @@ def fit(vocabulary: DataFrame, spark):
     known = vocabulary.filter("c > 0").select("word", "c").repartition(parts, "word").sortWithinPartitions(F.xxhash64("word"), "word")
     share = lambda *x: (uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(x)))
     counts = np.zeros((2, SLOTS), np.float32)
-    # The count of the first word past the FREQUENT commonest: at most so many words have more.
-    past = known.select("c").orderBy(F.desc("c")).limit(FREQUENT + 1).agg(F.min("c"), F.count("*")).first()
-    floor = max(1.0, float(past[0]) if past[1] > FREQUENT else 1.0)
-    kind = F.when(F.col("c") <= floor, 0).otherwise(1 + sum((F.col("c") >= x).cast("int") for x in LEVELS))
-    flags = np.ones(CLASSES)
-    for k, mass in known.groupBy(kind.alias("k")).agg(F.sum("c")).collect():  # a row a class
-        flags[k] += mass
+    # A class's occurrences, and its probability: that of words without one of their occurrences.
+    kind = lambda c: F.when(c <= 0, 0).otherwise(1 + sum((c >= x).cast("int") for x in LEVELS))
+    flags, masses = np.ones(CLASSES), np.zeros(CLASSES)
+    for k, less, mass in known.groupBy(kind(F.col("c")).alias("k"), kind(F.col("c") - 1).alias("less")).agg(F.sum("c")).collect():  # a row or two a class
+        masses[k] += mass
+        flags[less] += mass
     flags /= flags.sum()
-    blocks = known.mapInArrow(lambda it: _count_slots(it, floor), "v int, at long, part binary").groupBy("v", "at").applyInArrow(_sum_block, "v int, at long, part binary")
+    blocks = known.mapInArrow(lambda it: _count_slots(it), "v int, at long, part binary").groupBy("v", "at").applyInArrow(_sum_block, "v int, at long, part binary")
     for r in blocks.collect():  # SLOTS numbers of either kind
         counts[r["v"], r["at"] : r["at"] + (1 << BLOCK_BITS)] = np.frombuffer(r["part"], np.float32)
-    first = share(counts, floor, flags, None)
+    first = share(counts, flags, masses, None)
 
     def run(batches):
-        m = Mixer(_mixer(first).counts, floor, flags)
+        m = Mixer(_mixer(first).counts, 0.0, flags, masses)
         seen = 0.0
         for b in batches:
             words, c = _columns(b)
             m.learn(words, c)
             seen += len(words)
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.map.tobytes()], pa.binary())], names=["n", "weights", "map"])
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.map.tobytes()], pa.binary()), pa.array([m.told.tobytes()], pa.binary())], names=["n", "weights", "map", "told"])
 
     start = Mixer(np.zeros((2, 1), np.float32))
-    weights, table, n = np.zeros_like(start.weights, np.float64), np.zeros_like(start.map), 0.0
-    learned = known.mapInArrow(run, "n double, weights binary, map binary").groupBy(F.pmod(F.xxhash64("n", "map"), F.lit(16)).alias("g"))
-    for r in learned.applyInArrow(_sum_learned, "n double, weights binary, map binary").collect():  # 16 rows
+    weights, table, told, n = np.zeros_like(start.weights, np.float64), np.zeros_like(start.map), np.zeros_like(start.told), 0.0
+    learned = known.mapInArrow(run, "n double, weights binary, map binary, told binary").groupBy(F.pmod(F.xxhash64("n", "map"), F.lit(16)).alias("g"))
+    for r in learned.applyInArrow(_sum_learned, "n double, weights binary, map binary, told binary").collect():  # 16 rows
         weights += np.frombuffer(r["weights"], np.float64).reshape(weights.shape)
         table += np.frombuffer(r["map"], np.float64).reshape(table.shape)
+        told += np.frombuffer(r["told"], np.float64).reshape(told.shape)
         n += r["n"]
-    return share(counts, floor, flags, ((weights / n).astype(np.float32) if n else start.weights, table))
+    return share(counts, flags, masses, ((weights / n).astype(np.float32) if n else start.weights, table, told))
 
 
 def _scored(vocabulary: DataFrame, shared) -> DataFrame:

@@ -192,6 +192,16 @@ def test_lm_learns_from_every_word(spark, monkeypatch):
     assert table.sum() == sum(8 * (len(w) + 1) for w in words)
 
 
+def test_lm_counts_of_all_words(spark, monkeypatch):
+    """Rare and long repeated words are scored by their counts, however many words are commoner."""
+    monkeypatch.setattr(lmscore, "FREQUENT", 8)
+    words = [(b"w%d" % k, 50 + k) for k in range(300)] + [(b"rare", 3), (b"twice", 2), (b"long" * 20, 30)]
+    m = lmscore._mixer(lmscore.fit(spark.createDataFrame([(w, c, 0) for w, c in words], "word binary, c long, rest long"), spark))
+    got = m.score([w for w, _ in words], np.array([float(c) for _, c in words]))
+    want = np.log10([c / sum(c for _, c in words) for _, c in words])
+    assert np.abs(got - want)[:300].max() < 0.3 and np.abs(got - want)[300:].max() < 1.5
+
+
 def test_language_held_out(spark):
     out = run(spark, "op3_language").merge(DOCS, on="doc_id")
     h = out[out["held_out"] & out["lang"].notna()]
