@@ -1,400 +1,463 @@
-"""Language-model scores by online logistic context mixing.
-
-A token is a word, or the end of a text. Its class comes first: whether it is new or how
-frequent in training. Then its probability in the class is a mixture of two: the share of its
-count among the words of the class, and its spelling, the word's bytes and a line feed, the
-end being the line feed alone. Each bit of a spelling is predicted by several tables of bit
-counts, one for each hashed context: the last 0, 1, 2, 3 and 4 bytes of the word. The
-predictions' logits are mixed with weights from a set chosen (gated) by the longest
-context that has been seen, and the mixed logit is refined by an adaptive map from logits
-and gate to observed frequencies. A text's score is the sum over its tokens, so a
-word is scored once however often it occurs.
-
-All training words keep their counts, which are looked up in the table of distinct words;
-the tables of contexts hold each word once, which predicts unseen words better. The words' table
-grows with the input; each task adds its words to context tables of a fixed number of slots,
-and the tables are summed in blocks. Mixing weights are then learned online, each word being
-spelled from counts without itself; a class's share of spellings and its own probability come
-from words without one of their occurrences. Tasks learn from equal weights, each from all of its
-words, and their results are averaged.
-
-Frequent words (``FREQUENT`` at most) are broadcast with their scores, so no word is a hot
-join key. Null texts count as empty: they hold the end alone. With no training texts counts
-are 0, base probabilities uniform over the one end token, and unseen bits even.
+"""Language-model scoring by online logistic context mixing.
+
+A text is coded as bytes: its lower-cased words, a space between two, a line feed at the end,
+which is the end token. A byte is a path of binary decisions through a Huffman tree of its
+own for each byte before it, so frequent bytes take few decisions. Each decision is predicted
+in five contexts of the text so far: the last one, three and four bytes, the word so far, and
+the word so far with the word before it. A context is hashed with the node of the tree to a slot
+that holds how often either way was taken in all training texts. The slots' logits are
+mixed with weights, of which a set is chosen (gated) by how sure the words' contexts are, and the
+mixture is averaged with an adaptive map from mixed logits to what was found there. Weights and map
+learn online: every ``STEP`` decisions of a text they move by what these were, so they are the
+text's own. They begin anew, from fixed values, every ``WINDOW`` decisions, so that
+many windows are mixed side by side. A text's score is the sum over its decisions, and
+10 ** score a probability: those of all texts sum to 1 at most.
+
+Counting: integer sums over all whole training texts, so neither the split of the input nor the
+number of cores changes a score. Tables have as many slots as the training bytes ask for, up
+to ``MOST_BITS``, where contexts begin to share slots; words and their counts, which the
+base score needs, are a distributed table that grows with the corpus, by a 64-bit hash of the word.
+
+Frequent words (``FREQUENT`` at most) are broadcast with their counts, so no word is a hot
+join key; all others are joined. Null texts count as empty: they hold the end alone. Repeated rows
+get a row each; extra columns are ignored; an empty table gives an empty one; very long texts
+are coded in pieces of about ``PIECE`` bytes, cut between words, with their contexts unbroken. With no training
+texts counts are 0, base probabilities uniform over the one end token, and all decisions even.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 import uuid
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm import store
-
-END = b"\n"
-ORDERS = (0, 1, 2, 3, 4)
-SLOT_BITS = (16, 18, 19, 20, 20)
-BLOCK_BITS = 16
-OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS]))).astype(np.int64)
-SLOTS = int(OFFSETS[-1])
-FREQUENT = 1 << 16
-PRIOR, RATE = 0.05, 0.02
-BUCKETS = 33
+from fieldspark.llm import shingles, store
+
+END, GAP = 10, 32
+CONTEXTS = 5
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 21, 16
+NODES = PAD = 256 * 256
+PIECE = 1 << 20
+SLICE = 2 << 20
+FREQUENT = 1 << 18
+STEP, WINDOW = 64, 1 << 14
+#: Logits are stored in steps of 1 / SCALE.
+SCALE, PRIOR = 12.0, 0.1
+GATES, BUCKETS = 4, 29
+RATE, MAP_WEIGHT = 0.015, 24.0
 _U = np.uint64
-_M = _U(0x9E3779B97F4A7C15)
+_ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+NODE_HASH = np.random.default_rng(20250303).integers(0, 1 << 32, NODES, dtype=np.uint32)
+
+
+#: Fixed weights to begin with, a row for each gate: whether the word so far is sure of the decision (its logit above 1
+#: or below -1), plus 2 if the pair of words is. Columns: one byte, three bytes, four bytes, word, pair of words.
+FIRST_WEIGHTS = np.array([(-0.1, 0.2, 0.55, 0.25, 0.35), (0, 0.15, 0.55, 0.3, 0.3), (-0.1, 0.15, 0.6, 0.3, 0.4), (0, 0.15, 0.55, 0.35, 0.35)], np.float32)
 
 
 def held_out():
     return store.remainder("doc_id", 5) == 1
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
-class Words:
-    """Distinct words laid out by byte position: position k holds the words longer than k bytes."""
-
-    def __init__(self, words: list[bytes]):
-        order = self.order = np.argsort([-len(w) for w in words], kind="stable")
-        data = np.frombuffer(b"".join([words[i] + END for i in order]), np.uint8)
-        sizes = np.array([len(words[i]) + 1 for i in order], np.int64)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
-        self.columns = []
-        for k in range(int(sizes[0]) if len(sizes) else 0):
-            n = int(np.searchsorted(-sizes, -k, side="left"))
-            self.columns.append(data[first[:n] + k])
-
-    def bits(self):
-        """For each bit: how many words have it, its value, its place, and its slot in every table."""
-        recent: list[np.ndarray] = []
-        for k, column in enumerate(self.columns):
-            m = len(column)
-            recent = [r[:m] for r in recent]
-            contexts = []
-            for order in ORDERS:
-                h = np.full(m, order, np.uint64)
-                for r in recent[max(0, len(recent) - order) :]:
-                    h = (h + r.astype(np.uint64) + _U(1)) * _M
-                    h ^= h >> _U(29)
-                contexts.append(h * _M)
-            node = np.ones(m, np.uint64)
-            for place in range(8):
-                bit = (column >> (7 - place)) & 1
-                slots = []
-                for i, h in enumerate(contexts):
-                    x = (h ^ node) * _U(0xD6E8FEB86659FD93)
-                    x ^= x >> _U(32)
-                    x *= _U(0xD6E8FEB86659FD93)
-                    slots.append((x >> _U(64 - SLOT_BITS[i])).astype(np.int64) + OFFSETS[i])
-                yield m, bit, min(k, 3) * 8 + place, slots
-                node = (node << _U(1)) | bit.astype(np.uint64)
-            recent.append(column)
-            if len(recent) > 5:
-                recent.pop(0)
-
-
-PLACES = 32
-#: A word's class: 0 if it is new, then by its count. Gates: by what has been seen (nothing, a short context, four bytes).
-LEVELS = (4, 16, 128, 1024)
-CLASSES = 2 + len(LEVELS)
-GATES = 3
-#: Before learning, this share of a class's probability goes by counts, with the weight of so many occurrences.
-COUNTED, WEIGHT = 0.9, 20
-
-
-#: Longer words are spelled in pieces of so many bytes.
-LONGEST = 40
-
-
-def pieces(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words cut into pieces, and the number of the word each belongs to."""
-    if all(len(w) <= LONGEST for w in words):
-        return words, np.arange(len(words))
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, max(1, len(w)), LONGEST):
-            parts.append(w[at : at + LONGEST])
-            owner.append(i)
-    return parts, np.array(owner)
-
-
-def classes(counts: np.ndarray, floor: float) -> np.ndarray:
-    return np.where(counts > floor, 1 + np.digitize(counts, LEVELS), 0)
-
-
-def gate(seen: list[np.ndarray]) -> np.ndarray:
-    return np.where(seen[4], 2, np.where(seen[1], 1, 0))
-
-
-class Mixer:
-    """Counts of all slots, gated weights and the refining map; the classes' probabilities
-    (``flags``), occurrences (``masses``) and shares by counts (``told``: of what)."""
-
-    def __init__(self, counts: np.ndarray, floor: float = 0.0, flags=(1 / CLASSES,) * CLASSES, masses=None):
-        self.counts = counts  # (2, SLOTS): zeros and ones
-        self.floor, self.flags, self.masses = floor, np.asarray(flags), masses
-        k = len(ORDERS)
-        self.weights = np.zeros((GATES, PLACES, k), np.float32)
-        self.weights[0, :, 0] = self.weights[1, :, 2] = self.weights[2, :, 4] = 0.7
-        self.map = np.zeros((2, GATES, BUCKETS))
-        self.told = np.zeros((2, CLASSES))
-        self.logits = (np.log(counts[1] + np.float32(PRIOR)) - np.log(counts[0] + np.float32(PRIOR))).astype(np.float32)
-
-    def mixed(self, x: np.ndarray, g: np.ndarray, place: int) -> np.ndarray:
-        return np.clip(np.einsum("nk,nk->n", x, self.weights[g, place]), -16, 16)
-
-    def learn(self, words: list[bytes], counts: np.ndarray, rate: float = RATE, portion: int = 4096) -> None:
-        """One online pass: a portion's words are predicted, then change the weights they used."""
-        k = len(ORDERS)
-        if self.masses is None:
-            self.masses = np.bincount(classes(counts, self.floor), weights=counts, minlength=CLASSES)
-        spelled, (parts, owner) = np.zeros(len(words)), pieces(words)
-        for n in range(0, len(parts), portion):
-            w = Words(parts[n : n + portion])
-            total = np.zeros(len(w.order))
-            for m, bit, place, slots in w.bits():
-                one, x, seen = bit.astype(np.float32), np.empty((m, k), np.float32), []
-                for i, s in enumerate(slots):  # without the word itself
-                    a, b = np.maximum(self.counts[0][s] - (1 - one), 0), np.maximum(self.counts[1][s] - one, 0)
-                    x[:, i] = np.log((b + PRIOR) / (a + PRIOR))
-                    seen.append(a + b > 0.5)
-                g = gate(seen)
-                y = self.mixed(x, g, place)
-                total[:m] -= np.logaddexp(0, np.where(bit == 1, -y, y))
-                step = (one - 1 / (1 + np.exp(-y)))[:, None] * x
-                mass = np.bincount(g, minlength=GATES)
-                change = np.stack([np.bincount(g, weights=step[:, i], minlength=GATES) for i in range(k)], axis=1)
-                self.weights[:, place] += np.clip(rate * change / (1 + mass)[:, None], -0.05, 0.05)
-                at = np.round(y + BUCKETS // 2).clip(0, BUCKETS - 1).astype(np.int64)
-                at += BUCKETS * g
-                for v in (0, 1):
-                    self.map[v] += np.bincount(at[bit == v], minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
-            spelled += np.bincount(owner[n + w.order], weights=total, minlength=len(words))
-        kinds = classes(counts - 1, self.floor)
-        mine = COUNTED * np.maximum(counts - 1, 0) / np.maximum(self.masses[kinds], 1)
-        part = np.where(kinds > 0, mine / (mine + (1 - COUNTED) * np.exp(spelled) + 1e-300), 0)
-        self.told[0] += np.bincount(kinds, weights=counts * part, minlength=CLASSES)
-        self.told[1] += np.bincount(kinds, weights=counts, minlength=CLASSES)
-
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each spelling; each further piece of a word costs the class of a new one."""
-        parts, owner = pieces(words)
-        out = np.zeros(len(parts))
-        # The map starts as the logistic curve and follows the frequencies seen, but stays inside (0, 1).
-        centre = np.arange(BUCKETS) - BUCKETS // 2
-        prior = 1 / (1 + np.exp(-centre.astype(float)))
-        refined = np.log((self.map[1] + 20 * prior) / (self.map[0] + 20 * (1 - prior))).ravel()
-        for at in range(0, len(parts), 1 << 16):
-            w = Words(parts[at : at + (1 << 16)])
-            total = np.zeros(len(w.order))
-            for m, bit, place, slots in w.bits():
-                x = np.stack([self.logits[s] for s in slots], axis=1)
-                g = gate([x[:, i] != 0 for i in range(len(slots))])
-                y = self.mixed(x, g, place)
-                low = np.floor(y).clip(-16, 15).astype(np.int64)
-                part = y - low
-                at_low = BUCKETS * g + low + BUCKETS // 2
-                z = 0.5 * y + 0.5 * ((1 - part) * refined[at_low] + part * refined[at_low + 1])
-                total[:m] -= np.logaddexp(0, np.where(bit == 1, -z, z))
-            out[at + w.order] = total
-        more = np.bincount(owner, minlength=len(words)) - 1
-        return np.bincount(owner, weights=out, minlength=len(words)) + more * np.log(self.flags[0])
-
-    def score(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token: of its class, then by its count and its spelling."""
-        kinds, out = classes(counts, self.floor), self.spelled(words)
-        share = (self.told[0] + COUNTED * WEIGHT) / (self.told[1] + WEIGHT)
-        share[0] = 0  # new words have no counts
-        if self.masses is not None:
-            share[self.masses == 0] = 0
-            mine = share[kinds] * counts / np.maximum(self.masses[kinds], 1)
-            with np.errstate(divide="ignore"):
-                out = np.logaddexp(np.log(mine), np.log1p(-share[kinds]) + out)
-        return (np.log(self.flags)[kinds] + out) / math.log(10)
-
-
-def _words(docs: DataFrame, hold: int = 400_000) -> DataFrame:
-    """Partial counts of words in training texts and elsewhere; the end is the word ''."""
+def stream(text: bytes | None) -> bytes:
+    """What is coded of a text."""
+    return b" ".join((text or b"").lower().split()) + b"\n"
+
+
+def pieces(s: bytes, most: int = PIECE) -> list[tuple[bytes, int]]:
+    """Runs of a stream to be coded, cut between words; each comes after the word before it and four bytes at least,
+    and with the number of bytes that are context alone."""
+    if len(s) <= most:
+        return [(s, 0)]
+    out, at = [], 0
+    while at < len(s):
+        end = len(s)
+        if end - at > most:
+            cut = s.rfind(b" ", at, at + most)
+            cut = cut if cut > at else s.find(b" ", at + most)
+            end = cut + 1 if cut >= 0 else end
+        back = at
+        while back and at - back < 5 or back and s.count(b" ", back, at) < 2:
+            back = s.rfind(b" ", 0, back - 1) + 1
+        out.append((s[back:end], at - back))
+        at = end
+    return out
+
+
+# --- the tree of decisions ---------------------------------------------------------------------
+
+
+class Code:
+    """A Huffman tree for each byte before. Byte b after a takes the decisions first[a, b] : first[a, b] + length[a, b]
+    of ``node`` and ``bit``."""
+
+    def __init__(self, pairs: np.ndarray):
+        single = np.minimum(pairs.sum(axis=0), 255)
+        self.first, self.length = np.zeros(NODES, np.int32), np.zeros(NODES, np.int32)
+        node, bit = [], []
+        for a in range(256):
+            heap = [(int(w), b) for b, w in enumerate(256 * pairs[a] + single + 1)]
+            heapq.heapify(heap)
+            up = np.zeros(511, np.int32).tolist()  # of each entry: its node, and whether it is the right side
+            side = [0] * 511
+            for k in range(255):
+                (w, x), (v, y) = heapq.heappop(heap), heapq.heappop(heap)
+                up[x] = up[y] = 256 + k
+                side[y] = 1
+                heapq.heappush(heap, (w + v, 256 + k))
+            for b in range(256):
+                x, path = b, []
+                while x != 510:
+                    path.append((up[x], side[x]))
+                    x = up[x]
+                self.first[a * 256 + b], self.length[a * 256 + b] = len(node), len(path)
+                for x, s in reversed(path):
+                    node.append(a * 256 + x - 256)
+                    bit.append(s)
+        # One more entry, PAD, for steps that end early: as many decisions of no meaning as are asked for.
+        self.first, self.length = np.append(self.first, np.int32(len(node))), np.append(self.length, np.int32(0))
+        self.node, self.bit = np.array(node + [0] * STEP, np.int32), np.array(bit + [2] * STEP, np.uint8)
+
+
+# --- contexts ----------------------------------------------------------------------------------
+
+
+def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each coded byte of the pieces, in order: the byte before it times 256 plus it, the number of its piece, and the
+    hashes of the contexts but the first."""
+    data = np.frombuffer(b"".join([p for p, _ in parts]), np.uint8)
+    sizes = np.array([len(p) for p, _ in parts])
+    starts = np.cumsum(sizes) - sizes
+    start = np.repeat(starts, sizes)
+    n = len(data)
+    at = np.arange(n)
+    back = []
+    for j in range(1, 5):
+        b = np.full(n, END, np.uint32)
+        b[j:] = data[:-j] if j < n else data[:0]
+        b[at - start < j] = END
+        back.append(b)
+    word = np.where((back[0] == GAP) | (at == start), at, 0)
+    word = np.maximum.accumulate(word)
+    power, inverse = shingles._powers_to(max(n, shingles.BLOCK))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.BYTES[data] * power[:n])))
+    so_far = (sums[:-1] - sums[word]) * inverse[word]
+    own = np.flatnonzero(word == at)  # where words begin
+    before = np.zeros(len(own), np.uint64)
+    later = np.flatnonzero(own > start[own])
+    last = word[own[later] - 1]
+    before[later] = ((sums[own[later] - 1] - sums[last]) * inverse[last]) | _U(1)
+    before = np.repeat(before, np.diff(np.append(own, n)))
+    three = back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)
+    four = three | back[3] << np.uint32(24)
+    keys = [three.astype(np.uint64) + _U(1 << 34), four.astype(np.uint64) + _U(1 << 35), so_far + _U(1 << 36), so_far + before * _ODD[1]]
+    coded = at - start >= np.repeat(np.array([k for _, k in parts]), sizes)
+    piece = np.repeat(np.arange(len(parts)), sizes)
+    pair = back[0].astype(np.int32) * 256 + data
+    hashes = [((k ^ k >> _U(31)) * odd >> _U(32)).astype(np.uint32) for k, odd in zip(keys, _ODD)]
+    if not coded.all():
+        pair, piece, hashes = pair[coded], piece[coded], [h[coded] for h in hashes]
+    return pair, piece, hashes
+
+
+def decisions(code: Code, pair: np.ndarray, n: np.ndarray, hashes: list[np.ndarray], bits: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """Of bytes that take n decisions each: which way each goes; and, context by context, its slots."""
+    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    path = np.arange(len(of), dtype=np.int32)
+    path += (code.first[pair] - (np.cumsum(n, dtype=np.int32) - n))[of]
+    node = code.node[path]
+
+    def slots():
+        yield node
+        mark, mask = NODE_HASH[node], np.uint32((1 << bits) - 1)
+        for h in hashes:
+            x = h[of]
+            x ^= mark
+            x &= mask
+            yield x
+
+    return code.bit[path], slots()
+
+
+def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, int]]]]:
+    """Pieces of many texts, about SLICE bytes at once, with the number of their text."""
+    who, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for p in pieces(stream(t)):
+            if size and size + len(p[0]) > SLICE:
+                yield who, parts
+                who, parts, size = [], [], 0
+            who.append(i)
+            parts.append(p)
+            size += len(p[0])
+    if parts:
+        yield who, parts
+
+
+# --- mixing ------------------------------------------------------------------------------------
+
+
+def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(SCALE * np.log((ones + PRIOR) / (zeros + PRIOR))), -127, 127).astype(np.int8)
+
+
+class Model:
+    """Tables of logits, one for each context, and the code."""
+
+    def __init__(self, code: Code, bits: int, tables: list[np.ndarray]):
+        self.code, self.bits, self.tables, self.key = code, bits, tables, uuid.uuid4().hex
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text, and the bytes coded."""
+        out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for who, parts in _batches(texts):
+            pair, piece, hashes = contexts(parts)
+            size_of = np.bincount(piece, minlength=len(parts))
+            n = self.code.length[pair]
+            count = np.bincount(piece, weights=n, minlength=len(parts)).astype(np.int64)
+            # Each piece is padded to whole steps; its windows follow one another.
+            steps = -(-count // STEP)
+            ends = np.cumsum(size_of)
+            n = np.insert(n, ends, (steps * STEP - count).astype(np.int32))
+            bit, slots = decisions(self.code, np.insert(pair, ends, PAD), n, [np.insert(h, ends, np.uint32(0)) for h in hashes], self.bits)
+            x = np.empty((CONTEXTS, len(bit)), np.int8)
+            for k, s in enumerate(slots):
+                np.take(self.tables[k], s, out=x[k], mode="clip")
+            begin, per = np.cumsum(steps) - steps, WINDOW // STEP
+            windows = -(-steps // per)
+            owner = np.repeat(np.arange(len(parts)), windows)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            first, last = begin[owner] + nth * per, np.minimum((begin + steps)[owner], begin[owner] + (nth + 1) * per)
+            sums = mixed(x.reshape(CONTEXTS, -1, STEP), bit.reshape(-1, STEP), first, last - first)
+            np.add.at(out, who, np.bincount(owner, weights=sums, minlength=len(parts)))
+            np.add.at(size, who, size_of)
+        return out / math.log(10), size
+
+
+def _first_map() -> np.ndarray:
+    return MAP_WEIGHT / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2).astype(np.float64)))
+
+
+def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Log probability of each window of decisions, all windows side by side, a step of each at a time."""
+    order = np.argsort(-steps, kind="stable")
+    first, steps, n = first[order], steps[order], len(order)
+    weights = np.repeat(FIRST_WEIGHTS[None], n, axis=0)
+    rows = (np.arange(n, dtype=np.int32) * BUCKETS + BUCKETS // 2)[:, None]
+    ones, every = np.tile(_first_map(), n), np.full(n * BUCKETS, MAP_WEIGHT)
+    total = np.zeros(n)
+    sure = np.int8(SCALE)
+    gates = np.arange(GATES, dtype=np.int8)[:, None]
+    for s in range(int(steps[0]) if n else 0):
+        m = int(np.searchsorted(-steps, -s, side="left"))
+        at = first[:m] + s
+        v, bit = x[:, at].transpose(1, 0, 2), went[at]  # window, context, decision
+        word, pair = ((v[:, k] > sure) | (v[:, k] < -sure) for k in (3, 4))
+        logit = v.astype(np.float32)
+        logit *= np.float32(1 / SCALE)
+        of = np.matmul(weights[:m], logit)
+        y = np.where(pair, np.where(word, of[:, 3], of[:, 2]), np.where(word, of[:, 1], of[:, 0]))
+        np.clip(y, -14, 14, out=y)
+        p = np.exp(-y)
+        p += 1
+        np.reciprocal(p, out=p)
+        near = np.rint(y).astype(np.int32)
+        near += rows[:m]
+        q = (ones / every)[near]
+        real, up = bit < 2, bit == 1
+        both = 0.5 * (p + q)
+        total[:m] += np.log(np.where(up, both, np.where(real, 1 - both, 1))).sum(axis=1)
+        miss = np.where(real, up - p, np.float32(0))
+        gate = word + 2 * pair.astype(np.int8)
+        weights[:m] += np.float32(RATE) * np.matmul((gate[:, None] == gates) * miss[:, None], logit.transpose(0, 2, 1))
+        width = m * BUCKETS
+        every[:width] += np.bincount(near[real], minlength=width)
+        ones[:width] += np.bincount(near[up], minlength=width)
+    out = np.zeros(n)
+    out[order] = total
+    return out
+
+
+# --- counting ----------------------------------------------------------------------------------
+
+
+def _pairs(batches):
+    """How often each byte follows each in training texts, and how many bytes there are."""
+    found = np.zeros(NODES, np.int64)
+    for b in batches:
+        for start, end in store.slices(b.column(0)):
+            data = np.frombuffer(b"\n" + b"".join([stream(t) for t in b.column(0).slice(start, end - start).to_pylist()]), np.uint8)
+            found += np.bincount(data[:-1].astype(np.int32) * 256 + data[1:], minlength=NODES)
+    yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["found"])
 
-    def run(batches):
-        train, rest = Counter(), Counter()
 
-        def flush():
-            words = list(train.keys() | rest.keys())
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64()), pa.array([rest[w] for w in words], pa.int64())], names=["word", "train", "rest"])
-            train.clear()
-            rest.clear()
-            return out
+def _sum_pairs(rows):
+    return pa.table({"found": pa.array([sum(np.frombuffer(x, np.int64) for x in rows.column("found").to_pylist()).tobytes()], pa.binary())})
 
-        for b in batches:
-            for held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                into = rest if held else train
-                into.update(tokens(text))
-                into[b""] += 1
-                if len(train) + len(rest) > hold:
-                    yield flush()
-        yield flush()
-
-    parts = docs.select(held_out().alias("held"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, train long, rest long")
-    return parts.groupBy("word").agg(F.sum("train").alias("c"), F.sum("rest").alias("rest"))
 
+def _count(batches, shared):
+    """Blocks of a task's table of counts, compressed: (context, block, both counts of each slot)."""
+    code, bits = store.held(shared[0], lambda: pickle.loads(shared[1].value))
+    counts = [np.zeros(2 * (NODES if k == 0 else 1 << bits), np.int32) for k in range(CONTEXTS)]
+    for b in batches:
+        for start, end in store.slices(b.column(0)):
+            for _, parts in _batches(b.column(0).slice(start, end - start).to_pylist()):
+                pair, _, hashes = contexts(parts)
+                bit, slots = decisions(code, pair, code.length[pair], hashes, bits)
+                for c, s in zip(counts, slots):
+                    s = s << 1
+                    s |= bit
+                    c += np.bincount(s, minlength=len(c)).astype(np.int32)
+    pack = zstandard.ZstdCompressor(level=1)
+    for k, c in enumerate(counts):
+        for at in range(0, len(c), 2 << BLOCK_BITS):
+            part = c[at : at + (2 << BLOCK_BITS)]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> 1], pa.int64()), pa.array([pack.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["k", "at", "part"])
 
-def _columns(b) -> tuple[list[bytes], np.ndarray]:
-    return b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
 
+def _sum_block(key, rows):
+    total = 0
+    for part in rows.column("part").to_pylist():
+        total = total + np.frombuffer(zstandard.decompress(part), np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0].astype(np.int64)
+    part = quantised(total[::2].astype(float), total[1::2].astype(float))
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
 
-def add_words(counts: np.ndarray, words: list[bytes], c: np.ndarray, floor: float) -> None:
-    """Enter each word once in the slots; its count ``c`` stays in the table of words."""
-    words, _ = pieces(words)
-    for at in range(0, len(words), 1 << 15):
-        w = Words(words[at : at + (1 << 15)])
-        for m, bit, _, slots in w.bits():
-            for v in (0, 1):
-                pick = np.flatnonzero(bit == v)
-                for s in slots:
-                    np.add.at(counts[v], s[pick], np.float32(1))
 
+def fit(docs: DataFrame) -> Model:
+    """The model of all training texts. What reaches the driver has a fixed number of slots at most."""
+    spark = docs.sparkSession
+    train = docs.filter(~held_out()).select(F.col("text").cast("binary").alias("text"))
+    found = train.mapInArrow(_pairs, "found binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInArrow(lambda t: _sum_pairs(t), "found binary")
+    pairs = sum((np.frombuffer(r["found"], np.int64) for r in found.collect()), np.zeros(NODES, np.int64))  # 16 rows
+    size = int(pairs.sum())
+    bits = min(MOST_BITS, max(LEAST_BITS, (size >> 3).bit_length()))
+    code = Code(pairs.reshape(256, 256))
+    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps((code, bits)))
+    tables = [np.zeros(NODES if k == 0 else 1 << bits, np.int8) for k in range(CONTEXTS)]
+    parts = train.mapInArrow(lambda it: _count(it, shared), "k int, at long, part binary")
+    for r in parts.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():  # a byte a slot
+        tables[r["k"]][r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.int8)
+    return Model(code, bits, tables)
 
-def _count_slots(batches):
-    counts = np.zeros((2, SLOTS), np.float32)
-    for b in batches:
-        add_words(counts, *_columns(b), 0.0)
-    for v in (0, 1):
-        for at in range(0, SLOTS, 1 << BLOCK_BITS):
-            part = counts[v, at : at + (1 << BLOCK_BITS)]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["v", "at", "part"])
 
+# --- words -------------------------------------------------------------------------------------
 
-def _sum_block(key, rows):
-    total = np.zeros(min(1 << BLOCK_BITS, SLOTS - key[1].as_py()), np.float64)
-    for part in rows.column("part").to_pylist():
-        total += np.frombuffer(part, np.float32)
-    return pa.table({"v": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-
-def _sum_learned(rows):
-    n = rows.column("n").to_numpy()
-    weights = sum(k * np.frombuffer(w, np.float32).astype(np.float64) for k, w in zip(n, rows.column("weights").to_pylist()))
-    table, told = (sum(np.frombuffer(m, np.float64) for m in rows.column(c).to_pylist()) for c in ("map", "told"))
-    return pa.table({"n": pa.array([float(n.sum())]), "weights": pa.array([weights.tobytes()], pa.binary()), "map": pa.array([table.tobytes()], pa.binary()), "told": pa.array([told.tobytes()], pa.binary())})
-
-
-_ready: dict[str, Mixer] = {}
-
-
-def _mixer(shared) -> Mixer:
-    key, data = shared
-    if key not in _ready:
-        _ready.clear()
-        counts, flags, masses, learned = pickle.loads(data.value)
-        m = _ready[key] = Mixer(counts, 0.0, flags, masses)
-        if learned is not None:
-            m.weights, m.map, m.told = learned
-    return _ready[key]
-
-
-def fit(vocabulary: DataFrame, spark):
-    """The shared model, from the table of words and training counts. What the driver and the
-    executors hold has a fixed number of slots."""
-    # Dealt by word over all cores and put in a fixed order, so that reruns learn the same.
-    parts = max(12, 2 * spark.sparkContext.defaultParallelism)
-    known = vocabulary.filter("c > 0").select("word", "c").repartition(parts, "word").sortWithinPartitions(F.xxhash64("word"), "word")
-    share = lambda *x: (uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(x)))
-    counts = np.zeros((2, SLOTS), np.float32)
-    # A class's occurrences, and its probability: that of words without one of their occurrences.
-    kind = lambda c: F.when(c <= 0, 0).otherwise(1 + sum((c >= x).cast("int") for x in LEVELS))
-    flags, masses = np.ones(CLASSES), np.zeros(CLASSES)
-    for k, less, mass in known.groupBy(kind(F.col("c")).alias("k"), kind(F.col("c") - 1).alias("less")).agg(F.sum("c")).collect():  # a row or two a class
-        masses[k] += mass
-        flags[less] += mass
-    flags /= flags.sum()
-    blocks = known.mapInArrow(lambda it: _count_slots(it), "v int, at long, part binary").groupBy("v", "at").applyInArrow(_sum_block, "v int, at long, part binary")
-    for r in blocks.collect():  # SLOTS numbers of either kind
-        counts[r["v"], r["at"] : r["at"] + (1 << BLOCK_BITS)] = np.frombuffer(r["part"], np.float32)
-    first = share(counts, flags, masses, None)
+#: The end token, beside the words' hashes.
+END_WORD = -1
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h, begins = shingles.words(texts)
+    h = h.view(np.int64)
+    return np.where(h == END_WORD, 0, h), begins
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (word, train, rest) with equal words summed."""
+    rows = np.concatenate(parts, axis=1)
+    order = np.argsort(rows[0], kind="stable")
+    rows = rows[:, order]
+    cut = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.zeros(0, np.int64)
+    return np.stack((rows[0, cut], *(np.add.reduceat(r, cut) if len(cut) else r[:0] for r in rows[1:])))
+
+
+def vocabulary(docs: DataFrame, hold: int = 1 << 20) -> DataFrame:
+    """word (its hash), c (its count in training texts) and rest (elsewhere) of all distinct words."""
 
     def run(batches):
-        m = Mixer(_mixer(first).counts, 0.0, flags, masses)
-        seen = 0.0
-        for b in batches:
-            words, c = _columns(b)
-            m.learn(words, c)
-            seen += len(words)
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.float64()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.map.tobytes()], pa.binary()), pa.array([m.told.tobytes()], pa.binary())], names=["n", "weights", "map", "told"])
-
-    start = Mixer(np.zeros((2, 1), np.float32))
-    weights, table, told, n = np.zeros_like(start.weights, np.float64), np.zeros_like(start.map), np.zeros_like(start.told), 0.0
-    learned = known.mapInArrow(run, "n double, weights binary, map binary, told binary").groupBy(F.pmod(F.xxhash64("n", "map"), F.lit(16)).alias("g"))
-    for r in learned.applyInArrow(_sum_learned, "n double, weights binary, map binary, told binary").collect():  # 16 rows
-        weights += np.frombuffer(r["weights"], np.float64).reshape(weights.shape)
-        table += np.frombuffer(r["map"], np.float64).reshape(table.shape)
-        told += np.frombuffer(r["told"], np.float64).reshape(told.shape)
-        n += r["n"]
-    return share(counts, flags, masses, ((weights / n).astype(np.float32) if n else start.weights, table, told))
-
-
-def _scored(vocabulary: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        m = _mixer(shared)
+        kept, size = [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.score(*_columns(b)), pa.float64())], names=["word", "c", "lp"])
+            for start, end in store.slices(b.column(1)):
+                part = b.slice(start, end - start)
+                texts = [t or b"" for t in part.column(1).to_pylist()]
+                h, begins = _hashes(texts)
+                held = np.repeat(np.array(part.column(0).to_pylist(), bool), np.diff(begins))
+                n = int(np.count_nonzero(part.column(0).to_pylist()))
+                now = [np.array([[END_WORD], [len(texts) - n], [n]])]
+                for side, zero in ((h[~held], 2), (h[held], 1)):
+                    w, c = np.unique(side, return_counts=True)
+                    now.append(np.insert(np.stack((w, c)), zero, 0, axis=0))
+                kept.append(_merged(now))
+                size += kept[-1].shape[1]
+                if size > hold:
+                    kept = [_merged(kept)]
+                    size = kept[0].shape[1]
+                    if size > hold // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], names=["word", "train", "rest"])
+                        kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(kept)], names=["word", "train", "rest"])
+
+    parts = docs.select(held_out().alias("held"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "word long, train long, rest long")
+    return parts.groupBy("word").agg(F.sum("train").alias("c"), F.sum("rest").alias("rest"))
+
 
-    return vocabulary.select("word", "c").mapInArrow(run, "word binary, c long, lp double")
+ROWS = "word long, row long, doc_id long, held_out boolean, m long, n long, k long, b double, s double, bytes long"
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
-    vocabulary = store.table(_words(docs), "words")
-    total, distinct = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    shared = fit(vocabulary, spark)
-    scored = store.table(_scored(vocabulary, shared), "scores")
-    top = vocabulary.filter("word <> x''").select("word", (F.col("c") + F.col("rest")).alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    rows = scored.join(F.broadcast(top.select("word")), "word").unionByName(scored.filter("word = x''")).toPandas()
+    words = store.table(vocabulary(docs), "words")
+    total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    model = fit(docs)
     bottom = math.log10(total + 0.5 * (distinct + 1))
-    base = lambda c: np.log10(c + 0.5) - bottom
-    frequent = {bytes(w): (int(c > 0), b, lp) for w, c, b, lp in zip(rows["word"], rows["c"], base(rows["c"].to_numpy(float)), rows["lp"])}
-    end = frequent.pop(b"", (0, float(base(0)), 0.0))
-    cast = spark.sparkContext.broadcast((frequent, end))  # FREQUENT words at most
+    top = words.filter(F.col("word") != END_WORD).select("word", "c", (F.col("c") + F.col("rest")).alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    few = top.select("word", "c").unionByName(words.filter(F.col("word") == END_WORD).select("word", "c")).toPandas().sort_values("word")
+    known = few["word"].to_numpy(np.int64), few["c"].to_numpy(np.int64)
+    cast = model.key, spark.sparkContext.broadcast(pickle.dumps((model, known)))  # FREQUENT words and the tables' slots at most
 
     def run(batches):
-        known, end = cast.value
+        model, (word, count) = store.held(cast[0], lambda: pickle.loads(cast[1].value))
+        base = np.log10(count + 0.5) - bottom
+        end = int(np.searchsorted(word, END_WORD))
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                out: list[tuple] = []
-                for row, doc, held, text in zip(*(c.to_pylist() for c in part.columns)):
-                    counts = Counter(tokens(text))
-                    n, k, base_sum, sum_ = 1, *end
-                    for w, m in counts.items():
-                        n += m
-                        got = known.get(w)
-                        if got is None:
-                            out.append((w, row, doc, held, m, None, None, None, None))
-                        else:
-                            k += m * got[0]
-                            base_sum += m * got[1]
-                            sum_ += m * got[2]
-                    out.append((b"\n%d" % row, row, doc, held, None, n, k, base_sum, sum_))  # no word: joins with nothing
-                cols = list(zip(*out)) if out else [()] * 9
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["word", "row", "doc_id", "held_out", "m", "n", "k", "b", "s"])
+            for start, stop in store.slices(b.column(3)):
+                part = b.slice(start, stop - start)
+                texts = [t or b"" for t in part.column(3).to_pylist()]
+                rows = part.num_rows
+                h, begins = _hashes(texts)
+                lengths = np.diff(begins)
+                # One entry for each text and distinct word of it.
+                doc = np.repeat(np.arange(rows), lengths)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+                m = np.diff(np.append(cut, len(h)))
+                h, doc = h[cut], doc[cut]
+                at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+                hit = word[at] == h
+                k = np.bincount(doc[hit], weights=(m * (count[at] > 0))[hit], minlength=rows) + float(count[end] > 0)
+                sums = np.bincount(doc[hit], weights=(m * base[at])[hit], minlength=rows) + base[end]
+                logs, size = model.score(texts)
+                rest, ids = ~hit, part.column(0).to_numpy()
+                none = lambda x, kind: pa.concat_arrays([pa.nulls(int(rest.sum()), kind), x])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(h[rest]), pa.nulls(rows, pa.int64())]), pa.array(np.concatenate((ids[doc[rest]], ids))), none(part.column(1), pa.int64()), none(part.column(2), pa.bool_()),
+                        pa.concat_arrays([pa.array(m[rest]), pa.nulls(rows, pa.int64())]), none(pa.array(lengths + 1), pa.int64()), none(pa.array(k.astype(np.int64)), pa.int64()),
+                        none(pa.array(sums), pa.float64()), none(pa.array(logs), pa.float64()), none(pa.array(size), pa.int64()),
+                    ],
+                    names=[x.split()[0] for x in ROWS.split(", ")],
+                )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    parts = rows.mapInArrow(run, "word binary, row long, doc_id long, held_out boolean, m long, n long, k long, b double, s double")
-    joined = parts.join(scored, "word", "left")
-    per = joined.groupBy("row").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("held_out", True).alias("held_out"), F.sum("n").alias("n_tokens"),
-        F.sum(F.coalesce("k", F.col("m") * (F.col("c") > 0).cast("long"))).alias("n_known"),
-        F.sum(F.coalesce("b", F.col("m") * (F.log10(F.col("c") + 0.5) - F.lit(bottom)))).alias("base_score"),
-        F.sum(F.coalesce("s", F.col("m") * F.col("lp"))).alias("score"),
+    parts = store.table(rows.mapInArrow(run, ROWS), "parts")
+    # The words that weren't broadcast meet their counts; the rows of documents need no shuffle for that.
+    rare = parts.filter("word is not null").select("word", "row", "m").join(words.select("word", "c"), "word")
+    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * (F.log10(F.col("c") + 0.5) - F.lit(bottom))).alias("add"))
+    own = parts.filter("word is null").drop("word", "m")
+    out = own.join(rare, "row", "left")
+    return out.select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("b") + F.coalesce("add", F.lit(0.0))).alias("base_score"), F.col("s").alias("score"), (-F.col("s") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
     )
-    return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
