@@ -3,12 +3,13 @@
 A word seen in training scores each language with the log of its frequency there. An unseen
 word falls back to its character 5-grams, then 4-grams and so on: the longest length of
 which any gram is known gives the mean log frequency of its known grams. A document's
-score is the softmax over languages of the sum of its words and a log prior.
+score is the softmax over languages of the sum of its words; all languages have the same prior.
 
 The model is fitted on a bounded, stratified sample of labelled rows: at most
 ``per_language`` documents for each language, first in the order of a hash. Prediction
 reads every whole text. Texts that are null or have no letter get ``und`` and score 0, as
-do all texts where nothing could be learned. Ties go to the first language in code point
+do all texts where nothing could be learned. A word is a run of Unicode letters with their
+combining marks. Very long texts are read to their end. Ties go to the first language in code point
 order. Repeated rows get equal results; extra columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,15 @@ LONGEST = 5
 PER_LANGUAGE, SALTS = 1536, 64
 #: A sample of so many rows or fewer is broadcast to pick its texts, so the texts aren't dealt out.
 BROADCAST_ROWS = 100_000
-WORDS = re.compile(r"[^\W\d_]+")
+#: In lower-cased text up to U+024F the letters are these; elsewhere Unicode's categories say.
+_LATIN = re.compile("[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_BEYOND = re.compile("[^\x00-\u024f]")
+_ANY = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (_ANY if _BEYOND.search(text) else _LATIN).findall(text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -64,7 +74,7 @@ class Model:
 class Scorer(dict):
     """Words to rows of a score table; unseen words are scored once and remembered up to a bound."""
 
-    def __init__(self, model: Model, remember: int = 400_000):
+    def __init__(self, model: Model, remember: int = 150_000):
         super().__init__({w: i for i, w in enumerate(model.words)})
         self.model, self.room = model, len(model.words) + remember
         self.table = np.zeros((self.room + 1, len(model.languages)))
@@ -90,7 +100,7 @@ class Scorer(dict):
         self.full = False
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORDS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if self.full:
@@ -126,7 +136,7 @@ def _count(batches):
         found: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             counts = found.setdefault(lang, Counter())
-            counts.update("w" + w for w in WORDS.findall(text.lower()))
+            counts.update("w" + w for w in words_of(text))
         for counts in found.values():
             for w, n in list(counts.items()):
                 for k in range(1, LONGEST + 1):
@@ -161,15 +171,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = 2) -> Mo
     return Model(languages, np.zeros(len(languages)), words, known)
 
 
-_ready: dict[str, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     key, data = shared
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Scorer(pickle.loads(data.value))
-    return _ready[key]
+    return store.held(key, lambda: Scorer(pickle.loads(data.value)))
 
 
 def _apply(docs: DataFrame, model: Model, columns: list[Column], ddl: str, kinds: list[tuple[str, pa.DataType]]) -> DataFrame:

@@ -6,10 +6,22 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list = []
+_held: list = []
+
+
+def held(key, make):
+    """What ``make`` gives for ``key``, kept in this process until another key is asked for: a worker that
+    serves one operator after another holds one model."""
+    if not _held or _held[0] != key:
+        _held.clear()
+        _held[:] = key, make()
+    return _held[1]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="fieldspark-")
         sc.setCheckpointDir(path)
         return sc._jsc.sc().getCheckpointDir().get()
@@ -49,6 +63,18 @@ def discard(keep: int = 0) -> None:
 atexit.register(discard)
 
 
+def slices(column, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about ``most`` bytes of text, of one row at least."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(column):
+        yield start, len(column)
+
+
 def remainder(column: str, modulus: int):
     """crc32 of a column as text modulo ``modulus``; a null counts as the empty text."""
     from pyspark.sql import functions as F
