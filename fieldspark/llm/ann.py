@@ -4,16 +4,20 @@ A neighbour graph over a bounded sample is cut into balanced parts; a small clas
 learns the parts from the vectors. Every row goes to the part of its highest probability;
 a query visits the most probable parts and all rows there are reranked by their exact
 inner products. How many parts it visits is measured: the fewest at which a bounded set of
-calibration queries, compared with all rows by brute force, reach the recall asked for.
+calibration queries, which the classifier hasn't seen, reach the recall asked for, compared
+with all rows by brute force. Queries that this leaves with fewer than k rows visit all parts.
 
-The sample (``SAMPLE`` rows) and the calibration queries (``CALIBRATION``) are the first in
-the order of a hash. Vectors that are null, zero, of another length than the first of the
+The number of parts grows with the rows, up to what the sample can tell apart (a part a 32
+of its rows). The calibration queries (``CALIBRATION``) and the sample (``SAMPLE`` rows) are the
+first in the order of a hash. Inner products that overflow are infinite and rank so; those that
+aren't numbers rank last. Vectors that are null, zero, of another length than the first of the
 sample, or hold null or non-finite components take no part. Ties go to the smaller vec_id;
 of repeated vec_ids each row counts; a row is no neighbour of its own vec_id.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -21,16 +25,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm import store
 
 SAMPLE, CALIBRATION, PARTS, GRAPH_K = 4096, 256, 16, 10
-RECALL, NEIGHBOURS, QUERY_EVERY = 0.96, 20, 20
+RECALL, NEIGHBOURS, QUERY_EVERY = 0.94, 20, 20
 ROWS_A_BLOCK = 4096
 
 
+def parts_for(rows: int, sample: int) -> int:
+    """As many parts as the square root of the rows / 8, a power of two, PARTS at least where the sample allows it."""
+    wanted = max(PARTS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(rows) / 8)))))
+    return max(1, min(wanted, sample // 32))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
 
@@ -128,14 +138,17 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best candidates of other ids: (query's place, vec_id, score)."""
     out: list[tuple] = []
+    with np.errstate(all="ignore"):  # how far a sum may be off in another order
+        norm = np.linalg.norm(q, axis=1) * np.max(np.linalg.norm(c, axis=1), initial=0.0)
     for at in range(0, len(q), 256):
-        rough = q[at : at + 256] @ c.T
-        rough[qid[at : at + 256, None] == cid[None, :]] = -np.inf
-        kk = min(k, rough.shape[1])
-        low = -np.partition(-rough, kk - 1, axis=1)[:, kk - 1]
-        slack = 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(low), low, 0)))
-        i, j = np.nonzero((rough >= (low - slack)[:, None]) & np.isfinite(rough))
-        s = exact(q[at + i], c[j])
+        with np.errstate(all="ignore"):  # products may overflow
+            rough = np.nan_to_num(q[at : at + 256] @ c.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            own = qid[at : at + 256, None] == cid[None, :]
+            rough[own] = -np.inf
+            kk = min(k, rough.shape[1])
+            low = -np.partition(-rough, kk - 1, axis=1)[:, kk - 1] - 1e-12 * norm[at : at + 256]
+            i, j = np.nonzero((rough >= np.where(np.isfinite(low), low, -np.inf)[:, None]) & ~own)
+            s = np.nan_to_num(exact(q[at + i], c[j]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         order = np.lexsort((cid[j], -s, i))
         i, j, s = i[order], j[order], s[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
@@ -144,19 +157,21 @@ def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
     return tuple(np.concatenate([o[n] for o in out]) for n in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit(rows: DataFrame, parts: int = PARTS, recall: float = RECALL, k: int = NEIGHBOURS) -> Index | None:
+def fit(rows: DataFrame, parts: int | None = None, recall: float = RECALL, k: int = NEIGHBOURS) -> Index | None:
     """Index of usable rows (vec_id, v); None if there are none."""
     spark = rows.sparkSession
     h = F.xxhash64(F.lit("ann"), F.col("vec_id"))
-    few = rows.orderBy(h, "vec_id").limit(SAMPLE).toPandas()
+    few = rows.orderBy(h, "vec_id").limit(CALIBRATION + SAMPLE).toPandas()
     if not len(few):
         return None
     width = len(few["v"].iloc[0])
     few = few[few["v"].map(len) == width]
-    x = _unit(np.array(few["v"].tolist(), float).reshape(len(few), width))
-    y = bisect(neighbour_graph(x), x, parts)
+    all_, ids = np.array(few["v"].tolist(), float).reshape(len(few), width), few["vec_id"].to_numpy()
+    apart = min(CALIBRATION, len(few) // 8)  # calibration queries, which are not fitted on
+    x = _unit(all_[apart:])
+    y = bisect(neighbour_graph(x), x, parts or parts_for(rows.count(), len(x)))
     index = Index(width, classify(x, y, int(y.max()) + 1))
-    q, qid = np.array(few["v"].tolist()[:CALIBRATION], float), few["vec_id"].to_numpy()[:CALIBRATION]
+    q, qid = all_[:apart], ids[:apart]
     shared = spark.sparkContext.broadcast((index, q, qid))  # of CALIBRATION rows
 
     def brute(batches):
@@ -175,7 +190,7 @@ def fit(rows: DataFrame, parts: int = PARTS, recall: float = RECALL, k: int = NE
     place = np.argsort(order, axis=1)[best["q"].to_numpy(), best["part"].to_numpy()] if len(best) else np.zeros(0)
     for m in range(1, order.shape[1] + 1):
         index.probes = m
-        if not len(place) or (place < m).mean() >= recall:
+        if len(place) and (place < m).mean() >= recall:
             break
     return index
 
@@ -183,29 +198,41 @@ def fit(rows: DataFrame, parts: int = PARTS, recall: float = RECALL, k: int = NE
 def search(rows: DataFrame, queries: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score. Rows lie in blocks of a part, of ROWS_A_BLOCK rows on average, so
     a part with many rows is spread; a query goes to every block of the parts it visits."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(index)
-
-    def place(probes):
-        def run(batches):
-            index = shared.value
-            for b in batches:
-                x = _matrix(b)
-                if len(x):
-                    m = min(probes or index.probes, index.weights.shape[1])
-                    top = np.argsort(-index.logits(x), axis=1, kind="stable")[:, :m]
-                    take = pa.array(np.repeat(np.arange(len(x)), m))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.ravel().astype(np.int32))], names=["vec_id", "v", "part"])
-
-        return run
-
-    schema = "vec_id long, v array<double>, part int"
     rows, queries = (t.filter(F.size("v") == index.width) for t in (rows, queries))
-    homes = store.table(rows.mapInArrow(place(1), schema), "homes")
-    blocks = homes.groupBy("part").agg(F.ceil(F.count("*") / F.lit(ROWS_A_BLOCK)).cast("int").alias("blocks"))  # a row a part
-    blocks = F.broadcast(blocks)
+    homes = store.table(_placed(rows, index, 1), "homes")
+    found = store.table(_best(homes, _placed(queries, index, index.probes), k), "found")
+    few = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    # A query of few candidates, which parts of uneven size may give, is searched again in all parts.
+    short = queries.join(few, F.col("vec_id") == F.col("query_id"), "left").filter(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v")
+    short = store.table(short, "short")
+    if index.probes < index.weights.shape[1] and short.limit(1).count():
+        again = _best(homes, _placed(short, index, index.weights.shape[1]), k)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+    return found
+
+
+def _placed(rows: DataFrame, index: Index, probes: int) -> DataFrame:
+    """vec_id, v, part: each row once for each of its ``probes`` most probable parts."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = shared.value
+        m = min(probes, index.weights.shape[1])
+        for b in batches:
+            x = _matrix(b)
+            if len(x):
+                top = np.argsort(-index.logits(x), axis=1, kind="stable")[:, :m]
+                take = pa.array(np.repeat(np.arange(len(x)), m))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.ravel().astype(np.int32))], names=["vec_id", "v", "part"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, part int")
+
+
+def _best(homes: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The k best of each query among the rows of the parts it was placed in."""
+    blocks = F.broadcast(homes.groupBy("part").agg(F.ceil(F.count("*") / F.lit(ROWS_A_BLOCK)).cast("int").alias("blocks")))  # a row a part
     left = homes.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    right = queries.mapInArrow(place(None), schema).join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = placed.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
@@ -215,10 +242,9 @@ def search(rows: DataFrame, queries: DataFrame, index: Index, k: int = NEIGHBOUR
         return pd.DataFrame({"query_id": qid[i], "vec_id": j, "score": s})
 
     found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
-    # A query has k rows of each block it visited: merged as a sorted array, cut to k.
-    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    out = top.select("query_id", F.posexplode("top").alias("rank", "hit"))
-    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+    # A query has k rows of each block it visited; the ranks are limited before and after the shuffle, in sorted runs.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def neighbours(rows: DataFrame, every: int = QUERY_EVERY, k: int = NEIGHBOURS) -> DataFrame:
