@@ -8,6 +8,8 @@ that neither dictionary has seen.
 Dictionaries and calibration are fitted on a bounded sample of labelled rows: at most
 ``2 * per_class`` of each label, first in the order of a hash, half of them for either. Fitting
 and scoring read whole texts.
+Repeated rows get equal scores; of the labels of a doc_id the least counts, of its texts the first in
+code point order; extra columns are ignored.
 Null and empty texts have sizes of 0 and get the calibration's value there. Where a label is
 missing altogether, the score is the share of good labels, or 0.5 without any.
 """
@@ -23,6 +25,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.llm import store
 from fieldspark.llm.langid import held_out
 
 CHUNK, LEVEL, DICTIONARY = 4096, 1, 64 << 10
@@ -71,14 +74,8 @@ def _prepared(raw: bytes):
     return d
 
 
-_ready: dict[str, tuple] = {}
-
-
 def _compressors(model: Model):
-    if model.key not in _ready:
-        _ready.clear()
-        _ready[model.key] = model.compressors()
-    return _ready[model.key]
+    return store.held(model.key, model.compressors)
 
 
 def measure(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
@@ -120,11 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """Learn from the labelled rows that aren't held out."""
     spark = docs.sparkSession
     order = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    marks = labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    marks = labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     few = marks.filter("quality = 0").orderBy(order, "doc_id").limit(2 * per_class).unionByName(marks.filter("quality = 1").orderBy(order, "doc_id").limit(2 * per_class))
     few = few.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")  # 4 * per_class ids at most
-    texts = rows.filter("half = 0").select("quality", "text").limit(4 * per_class).toPandas()
+    rows = rows.groupBy("doc_id", "quality", "half").agg(F.min("text").alias("text"))
+    texts = rows.filter("half = 0").select("quality", "text").toPandas()
     kinds = {q: sorted(texts.loc[texts["quality"] == q, "text"]) for q in (0, 1)}
     counts = {q: len(kinds[q]) for q in (0, 1)}
     total = sum(counts.values())
@@ -133,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     raw = {q: _train([t.encode() for t in kinds[q] if t]) for q in (0, 1)}
     model = Model(raw[1], raw[0], None, 0.5)
     shared = spark.sparkContext.broadcast(model)
-    half = measure(rows.filter("half = 1").select("quality", "text"), shared, ["quality"]).limit(8 * per_class).toPandas().sort_values(["quality", "n", "g", "b"])
+    half = measure(rows.filter("half = 1").select("quality", "text"), shared, ["quality"]).toPandas().sort_values(["quality", "n", "g", "b"])
     y = half["quality"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return Model(b"", b"", None, counts[1] / total)
@@ -147,7 +145,7 @@ def _train(samples: list[bytes]) -> bytes:
     try:
         return zstd.train_dictionary(DICTIONARY, parts, k=512, d=8, level=LEVEL).as_bytes()
     except zstd.ZstdError:  # too little text to train on: the text itself
-        return b"".join(parts)[-DICTIONARY:]
+        return b"".join(parts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
