@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.llm import store
+
 UNIT = 64
 BLOCKS_X, BLOCKS_Y, FPS = 64, 8, 25
 FRAME = BLOCKS_X * BLOCKS_Y
@@ -204,19 +206,22 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [digest(t) for t in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_DIGEST)[1:]))], schema=_DIGEST)
+            for start, end in store.slices(b.column(1)):
+                part = b.slice(start, end - start)
+                cols = list(zip(*[digest(t) for t in part.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_DIGEST)[1:]))], schema=_DIGEST)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DIGEST)
 
 
-def store(docs: DataFrame) -> DataFrame:
+def stored(docs: DataFrame) -> DataFrame:
     """doc_id and the AVI file of its text."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(pad(t)) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
+            for start, end in store.slices(b.column(1)):
+                part = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(pad(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, media binary")
 

@@ -8,7 +8,8 @@ reruns agree, and repeated rows of one doc_id share it.
 
 A null source is a source of its own, the last; null or empty texts have size 0; a null
 doc_id draws as the empty text. Empty tables give empty results. Extra columns are kept by
-``mix`` and ignored by ``plan``.
+``mix``, whatever their names, and ignored by ``plan``. Targets are found in one task over the
+table of sources, a row each.
 """
 
 from __future__ import annotations
@@ -82,9 +83,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     sizes = docs.select("source", size_of().alias("size"))
-    per = targets(sizes, weights, share, most).drop("source_size", "target").withColumnRenamed("rate", "_rate")
-    out = with_targets(docs, per).withColumn("_copies", copies(F.col("_rate"), seed))
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(cast(1 as bigint), _copies)"))).select(*docs.columns)
+    per = targets(sizes, weights, share, most).select("source", "rate")
+    rows = docs.select("source", "doc_id", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    out = with_targets(rows, per).withColumn("copies", copies(F.col("rate"), seed))
+    return out.filter("copies > 0").withColumn("copy", F.explode(F.expr("sequence(cast(1 as bigint), copies)"))).select("row.*")
 
 
 SQL = rf"""
