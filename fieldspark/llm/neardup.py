@@ -21,8 +21,9 @@
 A pair at the threshold shares no band with a probability of (1 - 0.85**5)**24, under 1e-6.
 
 Texts that are null or have no words have an empty set and stand alone. Repeated doc_ids
-keep a row each; the row's own text decides. A null doc_id stays null and never names a
-component unless all its members are null. Extra columns are ignored.
+keep a row each; the row's own text decides. A row with a null doc_id has links like any other,
+its doc_id stays null and never names a component, whose id is null if all its members' are.
+Very long texts are read to their end; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from fieldspark.llm import graph, shingles, store
 
 BANDS, ROWS, BITS = 24, 5, 512
 THRESHOLD = 85
-BLOCK = 1024
+BLOCK = 256
 FINE_BITS, FINE_SIZE = 2048, 1024
 LIKELIEST = 2
 _seed = np.random.default_rng(20250202)
@@ -139,23 +140,36 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
+SETS = "node long, set binary, level int, fine binary"
+
+
+def _described(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    levels = [int(level_of(len(h))) for h in sets]
+    fine = [fine_sketch(h, k) + fine_sketch(h, k + 1) for h, k in zip(sets, levels)]
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array(levels, pa.int32()), pa.array(fine, pa.binary())], names=["node", "set", "level", "fine"])
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, set (sorted hashes as bytes), its level, and its fine sketches at that level and the next,
     for ``wanted`` (doc_id, node), from the documents' texts."""
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            got, levels, fine = [], [], []
-            for i, h in zip(ids, shingles.sets(b.column(1).to_pylist())):
-                levels.append(int(level_of(len(h))))
-                got.append(h.tobytes() if _node(h) == i else None)
-                fine.append(fine_sketch(h, levels[-1]) + fine_sketch(h, levels[-1] + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), pa.array(levels, pa.int32()), pa.array(fine, pa.binary())], names=["node", "set", "level", "fine"])
+    def run(named: bool):
+        def out(batches):
+            for b in batches:
+                for start, end in store.slices(b.column(0)):
+                    part = b.slice(start, end - start)
+                    sets = list(shingles.sets(part.column(0).to_pylist()))
+                    nodes = [_node(h) for h in sets]
+                    keep = [i for i, n in enumerate(part.column(1).to_pylist()) if nodes[i] == n] if named else range(len(sets))
+                    yield _described([nodes[i] for i in keep], [sets[i] for i in keep])
+
+        return out
 
-    # The texts have to meet the wanted ids: compact rows first, the hash of a null id being no match.
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("node", "text")
-    return found.mapInArrow(run, "node long, set binary, level int, fine binary").filter("set is not null").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # Texts have to meet the wanted ids; a node all of whose ids are null meets its own set, made anew.
+    found = texts.join(wanted.filter("doc_id is not null"), "doc_id").select("text", "node").mapInArrow(run(True), SETS)
+    bare = texts.filter("doc_id is null").select("text", "doc_id").mapInArrow(run(False), SETS).join(wanted.filter("doc_id is null").select("node"), "node", "left_semi")
+    return found.unionByName(bare).dropDuplicates(["node"])
 
 
 def _linked(batches, percent: int):
@@ -263,7 +277,7 @@ def links(docs: DataFrame, percent: int = THRESHOLD) -> tuple[DataFrame, DataFra
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
     members = store.table(keys.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = store.table(_sets_of(docs, wanted.filter("doc_id is not null")), "sets")
+    sets = store.table(_sets_of(docs, wanted), "sets")
     most = most_flipped(percent)
     sketches = nodes.select("node", "sketch")
 
