@@ -124,7 +124,7 @@ def test_media(docs, none):
     assert out.count() == docs.count() and out.filter("payload_bytes % 64 <> 0 or payload_bytes = 0").count() == 0
     equal_texts_equal_rows(out, docs, ["payload_sha256", "media_sha256", "feature"])
     assert media.describe(none).count() == 0
-    clips = media.clips(media.store(docs))
+    clips = media.clips(media.stored(docs))
     assert clips.groupBy("doc_id").agg(F.min("start_s").alias("s")).filter("s <> 0").count() == 0
 
 
