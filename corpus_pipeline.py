@@ -4,7 +4,8 @@ language -> near_duplicates -> personal_data -> mixing -> tokens. Each stage wor
 the one before it kept, and its decisions take effect: documents of no recognised language
 go, one document of each group of near-duplicates stays, personal data is replaced by its
 kind, documents are repeated or left out towards the sources' targets, and what is left
-is encoded. All stages but the last return the columns of ``documents``.
+is encoded. All stages but the last return the columns of ``documents``. Ties go to the least
+doc_id or, in languages, the first by code point. An empty table passes as an empty one.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group. Rows without a doc_id stay; rows equal in
     doc_id and text count as one."""
-    kept = neardup.deduplicate(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(1).alias("_one"))
-    kept = store.table(kept, "kept")
-    once = kept.groupBy("_id").agg(F.count("*").alias("_n"))
-    out = docs.join(once, F.col("doc_id") == F.col("_id")).drop("_id")
-    if once.filter("_n > 1").limit(1).count():
-        out = out.filter("_n = 1").unionByName(out.filter("_n > 1").dropDuplicates(["doc_id", "text"]))
-    return out.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = neardup.deduplicate(docs).filter("kept and doc_id is not null").select("doc_id")
+    once = store.table(kept, "kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    whole = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    out = whole.join(once, "doc_id")
+    if once.filter("rows > 1").limit(1).count():
+        out = out.filter("rows = 1").unionByName(out.filter("rows > 1").dropDuplicates(["doc_id", "text"]))
+    return out.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
