@@ -184,7 +184,7 @@ def fit(rows: DataFrame, parts: int | None = None, recall: float = RECALL, k: in
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(s), pa.array([home[x] for x in j.tolist()], pa.int64())], names=["q", "vec_id", "score", "part"])
 
     # Each batch leaves k rows a calibration query; the best k are taken where all of a query's meet.
-    found = rows.filter(F.size("v") == width).mapInArrow(brute, "q long, vec_id long, score double, part long")
+    found = store.in_arrow(rows.filter(F.size("v") == width), brute, "q long, vec_id long, score double, part long")
     best = found.groupBy("q").applyInPandas(lambda t: t.sort_values(["score", "vec_id"], ascending=[False, True]).head(k), "q long, vec_id long, score double, part long").toPandas()
     order = np.argsort(-index.logits(q), axis=1, kind="stable")
     place = np.argsort(order, axis=1)[best["q"].to_numpy(), best["part"].to_numpy()] if len(best) else np.zeros(0)
@@ -225,7 +225,7 @@ def _placed(rows: DataFrame, index: Index, probes: int) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(len(x)), m))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(top.ravel().astype(np.int32))], names=["vec_id", "v", "part"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, part int")
+    return store.in_arrow(rows, run, "vec_id long, v array<double>, part int")
 
 
 def _best(homes: DataFrame, placed: DataFrame, k: int) -> DataFrame:

@@ -241,7 +241,7 @@ def _mapped(docs: DataFrame, path: str | None, ddl: str, make):
                 part = b.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(e, part.column(1).to_pylist())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -266,7 +266,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else e.decode(x) for x in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return store.in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node it reaches) of every node of ``edges`` (a, b)."""
     now = store.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     if now.count() <= SMALL:
-        return now.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
+        return store.in_arrow(now.coalesce(1), _in_one_task, "node long, component long")
     before = None
     while True:  # each round brings every component nearer to a star
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -131,26 +131,35 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return ids.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
 
 
-def _count(batches):
-    for b in batches:
-        found: dict[str, Counter] = {}
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts = found.setdefault(lang, Counter())
-            counts.update("w" + w for w in words_of(text))
-        for counts in found.values():
-            for w, n in list(counts.items()):
+def _count(batches, hold: int = 400_000):
+    """Partial counts of words and grams of a task's texts, by language."""
+    found: dict[str, Counter] = {}
+
+    def flush():
+        rows = []
+        for lang, words in found.items():
+            counts = Counter({"w" + w: n for w, n in words.items()})
+            for w, n in words.items():
                 for k in range(1, LONGEST + 1):
-                    for g in grams(w[1:], k):
+                    for g in grams(w, k):
                         counts[f"{k}{g}"] += n
-        rows = [(lang, g, n) for lang, c in found.items() for g, n in c.items()]
+            rows += [(lang, g, n) for g, n in counts.items()]
+        found.clear()
         lang, gram, n = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found.setdefault(lang, Counter()).update(words_of(text))
+        if sum(map(len, found.values())) > hold:
+            yield flush()
+    yield flush()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = 2) -> Model:
     """Learn from ``text`` and ``lang`` of the rows that aren't held out. What comes to the driver are
     counts of words and grams of the bounded sample seen ``least`` times."""
-    counts = sample(docs, per_language).mapInArrow(_count, "lang string, gram string, n long")
+    counts = store.in_arrow(sample(docs, per_language), _count, "lang string, gram string, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
     rows = rows.sort_values(["lang", "gram"])
     languages = sorted(rows["lang"].unique())
@@ -187,7 +196,7 @@ def _apply(docs: DataFrame, model: Model, columns: list[Column], ddl: str, kinds
             got = [s.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], schema=schema)
 
-    return docs.select(*columns).mapInArrow(run, ddl)
+    return store.in_arrow(docs.select(*columns), run, ddl)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -209,4 +218,4 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             keep = pa.array([x != UNKNOWN and p >= least for x, p in got], pa.bool_())
             yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return store.in_arrow(docs, run, docs.schema)

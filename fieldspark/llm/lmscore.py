@@ -336,14 +336,14 @@ def fit(docs: DataFrame) -> Model:
     """The model of all training texts. What reaches the driver has a fixed number of slots at most."""
     spark = docs.sparkSession
     train = docs.filter(~held_out()).select(F.col("text").cast("binary").alias("text"))
-    found = train.mapInArrow(_pairs, "found binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInArrow(lambda t: _sum_pairs(t), "found binary")
+    found = store.in_arrow(train, _pairs, "found binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInArrow(lambda t: _sum_pairs(t), "found binary")
     pairs = sum((np.frombuffer(r["found"], np.int64) for r in found.collect()), np.zeros(NODES, np.int64))  # 16 rows
     size = int(pairs.sum())
     bits = min(MOST_BITS, max(LEAST_BITS, (size >> 3).bit_length()))
     code = Code(pairs.reshape(256, 256))
     shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps((code, bits)))
     tables = [np.zeros(NODES if k == 0 else 1 << bits, np.int8) for k in range(CONTEXTS)]
-    parts = train.mapInArrow(lambda it: _count(it, shared), "k int, at long, part binary")
+    parts = store.in_arrow(train, lambda it: _count(it, shared), "k int, at long, part binary")
     for r in parts.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():  # a byte a slot
         tables[r["k"]][r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.int8)
     return Model(code, bits, tables)
@@ -397,7 +397,7 @@ def vocabulary(docs: DataFrame, hold: int = 1 << 20) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(kept)], names=["word", "train", "rest"])
 
-    parts = docs.select(held_out().alias("held"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "word long, train long, rest long")
+    parts = store.in_arrow(docs.select(held_out().alias("held"), F.col("text").cast("binary").alias("text")), run, "word long, train long, rest long")
     return parts.groupBy("word").agg(F.sum("train").alias("c"), F.sum("rest").alias("rest"))
 
 
@@ -451,7 +451,7 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
-    parts = store.table(rows.mapInArrow(run, ROWS), "parts")
+    parts = store.table(store.in_arrow(rows, run, ROWS), "parts")
     # The words that weren't broadcast meet their counts; the rows of documents need no shuffle for that.
     rare = parts.filter("word is not null").select("word", "row", "m").join(words.select("word", "c"), "word")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * (F.log10(F.col("c") + 0.5) - F.lit(bottom))).alias("add"))

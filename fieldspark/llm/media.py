@@ -211,7 +211,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*[digest(t) for t in part.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(cols, list(_DIGEST)[1:]))], schema=_DIGEST)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DIGEST)
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, DIGEST)
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 part = b.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(pad(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -242,4 +242,4 @@ def clips(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double")
+    return store.in_arrow(media.select("doc_id", "media"), run, "doc_id long, clip int, first_frame long, end_frame long, start_s double, end_s double")

@@ -137,7 +137,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), pa.int64())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, SIGNED)
 
 
 SETS = "node long, set binary, level int, fine binary"
@@ -167,8 +167,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Texts have to meet the wanted ids; a node all of whose ids are null meets its own set, made anew.
-    found = texts.join(wanted.filter("doc_id is not null"), "doc_id").select("text", "node").mapInArrow(run(True), SETS)
-    bare = texts.filter("doc_id is null").select("text", "doc_id").mapInArrow(run(False), SETS).join(wanted.filter("doc_id is null").select("node"), "node", "left_semi")
+    found = store.in_arrow(texts.join(wanted.filter("doc_id is not null"), "doc_id").select("text", "node"), run(True), SETS)
+    bare = store.in_arrow(texts.filter("doc_id is null").select("text", "doc_id"), run(False), SETS).join(wanted.filter("doc_id is null").select("node"), "node", "left_semi")
     return found.unionByName(bare).dropDuplicates(["node"])
 
 
@@ -188,7 +188,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"), F.expr("length(set)").alias(f"n_{c}")) for c in "ab")
     sized = pairs.join(left, "a").join(right, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    return store.in_arrow(sized.select("a", "b", "set_a", "set_b"), lambda it: _linked(it, percent), "a long, b long")
 
 
 def _flips(x: str, y: str) -> str:
@@ -256,7 +256,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     rest = rest.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "comp")
     fine = sets.select("node", "level", "fine", F.expr("length(set) div 8").alias("n"))
     rest = rest.join(fine, "node").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return rest.mapInArrow(lambda it: _across(it, percent, limit), "a long, b long").distinct()
+    return store.in_arrow(rest, lambda it: _across(it, percent, limit), "a long, b long").distinct()
 
 
 def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:

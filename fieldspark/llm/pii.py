@@ -427,7 +427,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Field:
                     out.append("".join(pieces))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(out, pa.string())], names=["h", "text"])
 
-    got = texts.mapInArrow(near, "h long, text string").orderBy("h", F.xxhash64("text"), "text").limit(rows).toPandas()
+    got = store.in_arrow(texts, near, "h long, text string").orderBy("h", F.xxhash64("text"), "text").limit(rows).toPandas()
     return learn(sorted(got["text"]))
 
 
@@ -451,7 +451,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
     names = [x.split()[0] for x in FOUND.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), run, FOUND)
 
 
 def redacted(text: str, spans) -> str:
@@ -479,7 +479,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
             cols[at] = pa.array(new, b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = store.in_arrow(docs, run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out

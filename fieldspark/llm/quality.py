@@ -90,7 +90,7 @@ def measure(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=[*keep, "n", "g", "b"])
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n long, g long, b long"])
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, ddl)
+    return store.in_arrow(docs.select(*keep, F.col("text").cast("binary").alias("_text")), run, ddl)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -164,4 +164,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = m.score(features(got[:, 0], got[:, 1], got[:, 2]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= PREDICTED).astype(np.int32))], schema=schema)
 
-    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return store.in_arrow(rows.withColumn("text", F.col("text").cast("binary")), run, "doc_id long, held_out boolean, score double, predicted int")

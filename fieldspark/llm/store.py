@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,3 +82,23 @@ def remainder(column: str, modulus: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+#: Texts reach Python in batches of about so many bytes, where the session has Spark's own default.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def in_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches, after which the worker, which Spark keeps for later tasks, gives free memory back."""
+    name, usual, small = BATCH
+    with contextlib.suppress(Exception):  # versions without the setting cut batches by rows alone
+        if int(str(df.sparkSession.conf.get(name)).rstrip("b")) == usual:
+            df.sparkSession.conf.set(name, small)
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(Exception):  # not every system has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(whole, ddl)
