@@ -57,17 +57,20 @@ def grams(word: str, k: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Log frequencies by language: a row of ``word_scores`` for each word, of ``gram_scores`` for each gram."""
+
     languages: list[str]
-    prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def unseen(self, word: str) -> np.ndarray:
         for k in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [v for g in grams(word, k) if (v := self.grams.get(g)) is not None]
+            found = [i for g in grams(word, k) if (i := self.grams.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_scores[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -75,11 +78,10 @@ class Scorer(dict):
     """Words to rows of a score table; unseen words are scored once and remembered up to a bound."""
 
     def __init__(self, model: Model, remember: int = 150_000):
-        super().__init__({w: i for i, w in enumerate(model.words)})
+        super().__init__(model.words)
         self.model, self.room = model, len(model.words) + remember
         self.table = np.zeros((self.room + 1, len(model.languages)))
-        for i, v in enumerate(model.words.values()):
-            self.table[i] = v
+        self.table[: len(model.words)] = model.word_scores
 
     def __missing__(self, word: str) -> int:
         i = len(self)
@@ -96,7 +98,7 @@ class Scorer(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.update({w: i for i, w in enumerate(self.model.words)})
+        self.update(self.model.words)
         self.full = False
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -108,7 +110,7 @@ class Scorer(dict):
         self.table[self.room] = 0.0
         rows = list(map(self.__getitem__, words))
         spilled = rows.count(self.room)  # their scores stand summed in the last row
-        total = self.model.prior + self.table[rows].sum(axis=0)
+        total = self.table[rows].sum(axis=0)
         if spilled > 1:
             total = total - (spilled - 1) * self.table[self.room]
         p = np.exp(total - total.max())
@@ -160,24 +162,23 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = 2) -> Mo
     """Learn from ``text`` and ``lang`` of the rows that aren't held out. What comes to the driver are
     counts of words and grams of the bounded sample seen ``least`` times."""
     counts = store.in_arrow(sample(docs, per_language), _count, "lang string, gram string, n long")
-    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    rows = rows.sort_values(["lang", "gram"])
-    languages = sorted(rows["lang"].unique())
-    at = {x: i for i, x in enumerate(languages)}
-    kinds: dict[str, dict[str, np.ndarray]] = {}
-    for lang, gram, n in rows.itertuples(index=False):
-        kind = kinds.setdefault(gram[0], {})
-        v = kind.get(gram[1:])
-        if v is None:
-            v = kind[gram[1:]] = np.zeros(len(languages))
-        v[at[lang]] = n
-    words, known = {}, {}
-    for kind, table in kinds.items():
-        m = np.array(list(table.values()))
-        logs = np.log((m + 0.1) / (m.sum(axis=0) + 0.1 * len(m)))
-        logs -= logs.max(axis=1, keepdims=True)
-        (words if kind == "w" else known).update(zip(table, logs))
-    return Model(languages, np.zeros(len(languages)), words, known)
+    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    languages = sorted(set(rows["lang"].to_pylist()))
+    at = np.array([languages.index(x) for x in rows["lang"].to_pylist()], np.int64)
+    gram = rows["gram"].combine_chunks().dictionary_encode()
+    n = np.zeros((len(gram.dictionary), len(languages)))
+    n[gram.indices.to_numpy(), at] = rows["n"].to_numpy()
+    names = gram.dictionary.to_pylist()
+    kinds: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        kinds.setdefault(name[0], []).append(i)
+    logs = np.zeros_like(n)
+    for some in kinds.values():
+        logs[some] = np.log((n[some] + 0.1) / (n[some].sum(axis=0) + 0.1 * len(some)))
+        logs[some] -= logs[some].max(axis=1, keepdims=True)
+    words = kinds.pop("w", [])
+    grams_ = [i for some in kinds.values() for i in some]
+    return Model(languages, {names[i][1:]: k for k, i in enumerate(words)}, logs[words], {names[i][1:]: k for k, i in enumerate(grams_)}, logs[grams_])
 
 
 def _scorer(shared) -> Scorer:

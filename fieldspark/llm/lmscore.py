@@ -45,10 +45,10 @@ END, GAP = 10, 32
 CONTEXTS = 5
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 21, 16
 NODES = PAD = 256 * 256
-PIECE = 1 << 20
-SLICE = 2 << 20
+PIECE = 1 << 19
+SLICE = 1 << 19
 FREQUENT = 1 << 18
-STEP, WINDOW = 64, 1 << 14
+STEP, WINDOW = 64, 1 << 13
 #: Logits are stored in steps of 1 / SCALE.
 SCALE, PRIOR = 12.0, 0.1
 GATES, BUCKETS = 4, 29
@@ -147,7 +147,7 @@ def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, li
         back.append(b)
     word = np.where((back[0] == GAP) | (at == start), at, 0)
     word = np.maximum.accumulate(word)
-    power, inverse = shingles._powers_to(max(n, shingles.BLOCK))
+    power, inverse = shingles._powers_to(n)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.BYTES[data] * power[:n])))
     so_far = (sums[:-1] - sums[word]) * inverse[word]
     own = np.flatnonzero(word == at)  # where words begin
@@ -293,7 +293,7 @@ def _pairs(batches):
     """How often each byte follows each in training texts, and how many bytes there are."""
     found = np.zeros(NODES, np.int64)
     for b in batches:
-        for start, end in store.slices(b.column(0)):
+        for start, end in store.slices(b.column(0), SLICE):
             data = np.frombuffer(b"\n" + b"".join([stream(t) for t in b.column(0).slice(start, end - start).to_pylist()]), np.uint8)
             found += np.bincount(data[:-1].astype(np.int32) * 256 + data[1:], minlength=NODES)
     yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["found"])
@@ -306,16 +306,16 @@ def _sum_pairs(rows):
 def _count(batches, shared):
     """Blocks of a task's table of counts, compressed: (context, block, both counts of each slot)."""
     code, bits = store.held(shared[0], lambda: pickle.loads(shared[1].value))
-    counts = [np.zeros(2 * (NODES if k == 0 else 1 << bits), np.int32) for k in range(CONTEXTS)]
+    counts, one = [np.zeros(2 * (NODES if k == 0 else 1 << bits), np.int32) for k in range(CONTEXTS)], np.int32(1)
     for b in batches:
-        for start, end in store.slices(b.column(0)):
+        for start, end in store.slices(b.column(0), SLICE):
             for _, parts in _batches(b.column(0).slice(start, end - start).to_pylist()):
                 pair, _, hashes = contexts(parts)
                 bit, slots = decisions(code, pair, code.length[pair], hashes, bits)
                 for c, s in zip(counts, slots):
                     s = s << 1
                     s |= bit
-                    c += np.bincount(s, minlength=len(c)).astype(np.int32)
+                    np.add.at(c, s, one)
     pack = zstandard.ZstdCompressor(level=1)
     for k, c in enumerate(counts):
         for at in range(0, len(c), 2 << BLOCK_BITS):
@@ -376,7 +376,7 @@ def vocabulary(docs: DataFrame, hold: int = 1 << 20) -> DataFrame:
     def run(batches):
         kept, size = [], 0
         for b in batches:
-            for start, end in store.slices(b.column(1)):
+            for start, end in store.slices(b.column(1), SLICE):
                 part = b.slice(start, end - start)
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 h, begins = _hashes(texts)
@@ -421,7 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
         base = np.log10(count + 0.5) - bottom
         end = int(np.searchsorted(word, END_WORD))
         for b in batches:
-            for start, stop in store.slices(b.column(3)):
+            for start, stop in store.slices(b.column(3), SLICE):
                 part = b.slice(start, stop - start)
                 texts = [t or b"" for t in part.column(3).to_pylist()]
                 rows = part.num_rows

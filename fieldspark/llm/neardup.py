@@ -39,7 +39,7 @@ from fieldspark.llm import graph, shingles, store
 
 BANDS, ROWS, BITS = 24, 5, 512
 THRESHOLD = 85
-BLOCK = 256
+BLOCK = 1024
 FINE_BITS, FINE_SIZE = 2048, 1024
 LIKELIEST = 2
 _seed = np.random.default_rng(20250202)

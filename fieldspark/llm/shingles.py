@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _seed = np.random.default_rng(20250101)
 BYTES = _seed.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -36,6 +36,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()
         for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -51,7 +52,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     first, end = edge[::2], edge[1::2]
-    power, inverse = _powers_to(max(len(data), BLOCK))
+    power, inverse = _powers_to(len(data))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[data] * power[: len(data)])))
     h = scramble((sums[end] - sums[first]) * inverse[first])
     begins = np.cumsum([0, *[len(t) + 1 for t in texts]])

@@ -287,7 +287,7 @@ def test_language_held_out(spark):
 
 
 def test_language_backs_off():
-    m = langid.Model(["a", "b"], np.zeros(2), {"known": np.array([0.0, -2.0])}, {"^xy": np.array([-3.0, 0.0])})
+    m = langid.Model(["a", "b"], {"known": 0}, np.array([[0.0, -2.0]]), {"^xy": 0}, np.array([[-3.0, 0.0]]))
     s = langid.Scorer(m, remember=3)
     assert s.predict("known")[0] == "a" and s.predict("xyz")[0] == "b" and s.predict("123") == ("und", 0.0)
     for k in range(20):  # beyond what it may remember
