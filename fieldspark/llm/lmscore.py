@@ -46,7 +46,7 @@ CONTEXTS = 5
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 21, 16
 NODES = PAD = 256 * 256
 PIECE = 1 << 19
-SLICE = 1 << 19
+SLICE = 3 << 19
 FREQUENT = 1 << 18
 STEP, WINDOW = 64, 1 << 13
 #: Logits are stored in steps of 1 / SCALE.
@@ -256,29 +256,30 @@ def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray)
     total = np.zeros(n)
     sure = np.int8(SCALE)
     gates = np.arange(GATES, dtype=np.int8)[:, None]
+    wide = np.arange(n * STEP, dtype=np.int32).reshape(n, STEP)
+    wide = (wide // STEP) * (GATES * STEP) + wide % STEP  # where the first gate's mixture of a decision stands
     for s in range(int(steps[0]) if n else 0):
         m = int(np.searchsorted(-steps, -s, side="left"))
         at = first[:m] + s
-        v, bit = x[:, at].transpose(1, 0, 2), went[at]  # window, context, decision
-        word, pair = ((v[:, k] > sure) | (v[:, k] < -sure) for k in (3, 4))
-        logit = v.astype(np.float32)
-        logit *= np.float32(1 / SCALE)
-        of = np.matmul(weights[:m], logit)
-        y = np.where(pair, np.where(word, of[:, 3], of[:, 2]), np.where(word, of[:, 1], of[:, 0]))
+        v, bit = x[:, at], went[at]
+        logit = np.empty((m, CONTEXTS, STEP), np.float32)  # window, context, decision
+        np.multiply(v.transpose(1, 0, 2), np.float32(1 / SCALE), out=logit)
+        gate = (np.abs(v[3]) > sure) + 2 * (np.abs(v[4]) > sure).astype(np.int8)
+        y = np.take(np.matmul(weights[:m], logit).reshape(-1), wide[:m] + gate * np.int32(STEP), mode="clip")
         np.clip(y, -14, 14, out=y)
         p = np.exp(-y)
         p += 1
         np.reciprocal(p, out=p)
         near = np.rint(y).astype(np.int32)
         near += rows[:m]
-        q = (ones / every)[near]
+        width = m * BUCKETS
+        q = np.take((ones[:width] / every[:width]).astype(np.float32), near, mode="clip")
         real, up = bit < 2, bit == 1
-        both = 0.5 * (p + q)
-        total[:m] += np.log(np.where(up, both, np.where(real, 1 - both, 1))).sum(axis=1)
-        miss = np.where(real, up - p, np.float32(0))
-        gate = word + 2 * pair.astype(np.int8)
+        q += p
+        q *= np.float32(0.5)
+        total[:m] += np.log(np.where(up, q, np.where(real, 1 - q, np.float32(1)))).sum(axis=1, dtype=np.float64)
+        miss = (up - p) * real
         weights[:m] += np.float32(RATE) * np.matmul((gate[:, None] == gates) * miss[:, None], logit.transpose(0, 2, 1))
-        width = m * BUCKETS
         every[:width] += np.bincount(near[real], minlength=width)
         ones[:width] += np.bincount(near[up], minlength=width)
     out = np.zeros(n)
@@ -316,18 +317,31 @@ def _count(batches, shared):
                     s = s << 1
                     s |= bit
                     np.add.at(c, s, one)
-    pack = zstandard.ZstdCompressor(level=1)
     for k, c in enumerate(counts):
         for at in range(0, len(c), 2 << BLOCK_BITS):
             part = c[at : at + (2 << BLOCK_BITS)]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> 1], pa.int64()), pa.array([pack.compress(part.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], names=["k", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> 1], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["k", "at", "part"])
 
 
-def _sum_block(key, rows):
+def _added(parts) -> np.ndarray:
     total = 0
-    for part in rows.column("part").to_pylist():
-        total = total + np.frombuffer(zstandard.decompress(part), np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0].astype(np.int64)
+    for part in parts:
+        total = total + np.frombuffer(zstandard.decompress(part), np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
+    return total
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes of equal weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _add_block(key, rows):
+    return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([_packed(_added(rows.column("part").to_pylist()))], pa.binary())})
+
+
+def _sum_block(key, rows):
+    total = _added(rows.column("part").to_pylist())
     part = quantised(total[::2].astype(float), total[1::2].astype(float))
     return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
 
@@ -344,7 +358,9 @@ def fit(docs: DataFrame) -> Model:
     shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps((code, bits)))
     tables = [np.zeros(NODES if k == 0 else 1 << bits, np.int8) for k in range(CONTEXTS)]
     parts = store.in_arrow(train, lambda it: _count(it, shared), "k int, at long, part binary")
-    for r in parts.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():  # a byte a slot
+    # A block of at most 64 tasks is added up first, then those sums: no group holds a row of every task.
+    some = parts.withColumn("g", F.expr("spark_partition_id() div 64")).groupBy("k", "at", "g").applyInArrow(_add_block, "k int, at long, part binary")
+    for r in some.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():  # a byte a slot
         tables[r["k"]][r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.int8)
     return Model(code, bits, tables)
 
@@ -364,8 +380,7 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _merged(parts: list[np.ndarray]) -> np.ndarray:
     """Rows (word, train, rest) with equal words summed."""
     rows = np.concatenate(parts, axis=1)
-    order = np.argsort(rows[0], kind="stable")
-    rows = rows[:, order]
+    rows = rows[:, np.argsort(rows[0])]
     cut = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.zeros(0, np.int64)
     return np.stack((rows[0, cut], *(np.add.reduceat(r, cut) if len(cut) else r[:0] for r in rows[1:])))
 
@@ -429,12 +444,11 @@ def score(docs: DataFrame) -> DataFrame:
                 lengths = np.diff(begins)
                 # One entry for each text and distinct word of it.
                 doc = np.repeat(np.arange(rows), lengths)
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-                m = np.diff(np.append(cut, len(h)))
-                h, doc = h[cut], doc[cut]
-                at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+                every, which = np.unique(h, return_inverse=True)
+                place = np.minimum(np.searchsorted(word, every), len(word) - 1)
+                pair, m = np.unique(doc * max(1, len(every)) + which, return_counts=True)
+                doc, which = np.divmod(pair, max(1, len(every)))
+                h, at = every[which], place[which]
                 hit = word[at] == h
                 k = np.bincount(doc[hit], weights=(m * (count[at] > 0))[hit], minlength=rows) + float(count[end] > 0)
                 sums = np.bincount(doc[hit], weights=(m * base[at])[hit], minlength=rows) + base[end]
