@@ -357,3 +357,125 @@ def test_mixing_oracle(spark):
     c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     want = c.sql(entry.oracle_sql()["op6_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+
+
+def test_media_values(spark):
+    out = run(spark, "op9_media").set_index("doc_id")
+    for i, t in TEXTS.items():
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        m, r = media.encode(payload), out.loc[i]
+        frames, length, _ = media.parse(m)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:])) and media.decode_samples(frames).tobytes()[:length] == payload
+        assert (r["payload_sha256"], r["media_bytes"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(m), hashlib.sha256(m).hexdigest())
+        count = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
+        assert r["feature"].endswith("hist=" + "-".join(map(str, count))) and f";mean={sum(payload) * 100 // len(payload)};" in r["feature"]
+
+
+def test_links_of_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(3):
+        texts.append(" ".join(words))
+        words = [f"x{len(texts)}_{k}" if k % 80 == 7 * len(texts) else w for k, w in enumerate(words)]
+    d = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (3, texts[2])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.deduplicate(d).collect()} == {(1, 1), (None, 1), (3, 1)}
+
+
+def test_neighbours_overflow_and_cancel():
+    g = np.random.default_rng(3)
+    c = g.standard_normal((300, 8)) * 1e3
+    q = np.zeros((1, 8))
+    q[0, :2] = 1e160
+    c[5, :2] = 1e160
+    i, j, s = ann.nearest(np.array([-1]), q, np.arange(300), c, 20)
+    assert j[0] == 5 and np.isinf(s[0]) and len(j) == 20
+    want = ann.exact(np.repeat(q, 300, axis=0), c)
+    assert list(j) == list(np.lexsort((np.arange(300), -want))[:20])
+
+
+def test_language_of_no_letters(spark):
+    m = langid.Model(["a"], {"x": 0}, np.zeros((1, 1)), {}, np.zeros((0, 1)))
+    s = langid.Scorer(m)
+    assert s.predict("½ ² Ⅷ 12 ४") == ("und", 0.0) and s.predict("x")[0] == "a" and langid.words_of("नमस्ते") == ["नमस्ते"]
+
+
+def test_marginals_near_enumeration():
+    """Message passing on a small loop against the sum over all labellings; exact without the loop."""
+    import itertools
+
+    texts = ["4111111111111111 and 15550177993 then 4111111111111112 or 15550177993 or 4111111111111111"]
+    f = pii.learn([f"call +1 (555) 01{k}-77{k}3 or card 4396177793418310 of item {k}" for k in range(10, 40)])
+    f.skip = f.skip * 0.2
+    graph_ = pii.Graph()
+    graph_.add(0, texts[0], [])
+    x, allow, fixed, chain, skip, alike = graph_.arrays()
+    score = np.where(allow, x @ f.unary, -50.0)
+    total, n = np.zeros(score.shape), len(score)
+    for labels in itertools.product(*[np.flatnonzero(a) for a in allow]):
+        e = sum(score[k, y] for k, y in enumerate(labels)) + sum(f.chain[labels[a], labels[b]] for a, b in chain)
+        e += sum(f.skip[labels[a], labels[b]] for a, b in skip) + pii.ALIKE * sum(f.skip[labels[a], labels[b]] for a, b in alike)
+        for k, y in enumerate(labels):
+            total[k, y] += np.exp(e - 30)
+    want = total / total.sum(axis=1, keepdims=True)
+    assert n >= 4 and len(skip) + len(alike) >= 3 and np.abs(f.marginals(graph_, 60) - want).max() < 0.1
+
+
+def test_secrets_are_found():
+    train = [f'token = "{hashlib.sha1(b"%d" % k).hexdigest()}" of {k} and AKIA{"ABCDEFGH2345WXYZ"[k % 5:] + "QQQQQ"[: k % 5]} x' for k in range(60)]
+    f = pii.learn(train + [f"chapter {k} of version {k}.5 in 20{k}" for k in range(10, 60)])
+    t = 'here password=e3b3ed3cc8548923d6 is; version 2.0 of 1999'
+    got = {(pii.SPANS[k], t[s:e]) for s, k, e in pii.all_spans(f, [t])[0][1]}
+    assert got == {("secret", "e3b3ed3cc8548923d6")}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage's result on a small table from plain functions of its input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    before, out = DOCS, {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, now, SF).cache()
+        after = got.toPandas()
+        ids = Counter(after["doc_id"])
+        texts = dict(zip(before["doc_id"], before["text"]))
+        if name == "language":
+            s = langid.Scorer(langid.fit(now))
+            assert ids == Counter(i for i, t in texts.items() if (p := s.predict(t))[0] != "und" and p[1] >= 0.5)
+        elif name == "near_duplicates":
+            whole = {i: lowered(t).split() for i, t in texts.items()}
+            sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in whole.items()}
+            near = defaultdict(list)
+            for a in sets:
+                for b in sets:
+                    both = len(sets[a] & sets[b])
+                    if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                        near[a].append(b)
+                        near[b].append(a)
+            gone, seen = set(), set()
+            for i in sorted(sets):
+                todo = [i] if i not in seen else []
+                while todo:
+                    x = todo.pop()
+                    if x not in seen:
+                        seen.add(x)
+                        gone |= {x} if x != i else set()
+                        todo += near[x]
+            assert ids == Counter(sets.keys() - gone)
+        elif name == "personal_data":
+            f = pii.fit(now)
+            assert ids == Counter(texts.keys())
+            for i, t in zip(after["doc_id"], after["text"]):
+                want = texts[i]
+                for s, k, e in reversed(pii.all_spans(f, [want])[0][1]):
+                    want = want[:s] + f"[{pii.SPANS[k].upper()}]" + want[e:]
+                assert t == want and not base(t)
+        elif name == "mixing":
+            taken = {r["doc_id"]: r["copies"] for r in corpus_pipeline.mixing.plan(now).collect()}
+            assert ids == Counter(taken)
+        else:
+            lib = Tokenizer.from_file(bpe.default_path())
+            assert sorted((i, list(x)) for i, x in zip(after["doc_id"], after["ids"])) == sorted((i, lib.encode(t, add_special_tokens=False).ids) for i, t in zip(before["doc_id"], before["text"]))
+        now, before = got, after
