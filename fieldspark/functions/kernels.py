@@ -307,7 +307,8 @@ def blur(x: np.ndarray, sigma: float, truncate: float = 3.5) -> np.ndarray:
 
 def ssim(a: np.ndarray, b: np.ndarray, span: float | None = None, sigma: float = 1.5) -> float:
     """Gaussian-weighted structural similarity; the constants are sqrt(.012) and sqrt(.032) over the range.
-    Of a constant reference: 1 if both agree, else 0. Three axes: the mean over the last."""
+    Variances are those of a sample, of a window of 7 cells a side at most. Of a constant reference: 1 if both
+    agree, else 0. Three axes: the mean over the last."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     span = float(np.ptp(b)) if span is None else span
     if span < 1e-12:
@@ -316,9 +317,12 @@ def ssim(a: np.ndarray, b: np.ndarray, span: float | None = None, sigma: float =
         return float(np.mean([ssim(a[..., k], b[..., k], span, sigma) for k in range(a.shape[-1])]))
     c1, c2 = (np.sqrt(0.012) / span * span) ** 2, (np.sqrt(0.032) / span * span) ** 2
     ma, mb = blur(a, sigma), blur(b, sigma)
-    va, vb, vab = blur(a * a, sigma) - ma * ma, blur(b * b, sigma) - mb * mb, blur(a * b, sigma) - ma * mb
+    side = min(7, min(a.shape)) - 1 | 1
+    cells = side**2
+    unbiased = cells / max(1, cells - 1)
+    va, vb, vab = (unbiased * v for v in (blur(a * a, sigma) - ma * ma, blur(b * b, sigma) - mb * mb, blur(a * b, sigma) - ma * mb))
     s = (2 * ma * mb + c1) * (2 * vab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    pad = (min(7, min(a.shape)) - 1 | 1) // 2
+    pad = side // 2
     core = s[pad : s.shape[0] - pad or None, pad : s.shape[1] - pad or None]
     return float((core if core.size else s).mean())
 

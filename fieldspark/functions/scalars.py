@@ -80,9 +80,9 @@ def proximity_penalty(d, min_distance: float) -> Column:
 
 
 def confidence(mean, std, n, level: float = 0.95) -> tuple[Column, Column]:
-    """Normal interval; levels other than 0.90, 0.95 and 0.99 count as 0.95."""
+    """Normal interval; levels other than 0.90, 0.95 and 0.99 count as 0.95. Not a number where there is no deviation (one value)."""
     z = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}.get(round(level, 2), 1.96)
-    half = F.lit(z) * F.coalesce(_c(std), F.lit(0.0)) / F.sqrt(_c(n).cast("double"))
+    half = F.lit(z) * F.coalesce(_c(std), F.lit(float("nan"))) / F.sqrt(_c(n).cast("double"))
     return _c(mean) - half, _c(mean) + half
 
 

@@ -64,7 +64,7 @@ def _scores(r: np.ndarray, d: int, opt: Options) -> np.ndarray:
     return np.abs(r[:, d:]).sum(axis=1) if opt.geometry else np.sqrt((r[:, d:] ** 2).sum(axis=1))
 
 
-def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], n: int, most: float, opt: Options) -> np.ndarray:
+def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], most: float, opt: Options) -> np.ndarray:
     """Penalties of crowded slices and dense axes."""
     out = np.zeros(len(cells))
     if not chosen:
@@ -72,8 +72,8 @@ def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], n: int, mos
     mine, theirs = np.unravel_index(cells, shape), np.unravel_index(np.array(chosen), shape)
     for axis, size in enumerate(shape):
         counts = np.bincount(theirs[axis], minlength=size)
-        if axis == len(shape) - 1 and len(shape) >= 3:
-            out += np.maximum(0, counts[mine[axis]] - n / size) * opt.slice_weight * most
+        if axis == 2:  # slices of the third axis, against an even share of the sensors placed so far
+            out += np.maximum(0, counts[mine[axis]] - len(chosen) / size) * opt.slice_weight * most
         out += counts[mine[axis]] / len(chosen) * opt.density_weight * most
     return out
 
@@ -109,7 +109,7 @@ def place_array(a: np.ndarray, n: int, cells: np.ndarray | None = None, blocked=
         base = _scores(r, d, opt)
         score = base.copy()
         if opt.uniform:
-            score = score - _penalty(cells, out.cells, opt.shape or [len(a)], n, float(base[free].max()), opt)
+            score = score - _penalty(cells, out.cells, opt.shape or [len(a)], float(base[free].max()), opt)
         at = np.flatnonzero(free)
         if opt.geometry:
             near = np.exp(-dmin / (opt.min_distance + 1e-10)) if np.isfinite(dmin).all() else None

@@ -358,14 +358,6 @@ def gradient_weight(spark, d):
     return _r(graph.gradient_weight(_cells(spark, d), _edges(spark)))
 
 
-@query("SELECT 1.0::DOUBLE AS length")
-def char_length(spark, d):
-    return graph.characteristic_length(graph.with_distances(_edges(spark), graph.grid_vertices(spark, [25, 5])))
-
-
-SQL.pop("char_length")  # a constant on a unit grid; the distances are tested by themselves
-
-
 @query("WITH g AS (SELECT a.range AS r, b.range AS c FROM range(25) a, range(5) b), s(r, c) AS (VALUES (3, 1), (20, 4)) SELECT (g.r * 5 + g.c)::BIGINT AS cell, round(exp(-min(sqrt((g.r - s.r) ** 2 + (g.c - s.c) ** 2)) / (2.0::DOUBLE + 1e-10::DOUBLE)), 6) AS v FROM g, s GROUP BY 1")
 def proximity_penalty(spark, d):
     s = spark.createDataFrame([([1.0, 3.0],), ([4.0, 20.0],)], "coord array<double>")
@@ -384,6 +376,11 @@ def radius_graph(spark, d):
     return _r(graph.radius_graph(_points(spark, d), 0.02).select("src", "dst", "dist"))
 
 
+@query(f"WITH {POINTS} SELECT round(avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS length FROM v a JOIN v b ON a.cell <> b.cell WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02")
+def char_length(spark, d):
+    return _r(graph.characteristic_length(graph.radius_graph(_points(spark, d), 0.02)))
+
+
 @query(f"WITH {POINTS}, p AS (SELECT a.cell AS src, b.cell AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM v a JOIN v b ON a.cell <> b.cell), k AS (SELECT src, dst, d FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 6), u AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, sum(d) / 2 AS d FROM k GROUP BY 1, 2) SELECT s AS src, t AS dst, round(d, 6) AS dist FROM u UNION ALL SELECT t, s, round(d, 6) FROM u")
 def knn_graph(spark, d):
     return _r(graph.knn_graph(_points(spark, d), 6).select("src", "dst", "dist"))
@@ -604,10 +601,13 @@ def wells_uncovered(spark, d):
     return tensor.available(_wells(spark, d), _sensors(spark, d), ["row", "col"])
 
 
-@query()
+_LEFT_SQL = SQL["overlap_stats"].replace("JOIN sensors s", "JOIN (SELECT * FROM sensors WHERE col < 50) s").replace("FROM sensors)", "FROM sensors WHERE col < 50)")
+
+
+@query(f"SELECT *, 'all' AS placement FROM ({SQL['overlap_stats']}) UNION ALL SELECT *, 'left' FROM ({_LEFT_SQL})")
 def compare_placements(spark, d):
     s = _sensors(spark, d)
-    return analysis.compare({"all": s, "left": s.filter("col < 50")}, _wells(spark, d))
+    return _r(analysis.compare({"all": s, "left": s.filter("col < 50")}, _wells(spark, d)))
 
 
 COUNTED = f"{PLACED}, c AS (SELECT w.well_idx, w.row, w.col, count(n.d) AS raw_count FROM w LEFT JOIN near n USING (well_idx) GROUP BY 1, 2, 3)"

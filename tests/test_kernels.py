@@ -158,3 +158,19 @@ def test_delaunay_is_empty_circle():
     assert 40 <= len(edges) <= 3 * 40 - 6
     nearest = {(min(i, j), max(i, j)) for i in range(40) for j in [int(np.argsort(np.linalg.norm(pts - pts[i], axis=1))[1])]}
     assert nearest <= edges  # every nearest-neighbour edge is in the triangulation
+
+
+def test_slices_share_what_is_placed_so_far():
+    """A slice of the third axis is penalised for what it has above an even share of the sensors placed, whatever was asked for."""
+    opt = placement.Options(uniform=True, shape=[2, 2, 2], slice_weight=1.0, density_weight=0.0)
+    got = placement._penalty(np.arange(8), [0, 2, 5], [2, 2, 2], 10.0, opt)  # two in slice 0, one in slice 1
+    assert np.allclose(got, [5.0 if k % 2 == 0 else 0.0 for k in range(8)])
+    assert not placement._penalty(np.arange(4), [0, 1], [2, 2], 10.0, opt).any()
+
+
+def test_ssim_has_sample_variances():
+    a, b = rng().standard_normal((7, 7)), rng().standard_normal((7, 7))
+    m = lambda x: K.blur(x, 1.5)[3, 3]
+    f, ma, mb = 49 / 48, m(a), m(b)
+    va, vb, vab = f * (m(a * a) - ma**2), f * (m(b * b) - mb**2), f * (m(a * b) - ma * mb)
+    assert K.ssim(a, b) == pytest.approx((2 * ma * mb + 0.012) * (2 * vab + 0.032) / ((ma**2 + mb**2 + 0.012) * (va + vb + 0.032)))
