@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import kernels as K
-from fieldspark.operators import tensor
+from fieldspark.operators import sensing, tensor
 
 
 def dense(t: pd.DataFrame, axes: dict[str, int]) -> np.ndarray:
@@ -53,11 +54,16 @@ def factor_frame(spark, u: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"row": i.ravel(), "rank": j.ravel(), "u": u.ravel()}), "row int, rank int, u double")
 
 
+#: An axis beyond this has no Gram matrix that a task could sum.
+LONGEST_AXIS = 8192
+
+
 def _gram(coo: DataFrame, mode: str, axes: dict[str, int]) -> np.ndarray:
-    g = np.zeros((axes[mode],) * 2)
-    t = tensor.gram(coo, mode, axes).toPandas()
-    g[t["a"].to_numpy(), t["b"].to_numpy()] = t["g"].to_numpy()
-    return g
+    """The Gram matrix of an unfolding: fibres along the axis as dense rows, a partial matrix a task."""
+    if axes[mode] > LONGEST_AXIS:
+        raise ValueError(f"axis {mode} has {axes[mode]} entries, more than {LONGEST_AXIS}: flatten or split it first")
+    fibres = tensor.tubes(coo, [a for a in axes if a != mode], axes[mode], mode)
+    return sensing.gram(fibres, axes[mode])
 
 
 def distributed(coo: DataFrame, axes: dict[str, int], ranks=None, epsilon: float = 1e-2, rounds: int = 10) -> tuple[DataFrame, list[np.ndarray], float]:
@@ -65,7 +71,7 @@ def distributed(coo: DataFrame, axes: dict[str, int], ranks=None, epsilon: float
     one axis each; errors come from norms, as the factors are orthonormal."""
     spark, names = coo.sparkSession, list(axes)
     ranks = K.validate_ranks(ranks, list(axes.values()))
-    coo = coo.select(*names, "v").cache()
+    coo = coo.select(*names, "v").persist(StorageLevel.MEMORY_AND_DISK)
     norm2 = coo.agg(tensor.norm2(coo)).first()[0] or 0.0
     factors = [K.leading(_gram(coo, m, axes), r) for m, r in zip(names, ranks)]
     before, core = None, None
@@ -75,12 +81,15 @@ def distributed(coo: DataFrame, axes: dict[str, int], ranks=None, epsilon: float
             part = tensor.multiply(coo, others, transpose=True)
             shape = {n: axes[n] if n == m else ranks[i] for i, n in enumerate(names)}
             factors[k] = K.leading(_gram(part, m, shape), ranks[k])
-        core = tensor.multiply(coo, {n: factor_frame(spark, u) for n, u in zip(names, factors)}, transpose=True)
+        if core is not None:
+            core.unpersist()
+        core = tensor.multiply(coo, {n: factor_frame(spark, u) for n, u in zip(names, factors)}, transpose=True).persist(StorageLevel.MEMORY_AND_DISK)
         kept = core.agg(tensor.norm2(core)).first()[0] or 0.0
         error = float(np.sqrt(max(0.0, norm2 - kept) / norm2)) if norm2 else 0.0
         if before is not None and abs(before - error) < epsilon:
             break
         before = error
+    coo.unpersist()
     return core, factors, error
 
 
@@ -89,7 +98,7 @@ def reconstruct(core: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
 
 
 class Decomposer:
-    """Decompose, then reconstruct, in that order."""
+    """Decompose, then reconstruct, in that order; an error or ``reset`` is told by the state."""
 
     def __init__(self, axes: dict[str, int], ranks=None, epsilon: float = 1e-2):
         self.axes, self.epsilon, self.state = axes, K.validate_epsilon(epsilon), "initialized"
@@ -100,13 +109,21 @@ class Decomposer:
             raise RuntimeError("ranks can only be set before decomposing")
         self.ranks = K.validate_ranks(ranks, list(self.axes.values()))
 
+    def reset(self) -> None:
+        self.core = self.factors = self.error = None
+        self.state = "initialized"
+
     def decompose(self, coo: DataFrame) -> "Decomposer":
-        self.core, self.factors, self.error = distributed(coo, self.axes, self.ranks, self.epsilon)
+        try:
+            self.core, self.factors, self.error = distributed(coo, self.axes, self.ranks, self.epsilon)
+        except Exception:
+            self.state = "error"
+            raise
         self.state = "decomposed"
         return self
 
     def reconstruct(self) -> DataFrame:
-        if self.state == "initialized":
+        if self.state not in ("decomposed", "reconstructed"):
             raise RuntimeError("decompose first")
         self.state = "reconstructed"
         spark = self.core.sparkSession
@@ -118,6 +135,23 @@ def modes(core: DataFrame, factors: dict[str, DataFrame]) -> DataFrame:
     return tensor.multiply(core, {n: u for n, u in factors.items() if n != "t"}, transpose=False)
 
 
+def modes_by_subject(cores: DataFrame, factors: DataFrame, axes: list[str]) -> DataFrame:
+    """The modes of every subject: cores (subject, axes..., v) with factors (subject, axis, row, rank, u); without a column
+    ``subject`` there is one, named ``single_subject``. A subject without a factor for each spatial axis is an error."""
+    if "subject" not in cores.columns:
+        cores, factors = (x.withColumn("subject", F.lit("single_subject")) for x in (cores, factors))
+    spatial = [a for a in axes if a != "t"]
+    held = factors.filter(F.col("axis").isin(spatial)).groupBy("subject").agg(F.count_distinct("axis").alias("n"))
+    lacking = cores.select("subject").distinct().join(held.filter(F.col("n") == len(spatial)), "subject", "left_anti").limit(1).collect()
+    if lacking:
+        raise ValueError(f"subject {lacking[0][0]!r} lacks a factor")
+    for axis in spatial:
+        u = factors.filter(F.col("axis") == axis).select("subject", F.col("rank").alias(axis), F.col("row").alias("_n"), "u")
+        keep = [c for c in ("subject", *axes) if c != axis]
+        cores = cores.join(u, ["subject", axis]).groupBy(*keep, F.col("_n").alias(axis)).agg(F.sum(F.col("v") * F.col("u")).alias("v"))
+    return cores.select("subject", *axes, "v")
+
+
 def standard_dictionary(u0: DataFrame, u1: DataFrame, width: int) -> DataFrame:
     """cell, k, v: the outer product of the k-th columns of two spatial factors."""
     b = u1.select(F.col("row").alias("_r"), "rank", F.col("u").alias("_u"))

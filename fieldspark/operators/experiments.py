@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import kernels as K
-from fieldspark.operators import placement, sensing, stats
+from fieldspark.operators import analysis, placement, sensing, stats
 
 
 @dataclass
@@ -64,25 +64,72 @@ def scores(tubes: DataFrame, truth: DataFrame, solutions: DataFrame, keys: list[
 
 
 def sweep(tubes: DataFrame, truth: DataFrame, keys: list[str], width: int, counts: list[int], cfg: Config = Config(), sensors_of=None, shape=None) -> DataFrame:
-    """A summary row a number of sensors. ``sensors_of(n)`` gives the cells (a placement by default).
+    """A summary row a number of sensors, over every field of the truth: once as measured and, with noise, ``samples`` times
+    more. ``sensors_of(n)`` gives the cells, per subject where it has that column (a placement by default).
     The loop is over the few numbers of sensors; all fields of one are solved together."""
     spark, out = tubes.sparkSession, None
     placed = None if sensors_of else placement.place(tubes, max(counts)).cells
     for n in counts:
         sensors = sensors_of(n) if sensors_of else spark.createDataFrame([(c,) for c in placed[:n]], "cell long")
-        measured = truth.join(F.broadcast(sensors.distinct()), "cell", "left_semi")
-        repeats = max(1, cfg.samples)
-        runs = None
-        for k in range(repeats):
-            noisy = add_noise(measured, keys, cfg.noise, cfg.noise_threshold, cfg.seed + k)
-            solved = sensing.sense(tubes, sensors, noisy, keys, width, cfg.sensing())
-            one = scores(tubes, truth, solved, keys, shape)
-            runs = one if runs is None else runs.unionByName(one)
+        runs = _runs(tubes, truth, keys, width, sensors, cfg, shape)
         row = stats.summary(runs, [], ["error", "ssim", "psnr", "mse"], cfg.confidence).select(F.lit(n).alias("sensors"), *COLUMNS, "num_samples")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def _runs(tubes, truth, keys, width, sensors, cfg, shape) -> DataFrame:
+    on = [c for c in ("subject", "cell") if c in sensors.columns and c in truth.columns]
+    sensors = sensors.select(*on).distinct()
+    measured = truth.join(sensors, on, "left_semi")
+    runs = None
+    for k in range(cfg.samples + 1):
+        noisy = add_noise(measured, keys, cfg.noise if k else 0.0, cfg.noise_threshold, cfg.seed + k)
+        if "subject" in on:
+            solved = sensing.sense_by(tubes, sensors, noisy, keys, width, cfg.sensing(), "subject")
+        else:
+            solved = sensing.sense(tubes, sensors, noisy, keys, width, cfg.sensing())
+        one = scores(tubes, truth, solved, keys, shape)
+        runs = one if runs is None else runs.unionByName(one)
+    return runs
+
+
+def sweep_slice(tubes: DataFrame, truth: DataFrame, subject: str, t: int, width: int, counts: list[int], cfg: Config = Config(), sensors_of=None, shape=None) -> DataFrame:
+    """The sweep over one frame of one subject of rows (subject, t, cell, v); an unknown frame is an error."""
+    frame = truth.filter((F.col("subject") == subject) & (F.col("t") == t))
+    if not frame.limit(1).count():
+        raise ValueError(f"no frame {t} of {subject}")
+    out = sweep(tubes, frame, ["subject", "t"], width, counts, cfg, sensors_of, shape)
+    return out.select("sensors", F.lit(subject).alias("subject"), F.lit(t).alias("slice_idx"), *COLUMNS, "num_samples")
+
+
+def well_sensors(wells: DataFrame, height: int, width: int, subject: str | None = None):
+    """For a sweep: the first n wells of each subject (subject, row, col, well_idx), or of one, as sensor cells."""
+    if subject is not None:
+        wells = wells.filter(F.col("subject") == subject)
+
+    def pick(n: int) -> DataFrame:
+        first = analysis.first_wells(wells, n, height, width)
+        return first.select("subject", (F.col("row").cast("long") * width + F.col("col")).alias("cell"))
+
+    return pick
+
+
+def cases(bases: dict[str, tuple[DataFrame, int]], sensor_sets: dict[str, DataFrame], truth: DataFrame, keys: list[str], cfg: Config = Config(), shape=None) -> DataFrame:
+    """A row for each basis (tubes, width) under each set of sensor cells: the mean rmse, ssim and error over all fields."""
+    out = None
+    for basis, (tubes, width) in bases.items():
+        for placed, sensors in sensor_sets.items():
+            runs = _runs(tubes, truth, keys, width, sensors, cfg, shape)
+            one = runs.agg(*[F.avg(c).alias(n) for n, c in (("rmse", F.sqrt("mse")), ("ssim", "ssim"), ("error", "error"))]).select(F.lit(basis).alias("basis"), F.lit(placed).alias("placement"), "rmse", "ssim", "error")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def best(table: DataFrame, by: str = "rmse") -> DataFrame:
+    """The row of the least figure; values that are not numbers come last."""
+    return table.orderBy(F.when(F.isnan(by), None).otherwise(F.col(by)).asc_nulls_last(), *[c for c in table.columns if c != by and dict(table.dtypes)[c] in ("string", "int", "double")]).limit(1)
+
+
 def analytics(summary: DataFrame, name: str = "error") -> DataFrame:
     """The mean on the scale of the sweep's interval bounds; a range of 0 counts as 1."""
     span = summary.agg(F.min(f"{name}_ci_lower").alias("_lo"), F.max(f"{name}_ci_upper").alias("_hi"))
@@ -91,10 +138,11 @@ def analytics(summary: DataFrame, name: str = "error") -> DataFrame:
 
 
 def grid_search(sides: DataFrame, gram: np.ndarray, keys: list[str], epsilons: list[float], relaxes: list[float]) -> DataFrame:
-    """Every pair of parameters on every right-hand side, and the converged pair of least objective first."""
+    """Every pair of parameters on every right-hand side, with its place: converged pairs by their objective, then the others."""
     out = None
     for e in epsilons:
         for r in relaxes:
             one = sensing.solve(sides, gram, keys, K.Sensing(epsilon=e, relax=r)).select(*keys, F.lit(e).alias("epsilon"), F.lit(r).alias("relax"), "converged", "iterations", "objective")
             out = one if out is None else out.unionByName(one)
-    return out
+    w = Window.partitionBy(*keys).orderBy(F.desc("converged"), "objective", "epsilon", "relax")
+    return out.withColumn("place", F.row_number().over(w))

@@ -202,8 +202,14 @@ def gradient_weight(coo: DataFrame, edges: DataFrame) -> DataFrame:
     return by_most(fd_gradient(edges, coo.groupBy("cell").agg(F.avg("v").alias("v"))))
 
 
-def characteristic_length(edges: DataFrame) -> DataFrame:
-    return edges.agg(F.avg("dist").alias("length"))
+def characteristic_length(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """The mean length of the edges; without edges, the mean extent of the vertices (cell, coord) over the root of their number."""
+    mean = edges.agg(F.avg("dist").alias("length"))
+    if vertices is None:
+        return mean
+    spans = vertices.select("cell", F.posexplode("coord").alias("k", "x")).groupBy("k").agg((F.max("x") - F.min("x")).alias("span"), F.count("*").alias("n"))
+    extent = spans.agg((F.avg("span") / F.sqrt(F.max("n").cast("double"))).alias("_extent"))
+    return mean.crossJoin(F.broadcast(extent)).select(F.coalesce("length", "_extent").alias("length"))
 
 
 def nearest_sensor(vertices: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -7,16 +7,22 @@ pass returns one row a batch. Small bases, checked by their size, are placed in
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions import scalars as S
+from fieldspark.operators import sensing
+
 #: Up to so many numbers a basis is placed on the driver.
 SMALL = 2_000_000
 LEAST = 1e-6
+WEIGHTS = ("gradient", "amplitude", "energy")
 
 
 @dataclass
@@ -43,9 +49,12 @@ class Placement:
     orthogonality: list[float] = field(default_factory=list)
 
 
-def validate_count(n: int) -> int:
-    if n < 1:
+def validate_count(n: int, k: int | None = None) -> int:
+    """A warning where a tube is too short for n sensors: only k can be placed."""
+    if n < 1 or int(n) != n:
         raise ValueError("at least one sensor is needed")
+    if k is not None and n > k:
+        warnings.warn(f"{n} sensors asked for, but tubes have {k} entries, so only {k} can be placed", stacklevel=3)
     return int(n)
 
 
@@ -78,105 +87,207 @@ def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], most: float
     return out
 
 
-def _combine(base: np.ndarray, weights: dict[str, np.ndarray], near: np.ndarray | None, opt: Options) -> np.ndarray:
-    """Each term is scaled by the largest score so far, so the scales build on one another."""
-    s = base.copy()
-    for name in ("gradient", "amplitude", "energy"):
-        if name in weights and getattr(opt, name):
-            s = s + getattr(opt, name) * s.max() * weights[name]
-    if near is not None and opt.proximity:
-        s = s - opt.proximity * s.max() * near
-    return s
+def _terms(cells: np.ndarray, chosen: list[int], weights: dict[str, np.ndarray], dmin: np.ndarray | None, opt: Options) -> list[np.ndarray]:
+    """What is added to the scores, term by term. Each is scaled by the largest score so far, so the scales build on one another."""
+    out = [-_penalty(cells, chosen, opt.shape, 1.0, opt)] if opt.uniform and chosen else []
+    if opt.geometry:
+        out += [getattr(opt, name) * weights[name] for name in WEIGHTS if name in weights and getattr(opt, name)]
+        if dmin is not None and opt.proximity:
+            out.append(-opt.proximity * np.exp(-dmin / (opt.min_distance + 1e-10)))
+    return out
+
+
+def _slice(cells: np.ndarray, opt: Options) -> np.ndarray:
+    """The index on the third axis, which blocking keeps to; 0 without one."""
+    return np.unravel_index(cells, opt.shape)[2] if opt.shape and len(opt.shape) > 2 else np.zeros(len(cells), int)
 
 
-def place_array(a: np.ndarray, n: int, cells: np.ndarray | None = None, blocked=(), opt: Options = Options(), weights: dict[str, np.ndarray] | None = None, coords: np.ndarray | None = None, similar: np.ndarray | None = None, rounds: list | None = None) -> Placement:
-    """Pivots of a dense basis (cells, k). ``similar`` gives each cell a region; after a pivot at most a
-    quarter of its region's other cells are taken out."""
+def place_array(a: np.ndarray, n: int, cells: np.ndarray | None = None, blocked=(), opt: Options = Options(), weights: dict[str, np.ndarray] | None = None, coords: np.ndarray | None = None, similar: np.ndarray | None = None) -> Placement:
+    """Pivots of a dense basis (cells, k). ``similar`` gives each cell a region; after a pivot the first cells of
+    its region and slice are taken out, a quarter of them."""
     a = np.asarray(a, float)
     if not np.isfinite(a).all():
         raise ValueError("the basis holds values that are not finite")
-    n, k = validate_count(n), a.shape[1]
+    k = a.shape[1]
+    n = validate_count(n, k)
+    if opt.uniform and not opt.shape:
+        opt = replace(opt, shape=[len(a)])
     cells = np.arange(len(a)) if cells is None else cells
     free = ~np.isin(cells, np.asarray(list(blocked), np.int64))
     if not free.any():
         raise ValueError("every cell is rejected")
     q, out = np.eye(k), Placement([], [], np.eye(k))
-    dmin = np.full(len(a), np.inf)
+    dmin, slices = np.full(len(a), np.inf), _slice(cells, opt)
     for d in range(min(n, k)):
         if not free.any():
             break
-        r = a @ q
-        base = _scores(r, d, opt)
-        score = base.copy()
-        if opt.uniform:
-            score = score - _penalty(cells, out.cells, opt.shape or [len(a)], float(base[free].max()), opt)
-        at = np.flatnonzero(free)
-        if opt.geometry:
-            near = np.exp(-dmin / (opt.min_distance + 1e-10)) if np.isfinite(dmin).all() else None
-            score[at] = _combine(score[at], {m: w[at] for m, w in (weights or {}).items()}, None if near is None else near[at], opt)
-        best = at[np.argmax(score[at])]  # ties: the smallest cell
+        r, at = a @ q, np.flatnonzero(free)
+        score = _scores(r[at], d, opt)
+        near = dmin[at] if coords is not None and out.cells else None
+        for term in _terms(cells[at], out.cells, {m: w[at] for m, w in (weights or {}).items()}, near, opt):
+            score = score + score.max() * term
+        best = at[np.argmax(score)]  # ties: the smallest cell
         tube = r[best, d:]
         if np.linalg.norm(tube) < LEAST:
             break
         out.cells.append(int(cells[best]))
-        out.scores.append(float(score[best]))
+        out.scores.append(float(score.max()))
         free[best] = False
         if similar is not None:
-            group = np.flatnonzero((similar == similar[best]) & free)
-            free[group[: max(1, int((similar == similar[best]).sum()) // 4)]] = False
+            group = np.flatnonzero((similar == similar[best]) & (slices == slices[best]))
+            free[group[group != best][: max(1, len(group) // 4)]] = False
         if coords is not None:
             dmin = np.minimum(dmin, np.linalg.norm(coords - coords[best], axis=1))
-        u = reflection(tube)
-        q[:, d:] -= 2 * np.outer(q[:, d:] @ u, u)
-        out.orthogonality.append(float(np.abs(q.T @ q - np.eye(k)).max()))
+        q = _reflected(q, d, tube, out)
     if not out.cells:
         raise RuntimeError("no sensor could be placed")
     out.q = q
     return out
 
 
+def _reflected(q: np.ndarray, d: int, tube: np.ndarray, out: Placement) -> np.ndarray:
+    u = reflection(tube)
+    q = q.copy()
+    q[:, d:] -= 2 * np.outer(q[:, d:] @ u, u)
+    out.orthogonality.append(float(np.abs(q.T @ q - np.eye(len(q))).max()))
+    return q
+
+
+def regions(tubes: DataFrame, shape: list[int], decimals: int = 3) -> DataFrame:
+    """The rows with ``region``: columns (first two axes) are alike whose first tube entries, rounded and in order along
+    the other axes, agree; a region is named by its least column. Fewer than three axes have no regions: each cell is its own."""
+    if len(shape) < 3:
+        return tubes.withColumn("region", F.col("cell"))
+    depth = int(np.prod(shape[2:]))
+    column = F.floor(F.col("cell") / F.lit(depth)).cast("long")
+    entries = tubes.groupBy(column.alias("_column")).agg(F.array_sort(F.collect_list(F.struct("cell", F.bround(F.col("tube")[0], decimals).alias("v")))).alias("_p"))  # depth entries
+    alike = entries.withColumn("_p", F.transform("_p", lambda x: F.struct((x["cell"] % depth).alias("z"), (x["v"] + F.lit(0.0)).alias("v"))))
+    names = alike.groupBy("_p").agg(F.min("_column").alias("region"))
+    named = alike.join(names, "_p").select("_column", "region")
+    return tubes.withColumn("_column", column).join(named, "_column").drop("_column")
+
+
+def _turns(rows: DataFrame, opt: Options, block: int = 65536) -> DataFrame:
+    """The rows with _z, _turn and _size: a cell's place among its region's cells of a slice, and their number. Places are counted
+    within blocks of cells and offset by the blocks before, so that a large region is dealt out too."""
+    z = S.unravel("cell", opt.shape)[2] if opt.shape and len(opt.shape) > 2 else F.lit(0)
+    rows = rows.withColumn("_z", z).withColumn("_block", F.floor(F.col("cell") / block))
+    group = ["region", "_z"]
+    counts = rows.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group)
+    before = counts.withColumn("_before", F.sum("_n").over(w.orderBy("_block")) - F.col("_n")).withColumn("_size", F.sum("_n").over(w)).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy("cell"))
+    return rows.withColumn("_in", inside).join(before, [*group, "_block"]).withColumn("_turn", F.col("_before") + F.col("_in")).drop("_block", "_before", "_in")
+
+
 def place(tubes: DataFrame, n: int, blocked=(), opt: Options = Options(), small: int = SMALL) -> Placement:
-    """Pivots of rows (cell, tube). Beyond ``small`` numbers each step is one pass over the rows."""
-    n = validate_count(n)
+    """Pivots of rows (cell, tube). With ``opt.geometry`` the rows may hold gradient, amplitude and energy weights and
+    ``coord``; a column ``region`` (see ``regions``) blocks alike cells. Beyond ``small`` numbers each step is one
+    pass over the rows for each term of the score and one for the pivot; the result is the same."""
     size = tubes.agg(F.count("*"), F.max(F.size("tube"))).first()
     if not size[0]:
         raise ValueError("the basis has no cells")
+    n, k = validate_count(n, size[1]), size[1]
+    if opt.uniform and not opt.shape:
+        raise ValueError("even spreading needs the shape of the grid")
+    extra = [c for c in (*WEIGHTS, "coord") if opt.geometry and c in tubes.columns]
+    if "region" in tubes.columns:
+        extra.append("region")
+    rows = tubes.select("cell", "tube", *extra)
     if size[0] * size[1] <= small:
-        t = tubes.select("cell", "tube").toPandas().sort_values("cell")
-        return place_array(np.stack(t["tube"].to_numpy()).astype(float), n, t["cell"].to_numpy(), blocked, opt)
-    if opt.geometry or opt.uniform:
-        raise ValueError("penalties are for bases placed in one go")
-    tubes = tubes.select("cell", "tube").cache()
-    k = size[1]
+        t = rows.toPandas().sort_values("cell")
+        weights = {c: t[c].to_numpy(float) for c in WEIGHTS if c in extra}
+        coords = np.stack(t["coord"].to_numpy()).astype(float) if "coord" in extra else None
+        return place_array(np.stack(t["tube"].to_numpy()).astype(float), n, t["cell"].to_numpy(), blocked, opt, weights, coords, t["region"].to_numpy() if "region" in extra else None)
+    if "region" in extra:
+        rows = _turns(rows, opt)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _place_passes(rows, n, k, blocked, opt)
+    finally:
+        rows.unpersist()
+
+
+def _place_passes(rows: DataFrame, n: int, k: int, blocked, opt: Options) -> Placement:
     q, out = np.eye(k), Placement([], [], np.eye(k))
-    taken = set(blocked)
-    for d in range(min(n, k)):
-        now, gone = q.copy(), np.array(sorted(taken), np.int64)
+    gone, spots, rules = set(blocked), [], []
+    carried = [c for c in ("coord", "region", "_z", "_turn", "_size") if c in rows.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(["cell long", "score double", "terms int", "tube array<double>", *[f"{c} {kinds[c]}" for c in carried]])
+
+    def top(d: int, scales: list[float]):
+        """The best row by the score with as many terms as there are scales."""
+        now, taken, chosen, near_to = q.copy(), np.array(sorted(gone), np.int64), list(out.cells), np.array(spots, float)
+        limits = list(rules)
 
-        def best(batches, d=d, now=now, gone=gone):
+        def best(batches):
             for t in batches:
-                t = t[~np.isin(t["cell"].to_numpy(), gone)].sort_values("cell")
-                if len(t):
-                    r = np.stack(t["tube"].to_numpy()).astype(float) @ now
-                    s = np.sqrt((r[:, d:] ** 2).sum(axis=1))
-                    i = int(np.argmax(s))
-                    yield pd.DataFrame({"cell": [t["cell"].iloc[i]], "score": [s[i]], "tube": [r[i, d:].tolist()]})
-
-        top = tubes.mapInPandas(best, "cell long, score double, tube array<double>").orderBy(F.desc("score"), "cell").limit(1).collect()
-        if not top or top[0]["score"] < LEAST:
+                keep = ~np.isin(t["cell"].to_numpy(), taken)
+                for region, z, upto in limits:
+                    keep &= ~((t["region"].to_numpy() == region) & (t["_z"].to_numpy() == z) & (t["_turn"].to_numpy() <= upto))
+                t = t[keep].sort_values("cell")
+                if not len(t):
+                    continue
+                r = np.stack(t["tube"].to_numpy()).astype(float) @ now
+                dmin = None
+                if "coord" in t.columns and len(near_to):
+                    at = np.stack(t["coord"].to_numpy()).astype(float)
+                    dmin = np.min([np.linalg.norm(at - s, axis=1) for s in near_to], axis=0)
+                terms = _terms(t["cell"].to_numpy(), chosen, {c: t[c].to_numpy(float) for c in WEIGHTS if c in t.columns}, dmin, opt)
+                score = _scores(r, d, opt)
+                for scale, term in zip(scales, terms):
+                    score = score + scale * term
+                i = int(np.argmax(score))
+                one = {"cell": [t["cell"].iloc[i]], "score": [score[i]], "terms": [len(terms)], "tube": [r[i, d:].tolist()]}
+                yield pd.DataFrame({**one, **{c: [t[c].iloc[i]] for c in carried}})
+
+        found = rows.mapInPandas(best, schema).orderBy(F.desc("score"), "cell").limit(1).collect()
+        return found[0] if found else None
+
+    for d in range(min(n, k)):
+        scales: list[float] = []
+        pivot = top(d, scales)
+        while pivot is not None and len(scales) < pivot["terms"]:
+            scales.append(pivot["score"])
+            pivot = top(d, scales)
+        if pivot is None or np.linalg.norm(pivot["tube"]) < LEAST:
             break
-        out.cells.append(top[0]["cell"])
-        out.scores.append(top[0]["score"])
-        taken.add(top[0]["cell"])
-        u = reflection(np.array(top[0]["tube"]))
-        q[:, d:] -= 2 * np.outer(q[:, d:] @ u, u)
-        out.orthogonality.append(float(np.abs(q.T @ q - np.eye(k)).max()))
+        out.cells.append(pivot["cell"])
+        out.scores.append(pivot["score"])
+        gone.add(pivot["cell"])
+        if "coord" in carried:
+            spots.append(pivot["coord"])
+        if "region" in carried:
+            quota = max(1, pivot["_size"] // 4)
+            rules.append((pivot["region"], pivot["_z"], quota + (pivot["_turn"] <= quota)))
+        q = _reflected(q, d, np.array(pivot["tube"]), out)
     if not out.cells:
         raise RuntimeError("no sensor could be placed")
     out.q = q
     return out
 
 
+def coordinates(vertices: DataFrame, placed: Placement) -> DataFrame:
+    """cell, coord of the placed sensors; there are at most as many as a tube has entries."""
+    return vertices.filter(F.col("cell").isin(placed.cells)).select("cell", "coord")
+
+
+def condition(tubes: DataFrame) -> float:
+    """Largest over smallest singular value of the basis, from its Gram matrix (tube length squared); infinite without full rank."""
+    width = tubes.agg(F.max(F.size("tube"))).first()[0]
+    w = np.linalg.eigvalsh(sensing.gram(tubes, width))
+    return float(np.sqrt(w[-1] / w[0])) if w[0] > w[-1] * 1e-15 else float("inf")
+
+
+def info(tubes: DataFrame, placed: Placement, requested: int, opt: Options = Options()) -> dict:
+    """The settings and figures of a placement."""
+    history = placed.orthogonality
+    return {
+        "cells": tubes.count(), "shape": opt.shape, "tube": len(placed.q), "requested": requested, "actual": len(placed.cells), "uniform": opt.uniform,
+        "geometry": opt.geometry, "config": asdict(opt), "orthogonality_history": history, "max_orthogonality_deviation": max(history, default=0.0), "condition": condition(tubes),
+    }
+
+
 def project(tubes: DataFrame, q: np.ndarray) -> DataFrame:
     """R = A Q of every cell."""
 

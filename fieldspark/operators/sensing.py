@@ -88,6 +88,34 @@ def sense(tubes: DataFrame, sensors: DataFrame, measured: DataFrame, keys: list[
     return solve(sides, gram(rows, width), keys, cfg, smooth, **geometry)
 
 
+def sense_by(tubes: DataFrame, sensors: DataFrame, measured: DataFrame, keys: list[str], width: int, cfg: K.Sensing, by: str) -> DataFrame:
+    """As ``sense``, with sensors (by, cell) of their own for each subject: A'A is summed per subject, width squared numbers each,
+    and travels with the right-hand sides."""
+    long = tubes.select("cell", "tube").join(sensors.select(by, "cell").distinct(), "cell")
+
+    def grams(batches):
+        for t in batches:
+            for name, rows in t.groupby(by):
+                a = np.stack(rows["tube"].to_numpy()).astype(float)
+                yield pd.DataFrame({by: [name], "g": [(a.T @ a).ravel().tolist()]})
+
+    parts = long.mapInPandas(grams, f"{by} string, g array<double>").select(by, F.posexplode("g").alias("k", "g"))
+    summed = parts.groupBy(by, "k").agg(F.sum("g").alias("g")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "g"))), lambda x: x["g"]).alias("gram"))
+    sides = right_sides(tubes, measured.join(sensors.select(by, "cell").distinct(), [by, "cell"], "left_semi"), keys).join(summed, by)
+    c = asdict(cfg)
+
+    def run(batches):
+        settings = K.Sensing(**c)
+        for t in batches:
+            rows = [K.admm(np.asarray(g, float).reshape(width, width), np.asarray(b, float), float(y), settings) for g, b, y in zip(t["gram"], t["aty"], t["yty"])]
+            names = ["iterations", "converged", "primal", "dual", "objective", "delta", "history"]
+            out = pd.DataFrame([(r.x.tolist(), *[getattr(r, n) for n in names]) for r in rows], columns=["x", *names])
+            yield pd.concat([t[keys].reset_index(drop=True), out], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in sides.schema}
+    return sides.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], SOLUTION]))
+
+
 def fields(tubes: DataFrame, solutions: DataFrame, keys: list[str], zero: float | None = None, decimals: int | None = None) -> DataFrame:
     """keys, cell, v = A x at every cell. Solutions are one short row a right-hand side; with many, both sides are dealt out."""
     out = tubes.crossJoin(solutions.select(*keys, "x")).select(*keys, "cell", S.dot("tube", "x").alias("v"))

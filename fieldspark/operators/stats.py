@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import scalars as S
+from fieldspark.operators import tensor
 
 
 def foreground(value: str = "v", background: float | None = None, mask: str | None = None) -> Column:
@@ -61,6 +62,56 @@ def per_frame(coo: DataFrame, method: str = "minmax", frame: list[str] = ("subje
     return coo.withColumn("v", new)
 
 
+def given(coo: DataFrame, method: str, params: dict[str, float], background: float | None = None, mask: str | None = None) -> DataFrame:
+    """Normalise by given parameters (min and max, or mean and std) without a constant; a range or deviation of 0 leaves the values alone."""
+    return _linear(coo, method, params, background, mask, False)
+
+
+def restore(coo: DataFrame, method: str, params: dict[str, float], background: float | None = None, mask: str | None = None) -> DataFrame:
+    """The inverse of ``given``; background, or cells outside the mask, stay as they are."""
+    return _linear(coo, method, params, background, mask, True)
+
+
+def _linear(coo, method, params, background, mask, inverse):
+    names = {"minmax": ("min", "max"), "zscore": ("mean", "std")}.get(method)
+    if names is None:
+        raise ValueError(f"unknown normalisation: {method}")
+    if not set(names) <= set(params):
+        raise ValueError(f"{method} needs {names[0]} and {names[1]}")
+    a, b = (float(params[n]) for n in names)
+    shift, size = a, b - a if method == "minmax" else b
+    if not inverse and (size <= 0 if method == "minmax" else size == 0):
+        return coo
+    new = F.col("v") * F.lit(size) + F.lit(shift) if inverse else (F.col("v") - F.lit(shift)) / F.lit(size)
+    return coo.withColumn("v", F.when(foreground("v", background, mask), new).otherwise(F.col("v")))
+
+
+def process(coo: DataFrame, frame: list[str] = ("subject", "t"), size: tuple[int, int] | None = None, to: tuple[int, int] | None = None, gray: bool = False, method: str | None = None, params: dict[str, float] | None = None, background: float | None = None) -> DataFrame:
+    """Frames to grey, resized from ``size`` to ``to``, normalised by given parameters or by each frame's own."""
+    frame = list(frame)
+    if gray and "channel" in coo.columns:
+        coo = tensor.rgb_to_gray(coo, [*frame, "i0", "i1"])
+    if to is not None:
+        coo = tensor.resize(coo, [*frame, *(["channel"] if "channel" in coo.columns else [])], size, to)
+    if method is None:
+        return coo
+    if method not in ("minmax", "zscore"):
+        raise ValueError(f"unknown normalisation: {method}")
+    needed = {"min", "max"} if method == "minmax" else {"mean", "std"}
+    return given(coo, method, params, background) if params and needed <= set(params) else per_frame(coo, method, frame, background)
+
+
+def positive_range(coo: DataFrame, by: list[str] = ()) -> DataFrame:
+    """lo, hi: the least positive value, or 0 without one, and the largest value."""
+    aggs = [F.coalesce(F.min(F.when(F.col("v") > 0, F.col("v"))), F.lit(0.0)).alias("lo"), F.max("v").alias("hi")]
+    return coo.groupBy(*by).agg(*aggs) if by else coo.agg(*aggs)
+
+
+def least_frames(split: DataFrame) -> DataFrame:
+    """part, frames: the fewest frames any subject has in each part of a split (subject, t, part)."""
+    return split.groupBy("part", "subject").agg(F.count_distinct("t").alias("n")).groupBy("part").agg(F.min("n").alias("frames"))
+
+
 def demean(coo: DataFrame, series: list[str]) -> DataFrame:
     return coo.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy(*series)))
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.functions import kernels as K
 from fieldspark.functions import scalars as S
 
 
@@ -45,9 +48,13 @@ def unflatten(coo: DataFrame, axes: dict[str, int], name: str = "cell") -> DataF
 
 
 def tubes(coo: DataFrame, keys: list[str], length: int, along: str = "t", value: str = "v") -> DataFrame:
-    """One row a cell with its dense vector along the last axis."""
-    pairs = coo.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(along, value))).alias("m"))
-    return pairs.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("tube"))
+    """One row a cell with its dense vector along the last axis. Whole tubes are copied in order; where entries are missing, each place is looked up."""
+    entries = F.collect_list(F.struct(F.col(along).alias("i"), F.col(value).alias("x")))
+    pairs = coo.groupBy(*keys).agg(F.array_sort(entries).alias("e"), F.map_from_entries(entries).alias("m"))
+    whole = (F.size("e") == length) & F.forall(F.transform("e", lambda e, j: e["i"] == j), lambda b: b)
+    copied = F.transform("e", lambda e: F.coalesce(e["x"].cast("double"), F.lit(0.0)))
+    sought = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.col("m")[i].cast("double"), F.lit(0.0)))
+    return pairs.select(*keys, F.when(whole, copied).otherwise(sought).alias("tube"))
 
 
 def untube(frame: DataFrame, along: str = "t", value: str = "v") -> DataFrame:
@@ -60,8 +67,8 @@ def stack_channels(fields: list[DataFrame]) -> DataFrame:
 
 def stack_subjects(coo: DataFrame, lengths: DataFrame, along: str = "t") -> DataFrame:
     """Subjects one after another along the last axis. ``lengths`` (subject, place, n) gives order and size; it has a row a subject."""
-    spans = lengths.alias("x").join(lengths.alias("y"), F.col("y.place") < F.col("x.place"), "left").groupBy("x.subject").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("offset"))
-    return coo.join(F.broadcast(spans), "subject").withColumn(along, (F.col(along) + F.col("offset")).cast("int")).drop("offset")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("place").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a subject
+    return coo.join(lengths.select("subject", before.alias("offset")), "subject").withColumn(along, (F.col(along) + F.col("offset")).cast("int")).drop("offset")
 
 
 def split_slices(coo: DataFrame, along: str) -> DataFrame:
@@ -131,6 +138,34 @@ def norm2(coo: DataFrame) -> Column:
     return F.sum(F.col("v") * F.col("v"))
 
 
+def resize(coo: DataFrame, frame: list[str], size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Each frame (frame..., i0, i1, v) of ``size``, missing cells 0, as one of ``to``: smoothed where it shrinks, then bilinear. A frame is a group."""
+    kinds = {f.name: f.dataType.simpleString() for f in coo.schema}
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(size)
+        x[t["i0"].to_numpy(), t["i1"].to_numpy()] = t["v"].to_numpy(float)
+        y = K.resize(x, to)
+        i, j = np.indices(y.shape)
+        return pd.DataFrame({**{c: t[c].iloc[0] for c in frame}, "i0": i.ravel(), "i1": j.ravel(), "v": y.ravel()})
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in frame], "i0 int, i1 int, v double"])
+    return coo.groupBy(*frame).applyInPandas(run, schema)
+
+
+def mode_of(axes: dict[str, int], length: int) -> str:
+    """The first axis of a length."""
+    for name, size in axes.items():
+        if size == length:
+            return name
+    raise ValueError(f"no axis of {axes} has {length} entries")
+
+
+def wells_matrix(points: DataFrame, height: int, width: int) -> DataFrame:
+    """row, col, v of a whole grid: 1 at the wells inside it, else 0."""
+    return zero_fill(points.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("row", "col").distinct().withColumn("v", F.lit(1.0)), {"row": height, "col": width})
+
+
 def rgb_to_gray(coo: DataFrame, keys: list[str]) -> DataFrame:
     weights = F.element_at(F.array(F.lit(0.2125), F.lit(0.7154), F.lit(0.0721)), F.col("channel") + 1)
     return coo.groupBy(*keys).agg(F.sum(F.col("v") * weights).alias("v"))

@@ -220,6 +220,29 @@ def norm_inverse(spark, d):
     return _r(stats.apply(stats.apply(s, p, "zscore"), p, "zscore", inverse=True))
 
 
+@query(f"WITH {T.SALES} SELECT i0, i1, t, round(CASE WHEN v <> 0 THEN (v - 2.0::DOUBLE) / (51.0::DOUBLE - 2.0::DOUBLE) ELSE v END, 6) + 0.0::DOUBLE AS v FROM sales")
+def process_given(spark, d):
+    """Frames normalised by given parameters, without the background."""
+    s = T.sales(spark, d)
+    return _r(stats.process(s, ["t"], method="minmax", params={"min": 2.0, "max": 51.0}, background=0.0).select("i0", "i1", "t", "v"))
+
+
+@query(f"WITH {T.SALES} SELECT i0, i1, t, round(CASE WHEN v > 1 THEN v * 3.0::DOUBLE + 7.0::DOUBLE ELSE v END, 6) AS v FROM sales")
+def restore_masked(spark, d):
+    s = T.sales(spark, d).withColumn("m", F.col("v") > 1)
+    return _r(stats.restore(s, "zscore", {"mean": 7.0, "std": 3.0}, mask="m").drop("m"))
+
+
+@query(f"WITH {T.SALES} SELECT i0, round(coalesce(min(v) FILTER (v > 0), 0), 6) AS lo, round(max(v), 6) AS hi FROM sales GROUP BY i0")
+def positive_range(spark, d):
+    return _r(stats.positive_range(T.sales(spark, d), ["i0"]))
+
+
+@query(f"WITH {T.WELLS} SELECT a.range::INT AS row, b.range::INT AS col, CASE WHEN w.row IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM range(100) a, range(100) b LEFT JOIN (SELECT DISTINCT row, col FROM wells) w ON w.row = a.range AND w.col = b.range")
+def wells_matrix(spark, d):
+    return tensor.wells_matrix(T.places(spark, d), 100, 100)
+
+
 @query(f"WITH {T.ACTIVITY}, m AS (SELECT i1, t, min(v) AS lo, max(v) AS hi FROM activity GROUP BY 1, 2) SELECT i0, i1, t, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v END, 6) AS v FROM activity JOIN m USING (i1, t)")
 def norm_per_frame(spark, d):
     return _r(stats.per_frame(T.activity(spark, d), "minmax", ["i1", "t"]).select("i0", "i1", "t", "v"))
@@ -279,7 +302,25 @@ def ci_summary(spark, d):
     return _r(stats.summary(e, ["i0"], ["error"]).select("i0", "error_mean", "error_std", "error_ci_lower", "error_ci_upper", "num_samples"))
 
 
-@query()
+def _blur_sql(n: int, name: str, sigma: float = 1.5, radius: int = 5) -> str:
+    """Weights of a Gaussian filter with mirrored borders: row i of the result takes u of row j."""
+    size = sum(math.exp(-0.5 * (o / sigma) ** 2) for o in range(-radius, radius + 1))
+    at = f"a.range + o.range"
+    mirrored = f"CASE WHEN {at} < 0 THEN -({at}) - 1 WHEN {at} >= {n} THEN {2 * n - 1} - ({at}) ELSE {at} END"
+    return f"{name} AS (SELECT a.range::INT AS i, ({mirrored})::INT AS j, sum(exp(-0.5::DOUBLE * (o.range / {sigma}::DOUBLE) ** 2) / {size!r}::DOUBLE) AS u FROM range({n}) a, range({-radius}, {radius + 1}) o GROUP BY 1, 2)"
+
+
+_MOMENTS = ", ".join(f"sum(p.u * q.u * {x}) AS {n}" for n, x in (("ma", "rec"), ("mb", "ref"), ("aa", "rec * rec"), ("bb", "ref * ref"), ("ab", "rec * ref")))
+_SSIM_SQL = (
+    f"WITH {PAIRS}, {_blur_sql(25, 'p')}, {_blur_sql(5, 'q')}, g AS (SELECT a.range::INT AS i0, b.range::INT AS i1, c.range::INT AS t FROM range(25) a, range(5) b, range({T.MONTHS}) c), "
+    "z AS (SELECT i0, i1, t, coalesce(rec, 0) AS rec, coalesce(ref, 0) AS ref FROM g LEFT JOIN pairs USING (i0, i1, t) WHERE t IN (SELECT t FROM pairs)), "
+    f"m AS (SELECT t, p.i AS i0, q.i AS i1, {_MOMENTS} FROM z JOIN p ON p.j = z.i0 JOIN q ON q.j = z.i1 WHERE p.i BETWEEN 2 AND 22 AND q.i = 2 GROUP BY 1, 2, 3), "
+    "c AS (SELECT *, 25 / 24::DOUBLE * (aa - ma * ma) AS va, 25 / 24::DOUBLE * (bb - mb * mb) AS vb, 25 / 24::DOUBLE * (ab - ma * mb) AS vab FROM m) "
+    "SELECT t, round(avg((2 * ma * mb + 0.012::DOUBLE) * (2 * vab + 0.032::DOUBLE) / ((ma * ma + mb * mb + 0.012::DOUBLE) * (va + vb + 0.032::DOUBLE))), 6) AS ssim FROM c GROUP BY t"
+)
+
+
+@query(_SSIM_SQL)
 def ssim_frames(spark, d):
     import pandas as pd
 
@@ -287,7 +328,7 @@ def ssim_frames(spark, d):
         a, b = decomposition.dense(t.assign(v=t["rec"]), {"i0": 25, "i1": 5}), decomposition.dense(t.assign(v=t["ref"]), {"i0": 25, "i1": 5})
         return pd.DataFrame({"t": t["t"].iloc[:1], "ssim": [K.ssim(a, b)]})
 
-    return _pairs(spark, d).groupBy("t").applyInPandas(run, "t int, ssim double")
+    return _r(_pairs(spark, d).groupBy("t").applyInPandas(run, "t int, ssim double"))
 
 
 # --- meshes ----------------------------------------------------------------------------------------
@@ -448,6 +489,38 @@ def hooi_fit(spark, d):
     return core.withColumn("error", F.lit(error))
 
 
+RANK_ONE = f"{T.SALES}, a AS (SELECT i0, avg(v) AS x FROM sales GROUP BY 1), b AS (SELECT i1, avg(v) AS y FROM sales GROUP BY 1), c AS (SELECT t, avg(v) AS z FROM sales GROUP BY 1), m AS (SELECT avg(v) AS w FROM sales)"
+
+
+def _rank_one(spark, d) -> DataFrame:
+    """The product of the sales' means along each axis: a tensor of rank one."""
+    s = T.sales(spark, d)
+    a, b, c = (s.groupBy(n).agg(F.avg("v").alias(m)) for n, m in (("i0", "x"), ("i1", "y"), ("t", "z")))
+    scaled = a.crossJoin(F.broadcast(s.agg(F.avg("v").alias("w"))))  # 25 x 1, then 5 and 84 rows
+    return scaled.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).select("i0", "i1", "t", (F.col("x") * F.col("y") * F.col("z") / (F.col("w") * F.col("w"))).alias("v"))
+
+
+@query(f"WITH {RANK_ONE} SELECT i0, i1, k.range::INT AS t, round(coalesce(x * y * z / (w * w), 0), 4) + 0.0::DOUBLE AS v FROM a, b, m, range({T.MONTHS}) k LEFT JOIN c ON c.t = k.range")
+def hooi_rank_one(spark, d):
+    """Decomposed with one rank an axis and rebuilt, a tensor of rank one is itself."""
+    return _r(decomposition.Decomposer(AXES, [1, 1, 1]).decompose(_rank_one(spark, d)).reconstruct().select("i0", "i1", "t", "v"), 4)
+
+
+@query(f"WITH {FULL} SELECT i0, i1, t, round(v, 6) + 0.0::DOUBLE AS v FROM dense")
+def hooi_full_rank(spark, d):
+    """With all ranks nothing is lost."""
+    return _r(decomposition.Decomposer(AXES, list(AXES.values())).decompose(_full(spark, d)).reconstruct().select("i0", "i1", "t", "v"))
+
+
+@query(f"WITH {CORE} SELECT CASE WHEN s.range = 0 THEN 'one' ELSE 'two' END AS subject, ca.row AS i0, cb.row AS i1, t, round((1 + s.range) * sum(v * ca.u * cb.u), 4) + 0.0::DOUBLE AS v FROM core JOIN ca ON ca.rank = i0 JOIN cb ON cb.rank = i1, range(2) s GROUP BY s.range, ca.row, cb.row, t")
+def modes_by_subject(spark, d):
+    core = tensor.multiply(T.sales(spark, d), _dct(spark), True).select("i0", "i1", "t", "v")
+    cores = core.withColumn("subject", F.lit("one")).unionByName(core.withColumn("v", 2 * F.col("v")).withColumn("subject", F.lit("two")))
+    named = [u.withColumn("axis", F.lit(n)) for n, u in _dct(spark).items() if n != "t"]
+    factors = named[0].unionByName(named[1]).crossJoin(spark.createDataFrame([("one",), ("two",)], "subject string"))
+    return _r(decomposition.modes_by_subject(cores, factors, ["i0", "i1", "t"]), 4)
+
+
 @query()
 def hooi_subjects(spark, d):
     n = T.read(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
@@ -478,14 +551,26 @@ def _placed(spark, p: placement.Placement) -> DataFrame:
     return spark.createDataFrame([(i, c, s) for i, (c, s) in enumerate(zip(p.cells, p.scores))], "step int, cell long, score double")
 
 
-@query()
+def _pivots_sql(steps: int) -> str:
+    """Greedy pivots: the longest remaining tube, whose direction is then taken out of the others."""
+    norm = "sqrt(list_inner_product(tube, tube))"
+    return (
+        "WITH RECURSIVE s(step, cell, tube) AS (SELECT 0, vec_id::BIGINT, list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings UNION ALL "
+        "SELECT s.step + 1, s.cell, list_transform(list_zip(s.tube, p.tube), lambda z: z[1] - z[2] * list_inner_product(s.tube, p.tube) / list_inner_product(p.tube, p.tube)) "
+        f"FROM s, (SELECT cell, tube FROM s ORDER BY round({norm}, 9) DESC, cell LIMIT 1) p WHERE s.cell <> p.cell AND s.step < {steps - 1}) "
+        f"SELECT step, cell, round({norm}, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY step ORDER BY round({norm}, 9) DESC, cell) = 1"
+    )
+
+
+@query(_pivots_sql(20))
 def qr_placement(spark, d):
-    return _placed(spark, placement.place(T.embeddings(spark, d), 20))
+    return _r(_placed(spark, placement.place(T.embeddings(spark, d), 20)), 5)
 
 
-@query()
+@query(_pivots_sql(20))
 def qr_distributed(spark, d):
-    return _placed(spark, placement.place(T.embeddings(spark, d), 5, small=0))
+    """The same pivots, found in passes over the rows."""
+    return _r(_placed(spark, placement.place(T.embeddings(spark, d), 20, small=0)), 5)
 
 
 def _basis(spark, d, r: int = 10) -> DataFrame:
@@ -501,6 +586,63 @@ def qr_uniform(spark, d):
     return _placed(spark, placement.place(_basis(spark, d), 10, opt=placement.Options(uniform=True, shape=[25, 5])))
 
 
+_AXIS_COUNTS = [f"len(list_filter(chosen, lambda x: {e('x')} = {e('cell')}))" for e in (lambda c: f"({c} // 16)", lambda c: f"(({c} // 4) % 4)", lambda c: f"({c} % 4)")]
+_UNIFORM_SQL = (
+    "WITH RECURSIVE s(step, cell, tube, chosen) AS (SELECT 0, vec_id::BIGINT, list_transform(embedding, lambda x: x::DOUBLE), []::BIGINT[] FROM embeddings UNION ALL "
+    "SELECT s.step + 1, s.cell, list_transform(list_zip(s.tube, p.tube), lambda z: z[1] - z[2] * list_inner_product(s.tube, p.tube) / list_inner_product(p.tube, p.tube)), list_append(s.chosen, p.cell) "
+    "FROM s, (SELECT cell, tube FROM (SELECT cell, tube, {score} AS score FROM s) ORDER BY round(score, 9) DESC, cell LIMIT 1) p WHERE s.cell <> p.cell AND s.step < 9) "
+    "SELECT step, cell, round(score, 5) AS score FROM (SELECT step, cell, {last} AS score FROM s) QUALIFY row_number() OVER (PARTITION BY step ORDER BY round(score, 9) DESC, cell) = 1"
+)
+_NORM = "sqrt(list_inner_product(tube, tube))"
+_CROWDED = f"CASE WHEN len(chosen) = 0 THEN 0 ELSE greatest(0, {_AXIS_COUNTS[2]} - len(chosen) / 4::DOUBLE) * 0.8::DOUBLE + ({' + '.join(_AXIS_COUNTS)})::DOUBLE / len(chosen) * 0.5::DOUBLE END"
+
+
+@query(_UNIFORM_SQL.format(score=f"{_NORM} - max({_NORM}) OVER () * ({_CROWDED})", last=f"{_NORM} - max({_NORM}) OVER (PARTITION BY step) * ({_CROWDED})"))
+def qr_uniform_passes(spark, d):
+    """Even spreading on a grid of three axes, found in passes over the rows."""
+    t = T.embeddings(spark, d)
+    layers = t.agg(F.floor(F.max("cell") / 16) + 1).first()[0]
+    return _r(_placed(spark, placement.place(t, 10, opt=placement.Options(uniform=True, shape=[layers, 4, 4]), small=0)), 5)
+
+
+_W = {"gradient": 4, "amplitude": 5, "energy": 6}
+
+
+def _geometry_sql(steps: int) -> str:
+    """Pivots by sums of magnitudes with weights and a penalty near sensors; tubes are reflected step by step."""
+    def scored(source: str, over: str) -> str:
+        base = f"SELECT *, list_sum(list_transform(tube, lambda x: abs(x))) AS s0, CASE WHEN isinf(dmin) THEN 0 ELSE exp(-dmin / (2 + 1e-10::DOUBLE)) END AS near FROM {source}"
+        for k, term in enumerate(("0.5::DOUBLE * g", "1.0::DOUBLE * a", "0.5::DOUBLE * e", "-1.0::DOUBLE * near")):
+            base = f"SELECT *, s{k} + max(s{k}) OVER ({over}) * {term} AS s{k + 1} FROM ({base})"
+        return base
+
+    u = "list_transform(list_zip(p.tube, range(len(p.tube))), lambda z: (z[1] + CASE WHEN z[2] = 0 THEN (CASE WHEN abs(p.tube[1]) < 1e-6 THEN 1 ELSE sign(p.tube[1]) END) * p.norm ELSE 0 END) / sqrt(2 * p.norm * (p.norm + abs(p.tube[1]))))"
+    return (
+        "WITH RECURSIVE s(step, cell, tube, x, y, g, a, e, dmin) AS (SELECT 0, vec_id::BIGINT, list_transform(embedding, lambda v: v::DOUBLE), embedding[1]::DOUBLE * 10, embedding[2]::DOUBLE * 10, "
+        "abs(embedding[4]::DOUBLE), abs(embedding[5]::DOUBLE), abs(embedding[6]::DOUBLE), 'inf'::DOUBLE FROM embeddings UNION ALL "
+        "SELECT s.step + 1, s.cell, list_transform(list_zip(s.tube, p.u), lambda z: z[1] - 2 * z[2] * list_inner_product(s.tube, p.u))[2:], s.x, s.y, s.g, s.a, s.e, least(s.dmin, sqrt((s.x - p.x) ** 2 + (s.y - p.y) ** 2)) "
+        f"FROM s, (SELECT *, {u} AS u FROM (SELECT cell, tube, x, y, sqrt(list_inner_product(tube, tube)) AS norm FROM ({scored('s', '')}) ORDER BY round(s4, 9) DESC, cell LIMIT 1) p) p WHERE s.cell <> p.cell AND s.step < {steps - 1}) "
+        f"SELECT step, cell, round(s4, 5) AS score FROM ({scored('s', 'PARTITION BY step')}) QUALIFY row_number() OVER (PARTITION BY step ORDER BY round(s4, 9) DESC, cell) = 1"
+    )
+
+
+def _weighted(spark, d) -> DataFrame:
+    t = T.embeddings(spark, d)
+    at = F.array(F.col("tube")[0] * 10, F.col("tube")[1] * 10)
+    return t.select("cell", "tube", at.alias("coord"), *[F.abs(F.col("tube")[k - 1]).alias(n) for n, k in _W.items()])
+
+
+@query(_geometry_sql(8))
+def qr_geometry_dense(spark, d):
+    return _r(_placed(spark, placement.place(_weighted(spark, d), 8, opt=placement.Options(geometry=True))), 5)
+
+
+@query(_geometry_sql(8))
+def qr_geometry_passes(spark, d):
+    """The same placement, found in passes over the rows."""
+    return _r(_placed(spark, placement.place(_weighted(spark, d), 8, opt=placement.Options(geometry=True), small=0)), 5)
+
+
 @query()
 def qr_geometry(spark, d):
     cells, edges = _cells(spark, d), _edges(spark)
@@ -536,6 +678,58 @@ def _sensing(spark, d, cfg=K.Sensing(), matrix=None):
     return basis, truth, sensing.sense(basis, sensors, truth, ["t"], 10, cfg, matrix)
 
 
+_ORTHONORMAL = f"{FULL}, {_cos(25, 3, 'a')}, {_cos(5, 3, 'b')}, u AS (SELECT a.row AS i0, b.row AS i1, a.rank AS k, a.u * b.u AS u FROM a JOIN b USING (rank)), y AS (SELECT t, k, sum(v * u) AS y FROM dense JOIN u USING (i0, i1) GROUP BY 1, 2), x AS (SELECT t, k, sign(y) * greatest(abs(y) - 0.01::DOUBLE, 0) / (1 + 1e-8::DOUBLE) AS x FROM y)"
+_TIGHT = K.Sensing(tol=1e-10, max_iter=5000)
+
+
+def _months(spark, d) -> DataFrame:
+    """t, cell, v of the months that have sales: an empty field has no relative error."""
+    return tensor.flatten(_full(spark, d).join(T.sales(spark, d).select("t").distinct(), "t", "left_semi"), {"i0": 25, "i1": 5})
+
+
+def _cosines(spark) -> DataFrame:
+    """An orthonormal basis of three modes, for which sparse recovery from all cells is a soft threshold."""
+    return tensor.tubes(decomposition.standard_dictionary(generators.cosine_factor(spark, 25, 3), generators.cosine_factor(spark, 5, 3), 5), ["cell"], 3, "k")
+
+
+@query(f"WITH {_ORTHONORMAL} SELECT t, k::INT AS k, round(x, 4) + 0.0::DOUBLE AS x FROM x")
+def cs_orthonormal(spark, d):
+    basis = _cosines(spark)
+    solved = sensing.sense(basis, basis.select("cell"), tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5}), ["t"], 3, _TIGHT)
+    return _r(solved.select("t", F.posexplode("x").alias("k", "x")), 4)
+
+
+_SWEPT = f"{_ORTHONORMAL}, rec AS (SELECT t, i0, i1, sum(x * u) AS rec FROM x JOIN u USING (k) GROUP BY 1, 2, 3), f AS (SELECT t, sqrt(sum((rec - v) ** 2)) / sqrt(sum(v ** 2)) AS error, avg((rec - v) ** 2) AS mse, 20 * log10((max(v) - min(v)) / sqrt(avg((rec - v) ** 2))) AS psnr FROM rec JOIN dense USING (t, i0, i1) WHERE t IN (SELECT t FROM sales) GROUP BY t)"
+_SUMMED = ", ".join(f"round(avg({n}), 4) AS {n}_mean, round(stddev_samp({n}), 4) AS {n}_std, round(avg({n}) - 1.96::DOUBLE * stddev_samp({n}) / sqrt(count(*)), 4) AS {n}_ci_lower, round(avg({n}) + 1.96::DOUBLE * stddev_samp({n}) / sqrt(count(*)), 4) AS {n}_ci_upper" for n in ("error", "psnr", "mse"))
+
+
+@query(f"WITH {_SWEPT} SELECT 125 AS sensors, {_SUMMED}, count(*) AS num_samples FROM f")
+def sweep_all_cells(spark, d):
+    """A sweep whose one set of sensors is every cell, on the orthonormal basis."""
+    basis, truth = _cosines(spark), _months(spark, d)
+    cfg = experiments.Config(tol=1e-10, max_iter=5000, delta=1.0)
+    out = experiments.sweep(basis, truth, ["t"], 3, [CELLS], cfg, lambda n: basis.select("cell"), (25, 5))
+    return _r(out.drop(*[c for c in out.columns if c.startswith("ssim")]), 4)
+
+
+@query(f"WITH {_SWEPT} SELECT basis, placement, round(avg(sqrt(mse)), 4) AS rmse, round(avg(error), 4) AS error FROM f, (VALUES ('cosines', 'all'), ('cosines', 'again')) n(basis, placement) GROUP BY 1, 2")
+def cross_cases(spark, d):
+    """Bases against sets of sensors."""
+    basis, truth = _cosines(spark), _months(spark, d)
+    sets = {"all": basis.select("cell"), "again": basis.select("cell").unionByName(basis.select("cell"))}
+    table = experiments.cases({"cosines": (basis, 3)}, sets, truth, ["t"], experiments.Config(tol=1e-10, max_iter=5000, delta=1.0), (25, 5))
+    return _r(table.select("basis", "placement", "rmse", "error"), 4)
+
+
+@query(f"WITH {_ORTHONORMAL}, o AS (SELECT t, (SELECT sum(v * v) FROM dense g WHERE g.t = x.t) AS yy, sum(x * x) AS xx, sum(x * y) AS xy, sum(abs(x)) AS l FROM x JOIN y USING (t, k) GROUP BY t) SELECT t, 0.01::DOUBLE AS epsilon, round(0.5::DOUBLE * (xx - 2 * xy + yy) + 0.01::DOUBLE * l, 2) AS objective FROM o")
+def grid_search_best(spark, d):
+    """Of two weights of sparsity, the smaller gives the lesser objective in every month."""
+    basis = _cosines(spark)
+    sides = sensing.right_sides(basis, tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5}), ["t"])
+    table = experiments.grid_search(sides, sensing.gram(basis, 3), ["t"], [0.5, 0.01], [0.95])
+    return _r(table.filter("place = 1").select("t", "epsilon", "objective"), 2)
+
+
 @query()
 def cs_solve(spark, d):
     return _sensing(spark, d)[2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+import sys
 
 import numpy as np
 import pandas as pd
@@ -119,9 +120,28 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 META_COLUMNS = 4
 
 
-def read_static(spark: SparkSession, path: str) -> DataFrame:
+def _payload(content: bytes) -> np.ndarray:
+    return pd.read_csv(io.BytesIO(content)).iloc[:, META_COLUMNS:].fillna(0).to_numpy(float)
+
+
+def bad_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, reason of the CSV files that can't be parsed."""
+
+    def run(batches):
+        for t in batches:
+            for p, content in zip(t["path"], t["content"]):
+                try:
+                    _payload(content)
+                except (ValueError, UnicodeDecodeError) as e:
+                    yield pd.DataFrame({"path": [p], "reason": [str(e)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, reason string")
+
+
+def read_static(spark: SparkSession, path: str, skip_bad: bool = True) -> DataFrame:
     """subject, step, row, col, v of CSV files: four metadata columns, then the payload; missing values are 0.
-    Rows keep their order in the file, so one file is read by one task."""
+    Rows keep their order in the file, so one file is read by one task. A file that can't be parsed is skipped, with a
+    message in its task's log, unless ``skip_bad`` is off; ``bad_files`` lists those."""
     files = spark.read.format("binaryFile").load(path)
 
     def run(batches):
@@ -130,7 +150,13 @@ def read_static(spark: SparkSession, path: str) -> DataFrame:
                 name = posixpath.basename(p)
                 if posixpath.splitext(name)[1].lower() != ".csv":
                     raise ValueError(f"unknown format: {p}")
-                x = pd.read_csv(io.BytesIO(content)).iloc[:, META_COLUMNS:].fillna(0).to_numpy(float)
+                try:
+                    x = _payload(content)
+                except (ValueError, UnicodeDecodeError) as e:  # pandas' parser errors are ValueErrors
+                    if not skip_bad:
+                        raise
+                    print(f"skipped {p}: {e}", file=sys.stderr)
+                    continue
                 i, j = np.indices(x.shape)
                 yield pd.DataFrame({"subject": posixpath.splitext(name)[0], "step": S.step_of(name), "row": i.ravel(), "col": j.ravel(), "v": x.ravel()})
 
@@ -170,14 +196,24 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wells(spark: SparkSession, path: str) -> DataFrame:
-    """subject, well_idx, row, col of a JSON file {case: [[i, j], ...]}; entries of another form are left out."""
+    """subject, well_idx, row, col of a JSON file {case: [[i, j], ...]} or {case: [{"x": i, "y": j}, ...]}; entries of
+    another form are left out."""
     text = spark.read.text(path, wholetext=True)
-    cases = text.select(F.explode(F.from_json("value", "map<string,array<array<int>>>")).alias("subject", "wells"))
-    return cases.select("subject", F.posexplode("wells").alias("well_idx", "w")).filter(F.size("w") >= 2).select("subject", F.col("well_idx").cast("long"), F.col("w")[0].alias("row"), F.col("w")[1].alias("col"))
+    cases = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("subject", "wells"))
+    each = cases.select("subject", F.posexplode("wells").alias("well_idx", "w"))
+    pair = F.from_json("w", "array<int>")
+    row, col = (F.coalesce(F.try_element_at(pair, F.lit(k + 1)), F.get_json_object("w", f"$.{n}").cast("int")) for k, n in enumerate("xy"))
+    return each.select("subject", F.col("well_idx").cast("long"), row.alias("row"), col.alias("col")).filter("row is not null and col is not null")
 
 
 def parse_wells(text: str) -> dict[str, list[list[int]]]:
-    return {k: [list(map(int, p[:2])) for p in v if len(p) >= 2] for k, v in json.loads(text).items()}
+    pairs = lambda v: [[int(p["x"]), int(p["y"])] if isinstance(p, dict) else list(map(int, p[:2])) for p in v if (isinstance(p, dict) and {"x", "y"} <= set(p)) or (isinstance(p, list) and len(p) >= 2)]
+    return {k: pairs(v) for k, v in json.loads(text).items()}
+
+
+def list_keys(coo: DataFrame) -> DataFrame:
+    """The subjects of a table, in order."""
+    return coo.select("subject").distinct().orderBy("subject")
 
 
 def load_fields(spark: SparkSession, pressure: str, soil: str) -> DataFrame:
