@@ -274,14 +274,23 @@ def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray)
         near += rows[:m]
         width = m * BUCKETS
         q = np.take((ones[:width] / every[:width]).astype(np.float32), near, mode="clip")
-        real, up = bit < 2, bit == 1
         q += p
         q *= np.float32(0.5)
-        total[:m] += np.log(np.where(up, q, np.where(real, 1 - q, np.float32(1)))).sum(axis=1, dtype=np.float64)
-        miss = (up - p) * real
+        q -= bit == 0  # its magnitude is now the probability of the way taken
+        np.abs(q, out=q)
+        miss = np.subtract(bit, p, out=p)
+        pads = np.flatnonzero(steps[:m] == s + 1)  # windows whose last step this is may end early
+        if len(pads):
+            early = bit[pads] == 2
+            q[pads] = np.where(early, np.float32(1), q[pads])
+            miss[pads] = np.where(early, np.float32(0), miss[pads])
+        total[:m] += np.log(q, out=q).sum(axis=1, dtype=np.float64)
         weights[:m] += np.float32(RATE) * np.matmul((gate[:, None] == gates) * miss[:, None], logit.transpose(0, 2, 1))
-        every[:width] += np.bincount(near[real], minlength=width)
-        ones[:width] += np.bincount(near[up], minlength=width)
+        near *= 3
+        near += bit
+        found = np.bincount(near.reshape(-1), minlength=3 * width).reshape(-1, 3)
+        every[:width] += found[:, 0] + found[:, 1]
+        ones[:width] += found[:, 1]
     out = np.zeros(n)
     out[order] = total
     return out
