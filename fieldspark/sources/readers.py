@@ -125,7 +125,7 @@ def _payload(content: bytes) -> np.ndarray:
 
 
 def bad_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, reason of the CSV files that can't be parsed."""
+    """path, reason of the CSV files that can't be parsed. Spark itself passes over empty files."""
 
     def run(batches):
         for t in batches:
