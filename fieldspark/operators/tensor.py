@@ -67,7 +67,7 @@ def stack_channels(fields: list[DataFrame]) -> DataFrame:
 
 def stack_subjects(coo: DataFrame, lengths: DataFrame, along: str = "t") -> DataFrame:
     """Subjects one after another along the last axis. ``lengths`` (subject, place, n) gives order and size; it has a row a subject."""
-    before = F.coalesce(F.sum("n").over(Window.orderBy("place").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a subject
+    before = F.sum("n").over(Window.orderBy("place")) - F.sum("n").over(Window.partitionBy("place"))  # one row a subject
     return coo.join(lengths.select("subject", before.alias("offset")), "subject").withColumn(along, (F.col(along) + F.col("offset")).cast("int")).drop("offset")
 
 

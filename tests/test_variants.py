@@ -161,3 +161,9 @@ def test_tubes_with_gaps(spark):
     c = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0), (1, 2, 5.0), (2, 1, None)], "cell long, t int, v double")
     got = {r["cell"]: r["tube"] for r in tensor.tubes(c, ["cell"], 3).collect()}
     assert got == {0: [1.0, 2.0, 3.0], 1: [0.0, 0.0, 5.0], 2: [0.0, 0.0, 0.0]}
+
+
+def test_subjects_stand_one_after_another(spark):
+    c = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("b", 1, 3.0), ("c", 0, 4.0)], "subject string, t int, v double")
+    lengths = spark.createDataFrame([("c", 2, 1), ("a", 0, 1), ("b", 1, 2)], "subject string, place long, n long")
+    assert [(r["t"], r["v"]) for r in tensor.stack_subjects(c, lengths).orderBy("t").collect()] == [(0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)]
