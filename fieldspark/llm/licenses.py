@@ -6,6 +6,9 @@ bigrams: 2 * shared / (unit's + template's), a unit's bigrams counted with repea
 template's once. For a threshold d a template of b bigrams can only match units of
 d / (2 - d) * b to (2 - d) / d * b bigrams, so most units and templates part on size alone.
 
+``notices`` finds templates anywhere in a text instead, wrapped over lines or within one: of all windows of
+consecutive words, the one of the highest Dice for each template.
+
 Null and empty texts have no hits. Rows are independent; other columns are ignored.
 """
 
@@ -73,6 +76,48 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     )
 
 
+def notices(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document and template that some window of consecutive words matches: doc_id, license, the best window's
+    first_word and last_word (from 1) and dice; ties go to the window that begins, then ends, first.
+
+    A bigram at either end that is none of the template's only lowers a window's Dice, so windows from one
+    of the template's bigrams to another are all that is needed, and size bounds cut these short. Documents
+    without a match have no row, repeated rows have theirs each, long texts are read whole."""
+    table = [(name, b, *bounds(len(b), threshold)) for name, b in ((name, _bigrams(t)) for name, t in templates.items()) if b]
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    every = sorted({g for _, b, _, _ in table for g in b})
+
+    def let(value, f):
+        """f(value), computed once: bound by a lambda, as a column's expression may be put in for its name."""
+        return F.transform(F.array(value), f)[0]
+
+    def pairs(w):
+        whole = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)).alias("g")))
+        return F.filter(whole, lambda x: x["g"].isin(every))
+
+    def window(near, x, b, low):
+        """The best window from the bigram x over those of the template that are near behind it, x the first of them."""
+
+        def longer(best, y):
+            seen = F.array_union(best["seen"], F.array(y["g"]))
+            d = 2.0 * F.size(seen) / (y["at"] - x["at"] + 1 + len(b))
+            return F.struct(F.greatest(best["d"], d).alias("d"), F.when(d > best["d"], y["at"] + 1).otherwise(best["last"]).alias("last"), seen.alias("seen"))
+
+        none = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("last"), F.array().cast("array<string>").alias("seen"))
+        tried = F.when(2 * F.size(near) >= threshold * (low + len(b)) - 1e-9, F.aggregate(near, none, longer)).otherwise(none)
+        return let(tried, lambda t: F.struct(t["d"].alias("d"), (-x["at"]).alias("first"), t["last"].alias("last")))
+
+    def best_of(some, name, b, low, high):
+        def best(own):
+            return F.array_max(F.transform(own, lambda x, i: let(F.filter(F.slice(own, i + 1, high), lambda y: y["at"] < x["at"] + high), lambda near: window(near, x, b, low))))
+
+        return F.struct(F.lit(name).alias("license"), let(F.filter(some, lambda x: x["g"].isin(b)), best).alias("w"))
+
+    best = let(let(words, pairs), lambda some: F.filter(F.array(*[best_of(some, *t) for t in table]), lambda f: f["w"]["d"] >= threshold))
+    found = docs.select("doc_id", F.explode_outer(best).alias("f")).filter("f is not null")
+    return found.select("doc_id", "f.license", (-F.col("f.w.first")).alias("first_word"), F.col("f.w.last").alias("last_word"), F.round("f.w.d", 6).alias("dice"))
+
+
 def sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL, by brute force: every unit against every template, without bounds."""
     rows = ", ".join(f"({k}, '{name}', [{', '.join(repr(g) for g in _bigrams(t))}])" for k, (name, t) in enumerate(templates.items()))

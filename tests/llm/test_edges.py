@@ -53,6 +53,45 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_notices_anywhere(spark, docs, none):
+    """Wrapped and embedded notices against every window of every text."""
+    import random
+    import re
+
+    rng, pool = random.Random(5), list(licenses.TEMPLATES.values())
+    noise = "the of license software under terms with public and version general use copy".split()
+    texts = [None, "", "License", "Redistribution and use in source and\nbinary forms, with or without modification, are\npermitted provided that the following conditions are met:"]
+    for i in range(60):
+        inside = pool[i % len(pool)].split()
+        for _ in range(rng.randrange(4)):
+            inside[rng.randrange(len(inside))] = rng.choice(noise)
+        inside = inside * (2 if i % 7 == 0 else 1)
+        whole = rng.choices(noise, k=rng.randrange(40)) + inside + rng.choices(noise, k=rng.randrange(40))
+        texts.append("".join(w + rng.choice(" \n") for w in whole))
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
+    got = {(r["doc_id"], r["license"]): (r["first_word"], r["last_word"], r["dice"]) for r in licenses.notices(d).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for name, template in licenses.TEMPLATES.items():
+            b = set(licenses._bigrams(template))
+            best = (0.0, 0, 0)
+            for s in range(len(grams)):
+                seen = set()
+                for e in range(s, len(grams)):
+                    if grams[e] in b:
+                        seen.add(grams[e])
+                    v = 2.0 * len(seen) / (e - s + 1 + len(b))
+                    if v > best[0]:
+                        best = v, s + 1, e + 2
+            if best[0] >= licenses.THRESHOLD:
+                want[i, name] = best[1], best[2], round(best[0], 6)
+    assert (3, "BSD-3-Clause") in want and len(want) > 40
+    assert got == want
+    assert licenses.notices(none).count() == 0 and licenses.notices(docs).count() >= 0
+
+
 def test_license_matches(spark):
     d = spark.createDataFrame([(1, "some other line\nReleased under the MIT license\nand one more line"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under the moon"), (4, "released under the mit  LICENSE!")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_hits"], r["license"]) for r in licenses.scan(d).collect()}
