@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import ann, bpe, langid, licenses, lmscore, media, mixing, neardup, pii, quality
+from fieldspark.llm import ann, bpe, langid, licenses, lmscore, media, mixing, neardup, pii, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(_read(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup)}
+    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
