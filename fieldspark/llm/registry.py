@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import ann, bpe, divergence, langid, licenses, lmscore, media, mixing, neardup, pii, quality, suffixes
+from fieldspark.llm import ann, bpe, divergence, langid, licenses, lmscore, media, mixing, neardup, negatives, pii, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +60,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(negatives.usable(_read(spark, sf_dir, "embeddings"))))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup, op11_suffix_dedup, op13_divergence)}
+    return {f.__name__: f for f in (op1_licenses, op2_pii, op3_language, op4_bpe, op5_lm_score, op6_mixing, op7_neighbours, op8_quality, op9_media, op10_neardup, op11_suffix_dedup, op12_hard_negatives, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.sql(), "op6_mixing": mixing.SQL, "op13_divergence": divergence.SQL}
+    return {"op1_licenses": licenses.sql(), "op6_mixing": mixing.SQL, "op12_hard_negatives": negatives.SQL, "op13_divergence": divergence.SQL}
