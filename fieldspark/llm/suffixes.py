@@ -14,7 +14,7 @@ or in the same document further left. Strings are judged on the input, not on wh
    occurrences of different contexts with the same beginning: mostly the ends of repeated passages.
 3. These suffixes get their texts and are range-partitioned by their leading bytes. A bucket sorts its strings by multikey
    quicksort, whose characters are eight bytes: a string that no other equals so far is dropped at each
-   step. Strings of a bucket's first and last beginnings are again compared across boundaries, by fingerprints of 128 bits.
+   step. Strings that begin like a bucket's first or last suffix are again compared across boundaries, by fingerprints of 128 bits.
 
 Contexts count as equal if two fingerprints of 64 bits are, of the beginning and of the whole; all else compares texts.
 The sample (SAMPLE documents) only places the splitters and changes no result. Texts travel compressed.
@@ -280,6 +280,18 @@ def equal_strings(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: i
     return live, group
 
 
+def _common(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: np.ndarray, other: int, most: int) -> np.ndarray:
+    """For each row, how many first bytes of its suffix the row ``other`` shares, ``most`` at most; 0 for those not in ``rows``."""
+    out = np.zeros(len(begin), np.int64)
+    m = min(most, int(size[other]))
+    for s in range(0, len(rows), 4096):
+        x = rows[s : s + 4096]
+        where = np.minimum(begin[x][:, None] + np.arange(m), len(data) - 1)
+        differs = data[where] != data[begin[other] : begin[other] + m]
+        out[x] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), m), size[x])
+    return out
+
+
 def _strings(batches, length: int, lead: int):
     """Within a bucket of suffixes with their texts: marks of repeated strings, and strings that may be met elsewhere, by fingerprints."""
     power = _powers_to(length)[0][:length]
@@ -310,7 +322,13 @@ def _strings(batches, length: int, lead: int):
         yield _rows_out(np.full(len(md), MARK), mlo, mend, md, mt, np.zeros(len(md), np.int64))
         known = np.zeros(len(row), bool)
         known[live[late]] = True
-        ask = np.flatnonzero(opens[row] & ~known)
+        # Strings met elsewhere lie, in the order of suffixes, beyond this table's first or last row, whose suffix so begins as they do.
+        right = length - (nl[row] - j)
+        beyond = np.zeros(len(row), bool)
+        for end in (0, len(doc) - 1):
+            at_end = np.flatnonzero((cls == cls[end]) & opens)
+            beyond |= right <= _common(data, begin + nl, size - nl, at_end, end, length)[row]
+        ask = np.flatnonzero(beyond & ~known)
         for s in range(0, len(ask), 1 << 16):
             x = ask[s : s + (1 << 16)]
             where = at[x][:, None] + np.arange(length)
