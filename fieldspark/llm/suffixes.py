@@ -5,7 +5,7 @@ or in the same document further left. Strings are judged on the input, not on wh
 
 1. Every string of LENGTH bytes owns one suffix: the one in it whose first LEAD bytes hash least (the
    leftmost of equals). So equal strings own suffixes with equal beginnings, at the same place of
-   the string, and only about one suffix in thirty bytes is needed. The strings that own the same suffix
+   the string, and only about one suffix in 24 bytes is needed. The strings that own the same suffix
    of a text are a run; the bytes they cover are its context.
 2. Sampled splitters range-partition the suffixes by the fingerprint of their first LEAD bytes, then of their
    context, so that a common beginning is split too. Contexts met before are repeated as a whole: within
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from fieldspark.llm import store
 from fieldspark.llm.shingles import _powers_to, scramble
 
-LENGTH, LEAD = 100, 32
+LENGTH, LEAD = 100, 52
 #: Documents for the splitters, suffixes of each; rows a task holds before it compares them; bytes and windows worked on at once.
 SAMPLE, OF_EACH, HELD, PIECE, CONTEXTS = 2000, 64, 300_000, 1 << 20, 20_000
 _U = np.uint64

@@ -58,7 +58,7 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("length,lead", [(100, 32), (40, 16)])
+@pytest.mark.parametrize("length,lead", [(100, 52), (100, 32), (40, 16)])
 def test_against_every_string(spark, length, lead):
     rows = cases()
     assert found(suffixes.digest(frame(spark, rows), length, lead)) == brute(rows, length)
