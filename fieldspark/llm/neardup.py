@@ -108,7 +108,7 @@ def most_flipped(percent: int = THRESHOLD, deviations: float = 5.5) -> int:
     return math.ceil(mean + deviations * math.sqrt(BITS) / 8)
 
 
-SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>, row long"
 
 
 def _node(h: np.ndarray) -> int:
@@ -117,7 +117,7 @@ def _node(h: np.ndarray) -> int:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per document: size and identity of its set, band keys and odd sketch."""
+    """Per document: size and identity of its set, band keys and odd sketch, and a hash of its text, which with doc_id names the row."""
 
     def run(batches):
         for b in batches:
@@ -135,9 +135,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 for values, width in ((band_keys(m).view(np.int64), BANDS), (odd_sketches(m), BITS // 64)):
                     ends = np.concatenate(([0], np.cumsum(some * width))).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel(), pa.int64())))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *lists, part.column(2)], names=["doc_id", "n_shingles", "node", "bands", "sketch", "row"])
 
-    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, SIGNED)
+    return store.in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("row")), run, SIGNED)
 
 
 SETS = "node long, set binary, level int, fine binary"
@@ -307,3 +307,17 @@ def deduplicate(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(by_node, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keepers(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, row (xxhash64 of the text), repeated (whether several rows are equal in both): one row of each group, of the least doc_id,
+    then hash, nulls last; and every row without words, which is in no group."""
+    signed, comps = links(docs, percent)
+    some = signed.filter("n_shingles > 0")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    own = some.groupBy("node").agg(F.min(name).alias("best"))
+    best = own.join(comps, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.doc_id", "best.row")
+    twice = some.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    best = best.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    none = signed.filter("n_shingles = 0").select("doc_id", "row").distinct()
+    return store.table(best.select("doc_id", "row", F.col("_row").isNotNull().alias("repeated")).unionByName(none.withColumn("repeated", F.lit(False))), "kept")
