@@ -22,15 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group. Rows without a doc_id stay; rows equal in
-    doc_id and text count as one."""
-    kept = neardup.deduplicate(docs).filter("kept and doc_id is not null").select("doc_id")
-    once = store.table(kept, "kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    whole = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    out = whole.join(once, "doc_id")
-    if once.filter("rows > 1").limit(1).count():
-        out = out.filter("rows = 1").unionByName(out.filter("rows > 1").dropDuplicates(["doc_id", "text"]))
-    return out.select("row.*").unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group: of the least doc_id, where that repeats of the least hash of the text, rows without a doc_id
+    last. Rows are told apart by doc_id and text; of equal ones in both one stays. Rows without words are in no group and stay."""
+    kept = neardup.keepers(docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("repeated").alias("_repeated"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    out = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row")))
+    if kept.filter("_repeated").limit(1).count():
+        out = out.filter("not _repeated").unionByName(out.filter("_repeated").dropDuplicates(["_id", "_row"]))
+    return out.select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
