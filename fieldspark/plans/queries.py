@@ -527,17 +527,6 @@ def hooi_subjects(spark, d):
     return decomposition.per_subject(T.shipments(spark, d), {"i0": int(n), "t": T.MONTHS}, [4, 4])
 
 
-def _grid_laplacian(spark, shape: list[int]) -> tuple:
-    t = graph.laplacian(graph.grid_edges(spark, shape), graph.grid_vertices(spark, shape), True).toPandas()
-    return t["src"].to_numpy(), t["dst"].to_numpy(), t["l"].to_numpy()
-
-
-@query()
-def geometry_tucker(spark, d):
-    s = tensor.flatten(T.sales(spark, d), {"i0": 25, "i1": 5}).withColumn("subject", F.lit("sales"))
-    return decomposition.per_subject(s, {"cell": CELLS, "t": T.MONTHS}, [5, 5], edges=_grid_laplacian(spark, [25, 5]))
-
-
 # --- placement and sensing --------------------------------------------------------------------------
 
 
