@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list = []
 _held: list = []
+_asked: list = []
 
 
 def held(key, make):
-    """What ``make`` gives for ``key``, kept in this process until another key is asked for: a worker that
-    serves one operator after another holds one model."""
+    """What ``make`` gives for ``key``, kept in this process until another key is asked for, or a task of ``in_arrow`` ends that
+    asked for none: a worker that serves one operator after another holds one model, and none that it has done with."""
+    _asked[:] = [key]
     if not _held or _held[0] != key:
         _held.clear()
         _held[:] = key, make()
@@ -96,7 +98,10 @@ def in_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
             df.sparkSession.conf.set(name, small)
 
     def whole(batches):
+        _asked.clear()
         yield from run(batches)
+        if not _asked:
+            _held.clear()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(Exception):  # not every system has it
             ctypes.CDLL(None).malloc_trim(0)
