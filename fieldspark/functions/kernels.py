@@ -180,7 +180,8 @@ def stop_residual(it, primal, dual, cfg, history) -> bool:
 
 
 def stop_relative(it, primal, dual, cfg, history) -> bool:
-    if len(history) <= cfg.window:
+    """Little progress of the residuals over a window of rounds."""
+    if it <= cfg.window or len(history) < cfg.window:
         return False
     then, now = history[-cfg.window], history[-1]
     return (then - now) / max(then, 1e-12) < cfg.drop
@@ -229,8 +230,10 @@ class Solver:
                 lhs = lhs + self.reg * np.eye(len(b))
                 try:
                     if self.kind == "cholesky":
-                        np.linalg.cholesky(lhs)
-                    self.known[delta] = np.linalg.inv(lhs)
+                        half = np.linalg.inv(np.linalg.cholesky(lhs))
+                        self.known[delta] = half.T @ half
+                    else:
+                        self.known[delta] = np.linalg.inv(lhs)
                 except np.linalg.LinAlgError:
                     self.known[delta] = np.linalg.pinv(lhs)
             elif self.kind == "svd":
@@ -252,18 +255,36 @@ class Recovery:
     objective: float
     delta: float
     history: list = field(default_factory=list)
+    d: np.ndarray | None = None
+    p: np.ndarray | None = None
 
+    def state(self) -> State:
+        return State(self.d, self.p, self.delta, self.history)
 
-def admm(gram: np.ndarray, aty: np.ndarray, yty: float, cfg: Sensing = Sensing(), smooth: np.ndarray | None = None, solver: Solver | None = None, hook=None) -> Recovery:
+
+@dataclass
+class State:
+    """Where a solve stands: the sparse copy, the scaled dual, the penalty and the residuals so far."""
+
+    d: np.ndarray
+    p: np.ndarray
+    delta: float
+    history: list = field(default_factory=list)
+
+
+def admm(gram: np.ndarray, aty: np.ndarray, yty: float, cfg: Sensing = Sensing(), smooth: np.ndarray | None = None, solver: Solver | None = None, hook=None, state: State | None = None) -> Recovery:
     """Basis pursuit denoising on normal equations: min 1/2 |A x - y|^2 + epsilon |x|_1, with relaxation.
-    ``smooth`` is a second quadratic form that is added (a Laplacian's)."""
+    ``smooth`` is a second quadratic form that is added (a Laplacian's). With ``state`` the solve goes on from there, for the same right-hand
+    side or a new one; the state it ends in is in the result. The history holds the larger residual of each round."""
     lhs = gram if smooth is None else gram + smooth
     solve = solver or Solver(lhs, cfg.solver, cfg.reg)
     policy, stop = (POLICIES.get(cfg.policy, cfg.policy), STOPS.get(cfg.stop, cfg.stop))
     w = len(aty)
-    x, d, p, delta = np.zeros(w), np.zeros(w), np.zeros(w), min(cfg.delta, cfg.delta_max)
-    history: list[float] = []
+    if state is None:
+        state = State(np.zeros(w), np.zeros(w), min(cfg.delta, cfg.delta_max))
+    x, d, p, delta, history = state.d, state.d, state.p, state.delta, list(state.history)
     primal = dual = objective = np.inf
+    it, converged = 0, False
     for it in range(1, cfg.max_iter + 1):
         x = solve(delta, aty + delta * (d - p))
         mixed = cfg.relax * x + (1 - cfg.relax) * d
@@ -271,15 +292,16 @@ def admm(gram: np.ndarray, aty: np.ndarray, yty: float, cfg: Sensing = Sensing()
         p = p + mixed - d
         primal, dual = float(np.linalg.norm(x - d)), float(delta * np.linalg.norm(d - old))
         objective = float(0.5 * (x @ lhs @ x - 2 * aty @ x + yty) + cfg.epsilon * np.abs(d).sum())
-        history.append(objective)
-        if hook is not None:
-            hook(it, primal, dual, objective, delta)
-        if stop(it, primal, dual, cfg, history):
-            return Recovery(x, it, True, primal, dual, objective, delta, history)
         new, factor = policy(delta, primal, dual, cfg.delta_max)
         if new != delta:
             delta, p = new, p * factor
-    return Recovery(x, cfg.max_iter, False, primal, dual, objective, delta, history)
+        history.append(max(primal, dual))
+        if hook is not None:
+            hook(it, primal, dual, objective, delta)
+        if stop(it, primal, dual, cfg, history):
+            converged = True
+            break
+    return Recovery(x, it, converged, primal, dual, objective, delta, history, d, p)
 
 
 def auto_alpha(gram: np.ndarray, smooth: np.ndarray, alpha: float, most: float = 1.0) -> float:

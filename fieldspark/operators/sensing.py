@@ -53,13 +53,20 @@ def right_sides(tubes: DataFrame, measured: DataFrame, keys: list[str]) -> DataF
 
 
 SOLUTION = "x array<double>, iterations int, converged boolean, primal double, dual double, objective double, delta double, history array<double>"
+#: What a solve needs to go on, beside delta and history.
+STATE = "d array<double>, p array<double>"
 
 
-def solve(sides: DataFrame, gram_matrix: np.ndarray, keys: list[str], cfg: K.Sensing = K.Sensing(), smooth: np.ndarray | None = None, alpha: float = 0.01, auto: bool = True, adaptive: bool = True, most: float = 1.0) -> DataFrame:
+def solve(sides: DataFrame, gram_matrix: np.ndarray, keys: list[str], cfg: K.Sensing = K.Sensing(), smooth: np.ndarray | None = None, alpha: float = 0.01, auto: bool = True, adaptive: bool = True, most: float = 1.0, before: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """A solution a right-hand side. With ``smooth``, a Laplacian's quadratic form of weight alpha is added:
-    alpha scaled to the two matrices (auto) and to the level of the measurements (adaptive)."""
+    alpha scaled to the two matrices (auto) and to the level of the measurements (adaptive). ``before`` are solutions with their state
+    (``keep``), from which those of the same keys go on; keys it lacks begin anew, and to leave it out is to reset all."""
     shared = sides.sparkSession.sparkContext.broadcast((gram_matrix, smooth, asdict(cfg)))  # width squared
     base = alpha if smooth is None or not auto else K.auto_alpha(gram_matrix, smooth, alpha, most)
+    resumed = before is not None
+    keep = keep or resumed
+    if resumed:
+        sides = sides.join(before.select(*keys, F.struct("d", "p", "delta", "history").alias("_state")), keys, "left")
 
     def run(batches):
         g, sm, c = shared.value
@@ -67,15 +74,53 @@ def solve(sides: DataFrame, gram_matrix: np.ndarray, keys: list[str], cfg: K.Sen
         plain = K.Solver(g, c.solver, c.reg) if sm is None else None
         for t in batches:
             rows = []
-            for aty, yty, level in zip(t["aty"], t["yty"], t["level"]):
+            states = t["_state"] if resumed else [None] * len(t)
+            for aty, yty, level, at in zip(t["aty"], t["yty"], t["level"], states):
                 extra = None if sm is None else (K.adaptive_alpha(base, level, most) if adaptive else base) * sm
-                r = K.admm(g, np.asarray(aty, float), float(yty), c, extra, plain)
-                rows.append((r.x.tolist(), r.iterations, r.converged, r.primal, r.dual, r.objective, r.delta, r.history))
-            out = pd.DataFrame(rows, columns=["x", "iterations", "converged", "primal", "dual", "objective", "delta", "history"])
+                r = K.admm(g, np.asarray(aty, float), float(yty), c, extra, plain, state=_state(at))
+                rows.append((r.x.tolist(), r.iterations, r.converged, r.primal, r.dual, r.objective, r.delta, r.history, r.d.tolist(), r.p.tolist())[: 10 if keep else 8])
+            out = pd.DataFrame(rows, columns=["x", "iterations", "converged", "primal", "dual", "objective", "delta", "history", "d", "p"][: 10 if keep else 8])
             yield pd.concat([t[keys].reset_index(drop=True), out], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in sides.schema}
-    return sides.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], SOLUTION]))
+    return sides.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], SOLUTION, *[STATE] * keep]))
+
+
+def _state(at) -> K.State | None:
+    if at is None or at["d"] is None:
+        return None
+    return K.State(np.asarray(at["d"], float), np.asarray(at["p"], float), float(at["delta"]), [float(x) for x in at["history"]])
+
+
+ROUND = "iteration int, primal double, dual double, objective double, delta double, failure string"
+
+
+def trace(sides: DataFrame, gram_matrix: np.ndarray, keys: list[str], cfg: K.Sensing = K.Sensing()) -> DataFrame:
+    """What each round of each solve reports, a row an iteration and key, as it is made: a batch of rounds is all that a task holds. A right-hand
+    side that can't be solved (of another length, or not of numbers) gives one row with its ``failure`` and leaves the others alone."""
+    shared = sides.sparkSession.sparkContext.broadcast((gram_matrix, asdict(cfg)))
+    names = ["iteration", "primal", "dual", "objective", "delta", "failure"]
+
+    def run(batches):
+        g, c = shared.value
+        c = K.Sensing(**c)
+        plain = K.Solver(g, c.solver, c.reg)
+        for t in batches:
+            for i, (aty, yty) in enumerate(zip(t["aty"], t["yty"])):
+                seen: list = []
+                try:
+                    if aty is None or len(aty) != len(g) or not np.isfinite(np.asarray(aty, float)).all():
+                        raise ValueError(f"a right-hand side of {len(g)} numbers is needed")
+                    K.admm(g, np.asarray(aty, float), float(yty), c, None, plain, lambda *x: seen.append((*x, None)))  # noqa: B023
+                except (ValueError, TypeError, np.linalg.LinAlgError) as e:
+                    seen = [(None, None, None, None, None, str(e))]
+                out = pd.DataFrame(seen, columns=names).astype({"iteration": "Int32"})
+                for k in keys:
+                    out[k] = t[k].iloc[i]
+                yield out[[*keys, *names]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in sides.schema}
+    return sides.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], ROUND]))
 
 
 def sense(tubes: DataFrame, sensors: DataFrame, measured: DataFrame, keys: list[str], width: int, cfg: K.Sensing = K.Sensing(), matrix: DataFrame | None = None, **geometry) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -688,6 +689,64 @@ def cs_orthonormal(spark, d):
     return _r(solved.select("t", F.posexplode("x").alias("k", "x")), 4)
 
 
+def _rounds_sql(configs: list[tuple[str, str]], cfg: K.Sensing) -> str:
+    """ADMM round by round on an orthonormal basis, whose Gram matrix is the identity: lists of three numbers a month."""
+    soft = lambda v, k: f"list_transform({v}, lambda z: sign(z) * greatest(abs(z) - {k}, 0))"
+    gap = lambda a, b: f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    zip3 = lambda a, b, c, f: f"list_transform(list_zip({a}, {b}, {c}), lambda z: {f})"
+    relative = f"it > {cfg.window} AND (h[-{cfg.window}] - h[-1]) / greatest(h[-{cfg.window}], 1e-12) < {cfg.drop}"
+    values = ", ".join(f"('{p}', '{s}')" for p, s in configs)
+    return (
+        f"WITH RECURSIVE {_ORTHONORMAL.replace(', x AS (', ', unused AS (')}, side AS (SELECT t, list(y ORDER BY k) AS b FROM y GROUP BY t), cfg(policy, stop) AS (VALUES {values}), "
+        f"r(t, b, policy, stop, it, x, d, p, delta, h, done) AS (SELECT t, b, policy, stop, 0, [0.0::DOUBLE, 0, 0], [0.0::DOUBLE, 0, 0], [0.0::DOUBLE, 0, 0], {cfg.delta}::DOUBLE, []::DOUBLE[], false FROM side, cfg UNION ALL "
+        f"SELECT t, b, policy, stop, it, x, dn, list_transform(pn, lambda z: z * f), nd, h, CASE WHEN stop IN ('residual', 'both') AND h[-1] < {cfg.tol} THEN true WHEN stop IN ('relative', 'both') THEN {relative} ELSE false END FROM ("
+        f"SELECT *, list_append(h0, greatest(primal, dual)) AS h, CASE WHEN policy = 'cap_only' THEN delta WHEN primal > 10 * dual THEN least(2 * delta, {cfg.delta_max}) WHEN dual > 10 * primal THEN greatest(delta / 2, 1e-12) ELSE least(delta, {cfg.delta_max}) END AS nd, "
+        f"CASE WHEN nd = delta THEN 1.0 WHEN primal > 10 * dual THEN 0.5 WHEN dual > 10 * primal THEN 2.0 ELSE 1.0 END AS f FROM ("
+        f"SELECT *, {gap('x', 'dn')} AS primal, delta * {gap('dn', 'd')} AS dual, {zip3('p', 'm', 'dn', 'z[1] + z[2] - z[3]')} AS pn FROM ("
+        f"SELECT *, {soft(zip3('m', 'p', 'p', 'z[1] + z[2]'), f'{cfg.epsilon} / delta')} AS dn FROM ("
+        f"SELECT *, {zip3('x', 'd', 'd', f'{cfg.relax} * z[1] + (1 - {cfg.relax}::DOUBLE) * z[2]')} AS m FROM ("
+        f"SELECT t, b, policy, stop, it + 1 AS it, {zip3('b', 'd', 'p', f'(z[1] + delta * (z[2] - z[3])) / (1 + delta + {cfg.reg}::DOUBLE)')} AS x, d, p, delta, h AS h0 FROM r WHERE NOT done AND it < {cfg.max_iter}))))))"
+    )
+
+
+_STOPS = [("boyd", "residual"), ("boyd", "both"), ("cap_only", "residual"), ("cap_only", "relative"), ("cap_only", "both")]
+_SLOW = K.Sensing(delta=5.0, delta_max=5.0, max_iter=30, tol=1e-2, drop=0.6)  # stops before rounding decides
+_ROUNDS = K.Sensing(delta=0.5, max_iter=12, tol=0.0, policy="boyd")
+
+
+def _all_cells(spark, d) -> tuple[DataFrame, np.ndarray]:
+    """Right-hand sides of every month on the orthonormal basis, and its Gram matrix."""
+    basis = _cosines(spark)
+    return sensing.right_sides(basis, tensor.flatten(_full(spark, d), {"i0": 25, "i1": 5}), ["t"]), sensing.gram(basis, 3)
+
+
+@query(f"{_rounds_sql(_STOPS, _SLOW)} SELECT t, policy || '/' || stop AS config, max(it)::INT AS iterations, bool_or(done) AS converged, round(arg_max(delta, it), 6) AS delta, round(arg_max(h[-1], it), 6) AS residual FROM r GROUP BY 1, 2")
+def cs_stops(spark, d):
+    """Every policy and stop: how many rounds each takes, where it ends."""
+    sides, g = _all_cells(spark, d)
+    out = [sensing.solve(sides, g, ["t"], replace(_SLOW, policy=p, stop=s)).select("t", F.lit(f"{p}/{s}").alias("config"), "iterations", "converged", "delta", F.element_at("history", -1).alias("residual")) for p, s in _STOPS]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return _r(out[0])
+
+
+@query(f"{_rounds_sql([('boyd', 'residual')], _ROUNDS)} SELECT t, k.range::INT AS k, round(x[k.range + 1], 6) + 0.0::DOUBLE AS x, len(h)::INT AS rounds FROM r, range(3) k WHERE it = {_ROUNDS.max_iter}")
+def cs_continued(spark, d):
+    """Five rounds, then seven more from where they ended: as twelve at once."""
+    sides, g = _all_cells(spark, d)
+    first = sensing.solve(sides, g, ["t"], replace(_ROUNDS, max_iter=5), keep=True)
+    done = sensing.solve(sides, g, ["t"], replace(_ROUNDS, max_iter=_ROUNDS.max_iter - 5), before=first)
+    return _r(done.select("t", F.posexplode("x").alias("k", "x"), F.size("history").alias("rounds")))
+
+
+@query(f"{_rounds_sql([('boyd', 'residual')], _SLOW)} SELECT t, it::INT AS iteration, round(delta, 6) AS delta, round(h[-1], 6) AS residual FROM r WHERE it > 0")
+def cs_trace(spark, d):
+    """A row a round of every solve."""
+    sides, g = _all_cells(spark, d)
+    rows = sensing.trace(sides, g, ["t"], replace(_SLOW, policy="boyd"))
+    return _r(rows.select("t", "iteration", "delta", F.greatest("primal", "dual").alias("residual")))
+
+
 _SWEPT = f"{_ORTHONORMAL}, rec AS (SELECT t, i0, i1, sum(x * u) AS rec FROM x JOIN u USING (k) GROUP BY 1, 2, 3), f AS (SELECT t, sqrt(sum((rec - v) ** 2)) / sqrt(sum(v ** 2)) AS error, avg((rec - v) ** 2) AS mse, 20 * log10((max(v) - min(v)) / sqrt(avg((rec - v) ** 2))) AS psnr FROM rec JOIN dense USING (t, i0, i1) WHERE t IN (SELECT t FROM sales) GROUP BY t)"
 _SUMMED = ", ".join(f"round(avg({n}), 4) AS {n}_mean, round(stddev_samp({n}), 4) AS {n}_std, round(avg({n}) - 1.96::DOUBLE * stddev_samp({n}) / sqrt(count(*)), 4) AS {n}_ci_lower, round(avg({n}) + 1.96::DOUBLE * stddev_samp({n}) / sqrt(count(*)), 4) AS {n}_ci_upper" for n in ("error", "psnr", "mse"))
 

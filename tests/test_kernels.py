@@ -174,3 +174,52 @@ def test_ssim_has_sample_variances():
     f, ma, mb = 49 / 48, m(a), m(b)
     va, vb, vab = f * (m(a * a) - ma**2), f * (m(b * b) - mb**2), f * (m(a * b) - ma * mb)
     assert K.ssim(a, b) == pytest.approx((2 * ma * mb + 0.012) * (2 * vab + 0.032) / ((ma**2 + mb**2 + 0.012) * (va + vb + 0.032)))
+
+
+def scalar_rounds(g, b, cfg, policy, stop, rounds):
+    """ADMM in plain loops: the number of rounds, the penalty and the residuals."""
+    w, x = len(b), None
+    d, p, delta, history = np.zeros(w), np.zeros(w), cfg.delta, []
+    for it in range(1, rounds + 1):
+        x = np.linalg.solve(g + (delta + cfg.reg) * np.eye(w), b + delta * (d - p))
+        m = cfg.relax * x + (1 - cfg.relax) * d
+        new = np.array([np.sign(z) * max(abs(z) - cfg.epsilon / delta, 0) for z in m + p])
+        p = p + m - new
+        primal, dual = np.sqrt(((x - new) ** 2).sum()), delta * np.sqrt(((new - d) ** 2).sum())
+        d = new
+        if policy == "boyd" and primal > 10 * dual and min(2 * delta, cfg.delta_max) != delta:
+            delta, p = min(2 * delta, cfg.delta_max), p * 0.5
+        elif policy == "boyd" and dual > 10 * primal and not primal > 10 * dual:
+            delta, p = delta / 2, p * 2
+        history.append(max(primal, dual))
+        small = history[-1] < cfg.tol
+        slow = it > cfg.window and (history[-cfg.window] - history[-1]) / max(history[-cfg.window], 1e-12) < cfg.drop
+        if {"residual": small, "relative": slow, "both": small or slow}[stop]:
+            return x, it, True, delta, history
+    return x, rounds, False, delta, history
+
+
+@pytest.mark.parametrize("policy", ["boyd", "cap_only"])
+@pytest.mark.parametrize("stop", ["residual", "relative", "both"])
+def test_stops_look_at_residuals(policy, stop):
+    a = rng().standard_normal((30, 8))
+    y = a @ np.r_[3.0, -2.0, np.zeros(6)]
+    cfg = K.Sensing(delta=2.0, delta_max=8.0, max_iter=60, tol=1e-3, drop=0.3, policy=policy, stop=stop)
+    r = K.admm(a.T @ a, a.T @ y, y @ y, cfg)
+    x, it, converged, delta, history = scalar_rounds(a.T @ a, a.T @ y, cfg, policy, stop, 60)
+    assert (r.iterations, r.converged) == (it, converged) and r.delta == delta
+    assert np.allclose(r.history, history) and np.allclose(r.x, x)
+
+
+def test_a_solve_goes_on():
+    from dataclasses import replace
+
+    a = rng().standard_normal((30, 8))
+    b, cfg = a.T @ a[:, 1], K.Sensing(delta=0.5, tol=0.0, max_iter=14)
+    whole = K.admm(a.T @ a, b, 1.0, cfg)
+    half = K.admm(a.T @ a, b, 1.0, replace(cfg, max_iter=7))
+    rest = K.admm(a.T @ a, b, 1.0, replace(cfg, max_iter=7), state=half.state())
+    assert np.array_equal(rest.x, whole.x) and rest.history == whole.history and rest.delta == whole.delta
+    assert len(half.history) == 7  # not changed by what follows
+    near = K.admm(a.T @ a, b * 1.001, 1.0, replace(cfg, tol=1e-6, max_iter=500), state=whole.state())
+    assert near.iterations < K.admm(a.T @ a, b * 1.001, 1.0, replace(cfg, tol=1e-6, max_iter=500)).iterations
