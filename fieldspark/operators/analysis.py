@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import scalars as S
+from fieldspark.operators import ranks
 
 
 def wells(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -18,7 +19,9 @@ def wells(rows: DataFrame, height: int, width: int) -> DataFrame:
 
 def first_wells(rows: DataFrame, n: int, height: int, width: int, pooled: bool = False) -> DataFrame:
     """The first n wells of each subject, or of all subjects together."""
-    w = Window.partitionBy(*([] if pooled else ["subject"])).orderBy("well_idx", *(["subject"] if pooled else []), "row", "col")
+    if pooled:
+        return ranks.head(wells(rows, height, width), ["well_idx", "subject", "row", "col"], n).drop("rank")
+    w = Window.partitionBy("subject").orderBy("well_idx", "row", "col")
     return wells(rows, height, width).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
@@ -62,8 +65,12 @@ def compare(placements: dict[str, DataFrame], points: DataFrame, radius: float =
 NORMS = ("none", "max", "total_sensors", "local_area", "zscore", "minmax")
 
 
-def rank_by_proximity(sensors: DataFrame, points: DataFrame, height: int, width: int, radius: int = 2, metric: str = "l2", normalize: str = "none") -> DataFrame:
-    """row, col, well_idx, raw_count, score, rank: sensors near each well, in one of six scales."""
+def _in_order(frame: DataFrame, order: list, top: int | None) -> DataFrame:
+    return ranks.ranked(frame, order) if top is None else ranks.head(frame, order, top)
+
+
+def rank_by_proximity(sensors: DataFrame, points: DataFrame, height: int, width: int, radius: int = 2, metric: str = "l2", normalize: str = "none", top: int | None = None) -> DataFrame:
+    """row, col, well_idx, raw_count, score, rank: sensors near each well, in one of six scales; with ``top`` only the head of the ranking."""
     if normalize not in NORMS:
         raise ValueError(f"unknown normalisation: {normalize}")
     near = within(sensors, points, radius, metric).groupBy("well_idx").agg(F.count("*").alias("n"))
@@ -83,8 +90,7 @@ def rank_by_proximity(sensors: DataFrame, points: DataFrame, height: int, width:
     else:
         score = c
     out = counts.withColumn("score", F.coalesce(score, F.lit(0.0)))
-    w = Window.orderBy(F.desc("score"), F.desc("raw_count"), "well_idx")
-    return out.select("well_idx", "row", "col", "raw_count", "score", F.row_number().over(w).alias("rank"))
+    return _in_order(out.select("well_idx", "row", "col", "raw_count", "score"), [F.desc("score"), F.desc("raw_count"), "well_idx"], top)
 
 
 def patches(points: DataFrame, height: int, width: int, radius: int, metric: str = "l2") -> DataFrame:
@@ -106,7 +112,7 @@ def log_det_fisher(a: np.ndarray, ridge: float = 1e-6) -> float:
     return float(value) if sign > 0 else float("-inf")
 
 
-def informativeness(sensors: DataFrame, points: DataFrame, basis: DataFrame, height: int, width: int, radius: int = 2, metric: str = "l2", forbidden: DataFrame | None = None, weights=(1.0, 1.0, 1.0, -0.5, 0.25)) -> DataFrame:
+def informativeness(sensors: DataFrame, points: DataFrame, basis: DataFrame, height: int, width: int, radius: int = 2, metric: str = "l2", forbidden: DataFrame | None = None, weights=(1.0, 1.0, 1.0, -0.5, 0.25), top: int | None = None) -> DataFrame:
     """Score of each well: sensors near, their Gaussian weights, log det of the local basis' Fisher matrix,
     redundancy of near sensors and a bonus for lying inside. ``basis`` has (row, col, tube)."""
     near = within(sensors, points, radius, metric)
@@ -133,7 +139,7 @@ def informativeness(sensors: DataFrame, points: DataFrame, basis: DataFrame, hei
     parts = [F.coalesce(F.col("n").cast("double"), zero), F.coalesce("weighted", zero), F.coalesce("logdet", zero), F.coalesce("redundancy", zero), bonus]
     score = sum((F.lit(w) * p for w, p in zip(weights, parts)), zero)
     named = out.select("well_idx", "row", "col", *[p.alias(n) for p, n in zip(parts, ("count", "weighted", "logdet", "redundancy", "boundary"))], score.alias("score"))
-    return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("count"), F.desc("weighted"), "well_idx")))
+    return _in_order(named, [F.desc("score"), F.desc("count"), F.desc("weighted"), "well_idx"], top)
 
 
 def nearest_centre(cells: DataFrame, centres: DataFrame) -> DataFrame:

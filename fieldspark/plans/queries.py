@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import kernels as K
 from fieldspark.functions import scalars as S
-from fieldspark.operators import analysis, decomposition, experiments, graph, placement, sensing, stats, tensor
+from fieldspark.operators import analysis, decomposition, experiments, graph, placement, ranks, sensing, stats, tensor
 from fieldspark.plans import tables as T
 from fieldspark.sources import generators, sinks
 
@@ -875,6 +875,26 @@ for _n in analysis.NORMS:
     _ranking(_n)
 
 
+@query(f"WITH {COUNTED} SELECT well_idx, row, col, raw_count, raw_count::DOUBLE AS score, (row_number() OVER (ORDER BY raw_count DESC, well_idx))::INT AS rank FROM c ORDER BY raw_count DESC, well_idx LIMIT 10")
+def rank_head(spark, d):
+    """The head of a ranking, from the first rows of each task."""
+    return analysis.rank_by_proximity(_sensors(spark, d), _wells(spark, d), 100, 100, 2, top=10)
+
+
+@query("SELECT c_custkey AS cell, c_acctbal AS v, (row_number() OVER (ORDER BY c_acctbal DESC, c_custkey))::INT AS rank FROM customer")
+def rank_global(spark, d):
+    """Ranks over a whole table by range partitions and the counts before them."""
+    return ranks.ranked(T.read(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_acctbal").alias("v")), [F.desc("v"), "cell"])
+
+
+@query(f"WITH {T.SENSORS} SELECT 'S' || row_number() OVER (ORDER BY row, col) AS name, row, col FROM sensors")
+def ranking_sensor_points(spark, d):
+    wells = _wells(spark, d)
+    maps = sinks.ranking_maps(tensor.grid(spark, {"row": 100, "col": 100}).withColumn("v", F.lit(1.0)), _sensors(spark, d), analysis.rank_by_proximity(_sensors(spark, d), wells, 100, 100))
+    return maps["sensors_points"]
+
+
+
 @query()
 def rank_informativeness(spark, d):
     basis = tensor.grid(spark, {"row": 100, "col": 100}).withColumn("tube", F.array(*[F.cos(F.col("row") * (0.01 * k) + F.col("col") * (0.02 * k)) for k in range(1, 5)]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators import ranks
+
 
 def ijk(field: DataFrame, order: str = "JI") -> DataFrame:
     """I, J, K, Value (1-based, six decimals) of a field (row, col, v); IJ swaps the two indices."""
@@ -43,7 +45,7 @@ def ranking_maps(background: DataFrame, sensors: DataFrame, ranked: DataFrame) -
     weighted = ranked.crossJoin(F.broadcast(span)).withColumn("weight", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
     return {
         "background": background.select("row", "col", "v", active.alias("active")),
-        "sensors_points": sensors.withColumn("name", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("row", "col")))).select("name", "row", "col"),
+        "sensors_points": ranks.ranked(sensors.select("row", "col"), ["row", "col"]).select(F.concat(F.lit("S"), "rank").alias("name"), "row", "col"),
         "wells_points": ranked.select(F.concat(F.lit("W"), "well_idx").alias("name"), "row", "col"),
         "wells_weight": weighted.select("well_idx", "row", "col", "weight"),
     }
