@@ -350,29 +350,19 @@ def _field(spark, d) -> DataFrame:
     return _cells(spark, d).groupBy("cell").agg(F.avg("v").alias("v"))
 
 
-@query(f"WITH {EDGES} SELECT src, dst FROM e")
+@query(f"WITH {EDGES}, {FIELD} SELECT src, dst, round(b.v - a.v, 2) + 0.0::DOUBLE AS gap FROM e JOIN f a ON a.cell = src JOIN f b ON b.cell = dst")
 def grid_edges_2d(spark, d):
-    return _edges(spark).select("src", "dst")
+    """Neighbours on the grid of nations and priorities, with the step of mean sales between them."""
+    a, b = (_field(spark, d).select(F.col("cell").alias(c), F.col("v").alias(f"_{c}")) for c in ("src", "dst"))
+    return _r(_edges(spark).join(a, "src").join(b, "dst").select("src", "dst", (F.col("_dst") - F.col("_src")).alias("gap")), 2)
 
 
-@query("WITH g AS (SELECT a.range AS x, b.range AS y, c.range AS z FROM range(6) a, range(5) b, range(4) c) SELECT (p.x * 20 + p.y * 4 + p.z)::BIGINT AS src, (q.x * 20 + q.y * 4 + q.z)::BIGINT AS dst FROM g p JOIN g q ON abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1")
+@query(f"WITH {T.SALES}, s(a, b, c) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)), k AS (SELECT ((i0 * 5 + i1) * {T.MONTHS} + t)::BIGINT AS cell, * FROM sales) SELECT p.cell AS src, q.cell AS dst, round(q.v - p.v, 6) + 0.0::DOUBLE AS gap FROM k p, s JOIN k q ON q.i0 = p.i0 + s.a AND q.i1 = p.i1 + s.b AND q.t = p.t + s.c")
 def grid_edges_3d(spark, d):
-    return graph.grid_edges(spark, [6, 5, 4]).select("src", "dst")
-
-
-@query(f"WITH {EDGES} SELECT cell, degree FROM deg")
-def degree(spark, d):
-    return graph.degree(_edges(spark))
-
-
-@query(f"WITH {EDGES} SELECT src, dst, -1.0::DOUBLE AS l FROM e UNION ALL SELECT cell, cell, degree FROM deg")
-def laplacian(spark, d):
-    return graph.laplacian(_edges(spark), graph.grid_vertices(spark, [25, 5]))
-
-
-@query(f"WITH {EDGES} SELECT src, dst, round(-1 / sqrt(x.degree * y.degree), 6) AS l FROM e JOIN deg x ON x.cell = src JOIN deg y ON y.cell = dst UNION ALL SELECT cell, cell, 1.0::DOUBLE FROM deg")
-def laplacian_norm(spark, d):
-    return _r(graph.laplacian(_edges(spark), graph.grid_vertices(spark, [25, 5]), True))
+    """Neighbours in nation, priority and month that both have sales."""
+    k = tensor.flatten(T.sales(spark, d), AXES)
+    a, b = (k.select(F.col("cell").alias(c), F.col("v").alias(f"_{c}")) for c in ("src", "dst"))
+    return _r(graph.grid_edges(spark, list(AXES.values())).join(a, "src").join(b, "dst").select("src", "dst", (F.col("_dst") - F.col("_src")).alias("gap")), 6)
 
 
 @query(f"WITH {EDGES}, {FIELD} SELECT a.cell, round(sqrt(avg((b.v - a.v) ** 2)), 6) AS v FROM e JOIN f a ON a.cell = src JOIN f b ON b.cell = dst GROUP BY 1")
@@ -400,12 +390,6 @@ def gradient_weight(spark, d):
     return _r(graph.gradient_weight(_cells(spark, d), _edges(spark)))
 
 
-@query("WITH g AS (SELECT a.range AS r, b.range AS c FROM range(25) a, range(5) b), s(r, c) AS (VALUES (3, 1), (20, 4)) SELECT (g.r * 5 + g.c)::BIGINT AS cell, round(exp(-min(sqrt((g.r - s.r) ** 2 + (g.c - s.c) ** 2)) / (2.0::DOUBLE + 1e-10::DOUBLE)), 6) AS v FROM g, s GROUP BY 1")
-def proximity_penalty(spark, d):
-    s = spark.createDataFrame([([1.0, 3.0],), ([4.0, 20.0],)], "coord array<double>")
-    return _r(graph.proximity(graph.grid_vertices(spark, [25, 5]), s, 2.0))
-
-
 POINTS = "v AS (SELECT vec_id AS cell, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 
 
@@ -423,6 +407,34 @@ def char_length(spark, d):
     return _r(graph.characteristic_length(graph.radius_graph(_points(spark, d), 0.02)))
 
 
+MESH = f"{POINTS}, e AS (SELECT a.cell AS src, b.cell AS dst FROM v a JOIN v b ON a.cell <> b.cell AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02), deg AS (SELECT src AS cell, count(*)::DOUBLE AS degree FROM e GROUP BY 1), every AS (SELECT cell, coalesce(degree, 0) AS degree FROM v LEFT JOIN deg USING (cell))"
+
+
+def _mesh(spark, d) -> DataFrame:
+    return graph.radius_graph(_points(spark, d), 0.02)
+
+
+@query(f"WITH {MESH} SELECT cell, degree FROM deg")
+def degree(spark, d):
+    return graph.degree(_mesh(spark, d))
+
+
+@query(f"WITH {MESH} SELECT src, dst, -1.0::DOUBLE AS l FROM e UNION ALL SELECT cell, cell, degree FROM every")
+def laplacian(spark, d):
+    return graph.laplacian(_mesh(spark, d), _points(spark, d))
+
+
+@query(f"WITH {MESH} SELECT src, dst, round(-1 / sqrt(x.degree * y.degree), 6) AS l FROM e JOIN deg x ON x.cell = src JOIN deg y ON y.cell = dst UNION ALL SELECT cell, cell, 1.0::DOUBLE FROM every")
+def laplacian_norm(spark, d):
+    return _r(graph.laplacian(_mesh(spark, d), _points(spark, d), True))
+
+
+@query(f"WITH {POINTS} SELECT a.cell, round(exp(-min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / (0.1::DOUBLE + 1e-10::DOUBLE)), 6) AS v FROM v a, v b WHERE b.cell % 100 = 0 GROUP BY 1")
+def proximity_penalty(spark, d):
+    p = _points(spark, d)
+    return _r(graph.proximity(p, p.filter("cell % 100 = 0").select("coord"), 0.1))
+
+
 @query(f"WITH {POINTS}, p AS (SELECT a.cell AS src, b.cell AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM v a JOIN v b ON a.cell <> b.cell), k AS (SELECT src, dst, d FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 6), u AS (SELECT least(src, dst) AS s, greatest(src, dst) AS t, sum(d) / 2 AS d FROM k GROUP BY 1, 2) SELECT s AS src, t AS dst, round(d, 6) AS dist FROM u UNION ALL SELECT t, s, round(d, 6) FROM u")
 def knn_graph(spark, d):
     return _r(graph.knn_graph(_points(spark, d), 6).select("src", "dst", "dist"))
@@ -479,9 +491,13 @@ def modes_time_insensitive(spark, d):
     return _r(decomposition.modes(tensor.multiply(T.sales(spark, d), f, True), f).select("i0", "i1", "t", "v"), 4)
 
 
-@query(f"WITH {_cos(25, 3, 'a')}, {_cos(5, 3, 'b')} SELECT (a.row * 5 + b.row)::BIGINT AS cell, a.rank AS k, round(a.u * b.u, 6) + 0.0::DOUBLE AS v FROM a JOIN b USING (rank)")
+@query(f"WITH {T.SALES}, a AS (SELECT i0, i1 AS k, avg(v) AS u FROM sales GROUP BY 1, 2), b AS (SELECT i1, t // 12 AS k, avg(v) AS u FROM sales WHERE t < 60 GROUP BY 1, 2) SELECT (a.i0 * 5 + b.i1)::BIGINT AS cell, a.k, round(a.u * b.u, 4) + 0.0::DOUBLE AS v FROM a JOIN b USING (k)")
 def standard_dictionary(spark, d):
-    return _r(decomposition.standard_dictionary(generators.cosine_factor(spark, 25, 3), generators.cosine_factor(spark, 5, 3), 5))
+    """Nations by priority with priorities by year: column k is the outer product of both k-th columns."""
+    s = T.sales(spark, d)
+    a = s.groupBy(F.col("i0").alias("row"), F.col("i1").alias("rank")).agg(F.avg("v").alias("u"))
+    b = s.filter("t < 60").groupBy(F.col("i1").alias("row"), F.floor(F.col("t") / 12).cast("int").alias("rank")).agg(F.avg("v").alias("u"))
+    return _r(decomposition.standard_dictionary(a, b, 5), 4)
 
 
 @query()
@@ -912,9 +928,10 @@ def _grid100(spark) -> DataFrame:
     return tensor.grid(spark, {"row": 100, "col": 100})
 
 
-@query(f"WITH {CENTRES} SELECT row, col, cluster FROM p")
+@query(f"WITH {CENTRES}, {T.SENSORS} SELECT row, col, cluster FROM p SEMI JOIN sensors USING (row, col)")
 def cluster_nearest(spark, d):
-    return analysis.nearest_centre(_grid100(spark), _centres(spark))
+    """The cluster of each sensor."""
+    return analysis.nearest_centre(_sensors(spark, d), _centres(spark))
 
 
 @query(f"WITH {CENTRES}, {T.SENSORS}, m AS (SELECT cluster, count(s.row) AS sensors, count(*) AS area FROM p LEFT JOIN sensors s USING (row, col) GROUP BY 1), q AS (SELECT *, sensors::DOUBLE / sum(sensors) OVER () AS p_c_s, sensors::DOUBLE / area AS p_s_c, area::DOUBLE / sum(area) OVER () AS p_c FROM m) SELECT cluster, sensors, area, round(p_c_s, 6) AS p_c_s, round(p_s_c, 6) AS p_s_c, round(p_c, 6) AS p_c, round(p_s_c * p_c / sum(p_s_c * p_c) OVER (), 6) AS bayes FROM q")
@@ -942,26 +959,6 @@ def export_cluster_map(spark, d):
 # --- generators ------------------------------------------------------------------------------------
 
 
-@query("SELECT a.range::INT AS i0, b.range::INT AS i1, round(b.range / 19.0::DOUBLE + 2 * (a.range / 19.0::DOUBLE), 6) AS v FROM range(20) a, range(20) b")
-def linear_field(spark, d):
-    return _r(generators.linear_field(spark, 20, 20))
-
-
-@query("WITH g AS (SELECT a.range::INT AS i0, b.range::INT AS i1, c.range::INT AS t, b.range / 19.0::DOUBLE - 0.5::DOUBLE AS x, a.range / 19.0::DOUBLE - 0.5::DOUBLE AS y, c.range / 10.0::DOUBLE AS s FROM range(20) a, range(20) b, range(10) c) SELECT i0, i1, t, round(exp(-(x * x + y * y) / 0.1::DOUBLE) * cos(atan2(y, x) + 2 * pi() * s) * exp(-s), 6) + 0.0::DOUBLE AS v FROM g")
-def vortex_field(spark, d):
-    return _r(generators.vortex(spark, 20, 20, 10))
-
-
-@query()
-def gaussian_random_field(spark, d):
-    return generators.field_samples(spark, 4, 2, 16)
-
-
-@query()
-def navier_stokes(spark, d):
-    return generators.navier_stokes_samples(spark, 2, 16, 5, 0.2, 1e-2)
-
-
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Prices by nation, priority and month, normalised, split in time, and the error of each
     nation's mean over its training months on the test months."""
