@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators import blocks, graph, tall, tensor
+from fieldspark.operators import blocks, graph, tall, tensor, triangulation
 from fieldspark.plans import tables as T
-from fieldspark.plans.queries import AXES, CELLS, CORE, _r, query
+from fieldspark.plans.queries import AXES, CELLS, CORE, POINTS, _points, _r, query
 
 SIZES = {"i0": 8, "i1": 5, "t": 30}
 
@@ -115,3 +115,12 @@ def geometry_tucker(spark, d):
     rows += [("factor", 1, int(i), int(k), float(x)) for (i, k), x in np.ndenumerate(factors["t"])]
     out = blocks.to_coo(factors["cell"], zeros=True).select(F.lit("factor").alias("part"), F.lit(0).alias("mode"), F.col("cell").alias("row"), "rank", F.col("v").alias("value"))
     return out.unionByName(spark.createDataFrame(rows, "part string, mode int, row int, rank int, value double")).select(F.lit("sales").alias("subject"), "*")
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT a.cell AS src, b.cell AS dst, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, (b.x - a.x) / 2 AS hx, (b.y - a.y) / 2 AS hy FROM v a JOIN v b ON a.cell < b.cell),
+c AS (SELECT src, dst, hx, hy, hx * (y - my) - hy * (x - mx) AS s, (x - mx) ** 2 + (y - my) ** 2 - hx * hx - hy * hy AS f FROM e, v WHERE cell <> src AND cell <> dst),
+d AS (SELECT src, dst, 2 * sqrt(any_value(hx) ** 2 + any_value(hy) ** 2) AS dist FROM c GROUP BY 1, 2 HAVING coalesce(max(CASE WHEN s < 0 THEN f / (2 * s) END), '-infinity'::DOUBLE) < coalesce(min(CASE WHEN s > 0 THEN f / (2 * s) END), 'infinity'::DOUBLE))
+SELECT src, dst, round(dist, 6) AS dist FROM d UNION ALL SELECT dst, src, round(dist, 6) FROM d""")
+def delaunay_tiles(spark, d):
+    """An edge is in the triangulation where some circle through its ends holds no other point."""
+    return _r(triangulation.delaunay(_points(spark, d), 48).select("src", "dst", "dist"))
