@@ -146,6 +146,26 @@ def metrics(pairs: DataFrame, by: list[str] = (), background: float | None = Non
     return base.select(*by, F.when(F.col("r") > 0, F.col("d") / F.col("r")).otherwise(inf).alias("error"), "mse", F.sqrt("mse").alias("rmse"), psnr.alias("psnr"))
 
 
+def physical(pairs: DataFrame, params: DataFrame, method: str, by: list[str] = (), cases: list[str] = ()) -> DataFrame:
+    """cases..., error, mse, rmse, psnr, mae in physical units, of rows (rec, ref) normalised with ``params`` (one row, or one for each of
+    ``by``). No foreground at all is an error, as there is nothing to measure."""
+    joined = pairs.join(params, list(by)) if by else pairs.crossJoin(F.broadcast(params.limit(1)))
+    names = dict(lo="lo", hi="hi", mean="mean", std="std", most="most")
+    units = joined.withColumns({c: S.denormalise(method, c, **names) for c in ("rec", "ref")})
+    if not units.limit(1).count():
+        raise ValueError("there is nothing to measure")
+    mae = (units.groupBy(*cases) if cases else units.groupBy()).agg(F.avg(F.abs(F.col("rec") - F.col("ref"))).alias("mae"))
+    found = metrics(units, list(cases))
+    return found.join(mae, list(cases)) if cases else found.crossJoin(mae)
+
+
+def improvements(scores: DataFrame, case: str, baseline: str, value: str = "rmse") -> DataFrame:
+    """``scores`` with the percentage by which each case's error lies below the baseline's."""
+    base = scores.filter(F.col(case) == baseline).agg(F.first(value).alias("_base"))
+    better = F.when(F.col("_base") > 0, 100 * (F.col("_base") - F.col(value)) / F.col("_base")).otherwise(0.0)
+    return scores.crossJoin(F.broadcast(base)).withColumn("improvement", better).drop("_base")
+
+
 def summary(runs: DataFrame, by: list[str], names: list[str], level: float = 0.95) -> DataFrame:
     """Mean, sample deviation and interval of each name."""
     aggs = [a for n in names for a in (F.avg(n).alias(f"{n}_mean"), F.stddev_samp(n).alias(f"{n}_std"))]

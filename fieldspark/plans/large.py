@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators import blocks, graph, tall, tensor, triangulation
+from fieldspark.operators import blocks, graph, placement, stats, tall, tensor, triangulation
 from fieldspark.plans import tables as T
 from fieldspark.plans.queries import AXES, CELLS, CORE, POINTS, _points, _r, query
 
@@ -124,3 +124,40 @@ SELECT src, dst, round(dist, 6) AS dist FROM d UNION ALL SELECT dst, src, round(
 def delaunay_tiles(spark, d):
     """An edge is in the triangulation where some circle through its ends holds no other point."""
     return _r(triangulation.delaunay(_points(spark, d), 48).select("src", "dst", "dist"))
+
+
+@query(f"""WITH {T.SALES}, m AS (SELECT *, avg(v) OVER (PARTITION BY i0, t) AS a, avg(v) OVER (PARTITION BY i0, i1) AS b, avg(v) OVER (PARTITION BY i0) AS c FROM sales),
+r AS (SELECT 'nation' AS name, c AS rec, v FROM m UNION ALL SELECT 'month', a, v FROM m UNION ALL SELECT 'priority', b, v FROM m UNION ALL SELECT 'both', a + b - c, v FROM m),
+s AS (SELECT name, sqrt(avg((rec - v) ** 2)) AS rmse, avg(abs(rec - v)) AS mae, sqrt(sum((rec - v) ** 2)) / sqrt(sum(v * v)) AS error FROM r GROUP BY 1)
+SELECT name, round(s.rmse, 4) AS rmse, round(mae, 4) AS mae, round(error, 6) AS error, round(100 * (x.rmse - s.rmse) / x.rmse, 4) + 0.0::DOUBLE AS improvement FROM s, (SELECT rmse FROM s WHERE name = 'nation') x""")
+def physical_cases(spark, d):
+    """Four rebuilt fields, each made in the nations' own scales, compared in prices, and how much better than the first each is."""
+    s = T.sales(spark, d)
+    params = stats.fit(s, ["i0"])
+    n = stats.apply(s, params, "minmax", ["i0"])
+    for name, keys in (("month", ["i0", "t"]), ("priority", ["i0", "i1"]), ("nation", ["i0"])):
+        n = n.join(n.groupBy(*keys).agg(F.avg("v").alias(name)), keys)
+    both = (F.col("month") + F.col("priority") - F.col("nation")).alias("both")
+    cases = n.select("i0", F.col("v").alias("ref"), "nation", "month", "priority", both).unpivot(["i0", "ref"], ["nation", "month", "priority", "both"], "name", "rec")
+    out = stats.improvements(stats.physical(cases, params, "minmax", ["i0"], ["name"]), "name", "nation")
+    return _r(_r(out.select("name", "rmse", "mae", "error", "improvement"), 4, "rmse", "mae", "improvement"), 6, "error")
+
+
+@query("""SELECT dataset, (SELECT count(*) FROM sales) AS n, true AS near FROM (VALUES ('noisy_dataset_1'), ('noisy_dataset_2'), ('noisy_dataset_3')) d(dataset)""".replace("SELECT dataset", f"WITH {T.SALES} SELECT dataset", 1))
+def noisy_invariants(spark, d):
+    """Each copy has every cell once; the noise is that of its level: none, or of a mean and deviation within six standard errors."""
+    s = T.sales(spark, d)
+    level = F.when(F.col("dataset") == "noisy_dataset_1", 0.0).when(F.col("dataset") == "noisy_dataset_2", 0.5).otherwise(4.0)
+    gap = tensor.noisy_union(s, [0.5, 4.0]).join(s.withColumnRenamed("v", "_v"), ["i0", "i1", "t"]).withColumn("e", F.col("v") - F.col("_v")).withColumn("level", level)
+    out = gap.groupBy("dataset", "level").agg(F.count("*").alias("n"), F.avg("e").alias("mean"), F.stddev_samp("e").alias("std"), F.count_distinct("i0", "i1", "t").alias("cells"))
+    off = F.lit(6.0) * F.col("level") / F.sqrt("n") + F.lit(1e-9)
+    near = (F.abs("mean") <= off) & (F.abs(F.col("std") - F.col("level")) <= off) & (F.col("n") == F.col("cells"))
+    return out.select("dataset", "n", near.alias("near"))
+
+
+@query("SELECT true AS valid, true AS orthonormal, 20 AS sensors FROM (SELECT count(*) AS n FROM embeddings) WHERE n >= 20")
+def qr_invariants(spark, d):
+    """What every factorisation of the embeddings has to hold: R from A and Q, Q's columns orthonormal, as many sensors as asked for."""
+    t = T.embeddings(spark, d)
+    c = placement.check(t, placement.place(t, 20))
+    return spark.createDataFrame([(bool(c["valid"]), bool(c["orthogonality"] < 1e-8), int(c["sensors"]))], "valid boolean, orthonormal boolean, sensors int")
