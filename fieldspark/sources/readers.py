@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions import scalars as S
+from fieldspark.sources import arrays, sheets
 
 SUFFIXES = {".npy": "numpy", ".npz": "numpy", ".csv": "table", ".xls": "excel", ".xlsx": "excel", ".parquet": "parquet", ".h5": "hdf5", ".hdf5": "hdf5", ".pt": "torch", ".pth": "torch"}
 
@@ -25,7 +26,8 @@ def kind_of(path: str) -> str:
 
 
 def load_tensor(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """subject, i0.., v of an array file, by its suffix."""
+    """subject, i0.., v of an array file, by its suffix. A torch file is one file; filters on its axes reach it where the session has
+    ``spark.sql.python.filterPushdown.enabled``."""
     kind = kind_of(path)
     if kind == "numpy":
         return read_numpy(spark, path, key)
@@ -33,6 +35,9 @@ def load_tensor(spark: SparkSession, path: str, key: str | None = None) -> DataF
         return spark.read.parquet(path)
     if kind == "hdf5":
         return read_hdf5(spark, path, key)
+    if kind == "torch":
+        found = arrays.read(spark, path, key=key)
+        return found.select(F.lit(posixpath.splitext(posixpath.basename(path))[0]).alias("subject"), *found.columns)
     raise ValueError(f"no reader for {kind} files here; convert {path} to .npy or .parquet")
 
 
@@ -101,46 +106,49 @@ def load_multiple(coo: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, size_mb, keys, shape, dtype of array files."""
+    """path, format, size_mb, keys, shape, dtype of array files, of archives those of the first array. Only headers are read."""
     kind = kind_of(path)
+    if kind not in ("numpy", "torch"):
+        raise ValueError(f"no headers are read of {kind} files")
 
     def run(batches):
         for t in batches:
-            rows = []
-            for p, n, content in zip(t["path"], t["length"], t["content"]):
-                x = np.load(io.BytesIO(content), allow_pickle=False)
-                keys = [] if isinstance(x, np.ndarray) else list(x.keys())
-                a = x if isinstance(x, np.ndarray) else x[keys[0]]
-                rows.append((p, kind, n / 2**20, keys, list(a.shape), str(a.dtype)))
+            rows = [(p, kind, n / 2**20, *arrays.describe(p)) for p, n in zip(t["path"], t["length"])]
             yield pd.DataFrame(rows, columns=["path", "format", "size_mb", "keys", "shape", "dtype"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(run, "path string, format string, size_mb double, keys array<string>, shape array<int>, dtype string")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the scan leaves contents alone
+    return files.mapInPandas(run, "path string, format string, size_mb double, keys array<string>, shape array<int>, dtype string")
 
 
 META_COLUMNS = 4
 
 
-def _payload(content: bytes) -> np.ndarray:
-    return pd.read_csv(io.BytesIO(content)).iloc[:, META_COLUMNS:].fillna(0).to_numpy(float)
+def _payloads(name: str, content: bytes):
+    """(number of its first row, numbers) of runs of rows of a CSV file or a workbook's first sheet."""
+    if posixpath.splitext(name)[1].lower() == ".xlsx":
+        yield from sheets.payloads(content, META_COLUMNS)
+    else:
+        yield 0, pd.read_csv(io.BytesIO(content), float_precision="round_trip").iloc[:, META_COLUMNS:].fillna(0).to_numpy(float)
 
 
 def bad_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, reason of the CSV files that can't be parsed. Spark itself passes over empty files."""
+    """path, reason of the CSV files and workbooks that can't be parsed. Spark itself passes over empty files."""
 
     def run(batches):
         for t in batches:
             for p, content in zip(t["path"], t["content"]):
                 try:
-                    _payload(content)
-                except (ValueError, UnicodeDecodeError) as e:
+                    for _ in _payloads(p, content):
+                        pass
+                except (ValueError, KeyError) as e:  # pandas' parser errors are ValueErrors
                     yield pd.DataFrame({"path": [p], "reason": [str(e)]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, reason string")
 
 
 def read_static(spark: SparkSession, path: str, skip_bad: bool = True) -> DataFrame:
-    """subject, step, row, col, v of CSV files: four metadata columns, then the payload; missing values are 0.
-    Rows keep their order in the file, so one file is read by one task. A file that can't be parsed is skipped, with a
+    """subject, step, row, col, v of CSV files and workbooks (.xlsx, their first sheet): four metadata columns, then the payload; missing
+    values are 0. Rows keep their order in the file, so one file is read by one task. A file that can't be parsed is skipped, with a
     message in its task's log, unless ``skip_bad`` is off; ``bad_files`` lists those."""
     files = spark.read.format("binaryFile").load(path)
 
@@ -148,17 +156,18 @@ def read_static(spark: SparkSession, path: str, skip_bad: bool = True) -> DataFr
         for t in batches:
             for p, content in zip(t["path"], t["content"]):
                 name = posixpath.basename(p)
-                if posixpath.splitext(name)[1].lower() != ".csv":
+                if posixpath.splitext(name)[1].lower() not in (".csv", ".xlsx"):
                     raise ValueError(f"unknown format: {p}")
                 try:
-                    x = _payload(content)
-                except (ValueError, UnicodeDecodeError) as e:  # pandas' parser errors are ValueErrors
+                    found = list(_payloads(name, content))  # whole, so that of a file that goes bad later nothing is kept
+                except (ValueError, KeyError) as e:
                     if not skip_bad:
                         raise
                     print(f"skipped {p}: {e}", file=sys.stderr)
                     continue
-                i, j = np.indices(x.shape)
-                yield pd.DataFrame({"subject": posixpath.splitext(name)[0], "step": S.step_of(name), "row": i.ravel(), "col": j.ravel(), "v": x.ravel()})
+                for first, x in found:
+                    i, j = np.indices(x.shape)
+                    yield pd.DataFrame({"subject": posixpath.splitext(name)[0], "step": S.step_of(name), "row": first + i.ravel(), "col": j.ravel(), "v": x.ravel()})
 
     return files.select("path", "content").mapInPandas(run, "subject string, step int, row int, col int, v double")
 
