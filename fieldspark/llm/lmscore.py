@@ -9,8 +9,10 @@ that holds how often either way was taken in all training texts. The slots' logi
 mixed with weights, of which a set is chosen (gated) by how sure the words' contexts are, and the
 mixture is averaged with an adaptive map from mixed logits to what was found there. Weights and map
 learn online: every ``STEP`` decisions of a text they move by what these were, so they are the
-text's own. They begin anew, from fixed values, every ``WINDOW`` decisions, so that
-many windows are mixed side by side. A text's score is the sum over its decisions, and
+text's own. They begin anew every ``WINDOW`` decisions, so that
+many windows are mixed side by side, from weights and a map learned of training texts: a ``FOLD``-th of these, all of it,
+is predicted from the counts of the others, and Newton steps on the summed loss, in integers, give the weights.
+A text's score is the sum over its decisions, and
 10 ** score a probability: those of all texts sum to 1 at most.
 
 Counting: integer sums over all whole training texts, so neither the split of the input nor the
@@ -21,8 +23,8 @@ base score needs, are a distributed table that grows with the corpus, by a 64-bi
 Frequent words (``FREQUENT`` at most) are broadcast with their counts, so no word is a hot
 join key; all others are joined. Null texts count as empty: they hold the end alone. Repeated rows
 get a row each; extra columns are ignored; an empty table gives an empty one; very long texts
-are coded in pieces of about ``PIECE`` bytes, cut between words, with their contexts unbroken. With no training
-texts counts are 0, base probabilities uniform over the one end token, and all decisions even.
+are coded in pieces of about ``PIECE`` bytes, cut between words, with their contexts unbroken. With too few training texts for
+a fold, weights stay at their neutral start; with none, counts are 0, base probabilities uniform over the one end token, and all decisions even.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ NODES = PAD = 256 * 256
 PIECE = 1 << 19
 SLICE = 3 << 19
 FREQUENT = 1 << 18
-STEP, WINDOW = 64, 1 << 13
+STEP, WINDOW = 64, 1 << 16
 #: Logits are stored in steps of 1 / SCALE.
 SCALE, PRIOR = 12.0, 0.1
 GATES, BUCKETS = 4, 29
@@ -58,9 +60,14 @@ _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 NODE_HASH = np.random.default_rng(20250303).integers(0, 1 << 32, NODES, dtype=np.uint32)
 
 
-#: Fixed weights to begin with, a row for each gate: whether the word so far is sure of the decision (its logit above 1
+#: What learning begins with, a row for each gate: whether the word so far is sure of the decision (its logit above 1
 #: or below -1), plus 2 if the pair of words is. Columns: one byte, three bytes, four bytes, word, pair of words.
-FIRST_WEIGHTS = np.array([(-0.1, 0.2, 0.55, 0.25, 0.35), (0, 0.15, 0.55, 0.3, 0.3), (-0.1, 0.15, 0.6, 0.3, 0.4), (0, 0.15, 0.55, 0.35, 0.35)], np.float32)
+#: At 0.29 no sum of stored logits is on the border of two buckets of the map, where rounding would decide.
+FIRST_WEIGHTS = np.full((GATES, CONTEXTS), 0.29, np.float32)
+#: One training text in FOLD is kept out of the counts that the weights are learned on; each round is a pass over these texts.
+FOLD, ROUNDS = 16, 5
+#: Learning is in whole numbers: weights, mixed logits and probabilities in these steps a unit.
+WEIGHT_STEPS, LOGIT_STEPS, CHANCE_STEPS = 1 << 16, 64, 1 << 12
 
 
 def held_out():
@@ -210,10 +217,11 @@ def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Tables of logits, one for each context, and the code."""
+    """Tables of logits, one for each context, the code, and the weights and the map that texts begin with."""
 
-    def __init__(self, code: Code, bits: int, tables: list[np.ndarray]):
+    def __init__(self, code: Code, bits: int, tables: list[np.ndarray], weights: np.ndarray = FIRST_WEIGHTS, chances: np.ndarray | None = None):
         self.code, self.bits, self.tables, self.key = code, bits, tables, uuid.uuid4().hex
+        self.weights, self.chances = weights, _first_map() if chances is None else chances
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, and the bytes coded."""
@@ -236,7 +244,7 @@ class Model:
             owner = np.repeat(np.arange(len(parts)), windows)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             first, last = begin[owner] + nth * per, np.minimum((begin + steps)[owner], begin[owner] + (nth + 1) * per)
-            sums = mixed(x.reshape(CONTEXTS, -1, STEP), bit.reshape(-1, STEP), first, last - first)
+            sums = mixed(x.reshape(CONTEXTS, -1, STEP), bit.reshape(-1, STEP), first, last - first, self.weights, self.chances)
             np.add.at(out, who, np.bincount(owner, weights=sums, minlength=len(parts)))
             np.add.at(size, who, size_of)
         return out / math.log(10), size
@@ -246,13 +254,13 @@ def _first_map() -> np.ndarray:
     return MAP_WEIGHT / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2).astype(np.float64)))
 
 
-def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray, start: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Log probability of each window of decisions, all windows side by side, a step of each at a time."""
     order = np.argsort(-steps, kind="stable")
     first, steps, n = first[order], steps[order], len(order)
-    weights = np.repeat(FIRST_WEIGHTS[None], n, axis=0)
+    weights = np.repeat(start[None], n, axis=0)
     rows = (np.arange(n, dtype=np.int32) * BUCKETS + BUCKETS // 2)[:, None]
-    ones, every = np.tile(_first_map(), n), np.full(n * BUCKETS, MAP_WEIGHT)
+    ones, every = np.tile(chances, n), np.full(n * BUCKETS, MAP_WEIGHT)
     total = np.zeros(n)
     sure = np.int8(SCALE)
     gates = np.arange(GATES, dtype=np.int8)[:, None]
@@ -355,23 +363,108 @@ def _sum_block(key, rows):
     return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
 
 
+def _tables(sums: DataFrame, bits: int) -> list[np.ndarray]:
+    """The logits of summed counts: a byte a slot reaches the driver."""
+    tables = [np.zeros(NODES if k == 0 else 1 << bits, np.int8) for k in range(CONTEXTS)]
+    for r in sums.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():
+        tables[r["k"]][r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.int8)
+    return tables
+
+
 def fit(docs: DataFrame) -> Model:
     """The model of all training texts. What reaches the driver has a fixed number of slots at most."""
     spark = docs.sparkSession
-    train = docs.filter(~held_out()).select(F.col("text").cast("binary").alias("text"))
-    found = store.in_arrow(train, _pairs, "found binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInArrow(lambda t: _sum_pairs(t), "found binary")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLD)) == 0
+    train = docs.filter(~held_out()).select(F.col("text").cast("binary").alias("text"), fold.alias("fold"))
+    found = store.in_arrow(train.select("text"), _pairs, "found binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInArrow(lambda t: _sum_pairs(t), "found binary")
     pairs = sum((np.frombuffer(r["found"], np.int64) for r in found.collect()), np.zeros(NODES, np.int64))  # 16 rows
     size = int(pairs.sum())
     bits = min(MOST_BITS, max(LEAST_BITS, (size >> 3).bit_length()))
     code = Code(pairs.reshape(256, 256))
     shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps((code, bits)))
-    tables = [np.zeros(NODES if k == 0 else 1 << bits, np.int8) for k in range(CONTEXTS)]
-    parts = store.in_arrow(train, lambda it: _count(it, shared), "k int, at long, part binary")
-    # A block of at most 64 tasks is added up first, then those sums: no group holds a row of every task.
-    some = parts.withColumn("g", F.expr("spark_partition_id() div 64")).groupBy("k", "at", "g").applyInArrow(_add_block, "k int, at long, part binary")
-    for r in some.groupBy("k", "at").applyInArrow(_sum_block, "k int, at long, part binary").collect():  # a byte a slot
-        tables[r["k"]][r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.int8)
-    return Model(code, bits, tables)
+
+    def counted(rows):
+        # A block of at most 64 tasks is added up first, then those sums: no group holds a row of every task.
+        parts = store.in_arrow(rows.select("text"), lambda it: _count(it, shared), "k int, at long, part binary")
+        sums = parts.withColumn("g", F.expr("spark_partition_id() div 64")).groupBy("k", "at", "g").applyInArrow(_add_block, "k int, at long, part binary")
+        return store.table(sums, "counts")
+
+    most, rest = counted(train.filter("not fold")), counted(train.filter("fold"))
+    weights, chances = learned(train.filter("fold").select("text"), Model(code, bits, _tables(most, bits)))
+    return Model(code, bits, _tables(most.unionByName(rest), bits), weights, chances)
+
+
+# --- learning where texts begin ----------------------------------------------------------------
+
+
+def _chance_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By mixed logit, from -14 in steps: the chance of a one, its variance, both times CHANCE_STEPS, and the loss of a zero in as many steps a nat."""
+    y = np.arange(-14 * LOGIT_STEPS, 14 * LOGIT_STEPS + 1) / LOGIT_STEPS
+    p = 1 / (1 + np.exp(-y))
+    return tuple(np.rint(CHANCE_STEPS * x).astype(np.int64) for x in (p, p * (1 - p), np.logaddexp(0, y)))
+
+
+def gathered(model: Model, weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """What texts say about integer weights, all in whole numbers, so that it adds up in any order: for each gate the
+    loss, the slope (a number a context) and the curvature (context by context); then for each bucket of the map the decisions and the ones."""
+    chance, spread, loss = _chance_tables()
+    out = np.zeros(GATES * (1 + CONTEXTS + CONTEXTS**2) + 2 * BUCKETS, np.int64)
+    per, high = out[: -2 * BUCKETS].reshape(GATES, -1), 14 * LOGIT_STEPS
+    for _, parts in _batches(texts):
+        pair, _, hashes = contexts(parts)
+        bit, slots = decisions(model.code, pair, model.code.length[pair], hashes, model.bits)
+        x = np.stack([np.take(t, s, mode="clip") for t, s in zip(model.tables, slots)])
+        gate = (np.abs(x[3]) > SCALE) + 2 * (np.abs(x[4]) > SCALE).astype(np.int8)
+        for g in range(GATES):
+            some = np.flatnonzero(gate == g)
+            here, up = x[:, some].astype(np.int64), bit[some].astype(np.int64)
+            # A unit of the sum is a weight's step times a logit's.
+            y = np.clip((weights[g] @ here) * LOGIT_STEPS // (WEIGHT_STEPS * int(SCALE)), -high, high)
+            p, f = chance[y + high], here.astype(np.float64)  # whole numbers far below 2 ** 53: exact
+            per[g, 0] += int(loss[np.where(up == 1, high - y, high + y)].sum())
+            per[g, 1 : 1 + CONTEXTS] += (f @ (up * CHANCE_STEPS - p)).astype(np.int64)
+            per[g, 1 + CONTEXTS :] += ((f * spread[y + high]) @ f.T).astype(np.int64).ravel()
+            near = (y + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2
+            out[-2 * BUCKETS : -BUCKETS] += np.bincount(near, minlength=BUCKETS)
+            out[-BUCKETS:] += np.bincount(near[up == 1], minlength=BUCKETS)
+    return out
+
+
+def learned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and map to begin with, from all texts of ``rows`` (none of which the model has counted). A round sends a few
+    hundred numbers of a task; a step that raises the loss is halved."""
+    spark = rows.sparkSession
+    cast = model.key, spark.sparkContext.broadcast(pickle.dumps(model))
+    best = now = np.rint(FIRST_WEIGHTS * WEIGHT_STEPS).astype(np.int64)
+    least, chances = None, _first_map()
+    for _ in range(ROUNDS):
+
+        def run(batches, weights=now):
+            m, total = store.held(cast[0], lambda: pickle.loads(cast[1].value)), 0
+            for b in batches:
+                for start, end in store.slices(b.column(0), SLICE):
+                    total = total + gathered(m, weights, [t or b"" for t in b.column(0).slice(start, end - start).to_pylist()])
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
+
+        sums = store.in_arrow(rows, run, "i long, n long").groupBy("i").agg(F.sum(F.col("n").cast("decimal(20,0)")).alias("n")).orderBy("i").collect()  # some 200 rows
+        if not sums:
+            return FIRST_WEIGHTS, _first_map()
+        total = np.array([float(r["n"]) for r in sums])
+        per = total[: -2 * BUCKETS].reshape(GATES, -1)
+        loss = per[:, 0].sum()
+        if least is None or loss < least:
+            least, best = loss, now
+            every, ones = total[-2 * BUCKETS : -BUCKETS], total[-BUCKETS:]
+            chances = MAP_WEIGHT * (ones + _first_map()) / (every + MAP_WEIGHT)
+            slope, curve = per[:, 1 : 1 + CONTEXTS] / SCALE, per[:, 1 + CONTEXTS :].reshape(GATES, CONTEXTS, CONTEXTS) / SCALE**2
+            near = CHANCE_STEPS * np.eye(CONTEXTS)  # about a decision's worth: a gate without any stays where it is
+            now = best + np.rint(WEIGHT_STEPS * np.stack([np.linalg.solve(c + near, s) for c, s in zip(curve, slope)])).astype(np.int64)
+        else:
+            now = (now + best) // 2
+        if (now == best).all():
+            break
+    return (best / WEIGHT_STEPS).astype(np.float32), chances
 
 
 # --- words -------------------------------------------------------------------------------------

@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from fieldspark.llm import ann, bpe, graph, jpeg, langid, lmscore, media, neardup, pii, quality, shingles
 
@@ -479,3 +481,40 @@ def test_pipeline_against_brute_force(spark):
             lib = Tokenizer.from_file(bpe.default_path())
             assert sorted((i, list(x)) for i, x in zip(after["doc_id"], after["ids"])) == sorted((i, lib.encode(t, add_special_tokens=False).ids) for i, t in zip(before["doc_id"], before["text"]))
         now, before = got, after
+
+
+def test_lm_learns_where_texts_begin():
+    """What a fold says about weights: against a scalar sum over its decisions, whatever the batches; and steps that lower the loss."""
+    texts = [t.encode() for t in list(TEXTS.values())[:60] if t and len(t) < 1500]
+    m, fold = model_of(texts[:40], 16), texts[40:]
+    w = np.rint(lmscore.FIRST_WEIGHTS * lmscore.WEIGHT_STEPS).astype(np.int64)
+    got = lmscore.gathered(m, w, fold)
+    assert (got == sum(lmscore.gathered(m, w, [t]) for t in fold[::-1])).all()
+    loss, slope, ones = np.zeros(lmscore.GATES), np.zeros((lmscore.GATES, lmscore.CONTEXTS)), 0
+    for t in fold:
+        pair, _, hashes = lmscore.contexts([(lmscore.stream(t), 0)])
+        bit, slots = lmscore.decisions(m.code, pair, m.code.length[pair], hashes, m.bits)
+        found = np.stack([table[x] for table, x in zip(m.tables, slots)], axis=1) / lmscore.SCALE
+        for x, up in zip(found, bit):
+            g = int((abs(x[3]) > 1) + 2 * (abs(x[4]) > 1))
+            p = 1 / (1 + math.exp(-np.clip(lmscore.FIRST_WEIGHTS[g] @ x, -14, 14)))
+            loss[g] -= math.log(p if up else 1 - p)
+            slope[g] += (up - p) * x
+            ones += int(up)
+    per = got[: -2 * lmscore.BUCKETS].reshape(lmscore.GATES, -1).astype(float)
+    assert np.allclose(per[:, 0] / lmscore.CHANCE_STEPS, loss, rtol=0.02)
+    assert np.allclose(per[:, 1:6] / lmscore.CHANCE_STEPS / lmscore.SCALE, slope, atol=0.01 * np.abs(slope).max() + 2)
+    assert got[-lmscore.BUCKETS :].sum() == ones and got[-2 * lmscore.BUCKETS : -lmscore.BUCKETS].sum() >= ones
+
+
+def test_lm_weights_come_from_the_training_rows(spark):
+    """Other training texts, other weights, with a lower loss than the neutral start has on the held-out; held-out texts change nothing; few rows leave the start."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = lmscore.fit(docs)
+    other = lmscore.fit(docs.withColumn("text", F.when(lmscore.held_out(), F.lit("x y z")).otherwise(F.col("text"))))
+    assert (m.weights == other.weights).all() and (m.chances == other.chances).all() and not (m.weights == lmscore.FIRST_WEIGHTS).any()
+    held = [bytes(r["text"] or b"") for r in docs.filter(lmscore.held_out()).select(F.col("text").cast("binary").alias("text")).collect()]
+    plain = lmscore.Model(m.code, m.bits, m.tables)
+    assert m.score(held)[0].sum() > plain.score(held)[0].sum()
+    few = lmscore.fit(docs.filter("doc_id < 0"))
+    assert (few.weights == lmscore.FIRST_WEIGHTS).all()
