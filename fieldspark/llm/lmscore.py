@@ -66,6 +66,8 @@ NODE_HASH = np.random.default_rng(20250303).integers(0, 1 << 32, NODES, dtype=np
 FIRST_WEIGHTS = np.full((GATES, CONTEXTS), 0.29, np.float32)
 #: One training text in FOLD is kept out of the counts that the weights are learned on; each round is a pass over these texts.
 FOLD, ROUNDS = 16, 5
+#: Decisions of which a task weighs so many at once, which bounds its memory.
+RUN = 1 << 16
 #: Learning is in whole numbers: weights, mixed logits and probabilities in these steps a unit.
 WEIGHT_STEPS, LOGIT_STEPS, CHANCE_STEPS = 1 << 16, 64, 1 << 12
 
@@ -390,7 +392,8 @@ def fit(docs: DataFrame) -> Model:
         return store.table(sums, "counts")
 
     most, rest = counted(train.filter("not fold")), counted(train.filter("fold"))
-    weights, chances = learned(train.filter("fold").select("text"), Model(code, bits, _tables(most, bits)))
+    kept = store.table(train.filter("fold").select("text"), "fold")  # so that a round doesn't read the other texts
+    weights, chances = learned(kept, Model(code, bits, _tables(most, bits)))
     return Model(code, bits, _tables(most.unionByName(rest), bits), weights, chances)
 
 
@@ -413,20 +416,24 @@ def gathered(model: Model, weights: np.ndarray, texts: list[bytes]) -> np.ndarra
     for _, parts in _batches(texts):
         pair, _, hashes = contexts(parts)
         bit, slots = decisions(model.code, pair, model.code.length[pair], hashes, model.bits)
-        x = np.stack([np.take(t, s, mode="clip") for t, s in zip(model.tables, slots)])
-        gate = (np.abs(x[3]) > SCALE) + 2 * (np.abs(x[4]) > SCALE).astype(np.int8)
-        for g in range(GATES):
-            some = np.flatnonzero(gate == g)
-            here, up = x[:, some].astype(np.int64), bit[some].astype(np.int64)
-            # A unit of the sum is a weight's step times a logit's.
-            y = np.clip((weights[g] @ here) * LOGIT_STEPS // (WEIGHT_STEPS * int(SCALE)), -high, high)
-            p, f = chance[y + high], here.astype(np.float64)  # whole numbers far below 2 ** 53: exact
-            per[g, 0] += int(loss[np.where(up == 1, high - y, high + y)].sum())
-            per[g, 1 : 1 + CONTEXTS] += (f @ (up * CHANCE_STEPS - p)).astype(np.int64)
-            per[g, 1 + CONTEXTS :] += ((f * spread[y + high]) @ f.T).astype(np.int64).ravel()
-            near = (y + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2
-            out[-2 * BUCKETS : -BUCKETS] += np.bincount(near, minlength=BUCKETS)
-            out[-BUCKETS:] += np.bincount(near[up == 1], minlength=BUCKETS)
+        found = np.empty((CONTEXTS, len(bit)), np.int8)
+        for k, s in enumerate(slots):
+            np.take(model.tables[k], s, out=found[k], mode="clip")
+        for at in range(0, len(bit), RUN):
+            x, went = found[:, at : at + RUN], bit[at : at + RUN]
+            gate = (np.abs(x[3]) > SCALE) + 2 * (np.abs(x[4]) > SCALE).astype(np.int8)
+            for g in range(GATES):
+                some = np.flatnonzero(gate == g)
+                here, up = x[:, some].astype(np.int64), went[some].astype(np.int64)
+                # A unit of the sum is a weight's step times a logit's.
+                y = np.clip((weights[g] @ here) * LOGIT_STEPS // (WEIGHT_STEPS * int(SCALE)), -high, high)
+                p, f = chance[y + high], here.astype(np.float64)  # whole numbers far below 2 ** 53: exact
+                per[g, 0] += int(loss[np.where(up == 1, high - y, high + y)].sum())
+                per[g, 1 : 1 + CONTEXTS] += (f @ (up * CHANCE_STEPS - p)).astype(np.int64)
+                per[g, 1 + CONTEXTS :] += ((f * spread[y + high]) @ f.T).astype(np.int64).ravel()
+                near = (y + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2
+                out[-2 * BUCKETS : -BUCKETS] += np.bincount(near, minlength=BUCKETS)
+                out[-BUCKETS:] += np.bincount(near[up == 1], minlength=BUCKETS)
     return out
 
 
