@@ -3,6 +3,7 @@
 R equals A Q throughout, so only Q (as wide as a tube) changes: each step one pass over the
 tubes finds the best remaining cell, and the driver turns its tube into a reflection. A
 pass returns one row a batch. Small bases, checked by their size, are placed in one go.
+Scores that agree to ``PLACES`` decimals are ties: the smallest cell of them is the pivot.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from fieldspark.operators import sensing
 #: Up to so many numbers a basis is placed on the driver.
 SMALL = 2_000_000
 LEAST = 1e-6
+#: Decimals by which scores are compared; what scales a term is the largest score itself.
+PLACES = 9
 WEIGHTS = ("gradient", "amplitude", "energy")
 
 
@@ -73,6 +76,10 @@ def _scores(r: np.ndarray, d: int, opt: Options) -> np.ndarray:
     return np.abs(r[:, d:]).sum(axis=1) if opt.geometry else np.sqrt((r[:, d:] ** 2).sum(axis=1))
 
 
+def _rounded(score):
+    return np.round(score, PLACES)
+
+
 def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], most: float, opt: Options) -> np.ndarray:
     """Penalties of crowded slices and dense axes."""
     out = np.zeros(len(cells))
@@ -126,12 +133,14 @@ def place_array(a: np.ndarray, n: int, cells: np.ndarray | None = None, blocked=
         near = dmin[at] if coords is not None and out.cells else None
         for term in _terms(cells[at], out.cells, {m: w[at] for m, w in (weights or {}).items()}, near, opt):
             score = score + score.max() * term
-        best = at[np.argmax(score)]  # ties: the smallest cell
+        tied = np.flatnonzero(_rounded(score) == _rounded(score.max()))
+        first = tied[np.argmin(cells[at[tied]])]
+        best = at[first]
         tube = r[best, d:]
         if np.linalg.norm(tube) < LEAST:
             break
         out.cells.append(int(cells[best]))
-        out.scores.append(float(score.max()))
+        out.scores.append(float(score[first]))
         free[best] = False
         if similar is not None:
             group = np.flatnonzero((similar == similar[best]) & (slices == slices[best]))
@@ -213,10 +222,10 @@ def _place_passes(rows: DataFrame, n: int, k: int, blocked, opt: Options) -> Pla
     gone, spots, rules = set(blocked), [], []
     carried = [c for c in ("coord", "region", "_z", "_turn", "_size") if c in rows.columns]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(["cell long", "score double", "terms int", "tube array<double>", *[f"{c} {kinds[c]}" for c in carried]])
+    schema = ", ".join(["cell long", "score double", "rounded double", "most double", "terms int", "tube array<double>", *[f"{c} {kinds[c]}" for c in carried]])
 
     def top(d: int, scales: list[float]):
-        """The best row by the score with as many terms as there are scales."""
+        """The best row by the score with as many terms as there are scales, and the largest score."""
         now, taken, chosen, near_to = q.copy(), np.array(sorted(gone), np.int64), list(out.cells), np.array(spots, float)
         limits = list(rules)
 
@@ -237,19 +246,20 @@ def _place_passes(rows: DataFrame, n: int, k: int, blocked, opt: Options) -> Pla
                 score = _scores(r, d, opt)
                 for scale, term in zip(scales, terms):
                     score = score + scale * term
-                i = int(np.argmax(score))
-                one = {"cell": [t["cell"].iloc[i]], "score": [score[i]], "terms": [len(terms)], "tube": [r[i, d:].tolist()]}
+                i = int(np.argmax(_rounded(score)))  # rows are in order: the smallest cell
+                one = {"cell": [t["cell"].iloc[i]], "score": [score[i]], "rounded": [_rounded(score[i])], "most": [score.max()], "terms": [len(terms)], "tube": [r[i, d:].tolist()]}
                 yield pd.DataFrame({**one, **{c: [t[c].iloc[i]] for c in carried}})
 
-        found = rows.mapInPandas(best, schema).orderBy(F.desc("score"), "cell").limit(1).collect()
-        return found[0] if found else None
+        found = rows.mapInPandas(best, schema)
+        pivot = F.max_by(F.struct(*[c for c in found.columns if c != "most"]), F.struct("rounded", -F.col("cell")))
+        return found.agg(pivot.alias("pivot"), F.max("most").alias("most")).first()
 
     for d in range(min(n, k)):
         scales: list[float] = []
-        pivot = top(d, scales)
+        pivot, most = top(d, scales)
         while pivot is not None and len(scales) < pivot["terms"]:
-            scales.append(pivot["score"])
-            pivot = top(d, scales)
+            scales.append(most)
+            pivot, most = top(d, scales)
         if pivot is None or np.linalg.norm(pivot["tube"]) < LEAST:
             break
         out.cells.append(pivot["cell"])
