@@ -18,3 +18,9 @@ def test_passes(spark):
     cells, a = near_ties()
     rows = spark.createDataFrame([(int(c), t.tolist()) for c, t in zip(cells, a)], "cell long, tube array<double>").repartition(3)
     assert placement.place(rows, 3, small=0).cells == [SMALLEST, SECOND, 8]
+
+
+def test_array():
+    cells, a = near_ties()
+    found = placement.place_array(a, 3, cells)
+    assert found.cells == [SMALLEST, SECOND, 8] and np.isclose(found.scores[0], 1)
