@@ -87,10 +87,10 @@ def _penalty(cells: np.ndarray, chosen: list[int], shape: list[int], most: float
         return out
     mine, theirs = np.unravel_index(cells, shape), np.unravel_index(np.array(chosen), shape)
     for axis, size in enumerate(shape):
-        counts = np.bincount(theirs[axis], minlength=size)
+        counts = (mine[axis][:, None] == theirs[axis]).sum(axis=1)  # of the few chosen, not of the axis
         if axis == 2:  # slices of the third axis, against an even share of the sensors placed so far
-            out += np.maximum(0, counts[mine[axis]] - len(chosen) / size) * opt.slice_weight * most
-        out += counts[mine[axis]] / len(chosen) * opt.density_weight * most
+            out += np.maximum(0, counts - len(chosen) / size) * opt.slice_weight * most
+        out += counts / len(chosen) * opt.density_weight * most
     return out
 
 

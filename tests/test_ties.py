@@ -24,3 +24,14 @@ def test_array():
     cells, a = near_ties()
     found = placement.place_array(a, 3, cells)
     assert found.cells == [SMALLEST, SECOND, 8] and np.isclose(found.scores[0], 1)
+
+
+def test_uniform_passes(spark):
+    """Also where the first axis is too long for a count of each of its entries."""
+    cells, a = near_ties()
+    far = 10**12
+    rows = spark.createDataFrame([(int(c) + far, t.tolist()) for c, t in zip(cells, a)], "cell long, tube array<double>").repartition(3)
+    opt = placement.Options(uniform=True, shape=[far // 16 + 1, 4, 4])
+    for small in (0, placement.SMALL):
+        assert placement.place(rows, 3, opt=opt, small=small).cells[0] == SMALLEST + far
+        assert len(placement.place(rows, 3, opt=opt, small=small).cells) == 3
