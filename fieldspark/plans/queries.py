@@ -928,10 +928,11 @@ def _grid100(spark) -> DataFrame:
     return tensor.grid(spark, {"row": 100, "col": 100})
 
 
-@query(f"WITH {CENTRES}, {T.SENSORS} SELECT row, col, cluster FROM p SEMI JOIN sensors USING (row, col)")
+@query(f"WITH {CENTRES}, {T.SENSORS} SELECT row, col, cluster, (s.row IS NOT NULL)::INT AS sensor FROM p LEFT JOIN sensors s USING (row, col)")
 def cluster_nearest(spark, d):
-    """The cluster of each sensor."""
-    return analysis.nearest_centre(_sensors(spark, d), _centres(spark))
+    """The cluster of every cell of the grid, and whether a sensor is there."""
+    marked = _sensors(spark, d).withColumn("_s", F.lit(1))
+    return analysis.nearest_centre(_grid100(spark), _centres(spark)).join(marked, ["row", "col"], "left").select("row", "col", "cluster", F.coalesce("_s", F.lit(0)).alias("sensor"))
 
 
 @query(f"WITH {CENTRES}, {T.SENSORS}, m AS (SELECT cluster, count(s.row) AS sensors, count(*) AS area FROM p LEFT JOIN sensors s USING (row, col) GROUP BY 1), q AS (SELECT *, sensors::DOUBLE / sum(sensors) OVER () AS p_c_s, sensors::DOUBLE / area AS p_s_c, area::DOUBLE / sum(area) OVER () AS p_c FROM m) SELECT cluster, sensors, area, round(p_c_s, 6) AS p_c_s, round(p_s_c, 6) AS p_s_c, round(p_c, 6) AS p_c, round(p_s_c * p_c / sum(p_s_c * p_c) OVER (), 6) AS bayes FROM q")
