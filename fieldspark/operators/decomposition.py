@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import kernels as K
 from fieldspark.operators import sensing, tensor
+from fieldspark.operators.cut import checkpointed
 
 
 def dense(t: pd.DataFrame, axes: dict[str, int]) -> np.ndarray:
@@ -49,6 +50,96 @@ def per_subject(coo: DataFrame, axes: dict[str, int], ranks=None, epsilon: float
     return coo.groupBy("subject").applyInPandas(run, f"subject string, {RESULT}")
 
 
+#: Rows of a long axis whose R factor is one task's, and R factors that one task merges.
+LONG_BLOCK, FAN = 1024, 16
+
+
+def per_subject_long(coo: DataFrame, axes: dict[str, int], ranks=None, epsilon: float = 1e-2, block: int = LONG_BLOCK) -> DataFrame:
+    """``per_subject`` where the first axis is too long for a task. With X = Q R of the unfolding along it, orthogonal iteration on R
+    gives the core and the other factors, and Q times R's first factor is that of X: rows times a small matrix. R comes from QRs of blocks of rows,
+    merged in a tree; a task holds a block or a few R, whose width is the product of the other axes. A few numbers a subject, as
+    many as that width times the first rank, go to the tasks."""
+    spark, (long, *others) = coo.sparkSession, list(axes)
+    ranks = K.validate_ranks(ranks, list(axes.values()))
+    shape, r0, n = [axes[a] for a in others], ranks[0], axes[long]
+    width = int(np.prod(shape))
+    flat = tensor.flatten(coo, {a: axes[a] for a in others}, "_col") if len(others) > 1 else coo.withColumnRenamed(others[0], "_col")
+    tubes = checkpointed(tensor.tubes(flat, ["subject", long], width, "_col"))
+    piece = "subject string, _b long, r binary"
+
+    def stacked(t: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x).reshape(-1, width) for x in sorted(t["r"])])
+
+    def packed(t: pd.DataFrame, a: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"subject": t["subject"].iloc[:1], "_b": t["_b"].iloc[:1] // FAN, "r": [np.linalg.qr(a, mode="r").tobytes()]})
+
+    def first(t: pd.DataFrame) -> pd.DataFrame:
+        return packed(t, np.stack(t.sort_values(long)["tube"].to_numpy()))
+
+    def merge(t: pd.DataFrame) -> pd.DataFrame:
+        return packed(t, stacked(t))
+
+    def solve(t: pd.DataFrame) -> pd.DataFrame:
+        _, s, v = np.linalg.svd(stacked(t), full_matrices=False)
+        rank = int((s > s[0] * 1e-13).sum())
+        x = np.zeros((max(rank, r0), width))
+        x[:rank] = s[:rank, None] * v[:rank]
+        x = x.reshape(-1, *shape)
+        found = K.tucker(x, ranks, epsilon)
+        out = _rows(found, x)
+        out = out[(out["part"] != "factor") | (out["mode"] != 0)]
+        c = v[:rank].T / s[:rank]
+        more = {"w": c @ found.factors[0][:rank]} | ({"c": c, "z": found.factors[0][rank:]} if rank < r0 else {})
+        for name, m in more.items():
+            i, j = np.indices(m.shape)
+            out = pd.concat([out, pd.DataFrame({"part": name, "mode": 0, "row": i.ravel(), "rank": j.ravel(), "value": m.ravel()})])
+        out.insert(0, "subject", t["subject"].iloc[0])
+        return out
+
+    r = tubes.withColumn("_b", F.floor(F.col(long) / F.lit(block))).groupBy("subject", "_b").applyInPandas(first, piece)
+    count = -(-n // block)
+    while count > FAN:
+        count = -(-count // FAN)
+        r = r.groupBy("subject", "_b").applyInPandas(merge, piece)
+    solved = checkpointed(r.groupBy("subject").applyInPandas(solve, f"subject string, {RESULT}"))
+
+    small = {key: t.sort_values(["row", "rank"]) for key, t in solved.filter(F.col("part").isin("w", "c", "z")).toPandas().groupby(["subject", "part"])}
+    matrix = lambda t: t["value"].to_numpy().reshape(t["row"].max() + 1, -1)
+    w = {key[0]: matrix(t) for key, t in small.items() if key[1] == "w"}
+    add = {}
+    lacking = [key[0] for key in small if key[1] == "z"]  # of lower rank than asked for: completed by vectors that are zero beyond the first rows
+    if lacking:
+        head = {(x["subject"], x[long]): x["tube"] for x in tubes.filter((F.col(long) < r0) & F.col("subject").isin(lacking)).collect()}
+        for key in lacking:
+            c = matrix(small[key, "c"]) if (key, "c") in small else np.zeros((width, 0))
+            q = np.stack([head.get((key, i), np.zeros(width)) for i in range(r0)]) @ c
+            add[key] = np.linalg.svd(q)[0][:, c.shape[1]:] @ matrix(small[key, "z"])
+
+    def rows(signs):
+        def run(batches):
+            for t in batches:
+                for key, g in t.groupby("subject"):
+                    u = np.stack(g["tube"].to_numpy()) @ w[key]
+                    at = g[long].to_numpy()
+                    if key in add:
+                        u[at < r0] += add[key][at[at < r0]]
+                    yield pd.DataFrame({"subject": key, "row": np.repeat(at, r0), "rank": np.tile(np.arange(r0), len(at)), "value": (u * signs.get(key, 1.0)).ravel()})
+
+        return every.mapInPandas(run, "subject string, row int, rank int, value double")
+
+    every = spark.range(n).select(F.col("id").cast("int").alias(long)).crossJoin(F.broadcast(solved.select("subject").distinct()))  # a row a place
+    zeros = F.array_repeat(F.lit(0.0), width)
+    every = every.join(tubes, ["subject", long], "left").select("subject", long, F.coalesce("tube", zeros).alias("tube"))
+    most = rows({}).groupBy("subject", "rank").agg(F.max_by("value", F.struct(F.abs("value"), -F.col("row"))).alias("v")).toPandas()
+    signs = {key: np.where(g.sort_values("rank")["v"] < 0, -1.0, 1.0) for key, g in most.groupby("subject")}
+    factor = rows(signs).select("subject", F.lit("factor").alias("part"), F.lit(0).alias("mode"), "row", "rank", "value")
+    flips = spark.createDataFrame([(key, k, float(x)) for key, v in signs.items() for k, x in enumerate(v)], "subject string, _k int, _sign double")
+    slices = F.when(F.col("part") == "core", F.floor(F.col("row") / F.lit(int(np.prod(ranks[1:]))))).cast("int").alias("_k")
+    rest = solved.filter(~F.col("part").isin("w", "c", "z")).select("*", slices).join(F.broadcast(flips), ["subject", "_k"], "left")
+    rest = rest.withColumn("value", F.col("value") * F.coalesce("_sign", F.lit(1.0))).drop("_k", "_sign")
+    return rest.unionByName(factor)
+
+
 def factor_frame(spark, u: np.ndarray) -> DataFrame:
     i, j = np.indices(u.shape)
     return spark.createDataFrame(pd.DataFrame({"row": i.ravel(), "rank": j.ravel(), "u": u.ravel()}), "row int, rank int, u double")

@@ -540,8 +540,9 @@ def modes_by_subject(spark, d):
 
 @query()
 def hooi_subjects(spark, d):
-    n = T.read(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
-    return decomposition.per_subject(T.shipments(spark, d), {"i0": int(n), "t": T.MONTHS}, [4, 4])
+    least, most = T.read(spark, d, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    rows = T.shipments(spark, d).withColumn("i0", (F.col("i0") + 1 - F.lit(least)).cast("int"))  # of the least key, 0 or 1
+    return decomposition.per_subject_long(rows, {"i0": int(most - least + 1), "t": T.MONTHS}, [4, 4])
 
 
 # --- placement and sensing --------------------------------------------------------------------------
