@@ -421,12 +421,12 @@ def degree(spark, d):
 
 @query(f"WITH {MESH} SELECT src, dst, -1.0::DOUBLE AS l FROM e UNION ALL SELECT cell, cell, degree FROM every")
 def laplacian(spark, d):
-    return graph.laplacian(_mesh(spark, d), _points(spark, d))
+    return graph.radius_laplacian(_points(spark, d), 0.02)
 
 
 @query(f"WITH {MESH} SELECT src, dst, round(-1 / sqrt(x.degree * y.degree), 6) AS l FROM e JOIN deg x ON x.cell = src JOIN deg y ON y.cell = dst UNION ALL SELECT cell, cell, 1.0::DOUBLE FROM every")
 def laplacian_norm(spark, d):
-    return _r(graph.laplacian(_mesh(spark, d), _points(spark, d), True))
+    return _r(graph.radius_laplacian(_points(spark, d), 0.02, normalised=True))
 
 
 @query(f"WITH {POINTS} SELECT a.cell, round(exp(-min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / (0.1::DOUBLE + 1e-10::DOUBLE)), 6) AS v FROM v a, v b WHERE b.cell % 100 = 0 GROUP BY 1")
