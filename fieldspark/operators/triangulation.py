@@ -1,13 +1,14 @@
 """Delaunay triangulations of plane points beyond one task.
 
-Points lie in square tiles of about TILE points. Each open tile is triangulated together with a ring of tiles around it. A triangle
+Points lie in square tiles of about TILE points. At first squares of tiles, then each open tile, are triangulated together with a ring of tiles around. A triangle
 of one of its points stands if no point of the whole set lies in its circumcircle: where the circle leaves what the task has
 seen, the points of the other tiles it meets are asked. An edge without a triangle beyond stands if the half-plane
 beyond it is empty, in the same way. Tiles with a triangle or edge that doesn't stand, or that would ask too many tiles, are done again
 with a ring twice as wide, until none is left; then every star is that of the whole set.
 
 Points of one place count once, as that of the least cell. Of points on one circle any triangulation may come, and tiles may differ in it. Points
-on a line, or fewer than three, have no triangles: they are joined with their ``NEAR`` nearest.
+on a line, or fewer than three, have no triangles: they are joined with their ``NEAR`` nearest. With keys, meshes are triangulated
+beside one another, and points of a key without triangles are joined along their line.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators import graph
 from fieldspark.operators.cut import checkpointed
 
 TILE, NEAR = 256, 6
+SQUARE = 4  # tiles along a side of the squares of the first round
 FAR = -1  # the point at infinity
 EPS = 1e-12
 
@@ -103,8 +105,14 @@ class Grid:
         self.low, self.high, self.side = low, high, side
         self.n = np.maximum(1, np.ceil((high - low) / side).astype(int))
 
-    def tile(self, column: str, k: int):
-        return F.least(F.floor((F.col(column) - F.lit(float(self.low[k]))) / F.lit(self.side)), F.lit(int(self.n[k]) - 1)).cast("int")
+    def around(self, area: tuple[int, int, int, int]) -> tuple[float, float, float, float]:
+        """Left, right, bottom and top of ranges of columns and rows, a bit within; without bound at the ends of the grid."""
+        bounds = []
+        for k in (0, 1):
+            first, last = area[2 * k], area[2 * k + 1]
+            bounds.append(-math.inf if first == 0 else self.low[k] + (first + 1e-6) * self.side)
+            bounds.append(math.inf if last == self.n[k] - 1 else self.low[k] + (last + 1 - 1e-6) * self.side)
+        return tuple(bounds)
 
     def met(self, ghost: bool, x: float, y: float, r: float, seen: tuple[int, int, int, int], most: int) -> list[int] | None:
         """Numbers of the tiles outside ``seen`` (ranges of columns and rows) that a circle or half-plane meets; None if more than ``most``."""
@@ -134,76 +142,111 @@ class Grid:
         return [int(c * self.n[1] + k) for c in columns[some] for k in range(lo[c], hi[c] + 1) if not (inner[c] and seen[2] <= k <= seen[3])]
 
 
-FOUND = "tx int, ty int, kind int, src long, dst long, x double, y double, r double, tiles array<int>"
+FOUND = "k int, tx int, ty int, kind int, src long, dst long, x double, y double, r double, tiles array<int>"
 EDGE, CIRCLE, HALF, WIDER = 0, 1, 2, 3
 
 
-def _round(points: DataFrame, opened: DataFrame | None, grid: Grid, ring: int) -> DataFrame:
-    """Edges of the points of open tiles, and what has to be asked before they stand."""
-    nx, ny = int(grid.n[0]), int(grid.n[1])
-    steps = lambda: F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-    opened = points.select("tx", "ty").distinct() if opened is None else opened
-    near = opened.withColumn("_a", steps()).withColumn("_b", steps()).select(F.col("tx").alias("ox"), F.col("ty").alias("oy"), (F.col("tx") + F.col("_a")).alias("tx"), (F.col("ty") + F.col("_b")).alias("ty"))
-    seen = near.filter(F.col("tx").between(0, nx - 1) & F.col("ty").between(0, ny - 1)).join(points, ["tx", "ty"])
-    most = 8 * (nx + ny)
+def _round(points: DataFrame, opened: DataFrame | None, grids: list[Grid], ring: int) -> DataFrame:
+    """Edges of the points of open tiles, with their length as r, and what has to be asked before they stand."""
+    square = SQUARE if opened is None else 1
+    owner = lambda c: F.floor(F.col(c) / square).cast("int")
+    opened = (points if opened is None else opened).select("k", owner("tx").alias("ox"), owner("ty").alias("oy")).distinct()
+    tiles = lambda c: F.explode(F.sequence(F.col(c) * square - ring, (F.col(c) + 1) * square - 1 + ring))
+    near = opened.withColumn("tx", tiles("ox")).withColumn("ty", tiles("oy"))
+    seen = near.join(points.select("k", "cell", "x", "y", "tx", "ty"), ["k", "tx", "ty"])
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("cell")
-        ox, oy = int(t["ox"].iloc[0]), int(t["oy"].iloc[0])
-        area = max(0, ox - ring), min(nx - 1, ox + ring), max(0, oy - ring), min(ny - 1, oy + ring)
+        k, ox, oy = (int(t[c].iloc[0]) for c in ("k", "ox", "oy"))
+        grid = grids[k]
+        nx, ny = int(grid.n[0]), int(grid.n[1])
+        most = 8 * (nx + ny)
+        area = max(0, ox * square - ring), min(nx - 1, (ox + 1) * square - 1 + ring), max(0, oy * square - ring), min(ny - 1, (oy + 1) * square - 1 + ring)
         p, cell = t[["x", "y"]].to_numpy(), t["cell"].to_numpy()
-        own = (t["tx"].to_numpy() == ox) & (t["ty"].to_numpy() == oy)
+        tx, ty = t["tx"].to_numpy(), t["ty"].to_numpy()
+        own = (tx // square == ox) & (ty // square == oy)
         whole = area == (0, nx - 1, 0, ny - 1)
         tri = triangles(p)
         if not len(tri) and not whole:
-            return pd.DataFrame([(ox, oy, WIDER, None, None, None, None, None, None)], columns=names)
+            mine = sorted(set(zip(tx[own].tolist(), ty[own].tolist())))
+            return pd.DataFrame([(k, *at, WIDER, None, None, None, None, None, None) for at in mine], columns=names)
         tri = tri[(own[tri] & (tri != FAR)).any(axis=1)]
+        at_tiles = lambda q: {(int(tx[u]), int(ty[u])) for u in q if u != FAR and own[u]}
         rows = []
         pairs = {(min(u, v), max(u, v)) for q in tri.tolist() for u, v in zip(q, q[1:] + q[:1]) if u != FAR and v != FAR}
-        rows += [(ox, oy, EDGE, int(cell[u]), int(cell[v]), None, None, None, None) for u, v in pairs if own[u] or own[v]]
+        for u, v in pairs:
+            gap = float(np.sqrt((p[u, 0] - p[v, 0]) ** 2 + (p[u, 1] - p[v, 1]) ** 2))
+            rows += [(k, *at, EDGE, int(cell[u]), int(cell[v]), None, None, gap, None) for at in at_tiles((u, v))]
         if not whole:
-            for q, x, y, r in zip(tri.tolist(), *_circles(p, tri)):
-                ghost = q[2] == FAR
-                ask = grid.met(ghost, float(x), float(y), float(r), area, most)
+            x, y, r = _circles(p, tri)
+            left, right, bottom, top = grid.around(area)
+            reach = np.sqrt(np.maximum(r, 0))
+            inside = (tri[:, 2] != FAR) & (x - reach >= left) & (x + reach <= right) & (y - reach >= bottom) & (y + reach <= top)
+            wider = set()
+            for i in np.flatnonzero(~inside):
+                q, ghost = tri[i].tolist(), tri[i, 2] == FAR
+                ask = grid.met(ghost, float(x[i]), float(y[i]), float(r[i]), area, most)
                 if ask is None:
-                    rows.append((ox, oy, WIDER, None, None, None, None, None, None))
-                    break
-                if ask:
-                    rows.append((ox, oy, HALF if ghost else CIRCLE, None, None, float(x), float(y), float(r), ask))
+                    wider |= at_tiles(q)
+                elif ask:
+                    rows += [(k, *at, HALF if ghost else CIRCLE, None, None, float(x[i]), float(y[i]), float(r[i]), ask) for at in at_tiles(q)]
+            rows = [row for row in rows if row[1:3] not in wider]
+            rows += [(k, *at, WIDER, None, None, None, None, None, None) for at in wider]
         out = pd.DataFrame(rows, columns=names)
         return out.astype({"src": "Int64", "dst": "Int64"})
 
-    names = ["tx", "ty", "kind", "src", "dst", "x", "y", "r", "tiles"]
-    return checkpointed(seen.groupBy("ox", "oy").applyInPandas(run, FOUND))
+    names = ["k", "tx", "ty", "kind", "src", "dst", "x", "y", "r", "tiles"]
+    return checkpointed(seen.groupBy("k", "ox", "oy").applyInPandas(run, FOUND))
 
 
-def delaunay(vertices: DataFrame, tile: int = TILE) -> DataFrame:
-    """src, dst, w, dist of the triangulation of (cell, coord), both directions."""
-    xy = vertices.select(F.col("cell").cast("long").alias("cell"), F.col("coord")[0].cast("double").alias("x"), F.col("coord")[1].cast("double").alias("y"))
-    places = xy.groupBy("x", "y").agg(F.min("cell").alias("cell"))
-    ends = places.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n, low, high = ends[0], np.array([ends[1], ends[3]]), np.array([ends[2], ends[4]])
-    if n < 3 or (high == low).any():
-        return graph.knn_graph(vertices, NEAR)
-    side = math.sqrt(float(np.prod(high - low)) * tile / n)
-    grid = Grid(low, high, max(side, float((high - low).max()) / 4096))
-    points = places.select("cell", "x", "y", grid.tile("x", 0).alias("tx"), grid.tile("y", 1).alias("ty"))
-    points = checkpointed(points)
+def delaunay(vertices: DataFrame, tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, w, dist of the triangulation of (cell, coord), both directions; with ``by`` of the points of each key."""
+    spark = vertices.sparkSession
+    xy = vertices.select(*by, F.col("cell").cast("long").alias("cell"), F.col("coord")[0].cast("double").alias("x"), F.col("coord")[1].cast("double").alias("y"))
+    places = xy.groupBy(*by, "x", "y").agg(F.min("cell").alias("cell"))
+    ends = places.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).collect()  # a row a key
+    grids, known = [], []
+    for e in ends:
+        low, high = np.array([e["min_x"], e["min_y"]]), np.array([e["max_x"], e["max_y"]])
+        if e["n"] < 3 or (high == low).any():
+            continue
+        side = math.sqrt(float(np.prod(high - low)) * tile / e["n"])
+        g = Grid(low, high, max(side, float((high - low).max()) / 4096))
+        known.append((*[e[c] for c in by], len(grids), float(low[0]), float(low[1]), float(g.side), int(g.n[0]), int(g.n[1]), float((high - low).max())))
+        grids.append(g)
+    kinds = ", ".join([f"_{c} {places.schema[c].dataType.simpleString()}" for c in by] + ["k int, lx double, ly double, side double, nx int, ny int, extent double"])
+    keys = F.broadcast(spark.createDataFrame(known, kinds))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    points = places.join(keys, same, "inner") if by else places.crossJoin(keys)
+    tx, ty = (F.least(F.floor((F.col(c) - F.col(low)) / F.col("side")), F.col(n) - 1).cast("int") for c, low, n in (("x", "lx", "nx"), ("y", "ly", "ny")))
+    points = checkpointed(points.select("k", "cell", "x", "y", tx.alias("tx"), ty.alias("ty"), (tx * F.col("ny") + ty).alias("_tile"), "extent"))
     opened, ring, done = None, 1, None
-    while True:
-        found = _round(points, opened, grid, ring)
-        asks = found.filter(F.col("kind").isin(CIRCLE, HALF)).select("tx", "ty", "kind", "x", "y", "r", F.explode("tiles").alias("_tile"))
-        others = points.select((F.col("tx") * int(grid.n[1]) + F.col("ty")).alias("_tile"), F.col("x").alias("px"), F.col("y").alias("py"))
+    while grids:
+        found = _round(points, opened, grids, ring)
+        asks = found.filter(F.col("kind").isin(CIRCLE, HALF)).select("k", "tx", "ty", "kind", "x", "y", "r", F.explode("tiles").alias("_tile"))
+        others = points.select("k", "_tile", F.col("x").alias("px"), F.col("y").alias("py"), "extent")
         dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        inside = F.when(F.col("kind") == HALF, F.col("px") * F.col("x") + F.col("py") * F.col("y") - F.col("r") > EPS * float((high - low).max())).otherwise(dx * dx + dy * dy < F.col("r") * (1 - EPS))
-        failed = asks.join(others, "_tile").filter(inside).select("tx", "ty").unionByName(found.filter(F.col("kind") == WIDER).select("tx", "ty")).distinct()
+        inside = F.when(F.col("kind") == HALF, F.col("px") * F.col("x") + F.col("py") * F.col("y") - F.col("r") > F.lit(EPS) * F.col("extent")).otherwise(dx * dx + dy * dy < F.col("r") * (1 - EPS))
+        failed = asks.join(others, ["k", "_tile"]).filter(inside).select("k", "tx", "ty").unionByName(found.filter(F.col("kind") == WIDER).select("k", "tx", "ty")).distinct()
         failed = checkpointed(failed)
-        edges = found.filter(F.col("kind") == EDGE).join(failed, ["tx", "ty"], "left_anti").select("src", "dst")
+        edges = found.filter(F.col("kind") == EDGE).join(failed, ["k", "tx", "ty"], "left_anti").select("k", "src", "dst", F.col("r").alias("dist"))
         done = edges if done is None else done.unionByName(edges)
         if not failed.limit(1).count():
             break
         opened, ring = failed, 2 * ring
-    if not done.limit(1).count():
+    if not by and (done is None or not done.limit(1).count()):
         return graph.knn_graph(vertices, NEAR)
-    pairs = graph.mirrored(done).withColumn("w", F.lit(1.0))
-    return graph.with_distances(pairs, vertices.select("cell", F.slice("coord", 1, 2).alias("coord"))).select("src", "dst", "w", "dist")
+    joined = None
+    if done is not None:
+        once = done.select("k", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist").dropDuplicates(["k", "src", "dst"])
+        joined = graph.both_ways(once.select("src", "dst", "dist"))
+    if by:
+        held = {r[0] for r in done.select("k").distinct().collect()} if done is not None else set()
+        flat = spark.createDataFrame([x[: len(by) + 1] for x in known if x[len(by)] in held], kinds.split(", lx")[0])
+        along = Window.partitionBy(*by).orderBy("x", "y")
+        rest = places.join(F.broadcast(flat), same, "left_anti")
+        line = rest.select("cell", "x", "y", *[F.lag(c).over(along).alias(f"_{c}") for c in ("cell", "x", "y")]).filter("_cell is not null")
+        gap = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+        path = graph.both_ways(line.select(F.col("_cell").alias("src"), F.col("cell").alias("dst"), gap.alias("dist")))
+        joined = path if joined is None else joined.unionByName(path)
+    return joined.select("src", "dst", F.lit(1.0).alias("w"), "dist")

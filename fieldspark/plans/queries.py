@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import kernels as K
 from fieldspark.functions import scalars as S
-from fieldspark.operators import analysis, decomposition, experiments, graph, placement, ranks, sensing, stats, tensor
+from fieldspark.operators import analysis, decomposition, experiments, graph, placement, ranks, sensing, stats, tensor, triangulation
 from fieldspark.plans import tables as T
 from fieldspark.sources import generators, sinks
 
@@ -442,7 +442,8 @@ def knn_graph(spark, d):
 
 @query()
 def delaunay_graph(spark, d):
-    return graph.delaunay_graph(_points(spark, d).join(T.embeddings(spark, d).select("cell", "label"), "cell"), ["label"])
+    labelled = T.embeddings(spark, d).select("cell", F.slice("tube", 1, 2).alias("coord"), "label")
+    return triangulation.delaunay(labelled, by=("label",))
 
 
 # --- decomposition -----------------------------------------------------------------------------------

@@ -53,3 +53,25 @@ def test_degenerate(spark):
     assert {(i, i + 1) for i in range(7)} <= got  # joined with the nearest
     p = np.random.default_rng(5).random((40, 2))
     assert edges(spark, np.concatenate([p, p[:5]]), 8) == brute(p)  # of one place the least cell
+
+
+def test_meshes_by_key(spark):
+    """Each key in tiles of its own, far out too; a line and two points are joined in a row."""
+    r = np.random.default_rng(11)
+    meshes = {"a": r.random((90, 2)), "b": r.normal(5, 30, (70, 2)), "line": np.stack([np.arange(6.0), 3 * np.arange(6.0)], axis=1)[::-1], "two": np.array([[0.0, 0], [1, 0]])}
+    rows = [(k, 1000 * m + i, x.tolist()) for m, (k, p) in enumerate(meshes.items()) for i, x in enumerate(p)]
+    out = D.delaunay(spark.createDataFrame(rows, "key string, cell long, coord array<double>"), 10, ("key",)).collect()
+    got = sorted((x["src"], x["dst"]) for x in out if x["src"] < x["dst"])
+    want = [(1000 * m + i, 1000 * m + j) for m, k in enumerate("ab") for i, j in brute(meshes[k])]
+    want += [(2000 + i, 2001 + i) for i in range(5)] + [(3000, 3001)]
+    assert got == sorted(want) and len(out) == 2 * len(got)
+
+
+def test_the_query_asks_no_task_for_a_label(spark, monkeypatch):
+    """``delaunay_graph`` goes by tiles."""
+    from fieldspark.operators import graph
+    from fieldspark.plans import queries
+
+    monkeypatch.setattr(graph, "delaunay_graph", None)
+    out = queries.QUERIES["delaunay_graph"](spark, "/root/testdata/sf0.001").collect()
+    assert {(x["src"], x["dst"]) for x in out} == {(x["dst"], x["src"]) for x in out}
