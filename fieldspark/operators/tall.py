@@ -174,11 +174,20 @@ def _sketch(t: Blocks, axis: str, width: int, seed: int) -> Blocks:
     return Blocks(summed(t.frame.mapInArrow(run, _schema([axis, "rank"])), to, to_sizes), to, to_sizes)
 
 
+def _paired(t: Blocks, z: Blocks, axis: str) -> DataFrame:
+    """Blocks of ``t`` with z's of the same places along all other axes. Those places may be few, or one, so z's blocks are
+    copied: one for about HELD of t's along the axis, which are a key of the join."""
+    others = [a for a in t.axes if a != axis]
+    copies = -(-t.counts()[axis] // blocks.HELD)
+    left = t.frame.withColumn("_copy", F.pmod(F.col(axis), F.lit(copies)))
+    right = z.frame.select(*others, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"), F.col("data").alias("_other"))
+    return left.join(right, [*others, "_copy"])
+
+
 def _against(t: Blocks, z: Blocks, axis: str) -> Blocks:
     """The unfolding of ``t`` along the axis times the transposed one of ``z``, whose blocks lie as t's along all other axes."""
     names, m, axes, sizes = list(t.axes), list(t.axes).index(axis), t.axes, t.sizes
-    others = [a for a in names if a != axis]
-    met = t.frame.join(z.frame.select(*others, F.col("data").alias("_other")), others)
+    met = _paired(t, z, axis)
     width = z.axes[axis]
 
     def run(batches):
@@ -199,9 +208,9 @@ def _against(t: Blocks, z: Blocks, axis: str) -> Blocks:
 def leading(t: Blocks, axis: str, rank: int, more: int = 8, power: int = 2, seed: int = 1) -> Blocks:
     """The leading left singular vectors of the unfolding along a long axis, by a randomised range finder."""
     width = min(rank + more, t.axes[axis], math.prod(n for a, n in t.axes.items() if a != axis))
-    q = left_vectors(_sketch(t, axis, width, seed))
+    q = left_vectors(_kept(_sketch(t, axis, width, seed)))
     for _ in range(power):
-        q = left_vectors(_against(t, multiply(t, {axis: q}), axis))
+        q = left_vectors(_kept(_against(t, multiply(t, {axis: q}), axis)))
     v = K.leading(blocks.gram(multiply(t, {axis: q}), axis), min(rank, q.axes["rank"]))
     return _kept(times(q, v))
 

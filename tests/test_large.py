@@ -101,6 +101,25 @@ def test_long_axes_elsewhere(x, t):
     assert error <= K.tucker(x, [4, 3, 3], 1e-9, 2).error(x) * 1.02
 
 
+def test_blocks_of_one_place_meet_in_many_tasks(spark, monkeypatch):
+    """The other axis is one block, so all of the long axis' blocks meet the same one; one task read them all."""
+    monkeypatch.setattr(blocks, "HELD", 2)
+    r = np.random.default_rng(8)
+    y, q = r.standard_normal((64, 3)), r.standard_normal((2, 3))
+    t = blocks.from_coo(coo(spark, y, "ab").withColumn("a", F.col("a") - 4), {"a": 64, "b": 3}, {"a": 4, "b": 3})  # a block before the first, too
+    z = blocks.from_coo(coo(spark, q, "ab"), {"a": 2, "b": 3}, {"a": 2, "b": 3})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = [n["count"] for n in tall._paired(t, z, "a").groupBy(F.spark_partition_id()).count().collect()]
+        got = {r["a"]: np.frombuffer(r["data"]).reshape(-1, 2) for r in tall._against(t, z, "a").frame.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(dealt) == 16 and max(dealt) < 16
+    assert np.allclose(np.vstack([got[b] for b in sorted(got)]), y @ q.T)
+
+
 def test_range_finder_bound(spark):
     """Singular values that fall off: an error not far above the first value left out."""
     r = np.random.default_rng(6)
