@@ -142,37 +142,43 @@ class Code:
 def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """For each coded byte of the pieces, in order: the byte before it times 256 plus it, the number of its piece, and the
     hashes of the contexts but the first."""
-    data = np.frombuffer(b"".join([p for p, _ in parts]), np.uint8)
+    joined = b"".join([p for p, _ in parts])
+    data = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(p) for p, _ in parts])
     starts = np.cumsum(sizes) - sizes
-    start = np.repeat(starts, sizes)
     n = len(data)
-    at = np.arange(n)
-    back = []
-    for j in range(1, 5):
-        b = np.full(n, END, np.uint32)
-        b[j:] = data[:-j] if j < n else data[:0]
-        b[at - start < j] = END
-        back.append(b)
-    word = np.where((back[0] == GAP) | (at == start), at, 0)
-    word = np.maximum.accumulate(word)
+    # The four bytes before each, the last one lowest; those before its piece are ENDs.
+    four = np.ndarray((n,), ">u4", b"\n\n\n\n" + joined, strides=(1,)).astype(np.uint32)
+    for i in range(4):
+        at, own = starts[sizes > i] + i, np.uint32((1 << 8 * i) - 1)
+        four[at] = four[at] & own | np.uint32(END * 0x01010101) & ~own
+    begins, first = np.zeros(n, bool), np.zeros(n, bool)
+    np.equal(data[:-1], GAP, out=begins[1:])
+    first[starts] = True
+    begins |= first
     power, inverse = shingles._powers_to(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles.BYTES[data] * power[:n])))
-    so_far = (sums[:-1] - sums[word]) * inverse[word]
-    own = np.flatnonzero(word == at)  # where words begin
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(shingles.BYTES[data] * power[:n], out=sums[1:])
+    own = np.flatnonzero(begins)  # where words begin
+    long = np.diff(np.append(own, n))
+    so_far = sums[:-1] - np.repeat(sums[own], long)
+    so_far *= np.repeat(inverse[own], long)
     before = np.zeros(len(own), np.uint64)
-    later = np.flatnonzero(own > start[own])
-    last = word[own[later] - 1]
+    later = np.flatnonzero(~first[own])
+    last = own[later - 1]
     before[later] = ((sums[own[later] - 1] - sums[last]) * inverse[last]) | _U(1)
-    before = np.repeat(before, np.diff(np.append(own, n)))
-    three = back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)
-    four = three | back[3] << np.uint32(24)
-    keys = [three.astype(np.uint64) + _U(1 << 34), four.astype(np.uint64) + _U(1 << 35), so_far + _U(1 << 36), so_far + before * _ODD[1]]
-    coded = at - start >= np.repeat(np.array([k for _, k in parts]), sizes)
+    keys = [(four & np.uint32(0xFFFFFF)).astype(np.uint64) + _U(1 << 34), four.astype(np.uint64) + _U(1 << 35), so_far + _U(1 << 36), so_far + np.repeat(before * _ODD[1], long)]
     piece = np.repeat(np.arange(len(parts)), sizes)
-    pair = back[0].astype(np.int32) * 256 + data
-    hashes = [((k ^ k >> _U(31)) * odd >> _U(32)).astype(np.uint32) for k, odd in zip(keys, _ODD)]
-    if not coded.all():
+    pair = (four & np.uint32(0xFF)).astype(np.int32) << 8
+    pair += data
+    hashes = []
+    for k, odd in zip(keys, _ODD):
+        k ^= k >> _U(31)
+        k *= odd
+        k >>= _U(32)
+        hashes.append(k.astype(np.uint32))
+    if any(k for _, k in parts):
+        coded = np.arange(n) - np.repeat(starts, sizes) >= np.repeat(np.array([k for _, k in parts]), sizes)
         pair, piece, hashes = pair[coded], piece[coded], [h[coded] for h in hashes]
     return pair, piece, hashes
 
@@ -261,12 +267,12 @@ def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray,
     order = np.argsort(-steps, kind="stable")
     first, steps, n = first[order], steps[order], len(order)
     weights = np.repeat(start[None], n, axis=0)
-    rows = (np.arange(n, dtype=np.int32) * BUCKETS + BUCKETS // 2)[:, None]
+    rows = (np.arange(n) * BUCKETS + BUCKETS // 2)[:, None]
     ones, every = np.tile(chances, n), np.full(n * BUCKETS, MAP_WEIGHT)
     total = np.zeros(n)
     sure = np.int8(SCALE)
-    gates = np.arange(GATES, dtype=np.int8)[:, None]
-    wide = np.arange(n * STEP, dtype=np.int32).reshape(n, STEP)
+    spread = np.empty((n, GATES, STEP), np.float32)
+    wide = np.arange(n * STEP).reshape(n, STEP)
     wide = (wide // STEP) * (GATES * STEP) + wide % STEP  # where the first gate's mixture of a decision stands
     for s in range(int(steps[0]) if n else 0):
         m = int(np.searchsorted(-steps, -s, side="left"))
@@ -275,12 +281,14 @@ def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray,
         logit = np.empty((m, CONTEXTS, STEP), np.float32)  # window, context, decision
         np.multiply(v.transpose(1, 0, 2), np.float32(1 / SCALE), out=logit)
         gate = (np.abs(v[3]) > sure) + 2 * (np.abs(v[4]) > sure).astype(np.int8)
-        y = np.take(np.matmul(weights[:m], logit).reshape(-1), wide[:m] + gate * np.int32(STEP), mode="clip")
+        gate = np.multiply(gate, STEP, dtype=np.intp)
+        gate += wide[:m]
+        y = np.take(np.matmul(weights[:m], logit).reshape(-1), gate, mode="clip")
         np.clip(y, -14, 14, out=y)
         p = np.exp(-y)
         p += 1
         np.reciprocal(p, out=p)
-        near = np.rint(y).astype(np.int32)
+        near = np.rint(y).astype(np.intp)
         near += rows[:m]
         width = m * BUCKETS
         q = np.take((ones[:width] / every[:width]).astype(np.float32), near, mode="clip")
@@ -295,7 +303,9 @@ def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray,
             q[pads] = np.where(early, np.float32(1), q[pads])
             miss[pads] = np.where(early, np.float32(0), miss[pads])
         total[:m] += np.log(q, out=q).sum(axis=1, dtype=np.float64)
-        weights[:m] += np.float32(RATE) * np.matmul((gate[:, None] == gates) * miss[:, None], logit.transpose(0, 2, 1))
+        spread[:m] = 0  # a miss counts for its gate alone
+        spread.reshape(-1)[gate] = miss
+        weights[:m] += np.float32(RATE) * np.matmul(spread[:m], logit.transpose(0, 2, 1))
         near *= 3
         near += bit
         found = np.bincount(near.reshape(-1), minlength=3 * width).reshape(-1, 3)
@@ -346,13 +356,14 @@ def _count(batches, shared):
 def _added(parts) -> np.ndarray:
     total = 0
     for part in parts:
-        total = total + np.frombuffer(zstandard.decompress(part), np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0]
+        total = total + np.frombuffer(zstandard.decompress(part[1:]), np.uint8).reshape(part[0], -1).T.copy().view(f"u{part[0]}")[:, 0].astype(np.int64)
     return total
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes of equal weight together, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Counts as bytes of equal weight together, as many as the largest takes, compressed; their number goes before them."""
+    kind = np.min_scalar_type(int(counts.max()))
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes())
 
 
 def _add_block(key, rows):
@@ -413,6 +424,8 @@ def gathered(model: Model, weights: np.ndarray, texts: list[bytes]) -> np.ndarra
     chance, spread, loss = _chance_tables()
     out = np.zeros(GATES * (1 + CONTEXTS + CONTEXTS**2) + 2 * BUCKETS, np.int64)
     per, high = out[: -2 * BUCKETS].reshape(GATES, -1), 14 * LOGIT_STEPS
+    spread, miss = spread.astype(np.float64), np.stack((-chance, CHANCE_STEPS - chance), axis=1).ravel().astype(np.float64)
+    near = (np.arange(-high, high + 1) + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2  # the bucket of each mixed logit
     for _, parts in _batches(texts):
         pair, _, hashes = contexts(parts)
         bit, slots = decisions(model.code, pair, model.code.length[pair], hashes, model.bits)
@@ -422,18 +435,29 @@ def gathered(model: Model, weights: np.ndarray, texts: list[bytes]) -> np.ndarra
         for at in range(0, len(bit), RUN):
             x, went = found[:, at : at + RUN], bit[at : at + RUN]
             gate = (np.abs(x[3]) > SCALE) + 2 * (np.abs(x[4]) > SCALE).astype(np.int8)
+            order = np.argsort(gate, kind="stable")
+            cut = np.cumsum([0, *np.bincount(gate, minlength=GATES)])
+            every, ups = np.stack([np.take(c, order) for c in x]).astype(np.float64), np.take(went, order)  # whole numbers far below 2 ** 53: exact
             for g in range(GATES):
-                some = np.flatnonzero(gate == g)
-                here, up = x[:, some].astype(np.int64), went[some].astype(np.int64)
+                f, up = every[:, cut[g] : cut[g + 1]], ups[cut[g] : cut[g + 1]]
                 # A unit of the sum is a weight's step times a logit's.
-                y = np.clip((weights[g] @ here) * LOGIT_STEPS // (WEIGHT_STEPS * int(SCALE)), -high, high)
-                p, f = chance[y + high], here.astype(np.float64)  # whole numbers far below 2 ** 53: exact
-                per[g, 0] += int(loss[np.where(up == 1, high - y, high + y)].sum())
-                per[g, 1 : 1 + CONTEXTS] += (f @ (up * CHANCE_STEPS - p)).astype(np.int64)
-                per[g, 1 + CONTEXTS :] += ((f * spread[y + high]) @ f.T).astype(np.int64).ravel()
-                near = (y + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2
-                out[-2 * BUCKETS : -BUCKETS] += np.bincount(near, minlength=BUCKETS)
-                out[-BUCKETS:] += np.bincount(near[up == 1], minlength=BUCKETS)
+                y = weights[g].astype(np.float64) @ f
+                y *= LOGIT_STEPS
+                y /= WEIGHT_STEPS * int(SCALE)
+                np.floor(y, out=y)
+                np.clip(y, -high, high, out=y)
+                y += high
+                at_y = y.astype(np.intp)
+                curve = f * spread[at_y]
+                at_y *= 2
+                at_y += up
+                # By mixed logit: how many went either way.
+                zeros, ones = np.bincount(at_y, minlength=2 * len(chance)).reshape(-1, 2).T
+                per[g, 0] += zeros @ loss + ones @ loss[::-1]
+                per[g, 1 : 1 + CONTEXTS] += (f @ miss[at_y]).astype(np.int64)
+                per[g, 1 + CONTEXTS :] += (curve @ f.T).astype(np.int64).ravel()
+                np.add.at(out[-2 * BUCKETS : -BUCKETS], near, zeros + ones)
+                np.add.at(out[-BUCKETS:], near, ones)
     return out
 
 
