@@ -46,11 +46,13 @@ from fieldspark.llm import shingles, store
 END, GAP = 10, 32
 CONTEXTS = 5
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 12, 21, 16
-NODES = PAD = 256 * 256
+NODES = 256 * 256
 PIECE = 1 << 19
 SLICE = 3 << 19
 FREQUENT = 1 << 18
 STEP, WINDOW = 64, 1 << 16
+#: Bytes whose windows are mixed together, whose contexts are taken at once and whose decisions are, and windows side by side: they change no result.
+POOL, AT_ONCE, NEAR, ABREAST = 1 << 22, 1 << 17, 1 << 13, 256
 #: Logits are stored in steps of 1 / SCALE.
 SCALE, PRIOR = 12.0, 0.1
 GATES, BUCKETS = 4, 29
@@ -66,10 +68,11 @@ NODE_HASH = np.random.default_rng(20250303).integers(0, 1 << 32, NODES, dtype=np
 FIRST_WEIGHTS = np.full((GATES, CONTEXTS), 0.29, np.float32)
 #: One training text in FOLD is kept out of the counts that the weights are learned on; each round is a pass over these texts.
 FOLD, ROUNDS = 16, 5
-#: Decisions of which a task weighs so many at once, which bounds its memory.
+#: Distinct decisions of which a task weighs so many at once, which bounds its memory.
 RUN = 1 << 16
 #: Learning is in whole numbers: weights, mixed logits and probabilities in these steps a unit.
 WEIGHT_STEPS, LOGIT_STEPS, CHANCE_STEPS = 1 << 16, 64, 1 << 12
+SUMS = GATES * (1 + CONTEXTS + CONTEXTS**2) + 2 * BUCKETS
 
 
 def held_out():
@@ -131,17 +134,15 @@ class Code:
                 for x, s in reversed(path):
                     node.append(a * 256 + x - 256)
                     bit.append(s)
-        # One more entry, PAD, for steps that end early: as many decisions of no meaning as are asked for.
-        self.first, self.length = np.append(self.first, np.int32(len(node))), np.append(self.length, np.int32(0))
-        self.node, self.bit = np.array(node + [0] * STEP, np.int32), np.array(bit + [2] * STEP, np.uint8)
+        self.node, self.bit = np.array(node, np.int32), np.array(bit, np.uint8)
 
 
 # --- contexts ----------------------------------------------------------------------------------
 
 
-def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each coded byte of the pieces, in order: the byte before it times 256 plus it, the number of its piece, and the
-    hashes of the contexts but the first."""
+def _keys(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each coded byte of the pieces, in order: it, the number of its piece, the four bytes before it, and a number each for the
+    word so far and for that with the word before."""
     joined = b"".join([p for p, _ in parts])
     data = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(p) for p, _ in parts])
@@ -167,47 +168,67 @@ def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, li
     later = np.flatnonzero(~first[own])
     last = own[later - 1]
     before[later] = ((sums[own[later] - 1] - sums[last]) * inverse[last]) | _U(1)
-    keys = [(four & np.uint32(0xFFFFFF)).astype(np.uint64) + _U(1 << 34), four.astype(np.uint64) + _U(1 << 35), so_far + _U(1 << 36), so_far + np.repeat(before * _ODD[1], long)]
     piece = np.repeat(np.arange(len(parts)), sizes)
-    pair = (four & np.uint32(0xFF)).astype(np.int32) << 8
-    pair += data
-    hashes = []
-    for k, odd in zip(keys, _ODD):
-        k ^= k >> _U(31)
-        k *= odd
-        k >>= _U(32)
-        hashes.append(k.astype(np.uint32))
+    out = data, piece, four, so_far, so_far + np.repeat(before * _ODD[1], long)
     if any(k for _, k in parts):
         coded = np.arange(n) - np.repeat(starts, sizes) >= np.repeat(np.array([k for _, k in parts]), sizes)
-        pair, piece, hashes = pair[coded], piece[coded], [h[coded] for h in hashes]
-    return pair, piece, hashes
+        out = tuple(x[coded] for x in out)
+    return out
+
+
+def _hash(k: int, key: np.ndarray) -> np.ndarray:
+    """The hash of context k, which is not the first, by its bytes or the number of its words."""
+    key = (key & np.uint32(0xFFFFFF) if k == 1 else key).astype(np.uint64)
+    if k < 4:
+        key += _U(1 << 33 + k)
+    key ^= key >> _U(31)
+    key *= _ODD[k - 1]
+    key >>= _U(32)
+    return key.astype(np.uint32)
+
+
+def _pair(four: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    pair = (four & np.uint32(0xFF)).astype(np.int32) << 8
+    pair += byte
+    return pair
+
+
+def contexts(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each coded byte of the pieces, in order: the byte before it times 256 plus it, the number of its piece, and the
+    hashes of the contexts but the first."""
+    byte, piece, four, word, both = _keys(parts)
+    return _pair(four, byte), piece, [_hash(k, key) for k, key in enumerate((four, four, word, both), 1)]
 
 
 def decisions(code: Code, pair: np.ndarray, n: np.ndarray, hashes: list[np.ndarray], bits: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
     """Of bytes that take n decisions each: which way each goes; and, context by context, its slots."""
-    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    path = np.arange(len(of), dtype=np.int32)
-    path += (code.first[pair] - (np.cumsum(n, dtype=np.int32) - n))[of]
-    node = code.node[path]
+    ends = np.cumsum(n, dtype=np.intp)
+    long = int(ends[-1]) if len(ends) else 0
+    # The byte of each decision: how many bytes have ended before it.
+    of = np.cumsum(np.bincount(ends, minlength=long)[:long])
+    path = np.take(code.first[pair] + n - ends, of, mode="wrap")
+    path += np.arange(long)
+    node = np.take(code.node, path, mode="wrap")
 
     def slots():
         yield node
-        mark, mask = NODE_HASH[node], np.uint32((1 << bits) - 1)
+        mask = np.uint32((1 << bits) - 1)
+        mark = np.take(NODE_HASH, node, mode="wrap")
+        mark &= mask
         for h in hashes:
-            x = h[of]
+            x = np.take(h & mask, of, mode="wrap")
             x ^= mark
-            x &= mask
             yield x
 
-    return code.bit[path], slots()
+    return np.take(code.bit, path, mode="wrap"), slots()
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, int]]]]:
-    """Pieces of many texts, about SLICE bytes at once, with the number of their text."""
+def _batches(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[list[int], list[tuple[bytes, int]]]]:
+    """Pieces of many texts, about ``most`` bytes at once, with the number of their text."""
     who, parts, size = [], [], 0
     for i, t in enumerate(texts):
         for p in pieces(stream(t)):
-            if size and size + len(p[0]) > SLICE:
+            if size and size + len(p[0]) > most:
                 yield who, parts
                 who, parts, size = [], [], 0
             who.append(i)
@@ -217,6 +238,19 @@ def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes,
         yield who, parts
 
 
+def _runs(parts: list[tuple[bytes, int]]) -> Iterator[list[tuple[bytes, int]]]:
+    """Pieces in order, about ``AT_ONCE`` bytes at once."""
+    run, size = [], 0
+    for p in parts:
+        if size and size + len(p[0]) > AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(p)
+        size += len(p[0])
+    if run:
+        yield run
+
+
 # --- mixing ------------------------------------------------------------------------------------
 
 
@@ -231,28 +265,54 @@ class Model:
         self.code, self.bits, self.tables, self.key = code, bits, tables, uuid.uuid4().hex
         self.weights, self.chances = weights, _first_map() if chances is None else chances
 
+    def found(self, pair: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+        """Of bytes that take n decisions each, a row each: the logits of the contexts, ``STEP`` times the gate, the way gone, and that times ``BUCKETS``. Bytes are
+        taken ``NEAR`` at once, so that a pass over their decisions finds them in the processor's cache."""
+        out, at = np.empty((CONTEXTS + 3, int(n.sum())), np.uint8), 0
+        for start in range(0, len(n), NEAR):
+            some = slice(start, start + NEAR)
+            bit, slots = decisions(self.code, pair[some], n[some], [h[some] for h in hashes], self.bits)
+            here = out[:, at : at + len(bit)]
+            for table, s, to in zip(self.tables, slots, here):
+                np.take(table.view(np.uint8), s, out=to, mode="wrap")
+            sure = (np.abs(here[3:5].view(np.int8)) > np.int8(SCALE)).view(np.uint8)
+            np.multiply(sure[1] * np.uint8(2) + sure[0], np.uint8(STEP), out=here[CONTEXTS])
+            here[CONTEXTS + 1] = bit
+            np.multiply(bit, np.uint8(BUCKETS), out=here[CONTEXTS + 2])
+            at += len(bit)
+        return out
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, and the bytes coded."""
         out, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for who, parts in _batches(texts):
-            pair, piece, hashes = contexts(parts)
-            size_of = np.bincount(piece, minlength=len(parts))
-            n = self.code.length[pair]
-            count = np.bincount(piece, weights=n, minlength=len(parts)).astype(np.int64)
-            # Each piece is padded to whole steps; its windows follow one another.
-            steps = -(-count // STEP)
-            ends = np.cumsum(size_of)
-            n = np.insert(n, ends, (steps * STEP - count).astype(np.int32))
-            bit, slots = decisions(self.code, np.insert(pair, ends, PAD), n, [np.insert(h, ends, np.uint32(0)) for h in hashes], self.bits)
-            x = np.empty((CONTEXTS, len(bit)), np.int8)
-            for k, s in enumerate(slots):
-                np.take(self.tables[k], s, out=x[k], mode="clip")
+        for who, parts in _batches(texts, POOL):
+            steps, sizes, at = [], [], 0
+            x = np.empty((sum(len(p) for p, _ in parts) // (STEP // 4) + len(parts), CONTEXTS + 3, STEP), np.uint8)  # more, if bytes take over four decisions
+            for some in _runs(parts):
+                pair, piece, hashes = contexts(some)
+                sizes.append(np.bincount(piece, minlength=len(some)))
+                n = self.code.length[pair]
+                count = np.bincount(piece, weights=n, minlength=len(some)).astype(np.int64)
+                # Each piece is padded to whole steps; its windows follow one another.
+                steps.append(-(-count // STEP))
+                ends = at + np.cumsum(steps[-1])
+                found = self.found(pair, n, hashes)
+                if ends[-1] > len(x):
+                    x = np.concatenate((x[:at], np.empty((int(ends[-1]), *x.shape[1:]), np.uint8)))
+                x[ends - 1, :-2], x[ends - 1, -2], x[ends - 1, -1] = 0, 2, 2 * BUCKETS
+                for done, to, long in zip((np.cumsum(count) - count).tolist(), (ends - steps[-1]).tolist(), count.tolist()):
+                    whole, rest = divmod(long, STEP)
+                    x[to : to + whole] = found[:, done : done + whole * STEP].reshape(len(found), whole, STEP).transpose(1, 0, 2)
+                    if rest:
+                        x[to + whole, :, :rest] = found[:, done + long - rest : done + long]
+                at = int(ends[-1])
+            steps, size_of = np.concatenate(steps), np.concatenate(sizes)
             begin, per = np.cumsum(steps) - steps, WINDOW // STEP
             windows = -(-steps // per)
             owner = np.repeat(np.arange(len(parts)), windows)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             first, last = begin[owner] + nth * per, np.minimum((begin + steps)[owner], begin[owner] + (nth + 1) * per)
-            sums = mixed(x.reshape(CONTEXTS, -1, STEP), bit.reshape(-1, STEP), first, last - first, self.weights, self.chances)
+            sums = mixed(x, first, last - first, self.weights, self.chances)
             np.add.at(out, who, np.bincount(owner, weights=sums, minlength=len(parts)))
             np.add.at(size, who, size_of)
         return out / math.log(10), size
@@ -262,58 +322,72 @@ def _first_map() -> np.ndarray:
     return MAP_WEIGHT / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2).astype(np.float64)))
 
 
-def mixed(x: np.ndarray, went: np.ndarray, first: np.ndarray, steps: np.ndarray, start: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """Log probability of each window of decisions, all windows side by side, a step of each at a time."""
-    order = np.argsort(-steps, kind="stable")
-    first, steps, n = first[order], steps[order], len(order)
+def mixed(x: np.ndarray, first: np.ndarray, steps: np.ndarray, start: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """Log probability of each window of decisions (``Model.found``, by step), windows side by side, a step of each at a time."""
+    out, order = np.zeros(len(first)), np.argsort(-steps, kind="stable")
+    for at in range(0, len(order), ABREAST):
+        some = order[at : at + ABREAST]
+        out[some] = _abreast(x, first[some], steps[some], start, chances)
+    return out
+
+
+def _abreast(x: np.ndarray, first: np.ndarray, steps: np.ndarray, start: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """``mixed`` of windows of which none is longer than the one before."""
+    n, wide = len(first), 3 * BUCKETS
     weights = np.repeat(start[None], n, axis=0)
-    rows = (np.arange(n) * BUCKETS + BUCKETS // 2)[:, None]
-    ones, every = np.tile(chances, n), np.full(n * BUCKETS, MAP_WEIGHT)
+    # A window's row: what is found of each bucket, for decisions that went down, up, or are padding.
+    rows = (np.arange(n, dtype=np.float32) * wide + BUCKETS // 2)[:, None]
+    ups, downs = (np.zeros((n, BUCKETS), np.int64) for _ in range(2))
+    share, ones, every = np.zeros((n, wide), np.float32), np.empty((n, BUCKETS)), np.empty((n, BUCKETS))
     total = np.zeros(n)
-    sure = np.int8(SCALE)
-    spread = np.empty((n, GATES, STEP), np.float32)
-    wide = np.arange(n * STEP).reshape(n, STEP)
-    wide = (wide // STEP) * (GATES * STEP) + wide % STEP  # where the first gate's mixture of a decision stands
-    for s in range(int(steps[0]) if n else 0):
-        m = int(np.searchsorted(-steps, -s, side="left"))
-        at = first[:m] + s
-        v, bit = x[:, at], went[at]
-        logit = np.empty((m, CONTEXTS, STEP), np.float32)  # window, context, decision
-        np.multiply(v.transpose(1, 0, 2), np.float32(1 / SCALE), out=logit)
-        gate = (np.abs(v[3]) > sure) + 2 * (np.abs(v[4]) > sure).astype(np.int8)
-        gate = np.multiply(gate, STEP, dtype=np.intp)
-        gate += wide[:m]
-        y = np.take(np.matmul(weights[:m], logit).reshape(-1), gate, mode="clip")
-        np.clip(y, -14, 14, out=y)
-        p = np.exp(-y)
-        p += 1
+    places = (np.arange(n) * (GATES * STEP))[:, None] + np.arange(STEP)  # where the first gate's mixture of a decision stands
+    logits, mixtures, spreads = (np.empty((n, k, STEP), np.float32) for k in (CONTEXTS, GATES, GATES))
+    ps, qs, ys = (np.empty((n, STEP), np.float32) for _ in range(3))
+    gates, nears = (np.empty((n, STEP), np.intp) for _ in range(2))
+    zeros = np.empty((n, STEP), bool)
+    alive = np.searchsorted(-steps, -np.arange(int(steps[0]) + 1), side="left").tolist()
+    for s in range(int(steps[0])):
+        m = alive[s]
+        block = x.take(first[:m] + s, axis=0)
+        bit, logit, spread = block[:, CONTEXTS + 1], logits[:m], spreads[:m]  # window, context or gate, decision
+        p, q, y, gate, near, zero = ps[:m], qs[:m], ys[:m], gates[:m], nears[:m], zeros[:m]
+        np.multiply(block[:, :CONTEXTS].view(np.int8), np.float32(1 / SCALE), out=logit)
+        np.add(places[:m], block[:, CONTEXTS], out=gate)
+        np.matmul(weights[:m], logit, out=mixtures[:m])
+        np.take(mixtures.reshape(-1), gate, out=y, mode="wrap")
+        np.clip(y, np.float32(-14), np.float32(14), out=y)
+        np.negative(y, out=p)
+        np.exp(p, out=p)
+        p += np.float32(1)
         np.reciprocal(p, out=p)
-        near = np.rint(y).astype(np.intp)
-        near += rows[:m]
-        width = m * BUCKETS
-        q = np.take((ones[:width] / every[:width]).astype(np.float32), near, mode="clip")
+        np.rint(y, out=y)
+        y += rows[:m]
+        np.copyto(near, y, casting="unsafe")
+        np.add(ups[:m], chances, out=ones[:m])
+        np.add(ups[:m], downs[:m], out=every[:m])
+        every[:m] += MAP_WEIGHT
+        np.divide(ones[:m], every[:m], out=share[:m, :BUCKETS], casting="same_kind")
+        np.take(share.reshape(-1), near, out=q, mode="wrap")
         q += p
         q *= np.float32(0.5)
-        q -= bit == 0  # its magnitude is now the probability of the way taken
+        np.copyto(y, bit)
+        np.subtract(y, p, out=p)  # the miss
+        np.equal(bit, 0, out=zero)
+        q -= zero  # its magnitude is now the probability of the way taken
         np.abs(q, out=q)
-        miss = np.subtract(bit, p, out=p)
-        pads = np.flatnonzero(steps[:m] == s + 1)  # windows whose last step this is may end early
-        if len(pads):
-            early = bit[pads] == 2
-            q[pads] = np.where(early, np.float32(1), q[pads])
-            miss[pads] = np.where(early, np.float32(0), miss[pads])
+        if alive[s + 1] < m:  # windows whose last step this is may end early
+            early = bit[alive[s + 1] :] == 2
+            q[alive[s + 1] :][early] = 1
+            p[alive[s + 1] :][early] = 0
         total[:m] += np.log(q, out=q).sum(axis=1, dtype=np.float64)
-        spread[:m] = 0  # a miss counts for its gate alone
-        spread.reshape(-1)[gate] = miss
-        weights[:m] += np.float32(RATE) * np.matmul(spread[:m], logit.transpose(0, 2, 1))
-        near *= 3
-        near += bit
-        found = np.bincount(near.reshape(-1), minlength=3 * width).reshape(-1, 3)
-        every[:width] += found[:, 0] + found[:, 1]
-        ones[:width] += found[:, 1]
-    out = np.zeros(n)
-    out[order] = total
-    return out
+        spread.fill(0)  # a miss counts for its gate alone
+        spread.reshape(-1)[gate] = p
+        weights[:m] += np.float32(RATE) * np.matmul(spread, logit.transpose(0, 2, 1))
+        near += block[:, CONTEXTS + 2]
+        found = np.bincount(near.reshape(-1), minlength=m * wide).reshape(m, 3, BUCKETS)
+        downs[:m] += found[:, 0]
+        ups[:m] += found[:, 1]
+    return total
 
 
 # --- counting ----------------------------------------------------------------------------------
@@ -333,19 +407,54 @@ def _sum_pairs(rows):
     return pa.table({"found": pa.array([sum(np.frombuffer(x, np.int64) for x in rows.column("found").to_pylist()).tobytes()], pa.binary())})
 
 
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and how often each is there."""
+    x = np.concatenate(parts)
+    x.sort()
+    cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[cut], np.diff(np.append(cut, len(x)))
+
+
+def tally(code: Code, bits: int, counts: list[np.ndarray], texts: list[bytes]) -> None:
+    """Adds the decisions of texts to the counts of both ways of each slot. A byte recurs in most of its contexts: its decisions are
+    found once for all of its places with the same four bytes before, and once for those with the same word so far."""
+
+    def add(to, pair, hashes, times):
+        for start in range(0, len(pair), NEAR):
+            some = slice(start, start + NEAR)
+            n = code.length[pair[some]]
+            bit, slots = decisions(code, pair[some], n, [h[some] for h in hashes], bits)
+            often = np.int32(1) if times is None else np.repeat(times[some].astype(np.int32), n)
+            for c, s in zip(to, slots):
+                if c is not None:
+                    s = s.astype(np.intp)
+                    s <<= 1
+                    s |= bit
+                    np.add.at(c, s, often)
+
+    mask = np.uint64((1 << bits) - 1)
+    for _, parts in _batches(texts):
+        after_four, in_word = [], []
+        for some in _runs(parts):
+            byte, _, four, word, both = _keys(some)
+            pair = _pair(four, byte)
+            after_four.append(four.astype(np.uint64) << _U(8) | byte)
+            in_word.append((_hash(3, word) & mask) << _U(16) | pair.astype(np.uint64))
+            add([None, counts[4]], pair, [_hash(4, both)], None)
+        key, times = _distinct(after_four)
+        four = (key >> _U(8)).astype(np.uint32)
+        add(counts[:3], _pair(four, (key & _U(0xFF)).astype(np.uint8)), [_hash(k, four) for k in (1, 2)], times)
+        key, times = _distinct(in_word)
+        add([None, counts[3]], (key & _U(0xFFFF)).astype(np.int32), [(key >> _U(16)).astype(np.uint32)], times)
+
+
 def _count(batches, shared):
     """Blocks of a task's table of counts, compressed: (context, block, both counts of each slot)."""
     code, bits = store.held(shared[0], lambda: pickle.loads(shared[1].value))
-    counts, one = [np.zeros(2 * (NODES if k == 0 else 1 << bits), np.int32) for k in range(CONTEXTS)], np.int32(1)
+    counts = [np.zeros(2 * (NODES if k == 0 else 1 << bits), np.int32) for k in range(CONTEXTS)]
     for b in batches:
         for start, end in store.slices(b.column(0), SLICE):
-            for _, parts in _batches(b.column(0).slice(start, end - start).to_pylist()):
-                pair, _, hashes = contexts(parts)
-                bit, slots = decisions(code, pair, code.length[pair], hashes, bits)
-                for c, s in zip(counts, slots):
-                    s = s << 1
-                    s |= bit
-                    np.add.at(c, s, one)
+            tally(code, bits, counts, b.column(0).slice(start, end - start).to_pylist())
     for k, c in enumerate(counts):
         for at in range(0, len(c), 2 << BLOCK_BITS):
             part = c[at : at + (2 << BLOCK_BITS)]
@@ -353,10 +462,14 @@ def _count(batches, shared):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at >> 1], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["k", "at", "part"])
 
 
+def _unpacked(part: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(part[1:]), np.uint8).reshape(part[0], -1).T.copy().view(f"u{part[0]}")[:, 0].astype(np.int64)
+
+
 def _added(parts) -> np.ndarray:
     total = 0
     for part in parts:
-        total = total + np.frombuffer(zstandard.decompress(part[1:]), np.uint8).reshape(part[0], -1).T.copy().view(f"u{part[0]}")[:, 0].astype(np.int64)
+        total = total + _unpacked(part)
     return total
 
 
@@ -403,8 +516,7 @@ def fit(docs: DataFrame) -> Model:
         return store.table(sums, "counts")
 
     most, rest = counted(train.filter("not fold")), counted(train.filter("fold"))
-    kept = store.table(train.filter("fold").select("text"), "fold")  # so that a round doesn't read the other texts
-    weights, chances = learned(kept, Model(code, bits, _tables(most, bits)))
+    weights, chances = learned(train.filter("fold").select("text"), Model(code, bits, _tables(most, bits)))
     return Model(code, bits, _tables(most.unionByName(rest), bits), weights, chances)
 
 
@@ -418,67 +530,88 @@ def _chance_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.rint(CHANCE_STEPS * x).astype(np.int64) for x in (p, p * (1 - p), np.logaddexp(0, y)))
 
 
+def distinct(model: Model, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What the model finds for the decisions of texts, about SLICE bytes of them at once: each distinct gate with its logits and the way
+    gone, as a byte each of a number (gate highest, way lowest), and how many decisions find just that. No weights are in it."""
+    for _, parts in _batches(texts):
+        keys = []
+        for some in _runs(parts):
+            pair, _, hashes = contexts(some)
+            found = model.found(pair, model.code.length[pair], hashes)
+            key = np.zeros((found.shape[1], 8), np.uint8)
+            for to, row in enumerate((CONTEXTS + 1, *range(CONTEXTS + 1))):
+                key[:, to] = found[row]
+            keys.append(key.view("<i8")[:, 0])
+        yield _distinct(keys)
+
+
 def gathered(model: Model, weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """What texts say about integer weights, all in whole numbers, so that it adds up in any order: for each gate the
     loss, the slope (a number a context) and the curvature (context by context); then for each bucket of the map the decisions and the ones."""
+    return sum((weighed(weights, *found) for found in distinct(model, texts)), np.zeros(SUMS, np.int64))
+
+
+def weighed(weights: np.ndarray, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The sums of ``gathered`` of what ``distinct`` has found."""
     chance, spread, loss = _chance_tables()
-    out = np.zeros(GATES * (1 + CONTEXTS + CONTEXTS**2) + 2 * BUCKETS, np.int64)
+    out = np.zeros(SUMS, np.int64)
     per, high = out[: -2 * BUCKETS].reshape(GATES, -1), 14 * LOGIT_STEPS
     spread, miss = spread.astype(np.float64), np.stack((-chance, CHANCE_STEPS - chance), axis=1).ravel().astype(np.float64)
     near = (np.arange(-high, high + 1) + LOGIT_STEPS // 2) // LOGIT_STEPS + BUCKETS // 2  # the bucket of each mixed logit
-    for _, parts in _batches(texts):
-        pair, _, hashes = contexts(parts)
-        bit, slots = decisions(model.code, pair, model.code.length[pair], hashes, model.bits)
-        found = np.empty((CONTEXTS, len(bit)), np.int8)
-        for k, s in enumerate(slots):
-            np.take(model.tables[k], s, out=found[k], mode="clip")
-        for at in range(0, len(bit), RUN):
-            x, went = found[:, at : at + RUN], bit[at : at + RUN]
-            gate = (np.abs(x[3]) > SCALE) + 2 * (np.abs(x[4]) > SCALE).astype(np.int8)
-            order = np.argsort(gate, kind="stable")
-            cut = np.cumsum([0, *np.bincount(gate, minlength=GATES)])
-            every, ups = np.stack([np.take(c, order) for c in x]).astype(np.float64), np.take(went, order)  # whole numbers far below 2 ** 53: exact
-            for g in range(GATES):
-                f, up = every[:, cut[g] : cut[g + 1]], ups[cut[g] : cut[g + 1]]
-                # A unit of the sum is a weight's step times a logit's.
-                y = weights[g].astype(np.float64) @ f
-                y *= LOGIT_STEPS
-                y /= WEIGHT_STEPS * int(SCALE)
-                np.floor(y, out=y)
-                np.clip(y, -high, high, out=y)
-                y += high
-                at_y = y.astype(np.intp)
-                curve = f * spread[at_y]
-                at_y *= 2
-                at_y += up
-                # By mixed logit: how many went either way.
-                zeros, ones = np.bincount(at_y, minlength=2 * len(chance)).reshape(-1, 2).T
-                per[g, 0] += zeros @ loss + ones @ loss[::-1]
-                per[g, 1 : 1 + CONTEXTS] += (f @ miss[at_y]).astype(np.int64)
-                per[g, 1 + CONTEXTS :] += (curve @ f.T).astype(np.int64).ravel()
-                np.add.at(out[-2 * BUCKETS : -BUCKETS], near, zeros + ones)
-                np.add.at(out[-BUCKETS:], near, ones)
+    cut = np.searchsorted(keys, (np.arange(GATES + 1) * STEP) << 8 * (CONTEXTS + 1))
+    for g in range(GATES):
+        for at in range(cut[g], cut[g + 1], RUN):
+            some = slice(at, min(at + RUN, cut[g + 1]))
+            parts = keys[some].astype("<i8").view(np.int8).reshape(-1, 8)
+            f, up, often = parts[:, 1 : 1 + CONTEXTS].T.astype(np.float64), parts[:, 0], times[some].astype(np.float64)  # whole numbers far below 2 ** 53: exact
+            # A unit of the sum is a weight's step times a logit's.
+            y = weights[g].astype(np.float64) @ f
+            y *= LOGIT_STEPS
+            y /= WEIGHT_STEPS * int(SCALE)
+            np.floor(y, out=y)
+            np.clip(y, -high, high, out=y)
+            y += high
+            at_y = y.astype(np.intp)
+            curve = f * (spread[at_y] * often)
+            at_y *= 2
+            at_y += up
+            # By mixed logit: how many went either way.
+            zeros, ones = np.bincount(at_y, weights=often, minlength=2 * len(chance)).astype(np.int64).reshape(-1, 2).T
+            per[g, 0] += zeros @ loss + ones @ loss[::-1]
+            per[g, 1 : 1 + CONTEXTS] += (f @ (miss[at_y] * often)).astype(np.int64)
+            per[g, 1 + CONTEXTS :] += (curve @ f.T).astype(np.int64).ravel()
+            np.add.at(out[-2 * BUCKETS : -BUCKETS], near, zeros + ones)
+            np.add.at(out[-BUCKETS:], near, ones)
     return out
 
 
 def learned(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map to begin with, from all texts of ``rows`` (none of which the model has counted). A round sends a few
-    hundred numbers of a task; a step that raises the loss is halved."""
+    """Weights and map to begin with, from all texts of ``rows`` (none of which the model has counted). What the model finds for them
+    doesn't depend on weights: it is looked up and written once. A round sends a few hundred numbers of a task; a step that raises the loss is halved."""
     spark = rows.sparkSession
     cast = model.key, spark.sparkContext.broadcast(pickle.dumps(model))
     best = now = np.rint(FIRST_WEIGHTS * WEIGHT_STEPS).astype(np.int64)
     least, chances = None, _first_map()
+
+    def find(batches):
+        m = store.held(cast[0], lambda: pickle.loads(cast[1].value))
+        for b in batches:
+            for start, end in store.slices(b.column(0), SLICE):
+                for found in distinct(m, b.column(0).slice(start, end - start).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([_packed(x)], pa.binary()) for x in found], names=["keys", "times"])
+
+    kept = store.table(store.in_arrow(rows, find, "keys binary, times binary"), "fold")
     for _ in range(ROUNDS):
 
         def run(batches, weights=now):
-            m, total = store.held(cast[0], lambda: pickle.loads(cast[1].value)), 0
+            total = 0
             for b in batches:
-                for start, end in store.slices(b.column(0), SLICE):
-                    total = total + gathered(m, weights, [t or b"" for t in b.column(0).slice(start, end - start).to_pylist()])
+                for keys, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    total = total + weighed(weights, _unpacked(keys), _unpacked(times))
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
 
-        sums = store.in_arrow(rows, run, "i long, n long").groupBy("i").agg(F.sum(F.col("n").cast("decimal(20,0)")).alias("n")).orderBy("i").collect()  # some 200 rows
+        sums = store.in_arrow(kept, run, "i long, n long").groupBy("i").agg(F.sum(F.col("n").cast("decimal(20,0)")).alias("n")).orderBy("i").collect()  # some 200 rows
         if not sums:
             return FIRST_WEIGHTS, _first_map()
         total = np.array([float(r["n"]) for r in sums])
@@ -505,9 +638,13 @@ END_WORD = -1
 
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h, begins = shingles.words(texts)
-    h = h.view(np.int64)
-    return np.where(h == END_WORD, 0, h), begins
+    found, begins = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for some in _runs([(t, 0) for t in texts]):
+        h, at = shingles.words([t for t, _ in some])
+        found.append(h.view(np.int64))
+        begins.append(begins[-1][-1] + at[1:])
+    h = np.concatenate(found)
+    return np.where(h == END_WORD, 0, h), np.concatenate(begins)
 
 
 def _merged(parts: list[np.ndarray]) -> np.ndarray:
@@ -569,7 +706,7 @@ def score(docs: DataFrame) -> DataFrame:
         base = np.log10(count + 0.5) - bottom
         end = int(np.searchsorted(word, END_WORD))
         for b in batches:
-            for start, stop in store.slices(b.column(3), SLICE):
+            for start, stop in store.slices(b.column(3), POOL):
                 part = b.slice(start, stop - start)
                 texts = [t or b"" for t in part.column(3).to_pylist()]
                 rows = part.num_rows
