@@ -1,12 +1,13 @@
 """Delaunay triangulations of plane points beyond one task.
 
-Points lie in square tiles of about TILE points. At first squares of tiles, then each open tile, are triangulated together with a ring of tiles around. A triangle
-of one of its points stands if no point of the whole set lies in its circumcircle: where the circle leaves what the task has
-seen, the points of the other tiles it meets are asked. An edge without a triangle beyond stands if the half-plane
-beyond it is empty, in the same way. Tiles with a triangle or edge that doesn't stand, or that would ask too many tiles, are done again
-with a ring twice as wide, until none is left; then every star is that of the whole set.
+The plane is cut into rectangles of about SQUARE x SQUARE tiles of TILE points each, at quantiles of the points, along x and y in turn, in up to four at a time: a
+tree. Each leaf is triangulated alone. A triangle whose circumcircle lies in the leaf holds no point of the whole set, so it stands, as does an edge of the
+hull with nothing of the others' area beyond. The corners of those that don't stand are few, near the leaf's borders; they are triangulated again, alone, in the
+rectangles of STEP levels further up, until the whole plane is one. Of these a triangle of one child's points counts only if the child had found it too
+(others fill what stands already); one between children always does. So each triangle stands once, and gives its three edges in one direction each.
 
-Points of one place count once, as that of the least cell. Of points on one circle any triangulation may come, and tiles may differ in it. Points
+What stands has to be the same whatever else a task holds: the signs behind it are exact, and of points on one circle the one of the greatest cell counts as lifted a bit, so
+that the triangulation is one. Points of one place count once, as that of the least cell; points without a finite place have none. Points
 on a line, or fewer than three, have no triangles: they are joined with their ``NEAR`` nearest. With keys, meshes are triangulated
 beside one another, and points of a key without triangles are joined along their line.
 """
@@ -24,25 +25,72 @@ from fieldspark.operators import graph
 from fieldspark.operators.cut import checkpointed
 
 TILE, NEAR = 256, 6
-SQUARE = 4  # tiles along a side of the squares of the first round
+SQUARE = 8  # tiles along a side of what a task of the first round holds
+STEP = 2  # levels of the tree between rounds
 FAR = -1  # the point at infinity
 EPS = 1e-12
+WAYS = [0.25, 0.5, 0.75]
 
+# Bounds on the rounding error of the two determinants (Shewchuk 1997), as parts of the sum of their terms without signs.
+TURN, WITHIN, TINY = 3.34e-16, 1.12e-15, 1e-290
 
-def _circles(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre and squared radius of each triangle; for (a, b, FAR) the half-plane left of a -> b: its normal and level."""
-    a, b, c = (p[t[:, k]] for k in range(3))
-    ghost = t[:, 2] == FAR
-    c = np.where(ghost[:, None], a, c)
-    u, v = b - a, c - a
-    d = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
-    uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
-    with np.errstate(all="ignore"):
-        x, y = (v[:, 1] * uu - u[:, 1] * vv) / d, (u[:, 0] * vv - v[:, 0] * uu) / d
-    r = x * x + y * y
-    n = np.stack([-u[:, 1], u[:, 0]], axis=1) / np.sqrt(np.maximum(uu, 1e-300))[:, None]
-    x, y = np.where(ghost, n[:, 0], x + a[:, 0]), np.where(ghost, n[:, 1], y + a[:, 1])
-    return x, y, np.where(ghost, (n * a).sum(axis=1), r)
+
+def _signs(X: list[float], Y: list[float]):
+    """turn(a, b, c): positive if c is left of a -> b; within(a, b, c, d): whether d is in the circle of a, b, c, which run
+    counter-clockwise. Points by number; where floats can't tell, in integers. Of four on a circle the last is lifted."""
+    whole = []
+
+    def exact():
+        if not whole:
+            parts = [(x.as_integer_ratio(), y.as_integer_ratio()) for x, y in zip(X, Y)]
+            unit = max(max(x[1], y[1]) for x, y in parts)  # powers of two
+            whole.append([(x[0] * (unit // x[1]), y[0] * (unit // y[1])) for x, y in parts])
+        return whole[0]
+
+    def turn(a, b, c):
+        left, right = (X[a] - X[c]) * (Y[b] - Y[c]), (Y[a] - Y[c]) * (X[b] - X[c])
+        d, e = left - right, TURN * (abs(left) + abs(right)) + TINY
+        if d > e or d < -e:
+            return d
+        q = exact()
+        (ax, ay), (bx, by), (cx, cy) = q[a], q[b], q[c]
+        return (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+
+    def within(a, b, c, d):
+        px, py = X[d], Y[d]
+        ax, ay, bx, by, cx, cy = X[a] - px, Y[a] - py, X[b] - px, Y[b] - py, X[c] - px, Y[c] - py
+        al, bl, cl = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        s = al * (bx * cy - cx * by) + bl * (cx * ay - ax * cy) + cl * (ax * by - bx * ay)
+        e = WITHIN * (al * (abs(bx * cy) + abs(cx * by)) + bl * (abs(cx * ay) + abs(ax * cy)) + cl * (abs(ax * by) + abs(bx * ay))) + TINY
+        if s > e or s < -e:
+            return s > 0
+        q = exact()
+        (px, py), (ax, ay), (bx, by), (cx, cy) = q[d], q[a], q[b], q[c]
+        ax, ay, bx, by, cx, cy = ax - px, ay - py, bx - px, by - py, cx - px, cy - py
+        s = (ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * by - bx * ay)
+        if s:
+            return s > 0
+        last = max(a, b, c, d)
+        if last == d:
+            return False
+        return (turn(d, b, c) if last == a else turn(a, d, c) if last == b else turn(a, b, d)) > 0
+
+    return turn, within
+
+
+def _order(p: np.ndarray) -> list[int]:
+    """Numbers of the points as they are inserted: shuffled halves, each twice the one before, to and fro along rows within each."""
+    n = len(p)
+    rank = np.random.default_rng(0).permutation(n)
+    out, last = [], n
+    while last > 0:
+        first = last // 2 if last > 32 else 0
+        some = np.flatnonzero((rank >= first) & (rank < last))
+        row = np.empty(len(some), np.int64)
+        row[np.argsort(p[some, 1], kind="stable")] = np.arange(len(some)) // max(1, math.isqrt(len(some)))
+        out.append(some[np.lexsort((np.where(row % 2, -p[some, 0], p[some, 0]), row))])
+        last = first
+    return np.concatenate(out[::-1]).tolist() if out else []
 
 
 def triangles(p: np.ndarray) -> np.ndarray:
@@ -51,198 +99,249 @@ def triangles(p: np.ndarray) -> np.ndarray:
     empty = np.zeros((0, 3), np.int64)
     if len(p) < 3:
         return empty
-    p = (p - p.min(axis=0)) / max(1e-300, float(np.ptp(p, axis=0).max()))
-    b = int(((p - p[0]) ** 2).sum(axis=1).argmax())
-    side = (p[b, 0] - p[0, 0]) * (p[:, 1] - p[0, 1]) - (p[b, 1] - p[0, 1]) * (p[:, 0] - p[0, 0])
-    c = int(np.abs(side).argmax())
-    if abs(side[c]) < EPS:
+    by_place = np.lexsort((p[:, 1], p[:, 0]))
+    again = by_place[1:][(p[by_place[1:]] == p[by_place[:-1]]).all(axis=1)]
+    if len(again):  # of one place the first counts
+        once = np.delete(np.arange(len(p)), again)
+        t = triangles(p[once])
+        return np.where(t == FAR, FAR, once[t])
+    X, Y = p[:, 0].tolist(), p[:, 1].tolist()
+    turn, within = _signs(X, Y)
+    order = _order(p)
+    a, b = order[:2]
+    c = next((i for i in order if turn(a, b, i) != 0), None)
+    if c is None:
         return empty
-    first = (0, b, c) if side[c] > 0 else (0, c, b)
-    room = 8 * len(p) + 16
-    t = np.full((room, 3), FAR, np.int64)
-    x, y, r = np.zeros(room), np.zeros(room), np.full(room, -np.inf)
-    ghost, live = np.zeros(room, bool), np.zeros(room, bool)
-    used, free = 0, []
-
-    def add(rows):
-        nonlocal used
-        rows = np.array(rows, np.int64)
-        at = [free.pop() for _ in range(min(len(free), len(rows)))]
-        at += list(range(used, used + len(rows) - len(at)))
-        used = max(used, max(at) + 1)
-        t[at] = rows
-        x[at], y[at], r[at] = _circles(p, rows)
-        ghost[at], live[at] = rows[:, 2] == FAR, True
-
-    add([first, *[(first[(k + 1) % 3], first[k], FAR) for k in range(3)]])
-    for i in range(len(p)):
-        if i in first:
+    if turn(a, b, c) < 0:
+        a, b = b, a
+    V = [a, b, c, b, a, FAR, c, b, FAR, a, c, FAR]  # corners, FAR the third
+    N = [2, 3, 1, 3, 2, 0, 1, 3, 0, 2, 1, 0]  # triangle opposite to each
+    seen = [-1] * 4
+    wide = float(np.ptp(p, axis=0).max())
+    sure_turn, sure_within = 2 * wide * wide * TURN + TINY, 12 * wide * wide * wide * wide * WITHIN + TINY  # beyond these floats can tell for any of the points
+    at = 0
+    for i in order:
+        if i == a or i == b or i == c:
             continue
-        px, py = p[i]
-        m = slice(0, used)
-        gap = px * x[m] + py * y[m] - r[m]
-        hit = np.where(ghost[m], gap > EPS, (px - x[m]) ** 2 + (py - y[m]) ** 2 < r[m] * (1 - EPS)) & live[m]
-        on = np.flatnonzero(ghost[m] & live[m] & (np.abs(gap) <= EPS))
-        for k in on:  # on the line of a hull's edge: between its ends it parts the edge
-            a, e = p[t[k, 0]], p[t[k, 1]]
-            if (p[i] - a) @ (e - a) > 0 and (p[i] - e) @ (a - e) > 0:
-                hit[k] = True
-        out = np.flatnonzero(hit)
-        edges = {(int(q[k]), int(q[(k + 1) % 3])) for q in t[out] for k in range(3)}
-        border = [(u, v) for u, v in edges if (v, u) not in edges]
-        if not border:
-            continue  # a place that is taken
-        live[out] = False
-        free.extend(out.tolist())
-        add([(v, i, FAR) if u == FAR else (i, u, FAR) if v == FAR else (u, v, i) for u, v in border])
-    return t[:used][live[:used]]
-
-
-class Grid:
-    """Square tiles over the extent of the points."""
-
-    def __init__(self, low: np.ndarray, high: np.ndarray, side: float):
-        self.low, self.high, self.side = low, high, side
-        self.n = np.maximum(1, np.ceil((high - low) / side).astype(int))
-
-    def around(self, area: tuple[int, int, int, int]) -> tuple[float, float, float, float]:
-        """Left, right, bottom and top of ranges of columns and rows, a bit within; without bound at the ends of the grid."""
-        bounds = []
-        for k in (0, 1):
-            first, last = area[2 * k], area[2 * k + 1]
-            bounds.append(-math.inf if first == 0 else self.low[k] + (first + 1e-6) * self.side)
-            bounds.append(math.inf if last == self.n[k] - 1 else self.low[k] + (last + 1 - 1e-6) * self.side)
-        return tuple(bounds)
-
-    def met(self, ghost: bool, x: float, y: float, r: float, seen: tuple[int, int, int, int], most: int) -> list[int] | None:
-        """Numbers of the tiles outside ``seen`` (ranges of columns and rows) that a circle or half-plane meets; None if more than ``most``."""
-        columns = np.arange(self.n[0])
-        left = self.low[0] + columns * self.side
-        right = np.minimum(left + self.side, self.high[0])
-        if ghost:
-            ends = np.stack([left, right])
-            if abs(y) < 1e-15:
-                some = (x * ends - r).max(axis=0) > 0
-                bottom, top = np.where(some, self.low[1], np.inf), np.where(some, self.high[1], -np.inf)
+        px, py = X[i], Y[i]
+        t = at
+        while True:  # to the triangle that holds the point, or beyond the hull's edge it is outside of
+            j = 3 * t
+            u, v, w = V[j], V[j + 1], V[j + 2]
+            if w < 0:
+                break
+            ux, uy, vx, vy, wx, wy = X[u] - px, Y[u] - py, X[v] - px, Y[v] - py, X[w] - px, Y[w] - py
+            s = ux * vy - uy * vx
+            if s < -sure_turn or s <= sure_turn and turn(u, v, i) < 0:
+                t = N[j + 2]
+                continue
+            s = vx * wy - vy * wx
+            if s < -sure_turn or s <= sure_turn and turn(v, w, i) < 0:
+                t = N[j]
+                continue
+            s = wx * uy - wy * ux
+            if s < -sure_turn or s <= sure_turn and turn(w, u, i) < 0:
+                t = N[j + 1]
+                continue
+            break
+        seen[t] = i
+        out, border = [t], []
+        for t in out:
+            j = 3 * t
+            for k, o in enumerate((N[j], N[j + 1], N[j + 2])):
+                if seen[o] == i:
+                    continue
+                m = 3 * o
+                u, v, w = V[m], V[m + 1], V[m + 2]
+                if w < 0:
+                    s = turn(u, v, i)
+                    hit = s > 0 or s == 0 and min(X[u], X[v]) <= px <= max(X[u], X[v]) and min(Y[u], Y[v]) <= py <= max(Y[u], Y[v])
+                else:
+                    ux, uy, vx, vy, wx, wy = X[u] - px, Y[u] - py, X[v] - px, Y[v] - py, X[w] - px, Y[w] - py
+                    s = (ux * ux + uy * uy) * (vx * wy - wx * vy) + (vx * vx + vy * vy) * (wx * uy - ux * wy) + (wx * wx + wy * wy) * (ux * vy - vx * uy)
+                    hit = s > sure_within or not s < -sure_within and within(u, v, w, i)
+                if hit:
+                    seen[o] = i
+                    out.append(o)
+                else:
+                    border.append((V[j + (k + 1) % 3], V[j + (k + 2) % 3], o, m if N[m] == t else m + 1 if N[m + 1] == t else m + 2))
+        more = len(border) - len(out)
+        out += range(len(seen), len(seen) + more)
+        seen += [-1] * more
+        V += [FAR] * (3 * more)
+        N += [FAR] * (3 * more)
+        starts, ends = {}, {}
+        for t, (u, v, _, _) in zip(out, border):
+            starts[u] = ends[v] = t
+        for t, (u, v, o, back) in zip(out, border):
+            N[back] = t
+            j, s, e = 3 * t, starts[v], ends[u]
+            if u < 0:
+                V[j], V[j + 1], V[j + 2], N[j], N[j + 1], N[j + 2] = v, i, FAR, e, o, s
+            elif v < 0:
+                V[j], V[j + 1], V[j + 2], N[j], N[j + 1], N[j + 2] = i, u, FAR, o, s, e
             else:
-                line = (r - x * ends) / y
-                bottom, top = (line.min(axis=0), np.full(len(columns), np.inf)) if y > 0 else (np.full(len(columns), -np.inf), line.max(axis=0))
-        else:
-            gap = np.maximum(0, np.maximum(left - x, x - right))
-            reach = np.sqrt(np.maximum(0, r - gap * gap))
-            bottom, top = np.where(gap * gap <= r, y - reach, np.inf), np.where(gap * gap <= r, y + reach, -np.inf)
-        bottom, top = np.maximum(bottom, self.low[1]), np.minimum(top, self.high[1])
-        some = bottom <= top
-        lo = np.where(some, np.clip(np.floor((bottom - self.low[1]) / self.side - 1e-9), 0, self.n[1] - 1), 0).astype(int)
-        hi = np.where(some, np.clip(np.floor((top - self.low[1]) / self.side + 1e-9), 0, self.n[1] - 1), -1).astype(int)
-        inner = (columns >= seen[0]) & (columns <= seen[1])
-        inside = np.where(inner, np.maximum(0, np.minimum(hi, seen[3]) - np.maximum(lo, seen[2]) + 1), 0)
-        if int((np.maximum(0, hi - lo + 1) - inside).sum()) > most:
-            return None
-        return [int(c * self.n[1] + k) for c in columns[some] for k in range(lo[c], hi[c] + 1) if not (inner[c] and seen[2] <= k <= seen[3])]
-
-
-FOUND = "k int, tx int, ty int, kind int, src long, dst long, x double, y double, r double, tiles array<int>"
-EDGE, CIRCLE, HALF, WIDER = 0, 1, 2, 3
-
-
-def _round(points: DataFrame, opened: DataFrame | None, grids: list[Grid], ring: int) -> DataFrame:
-    """Edges of the points of open tiles, with their length as r, and what has to be asked before they stand."""
-    square = SQUARE if opened is None else 1
-    owner = lambda c: F.floor(F.col(c) / square).cast("int")
-    opened = (points if opened is None else opened).select("k", owner("tx").alias("ox"), owner("ty").alias("oy")).distinct()
-    tiles = lambda c: F.explode(F.sequence(F.col(c) * square - ring, (F.col(c) + 1) * square - 1 + ring))
-    near = opened.withColumn("tx", tiles("ox")).withColumn("ty", tiles("oy"))
-    seen = near.join(points.select("k", "cell", "x", "y", "tx", "ty"), ["k", "tx", "ty"])
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("cell")
-        k, ox, oy = (int(t[c].iloc[0]) for c in ("k", "ox", "oy"))
-        grid = grids[k]
-        nx, ny = int(grid.n[0]), int(grid.n[1])
-        most = 8 * (nx + ny)
-        area = max(0, ox * square - ring), min(nx - 1, (ox + 1) * square - 1 + ring), max(0, oy * square - ring), min(ny - 1, (oy + 1) * square - 1 + ring)
-        p, cell = t[["x", "y"]].to_numpy(), t["cell"].to_numpy()
-        tx, ty = t["tx"].to_numpy(), t["ty"].to_numpy()
-        own = (tx // square == ox) & (ty // square == oy)
-        whole = area == (0, nx - 1, 0, ny - 1)
-        tri = triangles(p)
-        if not len(tri) and not whole:
-            mine = sorted(set(zip(tx[own].tolist(), ty[own].tolist())))
-            return pd.DataFrame([(k, *at, WIDER, None, None, None, None, None, None) for at in mine], columns=names)
-        tri = tri[(own[tri] & (tri != FAR)).any(axis=1)]
-        at_tiles = lambda q: {(int(tx[u]), int(ty[u])) for u in q if u != FAR and own[u]}
+                V[j], V[j + 1], V[j + 2], N[j], N[j + 1], N[j + 2] = u, v, i, s, e, o
+                at = t
+    return np.array(V, np.int64).reshape(-1, 3)
+
+
+Region = tuple[float, float, float, float]  # left, right, bottom, top
+PLANE: Region = (-math.inf, math.inf, -math.inf, math.inf)
+
+
+def _settled(p: np.ndarray, t: np.ndarray, region: Region, box: Region) -> np.ndarray:
+    """Which rows of ``triangles`` hold no point of ``box``, the extent of the whole set, outside ``region`` in their circle or half-plane."""
+    if region == PLANE:
+        return np.ones(len(t), bool)
+    a, b, c = (p[t[:, k]] for k in range(3))
+    ghost = t[:, 2] == FAR
+    u, v = b - a, np.where(ghost[:, None], a, c) - a
+    left, right, bottom, top = region[0] - a[:, 0], region[1] - a[:, 0], region[2] - a[:, 1], region[3] - a[:, 1]
+    size = np.maximum(np.abs(u).max(axis=1), np.abs(v).max(axis=1))
+    u, v = u / size[:, None], v / size[:, None]
+    with np.errstate(all="ignore"):
+        d = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+        uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        x, y = (v[:, 1] * uu - u[:, 1] * vv) / d, (u[:, 0] * vv - v[:, 0] * uu) / d
+        lost = 1e-14 * (np.sqrt(vv) * uu + np.sqrt(uu) * vv) / np.abs(d) * (1 + 1 / np.abs(d))  # what rounding can have moved the centre by
+        x, y, r = x * size, y * size, (np.sqrt(x * x + y * y) * (1 + 1e-9) + 2 * lost) * size
+        inside = (x - r > left) & (x + r < right) & (y - r > bottom) & (y + r < top) & np.isfinite(r)
+        beyond = np.zeros(len(t), bool)
+        for k, end in enumerate(region):  # the four parts of the box around the region
+            if math.isfinite(end):
+                part = list(box)
+                part[k ^ 1] = end
+                for px in part[:2]:
+                    for py in part[2:]:
+                        up, down = u[:, 0] * (py - a[:, 1]), u[:, 1] * (px - a[:, 0])
+                        beyond |= ~(up - down < -1e-9 * (np.abs(up) + np.abs(down)))
+    return np.where(ghost, ~beyond, inside)
+
+
+ROUND = "kind int, k int, path string, a long, b long, c long, x double, y double"
+EDGE, POINT, FACE, HULL = 0, 1, 2, 3  # x of an edge is its length; HULL is a FACE whose third corner is FAR
+
+
+def _cut(points: DataFrame, leaf: int) -> tuple[DataFrame, dict[tuple[int, str], Region]]:
+    """The points with the path to their leaf of at most about ``leaf`` points, a character a level, and the region of each node."""
+    regions: dict[tuple[int, str], Region] = {}
+    points, axis, idle = points.withColumn("path", F.lit("")), 0, 0
+    while idle < 2:
+        v = ("x", "y")[axis]
+        found = points.groupBy("k", "path").agg(F.count("*").alias("n"), F.min(v).alias("low"), F.percentile_approx(v, WAYS, 1000).alias("cuts"))
         rows = []
-        pairs = {(min(u, v), max(u, v)) for q in tri.tolist() for u, v in zip(q, q[1:] + q[:1]) if u != FAR and v != FAR}
-        for u, v in pairs:
-            gap = float(np.sqrt((p[u, 0] - p[v, 0]) ** 2 + (p[u, 1] - p[v, 1]) ** 2))
-            rows += [(k, *at, EDGE, int(cell[u]), int(cell[v]), None, None, gap, None) for at in at_tiles((u, v))]
-        if not whole:
-            x, y, r = _circles(p, tri)
-            left, right, bottom, top = grid.around(area)
-            reach = np.sqrt(np.maximum(r, 0))
-            inside = (tri[:, 2] != FAR) & (x - reach >= left) & (x + reach <= right) & (y - reach >= bottom) & (y + reach <= top)
-            wider = set()
-            for i in np.flatnonzero(~inside):
-                q, ghost = tri[i].tolist(), tri[i, 2] == FAR
-                ask = grid.met(ghost, float(x[i]), float(y[i]), float(r[i]), area, most)
-                if ask is None:
-                    wider |= at_tiles(q)
-                elif ask:
-                    rows += [(k, *at, HALF if ghost else CIRCLE, None, None, float(x[i]), float(y[i]), float(r[i]), ask) for at in at_tiles(q)]
-            rows = [row for row in rows if row[1:3] not in wider]
-            rows += [(k, *at, WIDER, None, None, None, None, None, None) for at in wider]
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"src": "Int64", "dst": "Int64"})
-
-    names = ["k", "tx", "ty", "kind", "src", "dst", "x", "y", "r", "tiles"]
-    return checkpointed(seen.groupBy("k", "ox", "oy").applyInPandas(run, FOUND))
+        large = found.filter(F.col("n") > leaf).collect()  # a row for each so many points
+        for e in large:
+            cuts = sorted({c for c in (e["cuts"] if e["n"] > 2 * leaf else e["cuts"][1:2]) if c > e["low"]})
+            ends = list(regions.get((e["k"], e["path"]), PLANE))
+            if cuts:
+                rows.append((e["k"], e["path"], cuts))
+            for i, (low, high) in enumerate(zip([ends[2 * axis], *cuts], [*cuts, ends[2 * axis + 1]])) if cuts else ():
+                regions[e["k"], f"{e['path']}{i}"] = tuple([low, high, *ends[2:]] if axis == 0 else [*ends[:2], low, high])
+        if not large:
+            break
+        if rows:
+            cuts = F.broadcast(points.sparkSession.createDataFrame(rows, "k int, path string, cuts array<double>"))
+            child = F.size(F.filter("cuts", lambda c: c <= F.col(v))).cast("string")
+            points = points.join(cuts, ["k", "path"], "left").withColumn("path", F.when(F.col("cuts").isNull(), F.col("path")).otherwise(F.concat("path", child))).drop("cuts")
+        axis, idle = 1 - axis, 0 if rows else idle + 1
+    return points, regions
+
+
+def _round(rows: DataFrame, depth: int, first: bool, regions: dict[tuple[int, str], Region], boxes: list[Region]) -> DataFrame:
+    """Edges that stand once the points of each node at ``depth`` are triangulated, and of what doesn't stand yet its corners, and itself if it may."""
+    count = max(1, len({(k, path[:depth]) for k, path in regions}) + len(boxes))
+    regions = {at: r for at, r in regions.items() if len(at[1]) <= depth}
+
+    def turned(t: np.ndarray) -> list[tuple[int, ...]]:
+        return [(a, b, c) if a <= b and a <= c else (b, c, a) if b <= c else (c, a, b) for a, b, c in t.tolist()]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        k, node = int(g["k"].iloc[0]), g["node"].iloc[0]
+        points = g[g["kind"] == POINT].sort_values("a")
+        child, _ = pd.factorize(points["path"])
+        if not first and not child.any() and points["path"].iloc[0] == node:
+            return g.drop(columns="node")  # a leaf that has been seen
+        p, cell = points[["x", "y"]].to_numpy(), points["a"].to_numpy()
+        t = triangles(p)
+        if not len(t):  # both sides of a line
+            line = np.lexsort((p[:, 1], p[:, 0]))
+            t = np.array([(*q, FAR) for a, b in zip(line, line[1:]) for q in ((a, b), (b, a))], np.int64).reshape(-1, 3)
+        stands = _settled(p, t, regions.get((k, node), PLANE), boxes[k])
+        left = np.setdiff1d(t[~stands], [FAR]) if len(p) > 1 else np.zeros(1, np.int64)
+        counts = np.ones(len(t), bool)
+        if not first:
+            faces = g[g["kind"] >= FACE]
+            known = np.searchsorted(cell, faces[["a", "b", "c"]].to_numpy())
+            known[(faces["kind"] == HULL).to_numpy(), 2] = FAR
+            a, b, c = (child[t[:, j]] for j in range(3))
+            known = set(turned(known))
+            counts = (a != b) | (t[:, 2] != FAR) & (a != c) | np.array([q in known for q in turned(t)], bool)
+        done, open_ = t[stands & counts], t[~stands & counts]
+        ends = np.concatenate([done[:, [i, j]] for i, j in ((0, 1), (1, 2), (2, 0))])
+        ends = ends[(ends != FAR).all(axis=1)]
+        gap = p[ends[:, 0]] - p[ends[:, 1]]
+        none = lambda *some: np.zeros(sum(map(len, some)), np.int64)
+        out = {
+            "kind": np.concatenate([np.full(len(ends), EDGE), np.full(len(left), POINT), np.where(open_[:, 2] == FAR, HULL, FACE)]),
+            "a": np.concatenate([cell[ends[:, 0]], cell[left], cell[open_[:, 0]]]),
+            "b": np.concatenate([cell[ends[:, 1]], none(left), cell[open_[:, 1]]]),
+            "c": np.concatenate([none(ends, left), cell[open_[:, 2]]]),
+            "x": np.concatenate([np.sqrt((gap * gap).sum(axis=1)), p[left, 0], none(open_)]),
+            "y": np.concatenate([none(ends), p[left, 1], none(open_)]),
+        }
+        return pd.DataFrame(out).assign(k=k, path=node)[["kind", "k", "path", "a", "b", "c", "x", "y"]]
+
+    parts = min(2 * count, max(4 * rows.sparkSession.sparkContext.defaultParallelism, count // 8))
+    dealt = rows.withColumn("node", F.substring("path", 1, depth)).repartition(parts, "k", "node")
+    return checkpointed(dealt.groupBy("k", "node").applyInPandas(run, ROUND))
 
 
 def delaunay(vertices: DataFrame, tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
     """src, dst, w, dist of the triangulation of (cell, coord), both directions; with ``by`` of the points of each key."""
     spark = vertices.sparkSession
     xy = vertices.select(*by, F.col("cell").cast("long").alias("cell"), F.col("coord")[0].cast("double").alias("x"), F.col("coord")[1].cast("double").alias("y"))
+    xy = xy.filter((F.abs("x") < math.inf) & (F.abs("y") < math.inf))  # NaN is the largest
     places = xy.groupBy(*by, "x", "y").agg(F.min("cell").alias("cell"))
-    ends = places.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).collect()  # a row a key
-    grids, known = [], []
+    at = F.struct("x", "y")
+    ends = places.groupBy(*by).agg(F.count("*").alias("n"), *[f(at, c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min_by, F.max_by)]).collect()  # a row a key
+    boxes, known = [], []
     for e in ends:
-        low, high = np.array([e["min_x"], e["min_y"]]), np.array([e["max_x"], e["max_y"]])
-        if e["n"] < 3 or (high == low).any():
+        box = tuple(e[f"{f}_{c}"][c] for c in ("x", "y") for f in ("min_by", "max_by")) if e["n"] else PLANE
+        if e["n"] < 3 or box[0] == box[1] or box[2] == box[3]:
             continue
-        side = math.sqrt(float(np.prod(high - low)) * tile / e["n"])
-        g = Grid(low, high, max(side, float((high - low).max()) / 4096))
-        known.append((*[e[c] for c in by], len(grids), float(low[0]), float(low[1]), float(g.side), int(g.n[0]), int(g.n[1]), float((high - low).max())))
-        grids.append(g)
-    kinds = ", ".join([f"_{c} {places.schema[c].dataType.simpleString()}" for c in by] + ["k int, lx double, ly double, side double, nx int, ny int, extent double"])
-    keys = F.broadcast(spark.createDataFrame(known, kinds))
+        c = "x" if box[1] - box[0] >= box[3] - box[2] else "y"
+        low, high = e[f"min_by_{c}"], e[f"max_by_{c}"]
+        known.append((*[e[c] for c in by], len(boxes), low["x"], low["y"], high["x"] - low["x"], high["y"] - low["y"], max(box[1] - box[0], box[3] - box[2])))
+        boxes.append(box)
+    kinds = ", ".join([f"_{c} {places.schema[c].dataType.simpleString()}" for c in by] + ["k int, lx double, ly double, dx double, dy double, extent double"])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    points = places.join(keys, same, "inner") if by else places.crossJoin(keys)
-    tx, ty = (F.least(F.floor((F.col(c) - F.col(low)) / F.col("side")), F.col(n) - 1).cast("int") for c, low, n in (("x", "lx", "nx"), ("y", "ly", "ny")))
-    points = checkpointed(points.select("k", "cell", "x", "y", tx.alias("tx"), ty.alias("ty"), (tx * F.col("ny") + ty).alias("_tile"), "extent"))
-    opened, ring, done = None, 1, None
-    while grids:
-        found = _round(points, opened, grids, ring)
-        asks = found.filter(F.col("kind").isin(CIRCLE, HALF)).select("k", "tx", "ty", "kind", "x", "y", "r", F.explode("tiles").alias("_tile"))
-        others = points.select("k", "_tile", F.col("x").alias("px"), F.col("y").alias("py"), "extent")
-        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-        inside = F.when(F.col("kind") == HALF, F.col("px") * F.col("x") + F.col("py") * F.col("y") - F.col("r") > F.lit(EPS) * F.col("extent")).otherwise(dx * dx + dy * dy < F.col("r") * (1 - EPS))
-        failed = asks.join(others, ["k", "_tile"]).filter(inside).select("k", "tx", "ty").unionByName(found.filter(F.col("kind") == WIDER).select("k", "tx", "ty")).distinct()
-        failed = checkpointed(failed)
-        edges = found.filter(F.col("kind") == EDGE).join(failed, ["k", "tx", "ty"], "left_anti").select("k", "src", "dst", F.col("r").alias("dist"))
-        done = edges if done is None else done.unionByName(edges)
-        if not failed.limit(1).count():
-            break
-        opened, ring = failed, 2 * ring
-    if not by and (done is None or not done.limit(1).count()):
+
+    if known:
+        keys = F.broadcast(spark.createDataFrame(known, kinds))
+        points = places.join(keys, same, "inner") if by else places.crossJoin(keys)
+        x, y = ((F.col(c) - F.col(f"l{c}")) / F.col("extent") for c in ("x", "y"))
+        off = F.abs(F.col("dx") / F.col("extent") * y - F.col("dy") / F.col("extent") * x)
+        points = checkpointed(points.select("k", "cell", "x", "y", off.alias("off")))
+        plane = {r["k"] for r in points.groupBy("k").agg(F.max("off").alias("off")).filter(F.col("off") >= EPS).collect()}  # the others are on a line but for rounding
+        points, known = points.drop("off"), [x for x in known if x[len(by)] in plane]
+    if not by and not known:
         return graph.knn_graph(vertices, NEAR)
     joined = None
-    if done is not None:
-        once = done.select("k", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist").dropDuplicates(["k", "src", "dst"])
-        joined = graph.both_ways(once.select("src", "dst", "dist"))
+    if known:
+        if len(known) < len(boxes):
+            points = points.filter(F.col("k").isin([x[len(by)] for x in known]))
+        points, regions = _cut(points, tile * SQUARE * SQUARE)
+        rows = points.select(F.lit(POINT).alias("kind"), "k", "path", F.col("cell").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "x", "y")
+        levels = max((len(path) for _, path in regions), default=0)
+        for depth in sorted({0, *range(levels, 0, -STEP)}, reverse=True):
+            found = _round(rows, depth, depth == levels, regions, boxes)
+            edges = found.filter(F.col("kind") == EDGE).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("x").alias("dist"))
+            joined = edges if joined is None else joined.unionByName(edges)
+            rows = found.filter(F.col("kind") != EDGE)
     if by:
-        held = {r[0] for r in done.select("k").distinct().collect()} if done is not None else set()
-        flat = spark.createDataFrame([x[: len(by) + 1] for x in known if x[len(by)] in held], kinds.split(", lx")[0])
+        flat = spark.createDataFrame([x[: len(by) + 1] for x in known], kinds.split(", lx")[0])
         along = Window.partitionBy(*by).orderBy("x", "y")
         rest = places.join(F.broadcast(flat), same, "left_anti")
         line = rest.select("cell", "x", "y", *[F.lag(c).over(along).alias(f"_{c}") for c in ("cell", "x", "y")]).filter("_cell is not null")

@@ -75,3 +75,56 @@ def test_the_query_asks_no_task_for_a_label(spark, monkeypatch):
     monkeypatch.setattr(graph, "delaunay_graph", None)
     out = queries.QUERIES["delaunay_graph"](spark, "/root/testdata/sf0.001").collect()
     assert {(x["src"], x["dst"]) for x in out} == {(x["dst"], x["src"]) for x in out}
+
+
+def once(spark, p, tile):
+    rows = [(i, [float(x), float(y)]) for i, (x, y) in enumerate(p)]
+    out = [(r["src"], r["dst"]) for r in D.delaunay(spark.createDataFrame(rows, "cell long, coord array<double>"), tile).collect()]
+    assert len(out) == len(set(out))
+    return set(out)
+
+
+def both(t):
+    t = t[t[:, 2] != D.FAR]
+    return {(q[i], q[j]) for q in t.tolist() for i in range(3) for j in range(3) if i != j}
+
+
+def test_rounds_dont_grow_with_the_outskirts(spark, monkeypatch):
+    """Sparse points around a dense middle are met in rounds by the tree's levels, each of which writes one table."""
+    written, write = [], D.checkpointed
+
+    def counted(frame):
+        written.append(write(frame))
+        return written[-1]
+
+    monkeypatch.setattr(D, "checkpointed", counted)
+    p = np.random.default_rng(7).normal(0, 1, (3000, 2))
+    assert once(spark, p, 12) == both(D.triangles(p))
+    assert len(written) <= 4
+
+
+def test_leaves_are_the_whole(spark, monkeypatch):
+    """Leaves of a few points, some of them on a line: the same edges as one task's, each once in a direction."""
+    monkeypatch.setattr(D, "SQUARE", 1)
+    r = np.random.default_rng(5)
+    lattice = np.stack(np.meshgrid(np.arange(16.0), np.arange(11.0)), axis=-1).reshape(-1, 2)
+    tail = np.concatenate([r.normal(0, 1, (90, 2)), r.normal(4, 1e-5, (60, 2)), [[900.0, 2.0], [-3.0, 4000.0]]])
+    assert once(spark, tail, 6) == both(D.triangles(tail)) == {(a, b) for e in brute(tail) for a, b in (e, e[::-1])}
+    assert once(spark, lattice, 6) == both(D.triangles(lattice))
+    gone = np.concatenate([tail[:40], [[np.nan, 0.0], [0.0, np.inf]]])  # no place, no edges
+    assert once(spark, gone, 6) == both(D.triangles(tail[:40]))
+
+
+def test_triangles_are_exact():
+    """Points close together beside far ones are all kept; of points on a circle every order and every part of the set take the same triangles."""
+    r = np.random.default_rng(2)
+    p = np.concatenate([r.normal(0, 1e-13, (50, 2)), [[5.0, 1.0], [-2.0, 7.0]]])
+    assert len(D.triangles(p)) == 2 * len(p) - 2  # as many as a closed surface has, with the point at infinity
+    p = np.stack(np.meshgrid(np.arange(9.0), np.arange(7.0)), axis=-1).reshape(-1, 2)
+    turned = lambda t: {tuple(np.roll(q, -int(np.argmin(q))).tolist()) for q in t}
+    all_of = turned(D.triangles(p))
+    assert len(all_of) == 2 * len(p) - 2
+    for seed in range(4):
+        some = np.sort(np.random.default_rng(seed).permutation(len(p))[:45])
+        t = D.triangles(p[some])
+        assert {q for q in all_of if min(q) >= 0 and np.isin(q, some).all()} <= turned(some[t[t[:, 2] != D.FAR]])
